@@ -11,6 +11,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -168,13 +169,16 @@ def column_ids(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-PACK_SCHEMA = "pack_id long, ids binary, nulls binary, lens binary, data binary, n_bytes long, rest_lens binary, rest binary"
+PACK_SCHEMA = "pack_id long, ids binary, nulls binary, lens binary, data binary, n_bytes long, rest_lens binary, rest binary, also binary"
+#: Bits of a document's place in its pack; pack_id << PLACE_BITS | place names a row of the input.
+PLACE_BITS = 14
 
 
-def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
+def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] = (), also=None) -> DataFrame:
     """Whole documents in packs of about PACK_BYTES, written once. nulls marks texts that are null.
 
     carry: further columns that come back with each document, as JSON in ``rest``.
+    also: makes a further binary column from a pack's bytes and offsets.
     """
 
     def pack(batches):
@@ -182,13 +186,14 @@ def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list
         from pyspark import TaskContext
 
         press, part, n = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
-        held, size = [], 0
+        held, size, rows = [], 0, 0
 
         def out():
-            nonlocal n, held, size
+            nonlocal n, held, size, rows
             ids, nulls, lens, data, rest_lens, rest = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = [(part << 32) | n, ids.tobytes(), nulls.tobytes(), lens.tobytes(), press.compress(data.tobytes()), len(data), rest_lens.tobytes(), press.compress(rest.tobytes())]
-            n, held, size = n + 1, [], 0
+            more = also(data, np.concatenate([[0], np.cumsum(lens)])) if also else b""
+            row = [(part << 24) | n, ids.tobytes(), nulls.tobytes(), lens.tobytes(), press.compress(data.tobytes()), len(data), rest_lens.tobytes(), press.compress(rest.tobytes()), more]
+            n, held, size, rows = n + 1, [], 0, 0
             return batch_of(PACK_SCHEMA, [[x] for x in row])
 
         for b in batches:
@@ -198,11 +203,12 @@ def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list
             at = 0
             while at < len(ids):
                 room = PACK_BYTES - size
-                to = min(len(ids), max(at + 1, int(np.searchsorted(off, off[at] + room, side="right")) - 1))
+                to = min(len(ids), at + (1 << PLACE_BITS) - rows, max(at + 1, int(np.searchsorted(off, off[at] + room, side="right")) - 1))
                 held.append((ids[at:to], nulls[at:to], np.diff(off[at : to + 1]), buf[off[at] : off[to]], np.diff(more_off[at : to + 1]), more[more_off[at] : more_off[to]]))
                 size += int(off[to] - off[at])
+                rows += to - at
                 at = to
-                if size >= PACK_BYTES * 3 // 4:
+                if size >= PACK_BYTES * 3 // 4 or rows >= 1 << PLACE_BITS:
                     yield out()
         if held:
             yield out()
@@ -310,6 +316,31 @@ def entries(pack_id: int, keys: np.ndarray, extras: list[np.ndarray], nb: int) -
     return batch_of(ENTRY_SCHEMA, [full, np.full(len(full), pack_id), np.diff(cuts)[full], key_blobs, extra_blobs])
 
 
+def extras_of(rows: list[dict], kinds: list) -> list[np.ndarray]:
+    """The payload arrays of entries."""
+    import zstandard
+
+    extras = [[] for _ in kinds]
+    for r in rows:
+        n, at = r["n"], 0
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["extra"], max_output_size=max(1, n * sum(np.dtype(k).itemsize for k in kinds))), np.uint8)
+        for x, kind in zip(extras, kinds, strict=True):
+            size = np.dtype(kind).itemsize
+            x.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).reshape(n))
+            at += n * size
+    return [np.concatenate(x) for x in extras]
+
+
+def per_group(reduce):
+    """A function of the batches of a group, with the types by which applyInArrow knows it."""
+
+    def of_group(batches):
+        yield from reduce(batches)
+
+    of_group.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return of_group
+
+
 def answered(sent: DataFrame, kinds: list, decide) -> DataFrame:
     """One row per pack with the sorted answers of all its buckets.
 
@@ -319,30 +350,17 @@ def answered(sent: DataFrame, kinds: list, decide) -> DataFrame:
     def reduce(batches):
         import zstandard
 
-        rows = [(b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].as_py(), b.column(3)[k].as_py(), b.column(4)[k].as_py()) for b in batches for k in range(b.num_rows)]
-        keys = np.concatenate([unplanes(r[3], r[2], np.uint64) for r in rows])
-        extras = [[] for _ in kinds]
-        for r in rows:
-            raw, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(r[4], max_output_size=max(1, r[2] * sum(np.dtype(k).itemsize for k in kinds))), np.uint8), 0
-            for x, kind in zip(extras, kinds, strict=True):
-                size = np.dtype(kind).itemsize
-                x.append(np.ascontiguousarray(raw[at : at + r[2] * size].reshape(size, r[2]).T).view(kind).reshape(r[2]))
-                at += r[2] * size
-        n = np.array([r[2] for r in rows])
-        out = decide(keys, np.repeat(np.arange(len(rows)), n), [np.concatenate(x) for x in extras]).astype(np.uint8)
+        rows = list(rows_of(batches))
+        keys = np.concatenate([unplanes(r["keys"], r["n"], np.uint64) for r in rows])
+        n = np.array([r["n"] for r in rows])
+        out = decide(keys, np.repeat(np.arange(len(rows)), n), extras_of(rows, kinds)).astype(np.uint8)
         cuts = np.concatenate([[0], np.cumsum(n)])
         press = zstandard.ZstdCompressor(level=1)
         for lo in range(0, len(rows), 4096):
             some = range(lo, min(lo + 4096, len(rows)))
-            yield batch_of(ANSWER_SCHEMA, [[rows[k][0] for k in some], [rows[k][1] for k in some], [press.compress(out[cuts[k] : cuts[k + 1]].tobytes()) for k in some]])
-
-    def reduce_group(batches):
-        yield from reduce(list(batches))
-
-    from collections.abc import Iterator
+            yield batch_of(ANSWER_SCHEMA, [[rows[k]["bucket"] for k in some], [rows[k]["pack_id"] for k in some], [press.compress(out[cuts[k] : cuts[k + 1]].tobytes()) for k in some]])
 
-    reduce_group.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    out = sent.groupBy("bucket").applyInArrow(reduce_group, ANSWER_SCHEMA)
+    out = sent.groupBy("bucket").applyInArrow(per_group(reduce), ANSWER_SCHEMA)
     return written(out.groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers")))
 
 

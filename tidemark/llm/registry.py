@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_substring, op4_suffix
+from tidemark.llm import op1_substring, op3_jaccard, op4_suffix
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
+    "op3_ngram_jaccard_join": op3_jaccard.op3_ngram_jaccard_join,
     "op4_suffix_dedup": op4_suffix.op4_suffix_dedup,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": op1_substring.ORACLE_SQL,
+    "op3_ngram_jaccard_join": op3_jaccard.ORACLE_SQL,
 }

@@ -264,7 +264,7 @@ def remove_repeats(packs: DataFrame, plan: Plan, schema: str, emit) -> DataFrame
                 gone = tokens.removed(answer, C.answer_bytes(row["a3"]))
             yield emit(tokens, gone)
 
-    light = packs.drop("rest", "rest_lens")
+    light = packs.drop("rest", "rest_lens", "also")
     named = lambda df, name: df.withColumnRenamed("answers", name)
     a1 = named(C.answered(light.mapInArrow(first, C.ENTRY_SCHEMA), [np.uint8], _decide_anchor), "a1")
     a2 = named(C.answered(light.join(a1, "pack_id").mapInArrow(second, C.ENTRY_SCHEMA), [np.uint64, np.int64], _decide_context), "a2")
