@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_substring, op3_jaccard, op4_suffix
+from tidemark.llm import op1_substring, op3_jaccard, op4_suffix, op7_topk, op9_urls
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
     "op3_ngram_jaccard_join": op3_jaccard.op3_ngram_jaccard_join,
     "op4_suffix_dedup": op4_suffix.op4_suffix_dedup,
+    "op7_exact_topk": op7_topk.op7_exact_topk,
+    "op9_url_filters": op9_urls.op9_url_filters,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": op1_substring.ORACLE_SQL,
     "op3_ngram_jaccard_join": op3_jaccard.ORACLE_SQL,
+    "op7_exact_topk": op7_topk.ORACLE_SQL,
+    "op9_url_filters": op9_urls.ORACLE_SQL,
 }
