@@ -174,7 +174,7 @@ PACK_SCHEMA = "pack_id long, ids binary, nulls binary, lens binary, data binary,
 PLACE_BITS = 14
 
 
-def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] = (), also=None) -> DataFrame:
+def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] = (), also=None, level: int = 1) -> DataFrame:
     """Whole documents in packs of about PACK_BYTES, written once. nulls marks texts that are null.
 
     carry: further columns that come back with each document, as JSON in ``rest``.
@@ -185,7 +185,7 @@ def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list
         import zstandard
         from pyspark import TaskContext
 
-        press, part, n = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
+        press, part, n = zstandard.ZstdCompressor(level=level), TaskContext.get().partitionId(), 0
         held, size, rows = [], 0, 0
 
         def out():
