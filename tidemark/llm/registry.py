@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_substring, op2_bpe, op3_jaccard, op4_suffix, op7_topk, op9_urls
+from tidemark.llm import op1_substring, op2_bpe, op3_jaccard, op4_suffix, op5_quality, op7_topk, op8_toxicity, op9_urls
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
     "op2_bpe": op2_bpe.op2_bpe,
     "op3_ngram_jaccard_join": op3_jaccard.op3_ngram_jaccard_join,
     "op4_suffix_dedup": op4_suffix.op4_suffix_dedup,
+    "op5_quality": op5_quality.op5_quality,
     "op7_exact_topk": op7_topk.op7_exact_topk,
+    "op8_toxicity": op8_toxicity.op8_toxicity,
     "op9_url_filters": op9_urls.op9_url_filters,
 }
 
