@@ -146,7 +146,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
                 out.append((C.mix(sets.key[at] ^ np.uint64((o + 1) << 40)), (row["pack_id"] << C.PLACE_BITS) + doc, sets.size[doc], place[use], np.full(len(at), o), (shared_before[use] - begin[doc] < LEADS) & (o == 0)))
             key, who, n, place, o, lead = (np.concatenate(x) for x in zip(*out, strict=True))
             if len(key):
-                blob = b"".join([C_planes(key), C_planes(who.astype(np.int64)), C_planes(n.astype(np.int32)), C_planes(place.astype(np.int32)), C_planes((o * 2 + lead).astype(np.uint8))])
+                blob = b"".join([_planes(key), _planes(who.astype(np.int64)), _planes(n.astype(np.int32)), _planes(place.astype(np.int32)), _planes((o * 2 + lead).astype(np.uint8))])
                 yield C.batch_of(PREFIX_SCHEMA, [[row["pack_id"]], [len(key)], [zstandard.ZstdCompressor(level=1).compress(blob)]])
 
     held = C.written(light.join(ranks, "pack_id").mapInArrow(prefixes, PREFIX_SCHEMA))
@@ -296,7 +296,30 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     return some.unionByName(none), links
 
 
-def C_planes(a: np.ndarray) -> bytes:
+KEPT_SCHEMA = "doc_id long, text string, rest string"
+
+
+def near_duplicate_filter(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
+    """One row of each component of ngram_jaccard_join: that of least doc_id (null last), of equal ones the first.
+
+    Rows with empty sets all stay. Returns doc_id, text and rest (JSON of the carried columns).
+    """
+    packs = C.packed(docs, text, key, carry, also=lambda buf, offsets: Sets(buf, offsets, size).signatures().tobytes())
+    members, _ = ngram_jaccard_join(None, size, num, den, packs=packs)
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first"))
+    place = F.col("first.row_id").bitwiseAND(F.lit((1 << C.PLACE_BITS) - 1)).cast("int")
+    stay = C.written(first.groupBy(F.shiftright("first.row_id", C.PLACE_BITS).alias("pack_id")).agg(F.sort_array(F.collect_list(place)).alias("stay")))
+
+    def rows(batches):
+        for row in C.rows_of(batches):
+            pack, stay = C.Pack(row), pa.array(row["stay"], pa.int32())
+            texts = C.strings(pack.buf, pack.offsets, nulls=pack.nulls)
+            yield C.batch_of(KEPT_SCHEMA, [x.take(stay) for x in (pack.id_column(), texts, pack.rest())])
+
+    return packs.drop("also").join(stay, "pack_id").mapInArrow(rows, KEPT_SCHEMA)
+
+
+def _planes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_substring, op2_bpe, op3_jaccard, op4_suffix, op5_quality, op6_chat, op7_topk, op8_toxicity, op9_urls
+from tidemark.llm import op1_substring, op2_bpe, op3_jaccard, op4_suffix, op5_quality, op6_chat, op7_topk, op8_toxicity, op9_urls, op10_decontaminate
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_exact_topk": op7_topk.op7_exact_topk,
     "op8_toxicity": op8_toxicity.op8_toxicity,
     "op9_url_filters": op9_urls.op9_url_filters,
+    "op10_decontaminate": op10_decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL = {
