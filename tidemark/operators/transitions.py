@@ -27,8 +27,9 @@ def new_activities(requests: DataFrame, as_of) -> DataFrame:
     get = lambda name, default, kind: F.coalesce(F.col(name), F.lit(default).cast(kind)).cast(kind).alias(name) if name in given else F.lit(default).cast(kind).alias(name)
     delay = F.col("delay_seconds") if "delay_seconds" in given else F.lit(None).cast("long")
     scheduled = F.when(delay.isNotNull(), S.plus_seconds(as_of, delay))
-    parent = F.col("parent_activity_id") if "parent_activity_id" in given else F.lit(None).cast("long")
-    root = F.col("root_activity_id") if "root_activity_id" in given else F.lit(None).cast("long")
+    none = F.lit(None).cast(requests.schema["id"].dataType)
+    parent = F.col("parent_activity_id") if "parent_activity_id" in given else none
+    root = F.col("root_activity_id") if "root_activity_id" in given else none
     depth = F.least(F.coalesce(F.col("parent_depth") + 1, F.lit(0)), F.lit(32767)) if "parent_depth" in given else F.lit(0)
     return requests.select(
         "id", "queue_name", "activity_type", "payload", get("priority", 2, "int"), get("max_retries", 3, "int"), get("timeout_seconds", 300, "long"), get("retry_delay_seconds", 1, "long"), get("max_retry_delay_seconds", 3600, "long"),
@@ -185,7 +186,8 @@ def spawn_links(resolved: DataFrame, activities: DataFrame) -> DataFrame:
 def spawn(parents: DataFrame, as_root: bool = False) -> DataFrame:
     """Lineage of a child of each parent (id, root_activity_id, depth)."""
     if as_root:
-        return parents.select(F.col("id").alias("caller"), F.lit(None).cast("long").alias("parent_activity_id"), F.lit(None).cast("long").alias("root_activity_id"), F.lit(0).alias("depth"))
+        none = F.lit(None).cast(parents.schema["id"].dataType)
+        return parents.select(F.col("id").alias("caller"), none.alias("parent_activity_id"), none.alias("root_activity_id"), F.lit(0).alias("depth"))
     return parents.select(F.col("id").alias("caller"), F.col("id").alias("parent_activity_id"), F.coalesce("root_activity_id", "id").alias("root_activity_id"), F.least(F.col("depth") + 1, F.lit(32767)).cast("int").alias("depth"))
 
 

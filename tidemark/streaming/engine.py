@@ -59,7 +59,8 @@ class Engine:
         fresh = df.filter("idempotency_key IS NULL")
         for behaviour in sorted(keyed):
             claims = df.filter((F.col("behaviour") == behaviour) & F.col("idempotency_key").isNotNull()).withColumn("created_at", at(now))
-            done = T.resolve_keys(claims, self.log.latest("keys"), self.log.latest("activities"), behaviour).cache()
+            done = T.resolve_keys(claims, self.log.latest("keys"), self.log.latest("activities"), behaviour)
+            done = self._pinned(done)
             for row in done.collect():
                 if row["activity_id"] is None:
                     raise ValueError(f"{row['action']}: {row['idempotency_key']}")
@@ -80,7 +81,7 @@ class Engine:
         """Delivered, or not as there is no such activity."""
         s = self.spark.createDataFrame([(str(uuid.uuid4()), activity_id, name, json.dumps(payload))], "signal_id string, id string, name string, payload string")
         acts = self.log.latest("activities")
-        done = T.signal(acts, s).cache()
+        done = self._pinned(T.signal(acts, s))
         if not done.first()["delivered"]:
             return False
         results = done.select(F.col("signal_id").alias("activity_id"), F.lit("Ok").alias("state"), "data", at(now).alias("created_at"), F.col("id").alias("owner_activity_id"), "step")
@@ -106,17 +107,21 @@ class Engine:
         keep = [c for c in acts.columns if c not in new and c not in ("current_worker_id", "lease_deadline_ms")]
         return acts.select(*keep).join(change.select("id", *new), "id")
 
+    def _pinned(self, df: DataFrame) -> DataFrame:
+        """A bounded batch as plain rows: a cached one would be computed anew when the log grows."""
+        return self.spark.createDataFrame(df.collect(), df.schema)
+
     def tick(self, now: datetime) -> int:
         """Activities that were claimed."""
         acts = self.log.latest("activities").filter(F.col("queue_name") == self.queue)
-        reaped = T.reap(acts, at(now)).cache()
+        reaped = self._pinned(T.reap(acts, at(now)))
         if not reaped.isEmpty():
             ended = reaped.filter("wakes IS NOT NULL").select(F.col("wakes").alias("parent_activity_id"))
             dead = reaped.filter("state IS NOT NULL").select(F.col("id").alias("activity_id"), "state", F.lit('{"error":"lease expired","type":"dead_letter"}').alias("data"), at(now).alias("created_at"), F.col("id").alias("owner_activity_id"))
             moved = self._moved(acts, reaped).unionByName(self._moved(acts, T.wake_parents(acts, ended)), allowMissingColumns=True)
             self.log.append(results=dead, events=self._events(reaped, now), activities=moved)
             acts = self.log.latest("activities").filter(F.col("queue_name") == self.queue)
-        claimed = T.claim(acts, self.queue, self.slots, self.worker, at(now), self.lease_ms, self.types).cache()
+        claimed = self._pinned(T.claim(acts, self.queue, self.slots, self.worker, at(now), self.lease_ms, self.types))
         n = claimed.count()
         if n:
             self.log.append(events=self._events(claimed.withColumn("worker_id", F.col("current_worker_id")), now), activities=acts.drop("status", "current_worker_id", "started_at", "lease_deadline_ms").join(claimed.select("id", "status", "current_worker_id", "started_at", "lease_deadline_ms"), "id"))
@@ -185,7 +190,7 @@ class Engine:
     def sweep(self, now: datetime, completed_ttl: int = 0, failed_ttl: int = 0, batch: int = 100) -> int:
         """Expired trees, oldest first."""
         acts = self.log.latest("activities")
-        roots = T.expired_roots(acts, self.queue, at(now), completed_ttl, failed_ttl, batch).cache()
+        roots = self._pinned(T.expired_roots(acts, self.queue, at(now), completed_ttl, failed_ttl, batch))
         n = roots.count()
         if n:
             tables = {"activities": acts, "results": self.log.latest("results"), "events": self.log.read("events").withColumn("id", F.col("activity_id")), "keys": self.log.latest("keys")}
