@@ -146,7 +146,7 @@ def _encoded(docs: DataFrame, tokenizer: str, text: str, key: str, carry: list[s
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         model = spark.sparkContext.broadcast(f.read())
-    packs = C.packed(docs, text, key, carry, level=6)
+    packs = C.packed(docs, text, key, carry, level=9)
     nb = C.buckets_for(packs, 1 / 256)
     light = packs.drop("rest", "rest_lens", "also")
 
@@ -213,7 +213,7 @@ def _encoded(docs: DataFrame, tokenizer: str, text: str, key: str, carry: list[s
                 at = np.repeat(begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 yield C.batch_of(GIVE_SCHEMA, [[r["bucket"]], [r["pack_id"]], [lens[k].astype(np.int32).tobytes()], [press.compress(ids[at].view(np.uint8).reshape(-1, 4).T.tobytes())]])
 
-    posted = light.join(answers, "pack_id").mapInArrow(post, POST_SCHEMA)
+    posted = light.join(answers.hint("merge"), "pack_id").mapInArrow(post, POST_SCHEMA)
     given = posted.groupBy("bucket").applyInArrow(C.per_group(give), GIVE_SCHEMA)
     given = C.written(given.groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "lens", "ids"))).alias("given")))
 
@@ -246,7 +246,8 @@ def _encoded(docs: DataFrame, tokenizer: str, text: str, key: str, carry: list[s
                 lists.append(ids)
             yield emit(codec, pack, lists)
 
-    return packs.join(answers.join(given, "pack_id", "left"), "pack_id", "left").mapInArrow(last, schema)
+    known = answers.join(given.hint("merge"), "pack_id", "left")
+    return packs.join(known.hint("merge"), "pack_id", "left").mapInArrow(last, schema)
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
