@@ -1,13 +1,41 @@
-"""Connected components by alternating large-star and small-star steps, in Spark."""
+"""Connected components: small graphs in one task, larger ones by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
 
+#: Edges up to which one task joins the graph (16 bytes an edge); beyond, rounds of shuffles do.
+SMALL = 500_000
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node of each one's component, by hooking and pointer jumping."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[u], root[v]
+        if (x == y).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    def join(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        node, root = _joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield C.batch_of("node long, root long", [node, root])
+
+    return edges.groupBy(F.expr("a - a").alias("one")).applyInArrow(C.per_group(lambda batches: join(b.select(["a", "b"]) for b in batches)), "node long, root long")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,12 +51,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 50, small: int = SMALL) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node of its component.
 
     Each round is written, so lineage stays short; rounds go with the logarithm of the nodes.
     """
     now = C.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.count() <= small:
+        return _small(now)
     mark = None
     for _ in range(most_rounds):
         new = C.written(_small_star(_large_star(now)))
