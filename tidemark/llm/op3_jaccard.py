@@ -12,10 +12,14 @@ from tidemark.llm.components import components
 
 #: Token orders: all put rarer tokens first, each breaks ties by its own hash.
 ORDERS = 3
-#: Tokens of each document that look for a leader in the first round.
-LEADS = 4
+#: Tokens of each document that look for partners in the first round, and the lines along which they are sorted for it.
+LEADS, LINES = 4, 6
+#: Prefix tokens in each entry, by which a pair is formed at its first common token only.
+FIRST = 8
+#: Counters of a set's profile.
+PROFILE = 128
 META_SCHEMA = "row_id long, doc_id long, n_shingles long, s1 long, s2 long"
-PREFIX_SCHEMA = "pack_id long, n int, entries binary"
+PREFIX_SCHEMA = "pack_id long, n int, entries binary, n_docs int, profiles binary, firsts binary"
 PAIR_SCHEMA = "a long, b long, seen int"
 SET_SCHEMA = "pack_b long, a long, n int, members binary, bs binary"
 LINK_SCHEMA = "a long, b long"
@@ -57,15 +61,27 @@ def _small_enough(n_small, n_large, num, den):
     return den * n_small >= num * n_large
 
 
+def _apart(profile: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A lower bound of the size of the symmetric difference of two sets: of the counts of their tokens by hash."""
+    return np.abs(profile[i].astype(np.int16) - profile[j]).sum(1, dtype=np.int64)
+
+
+def _near_enough(profile, n, i, j, num: int, den: int) -> np.ndarray:
+    """False where the profiles show that the overlap is too small."""
+    total = n[i].astype(np.int64) + n[j]
+    return (total - _apart(profile, i, j)) * (num + den) >= 2 * num * total
+
+
 def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id", packs: DataFrame | None = None):
     """Documents whose sets of ``size``-word shingles have a Jaccard similarity of num / den or more.
 
     Exact: equal sets form a class at once; between classes the candidates are those that
     share a prefix token under each of ORDERS global orders (rarest first by document
     frequency over all classes, ties by a different hash in each), pass the size and position
-    filters, and are then verified on whole sets. A first round links each class to leaders,
-    so that large groups of near copies are joined by stars; the second round forms pairs
-    only between parts that are not joined yet.
+    filters and a bound from profiles (counts of a set's tokens by hash: they differ by no more
+    than the sets do), and are then verified on whole sets. A first round verifies for each
+    class a few likely partners; the second forms pairs only between parts that are not joined
+    yet, so that a large group of near copies is not compared all with all.
 
     Words are runs of bytes outside [\\x20\\x09-\\x0D], A-Z lower-cased; a document with fewer
     words has its whole sequence as its one shingle, one without words (or a null text) has an
@@ -90,7 +106,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     classes = rows.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("row_id").alias("class_id"), F.min("doc_id").alias("least_id"))
     classes = C.written(classes)
     kept = classes.groupBy(F.shiftright("class_id", C.PLACE_BITS).alias("pack_id")).agg(F.sort_array(F.collect_list(F.col("class_id").bitwiseAND(F.lit((1 << C.PLACE_BITS) - 1)).cast("int"))).alias("kept"))
-    light = packs.select("pack_id", "ids", "lens", "nulls", "data", "n_bytes").join(C.written(kept), "pack_id")
+    light = packs.select("pack_id", "ids", "lens", "nulls", "data", "n_bytes").join(C.written(kept).hint("merge"), "pack_id")
     nb = C.buckets_for(packs, 1 / 6)
 
     def sets_of(row) -> Sets:
@@ -133,7 +149,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
             distinct = np.unique(sets.key)
             rank = C.answer_bytes(row["answers"])[np.searchsorted(distinct, sets.key)].astype(np.uint64)
             length = _prefix_length(sets.size, num, den)
-            out = []
+            out, firsts = [], []
             for o in range(ORDERS):
                 tie = C.mix(sets.key ^ np.uint64(o + 1))
                 order = np.lexsort(((rank << np.uint64(56)) | (tie >> np.uint64(8)), sets.doc))
@@ -143,13 +159,21 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
                 doc = sets.doc[at]
                 shared_before = np.cumsum(use) - 1
                 begin = np.searchsorted(doc, np.arange(len(sets.size)))
-                out.append((C.mix(sets.key[at] ^ np.uint64((o + 1) << 40)), (row["pack_id"] << C.PLACE_BITS) + doc, sets.size[doc], place[use], np.full(len(at), o), (shared_before[use] - begin[doc] < LEADS) & (o == 0)))
-            key, who, n, place, o, lead = (np.concatenate(x) for x in zip(*out, strict=True))
+                slot = shared_before[use] - begin[doc]
+                token = C.mix(sets.key[at] ^ np.uint64((o + 1) << 40))
+                lists = np.zeros((len(sets.size), FIRST), np.uint64)
+                lists[doc[slot < FIRST], slot[slot < FIRST]] = token[slot < FIRST]
+                firsts.append(lists)
+                out.append((token, (row["pack_id"] << C.PLACE_BITS) + doc, sets.size[doc], place[use], np.full(len(at), o), np.minimum(slot, 31)))
+            key, who, n, place, o, slot = (np.concatenate(x) for x in zip(*out, strict=True))
             if len(key):
-                blob = b"".join([_planes(key), _planes(who.astype(np.int64)), _planes(n.astype(np.int32)), _planes(place.astype(np.int32)), _planes((o * 2 + lead).astype(np.uint8))])
-                yield C.batch_of(PREFIX_SCHEMA, [[row["pack_id"]], [len(key)], [zstandard.ZstdCompressor(level=1).compress(blob)]])
+                used = np.unique(who) & ((1 << C.PLACE_BITS) - 1)
+                counts = np.bincount(sets.doc * PROFILE + (sets.key >> np.uint64(57)).astype(np.int64), minlength=len(sets.size) * PROFILE).reshape(-1, PROFILE)
+                profiles = np.minimum(counts[used], 255).astype(np.uint8)
+                blob = b"".join([_planes(key), _planes(who.astype(np.int64)), _planes(n.astype(np.int32)), _planes(place.astype(np.int32)), _planes((o * 32 + slot).astype(np.uint8))])
+                yield C.batch_of(PREFIX_SCHEMA, [[row["pack_id"]], [len(key)], [zstandard.ZstdCompressor(level=1).compress(blob)], [len(used)], [zstandard.ZstdCompressor(level=1).compress(profiles.T.tobytes())], [np.stack(firsts)[:, used].tobytes()]])
 
-    held = C.written(light.join(ranks, "pack_id").mapInArrow(prefixes, PREFIX_SCHEMA))
+    held = C.written(light.join(ranks.hint("merge"), "pack_id").mapInArrow(prefixes, PREFIX_SCHEMA))
     C.dropped(ranks)
 
     def opened(row):
@@ -160,34 +184,62 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
             width = np.dtype(kind).itemsize
             out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).reshape(n))
             at += n * width
-        return out
+        profiles = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["profiles"]), np.uint8).reshape(PROFILE, row["n_docs"]).T
+        at = np.searchsorted(np.unique(out[1]), out[1])
+        firsts = np.frombuffer(row["firsts"], np.uint64).reshape(ORDERS, row["n_docs"], FIRST)
+        return [*out, np.ascontiguousarray(profiles[at]), firsts[out[4] >> 5, at]]
+
+    def lanes(profile):
+        """A profile as plain columns."""
+        return list(np.ascontiguousarray(profile).view(np.uint64).T.copy())
+
+    lane_kinds = [np.uint64] * (PROFILE // 8)
 
     def leads(batches):
         for row in C.rows_of(batches):
-            key, who, n, place, tag = opened(row)
-            use = (tag & 1) > 0
-            order = np.argsort(key[use], kind="stable")
-            if (out := C.entries(row["pack_id"], key[use][order], [who[use][order], n[use][order]], nb)) is not None:
+            key, who, n, place, tag, profile, _ = opened(row)
+            use = np.flatnonzero(tag < LEADS)
+            use = use[np.argsort(key[use], kind="stable")]
+            if (out := C.entries(row["pack_id"], key[use], [who[use], n[use], *lanes(profile[use])], nb)) is not None:
                 yield out
 
-    def stars(keys, who, extras):
-        """Each class with the smallest set that shares a lead, and with its neighbour in order of size."""
-        node, n = extras
-        order = np.lexsort((node, n, keys))
-        k, node, n = keys[order], node[order], n[order]
-        cut = C.group_starts(k)
-        head = np.flatnonzero(cut)[np.cumsum(cut) - 1]
-        at = np.arange(len(k))
+    def likely(keys, who, extras):
+        """Each class with the smallest set that shares a lead, and with its neighbours along several lines."""
+        node, n, profile = extras[0], extras[1], np.stack(extras[2:], 1).view(np.uint8)
+        signs = np.random.default_rng(2).choice(np.array([-1, 1], np.int32), (PROFILE, LINES))
+        along = profile.astype(np.int32) @ signs
         pairs = []
-        for other in (head, np.maximum(at - 1, head)):
-            use = (other < at) & _small_enough(n[other], n, num, den)
-            pairs.append(np.stack([node[other[use]], node[at[use]]], 1))
+        for line in [n, *along.T]:
+            order = np.lexsort((node, line, keys))
+            cut = C.group_starts(keys[order])
+            head = np.flatnonzero(cut)[np.cumsum(cut) - 1]
+            at = np.arange(len(order))
+            for other in ([head] if line is n else []) + [np.maximum(at - 1, head), np.maximum(at - 2, head)]:
+                k = np.flatnonzero(other < at)
+                i, j = order[other[k]], order[k]
+                use = _small_enough(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), num, den) & (node[i] != node[j])
+                i, j = i[use], j[use]
+                use = _near_enough(profile, n, i, j, num, den)
+                i, j = i[use], j[use]
+                # the smaller set asks for the larger, so that one that many ask for goes once to each pack
+                swap = (n[i] > n[j]) | ((n[i] == n[j]) & (node[i] > node[j]))
+                pairs.append(np.stack([np.where(swap, node[j], node[i]), np.where(swap, node[i], node[j])], 1))
         return np.unique(np.concatenate(pairs), axis=0), 1
 
+    def met_first(firsts, slot, i, j):
+        """False where an earlier prefix token of the order is common as well: the pair is formed there."""
+        k = np.arange(FIRST)
+        a = np.where(k < slot[i][:, None], firsts[i], 0)
+        b = np.where(k < slot[j][:, None], firsts[j], 1)
+        return ~(a[:, :, None] == b[:, None, :]).any((1, 2))
+
     def all_pairs(keys, who, extras):
         """Pairs of one token between different parts, under the size and position filters."""
-        node, n, place, tag, part = extras
+        node, n, place, tag, part = extras[:5]
         order = np.lexsort((node, part, keys))
+        profile = np.stack(extras[5:-FIRST], 1)[order].view(np.uint8)
+        firsts = np.stack(extras[-FIRST:], 1)[order]
+        slot = (tag & 31).astype(np.int64)
         k, node, n, place, tag, part = (x[order] for x in (keys, node, n, place, tag, part))
         group = C.group_starts(k)
         ends = np.append(np.flatnonzero(group)[1:], len(k))[np.cumsum(group) - 1]
@@ -197,8 +249,8 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         found = []
         edges = np.concatenate([[0], np.cumsum(count)])
         lo = 0
-        while lo < len(k):  # about 4 million pairs at a time
-            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + 4_000_000, side="right")) - 1)
+        while lo < len(k):  # some pairs at a time
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + 200_000, side="right")) - 1)
             c = count[lo:hi]
             i = np.repeat(np.arange(lo, hi), c)
             j = np.repeat(after[lo:hi] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
@@ -206,7 +258,11 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
             total = n[i].astype(np.int64) + n[j]
             use = _small_enough(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), num, den) & (most * (num + den) >= num * total)
             i, j = i[use], j[use]
-            found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), 1 << (tag[i] >> 1).astype(np.int64)], 1))
+            use = _near_enough(profile, n, i, j, num, den)
+            i, j = i[use], j[use]
+            use = np.concatenate([met_first(firsts, slot, i[x : x + 20_000], j[x : x + 20_000]) for x in range(0, max(1, len(i)), 20_000)])
+            i, j = i[use], j[use]
+            found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), 1 << (tag[i] >> 5).astype(np.int64)], 1))
             lo = hi
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
         return pairs[:, :2], pairs[:, 2]
@@ -262,28 +318,28 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        sent = light.join(ask, "pack_id").mapInArrow(send, SET_SCHEMA)
-        needed = light.join(pairs.select(place_of("b").alias("pack_id")).distinct(), "pack_id", "left_semi")
+        sent = light.join(ask.hint("merge"), "pack_id").mapInArrow(send, SET_SCHEMA)
+        needed = light.join(pairs.select(place_of("b").alias("pack_id")).distinct().hint("merge"), "pack_id", "left_semi")
         out = C.written(needed.groupBy("pack_id").cogroup(sent.groupBy("pack_b")).applyInArrow(lambda l, r: check(l.to_batches(), r.to_batches()), LINK_SCHEMA))
         C.dropped(pairs)
         return out
 
-    first = verified(paired(held.mapInArrow(leads, C.ENTRY_SCHEMA), [np.int64, np.int32], stars).select("a", "b").distinct())
+    first = verified(paired(held.mapInArrow(leads, C.ENTRY_SCHEMA), [np.int64, np.int32, *lane_kinds], likely).select("a", "b").distinct())
     parts = C.written(components(first))
     by_pack = parts.groupBy(place_of("node").alias("pack_id")).agg(F.collect_list(F.struct("node", "root")).alias("parts"))
 
     def with_parts(batches):
         for row in C.rows_of(batches):
-            key, who, n, place, tag = opened(row)
+            key, who, n, place, tag, profile, firsts = opened(row)
             part = who.copy()
             if row["parts"]:
                 pairs = np.array(sorted((x["node"], x["root"]) for x in row["parts"]), np.int64)
                 at = np.minimum(np.searchsorted(pairs[:, 0], who), len(pairs) - 1)
                 part = np.where(pairs[at, 0] == who, pairs[at, 1], who)
             order = np.argsort(key, kind="stable")
-            yield C.entries(row["pack_id"], key[order], [x[order] for x in (who, n, place, tag, part)], nb)
+            yield C.entries(row["pack_id"], key[order], [*(x[order] for x in (who, n, place, tag, part)), *lanes(profile[order]), *firsts[order].T.copy()], nb)
 
-    pairs = paired(held.join(by_pack, "pack_id", "left").mapInArrow(with_parts, C.ENTRY_SCHEMA), [np.int64, np.int32, np.int32, np.uint8, np.int64], all_pairs)
+    pairs = paired(held.join(by_pack, "pack_id", "left").mapInArrow(with_parts, C.ENTRY_SCHEMA), [np.int64, np.int32, np.int32, np.uint8, np.int64, *lane_kinds, *[np.uint64] * FIRST], all_pairs)
     pairs = pairs.groupBy("a", "b").agg(F.bit_or("seen").alias("seen")).filter(F.col("seen") == (1 << ORDERS) - 1).select("a", "b")
     links = C.written(first.unionByName(verified(pairs)))
     C.dropped(held)
@@ -316,7 +372,7 @@ def near_duplicate_filter(docs: DataFrame, size: int = 5, num: int = 8, den: int
             texts = C.strings(pack.buf, pack.offsets, nulls=pack.nulls)
             yield C.batch_of(KEPT_SCHEMA, [x.take(stay) for x in (pack.id_column(), texts, pack.rest())])
 
-    return packs.drop("also").join(stay, "pack_id").mapInArrow(rows, KEPT_SCHEMA)
+    return packs.drop("also").join(stay.hint("merge"), "pack_id").mapInArrow(rows, KEPT_SCHEMA)
 
 
 def _planes(a: np.ndarray) -> bytes:
