@@ -137,6 +137,21 @@ def test_leaks_finds_copies_and_paraphrases(spark):
     assert leaks(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+def test_leaks_finds_an_item_in_a_third_of_the_documents(spark):
+    rng = random.Random(7)
+    words = vocabulary(rng, 4000)
+    items = [(k, prose(rng, rng.randint(18, 40), words)) for k in range(30)]
+    docs, want = [], set()
+    for d in range(300):
+        t = prose(rng, rng.randint(20, 200), words)
+        for k in [0] * (d % 3 == 0) + [1 + d % 29] * (d % 15 == 0):
+            t = f"{t} {items[k][1]} {prose(rng, rng.randint(1, 40), words)}"
+            want.add((d, k))
+        docs.append((d, t, "x"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(docs, DOCS), bench).collect()} == want
+
+
 def test_common_in_order():
     rng = random.Random(5)
     for _ in range(100):

@@ -15,14 +15,12 @@ HALF = 24
 RANK = 160
 #: Benchmark items searched at a time, which bounds what is broadcast.
 ITEMS, ITEM_BYTES = 5000, 16_000_000
-#: Least cosine, and least share of an item's latent mass, of a candidate.
-COSINE, MASS = 0.3, 0.3
+#: Least share of an item's latent mass in a candidate. Its cosine plays no part: rare words beside a frequent item outweigh it.
+MASS = 0.3
 #: A copy has this share of the item in order; a paraphrase the lower one, and the answer.
 COPY, PARAPHRASE, ANSWER_SHARE = 0.7, 0.5, 0.75
 #: Words at an item's end that count as its answer.
 ANSWER = 8
-#: Words in more than this share of half passages tell nothing.
-COMMON = 0.005
 OCCURRENCE_SCHEMA = "ids binary, known binary, counts binary, n int, words binary, places binary"
 HIT_SCHEMA = "doc_id long, item_id long, share double, answer_share double, at_word int, kind string"
 _CHUNK = 512
@@ -101,9 +99,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     benchmark's words (inverse document frequency as 1 / sqrt(df), so that words that come
     together in a passage outweigh frequent ones). A one-pass randomised SVD (a Gaussian sketch
     of the Gram matrix, summed over all documents, then Nystrom's formula) gives the latent
-    space. Passages near an item there are candidates; the longest common subsequence of words, and
-    that of the item's last words (its answer), decide. Words are runs of letters and digits
-    in lower case.
+    space. No word is left out, however frequent: an item in many documents makes its own words
+    frequent. Passages with enough of an item's latent vector are candidates. Those with enough of
+    its words are compared: the longest common subsequence of words, and that of the item's last
+    words (its answer), decide. Words are runs of letters and digits in lower case.
 
     Null and empty texts and items hold nothing. Items of fewer than 6 words are too short
     to tell. Repeated items are found each, repeated rows of a doc_id too; a null doc_id comes
@@ -158,21 +157,19 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
     seen = C.written(docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("text")).mapInArrow(occur, OCCURRENCE_SCHEMA))
 
     def frequencies(batches):
-        df, halves = np.zeros(size, np.int64), 0
+        df = np.zeros(size, np.int64)
         for row in C.rows_of(batches):
             o = Occurrences(row)
             whole = (o.doc.astype(np.int64) << 32) + o.place // HALF
             pair = np.unique((np.cumsum(C.group_starts(whole)) - 1) * size + o.word)
             df += np.bincount(pair % size, minlength=size)
-            halves += int(C.group_starts(whole).sum())
         used = np.flatnonzero(df)
-        yield C.batch_of("word int, n long", [np.append(used, -1), np.append(df[used], halves)])
+        yield C.batch_of("word int, n long", [used, df[used]])
 
     counts = dict(seen.mapInArrow(frequencies, "word int, n long").groupBy("word").agg(F.sum("n")).collect())
-    halves = counts.pop(-1, 0)
     df = np.zeros(size)
     df[list(counts)] = list(counts.values())
-    use = (df > 0) & (df <= max(50, COMMON * halves))
+    use = df > 0
     weight = np.where(use, 1 / np.sqrt(np.maximum(df, 1)), 0)
     rank = int(min(RANK, max(1, use.sum())))
     omega = np.random.default_rng(1).standard_normal((size, rank)).astype(np.float32)
@@ -229,6 +226,30 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
     scaled = items_latent / np.maximum(norms, 1e-12)[:, None]
     finder = spark.sparkContext.broadcast((use, latent, scaled, norms, item_words, item_ids))
 
+    lengths = np.array([len(w) for w in item_words])
+    # (item, word) and how often the item has the word
+    pairs, times = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + np.concatenate(item_words), return_counts=True)
+
+    def held(o, doc, item, low, high):
+        """Regions with enough of their item's words, in any order: no others can have them in order."""
+        reach = lengths[item]
+        where = (o.doc.astype(np.int64) << 32) + o.place
+        x = np.searchsorted(where, (doc << 32) + np.maximum(low * HALF - reach, 0))
+        y = np.searchsorted(where, (doc << 32) + (high + 2) * HALF + reach)
+        out, edges, lo = np.zeros(len(doc), bool), np.concatenate([[0], np.cumsum(y - x)]), 0
+        while lo < len(doc):  # some words at a time
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + 500_000, side="right")) - 1)
+            region = np.repeat(np.arange(lo, hi), (y - x)[lo:hi])
+            word = o.word[x[region] + np.arange(len(region)) + edges[lo] - edges[region]]
+            pair = item[region] * size + word
+            at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+            good = pairs[at] == pair
+            one = np.unique((region[good] - lo) * len(pairs) + at[good])
+            total = np.bincount(one // len(pairs), weights=times[one % len(pairs)], minlength=hi - lo)
+            out[lo:hi] = total >= PARAPHRASE * reach[lo:hi]
+            lo = hi
+        return out
+
     def search(batches):
         use, latent, scaled, norms, item_words, item_ids = finder.value
         for row in C.rows_of(batches):
@@ -237,11 +258,10 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
             if not len(at):
                 continue
             vectors = _passages(_sums(latent[o.word[at]], first), follows)
-            length = np.sqrt((vectors**2).sum(1))
             found = []
             for lo in range(0, len(vectors), 4096):
                 near = vectors[lo : lo + 4096] @ scaled.T
-                p, i = np.nonzero((near >= MASS * norms) & (near >= COSINE * length[lo : lo + 4096, None]) & (near > 1e-9))
+                p, i = np.nonzero((near >= MASS * norms) & (near > 1e-9))
                 found.append(np.stack([doc[lo + p], i, number[lo + p]], 1))
             found = np.concatenate(found)
             if not len(found):
@@ -252,6 +272,8 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
             cut[1:] |= found[1:, 2] > found[:-1, 2] + 2
             lo_of = np.flatnonzero(cut)
             hi_of = np.append(lo_of[1:], len(found)) - 1
+            some = held(o, found[lo_of, 0], found[lo_of, 1], found[lo_of, 2], found[hi_of, 2])
+            lo_of, hi_of = lo_of[some], hi_of[some]
             best: dict[tuple[int, int], tuple] = {}
             for a, z in zip(lo_of, hi_of, strict=True):
                 d, i = int(found[a, 0]), int(found[a, 1])
