@@ -182,3 +182,19 @@ def test_chat_links_orders_and_validates(spark):
     assert one[4]["problems"] == "z: no call"
     assert all("cyclic" in r["problems"] for r in got if r["conv_id"] == 2)
     assert format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_orders_long_chains(spark):
+    call = lambda k: json.dumps({"tool_calls": [{"id": f"c{k}", "name": "f", "arguments": "{}", "depends_on": [f"c{k - 1}"] if k else []}]})
+    result = lambda k: json.dumps({"tool_call_id": f"c{k}", "content": "1"})
+    chain = [m for k in range(30) for m in (("assistant", call(k)), ("tool", result(k)))]
+    rows = [(1, 100 - j, *m) for j, m in enumerate(chain)]  # logged in reverse
+    rows += [(2, 100 + j if j else 400, *m) for j, m in enumerate(chain)]  # the first call is logged late
+    rows += [(3, 0, "assistant", call(1)), (3, 1, "tool", result(1)), (3, 2, "assistant", call(0).replace("[]", '["c1"]')), (3, 3, "tool", result(0))]
+    got = format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    for conv, want in ((1, [100 - j for j in range(60)]), (2, [400, *range(101, 160)])):
+        mine = [r for r in got if r["conv_id"] == conv]
+        assert [r["turn"] for r in sorted(mine, key=lambda r: (r["place"], r["level"], r["turn"]))] == want
+        assert all(r["problems"] is None for r in mine)
+    assert all(r["problems"] == "cyclic dependencies" and r["place"] == r["turn"] for r in got if r["conv_id"] == 3)

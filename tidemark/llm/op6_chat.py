@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
-#: Rounds of pushing messages behind those they depend on; chains that are longer are cycles or flagged as such.
+#: Rounds of pushing messages behind those they depend on; a conversation with longer chains is ordered in one task, by its links alone.
 ROUNDS = 20
+ORDER_SCHEMA = "conv_id long, turn long, place long, level int, cycle boolean"
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 OUT_SCHEMA = "conv_id long, turn long, place long, level int, role string, message string, linked boolean, problems string"
@@ -88,6 +90,44 @@ def _is(text: str | None, field: str, kind) -> bool:
     return kind is not list or all(isinstance(x, dict) for x in raw[field])
 
 
+def _peeled(count: int, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """Nodes without open predecessors, wave by wave; those on cycles or behind them are in none."""
+    order = np.argsort(u, kind="stable")
+    v, first = v[order], np.searchsorted(u[order], np.arange(count + 1))
+    open_ = np.bincount(v, minlength=count)
+    wave, waves = np.flatnonzero(open_ == 0), []
+    while len(wave):
+        waves.append(wave)
+        n = first[wave + 1] - first[wave]
+        after = v[np.repeat(first[wave] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        after, times = np.unique(after, return_counts=True)
+        open_[after] -= times
+        wave = after[open_[after] == 0]
+    return waves
+
+
+def _ordered(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Turns of one conversation's links, the place and level of each, and whether there is a cycle."""
+    turns, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    waves = _peeled(len(turns), a, b)
+    place, level = turns.copy(), np.zeros(len(turns), np.int64)
+    if sum(map(len, waves)) < len(turns):
+        return turns, place, level, True
+    order = np.argsort(b, kind="stable")
+    a, first = a[order], np.searchsorted(b[order], np.arange(len(turns) + 1))
+    for wave in waves[1:]:
+        n = first[wave + 1] - first[wave]
+        before = a[np.repeat(first[wave] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        head = np.cumsum(n) - n
+        most = np.maximum.reduceat(place[before], head)
+        rank = np.maximum.reduceat(np.where(place[before] == np.repeat(most, n), level[before] + 1, 0), head)
+        # a message that stands behind all it waits for stays
+        moved = most >= turns[wave]
+        place[wave[moved]], level[wave[moved]] = most[moved], rank[moved]
+    return turns, place, level, False
+
+
 def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """One canonical JSON message per turn, with its place in its conversation.
 
@@ -96,11 +136,12 @@ def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Dat
     with ``tool_call_id`` is a result. Calls and results are hash-joined by conversation and
     identifier. A result comes after its call, and a call after the results it depends on: order
     by (place, level, turn), where place is the latest turn that a message waits for and level its
-    rank behind it. Arguments are validated against the schema of their name. Keys of the
-    JSON are sorted. Messages stay one row each, so no conversation is gathered in one task.
+    rank behind it. Chains may have any length: after ROUNDS rounds the links of a conversation
+    that is not settled (pairs of turns, no texts) are ordered in one task. Arguments are validated against the schema of their name. Keys of the
+    JSON are sorted. Messages stay one row each, so no conversation's texts are gathered in one task.
 
     problems lists invalid arguments, calls without results, results without calls, identifiers
-    used twice and cyclic dependencies (those messages stay by turn); it is null if there are none.
+    used twice and cyclic dependencies (the messages of such a conversation stay by turn); it is null if there are none.
     Null role or text become JSON nulls. Repeated rows come back repeated; rows with a null
     conv_id or turn are formatted and never linked. Broken JSON is plain text. Other columns play no part.
     Returns conv_id, turn, place, level, role, message, linked, problems.
@@ -143,12 +184,19 @@ def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Dat
             if moving.isEmpty():
                 moving = None
                 break
-        notes = notes.join(place, ["conv_id", "turn"], "full")
+        place = place.withColumn("cycle", F.lit(None).cast("boolean"))
         if moving is not None:
-            # still moving after so many rounds: a cycle; the conversation stays by turn
-            notes = notes.join(moving.withColumn("cycle", F.lit(True)), "conv_id", "left")
-        else:
-            notes = notes.withColumn("cycle", F.lit(None).cast("boolean"))
+            # still moving after so many rounds: long chains, or cycles; a conversation with a cycle stays by turn
+            def order(batches):
+                conv, u, v = (np.concatenate(x) for x in zip(*([b.column(k).to_numpy() for k in range(3)] for b in batches), strict=True))
+                turns, place, level, cycle = _ordered(u, v)
+                yield C.batch_of(ORDER_SCHEMA, [np.full(len(turns), conv[0]), turns, place, level.astype(np.int32), np.full(len(turns), cycle)])
+
+            moving = C.written(moving)
+            settled = edges.join(moving, "conv_id", "left_semi").select("conv_id", "u", "v").groupBy("conv_id").applyInArrow(C.per_group(order), ORDER_SCHEMA)
+            settled = settled.select("conv_id", "turn", F.struct("place", "level").alias("p"), F.when(F.col("cycle"), F.lit(True)).alias("cycle"))
+            place = place.join(moving, "conv_id", "left_anti").unionByName(C.written(settled))
+        notes = notes.join(place, ["conv_id", "turn"], "full")
         notes = notes.select("conv_id", "turn", "links", "notes", "cycle", F.when(F.col("cycle").isNull(), F.col("p")).alias("p"))
         rows = rows.join(notes, ["conv_id", "turn"], "left")
         rows = rows.select("conv_id", "turn", F.coalesce("p.place", "turn").alias("place"), F.coalesce("p.level", F.lit(0)).alias("level"), "role", "text", (F.coalesce("links", F.lit(0)) > 0).alias("linked"), F.concat_ws("\n", F.coalesce("notes", F.array().cast("array<string>")), F.when(F.col("cycle"), F.lit("cyclic dependencies"))).alias("notes"))
