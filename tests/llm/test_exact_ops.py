@@ -107,6 +107,30 @@ def linked(rows, size, num, den):
     return sets, list(groups.values())
 
 
+def test_ngram_jaccard_join_has_all_links(spark):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = [r[:2] for r in corpus(3)]
+    for k in range(40):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"odd{k}"
+        rows.append((1000 + k, " ".join(w)))
+    rows += [(2000 + k, rows[-1 - k][1]) for k in range(3)]
+    members, links = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 9, 10)
+    # a doc_id has several rows in places, so sets are told by id and size
+    of_class = defaultdict(set)
+    for r in members.collect():
+        of_class[r["class_id"]].add((r["doc_id"], r["n_shingles"]))
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+    sets = defaultdict(set)
+    for d, t in rows:
+        sets[shingles(t, 3)].add((d, len(shingles(t, 3))))
+    want = {frozenset([frozenset(sets[x]), frozenset(sets[y])]) for x in sets for y in sets if x and y and x != y and 10 * len(x & y) >= 9 * len(x | y)}
+    assert len(want) > 500
+    assert {frozenset([frozenset(of_class[a]), frozenset(of_class[b])]) for a, b in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize(("size", "num", "den"), [(3, 9, 10), (5, 8, 10)])
 def test_ngram_jaccard_join(spark, size, num, den):
     rows = [r[:2] for r in corpus(3)]

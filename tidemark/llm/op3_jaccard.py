@@ -72,16 +72,17 @@ def _near_enough(profile, n, i, j, num: int, den: int) -> np.ndarray:
     return (total - _apart(profile, i, j)) * (num + den) >= 2 * num * total
 
 
-def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id", packs: DataFrame | None = None):
+def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id", packs: DataFrame | None = None, spanning: bool = False):
     """Documents whose sets of ``size``-word shingles have a Jaccard similarity of num / den or more.
 
     Exact: equal sets form a class at once; between classes the candidates are those that
     share a prefix token under each of ORDERS global orders (rarest first by document
     frequency over all classes, ties by a different hash in each), pass the size and position
     filters and a bound from profiles (counts of a set's tokens by hash: they differ by no more
-    than the sets do), and are then verified on whole sets. A first round verifies for each
-    class a few likely partners; the second forms pairs only between parts that are not joined
-    yet, so that a large group of near copies is not compared all with all.
+    than the sets do), and are then verified on whole sets. With ``spanning``, for components
+    alone, a first round verifies for each class a few likely partners; the second forms pairs
+    only between parts that are not joined yet, so that a large group of near copies is not
+    compared all with all.
 
     Words are runs of bytes outside [\\x20\\x09-\\x0D], A-Z lower-cased; a document with fewer
     words has its whole sequence as its one shingle, one without words (or a null text) has an
@@ -89,8 +90,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     a component like any other but never names one unless alone.
 
     Returns (members, links): members has row_id, doc_id, n_shingles, class_id (a row_id) and
-    component_id (smallest doc_id of the component); links has verified pairs of classes, a
-    spanning part of all links.
+    component_id (smallest doc_id of the component); links has verified pairs of classes a < b, each
+    once: all of them, or with ``spanning`` a spanning part. Documents of one class are linked
+    too, by equal sets; links between documents are members joined with links on class_id.
     """
     spark = docs.sparkSession if docs is not None else packs.sparkSession
     if packs is None:
@@ -239,7 +241,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         order = np.lexsort((node, part, keys))
         profile = np.stack(extras[5:-FIRST], 1)[order].view(np.uint8)
         firsts = np.stack(extras[-FIRST:], 1)[order]
-        slot = (tag & 31).astype(np.int64)
+        slot = (tag[order] & 31).astype(np.int64)
         k, node, n, place, tag, part = (x[order] for x in (keys, node, n, place, tag, part))
         group = C.group_starts(k)
         ends = np.append(np.flatnonzero(group)[1:], len(k))[np.cumsum(group) - 1]
@@ -324,9 +326,14 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         C.dropped(pairs)
         return out
 
-    first = verified(paired(held.mapInArrow(leads, C.ENTRY_SCHEMA), [np.int64, np.int32, *lane_kinds], likely).select("a", "b").distinct())
-    parts = C.written(components(first))
-    by_pack = parts.groupBy(place_of("node").alias("pack_id")).agg(F.collect_list(F.struct("node", "root")).alias("parts"))
+    if spanning:
+        first = verified(paired(held.mapInArrow(leads, C.ENTRY_SCHEMA), [np.int64, np.int32, *lane_kinds], likely).select("a", "b").distinct())
+        parts = C.written(components(first))
+        by_pack = parts.groupBy(place_of("node").alias("pack_id")).agg(F.collect_list(F.struct("node", "root")).alias("parts"))
+        apart = held.join(by_pack, "pack_id", "left")
+    else:
+        # each class is a part of its own
+        apart = held.withColumn("parts", F.lit(None))
 
     def with_parts(batches):
         for row in C.rows_of(batches):
@@ -339,9 +346,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
             order = np.argsort(key, kind="stable")
             yield C.entries(row["pack_id"], key[order], [*(x[order] for x in (who, n, place, tag, part)), *lanes(profile[order]), *firsts[order].T.copy()], nb)
 
-    pairs = paired(held.join(by_pack, "pack_id", "left").mapInArrow(with_parts, C.ENTRY_SCHEMA), [np.int64, np.int32, np.int32, np.uint8, np.int64, *lane_kinds, *[np.uint64] * FIRST], all_pairs)
+    pairs = paired(apart.mapInArrow(with_parts, C.ENTRY_SCHEMA), [np.int64, np.int32, np.int32, np.uint8, np.int64, *lane_kinds, *[np.uint64] * FIRST], all_pairs)
     pairs = pairs.groupBy("a", "b").agg(F.bit_or("seen").alias("seen")).filter(F.col("seen") == (1 << ORDERS) - 1).select("a", "b")
-    links = C.written(first.unionByName(verified(pairs)))
+    links = C.written(first.unionByName(verified(pairs))) if spanning else verified(pairs)
     C.dropped(held)
     joined = components(links)
     named = classes.join(joined, classes.class_id == joined.node, "left").withColumn("root", F.coalesce("root", "class_id"))
@@ -361,7 +368,7 @@ def near_duplicate_filter(docs: DataFrame, size: int = 5, num: int = 8, den: int
     Rows with empty sets all stay. Returns doc_id, text and rest (JSON of the carried columns).
     """
     packs = C.packed(docs, text, key, carry, also=lambda buf, offsets: Sets(buf, offsets, size).signatures().tobytes())
-    members, _ = ngram_jaccard_join(None, size, num, den, packs=packs)
+    members, _ = ngram_jaccard_join(None, size, num, den, packs=packs, spanning=True)
     first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first"))
     place = F.col("first.row_id").bitwiseAND(F.lit((1 << C.PLACE_BITS) - 1)).cast("int")
     stay = C.written(first.groupBy(F.shiftright("first.row_id", C.PLACE_BITS).alias("pack_id")).agg(F.sort_array(F.collect_list(place)).alias("stay")))
@@ -380,7 +387,7 @@ def _planes(a: np.ndarray) -> bytes:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _ = ngram_jaccard_join(C.table(spark, sf_dir, "documents"), size=3, num=9, den=10)
+    members, _ = ngram_jaccard_join(C.table(spark, sf_dir, "documents"), size=3, num=9, den=10, spanning=True)
     return members.select("doc_id", "n_shingles", "component_id")
 
 
