@@ -152,6 +152,15 @@ def test_leaks_finds_an_item_in_a_third_of_the_documents(spark):
     assert {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(docs, DOCS), bench).collect()} == want
 
 
+def test_leaks_finds_long_items(spark):
+    rng = random.Random(8)
+    words = vocabulary(rng, 4000)
+    items = [(k, prose(rng, (400, 1000)[k % 2], words)) for k in range(10)]
+    docs = [(d, f"{prose(rng, rng.randint(20, 200), words)} {items[d % 10][1]} {prose(rng, 30, words)}" if d % 3 == 0 else prose(rng, 300, words), "x") for d in range(90)]
+    got = leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d % 10) for d in range(0, 90, 3)}
+
+
 def test_common_in_order():
     rng = random.Random(5)
     for _ in range(100):

@@ -100,7 +100,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     together in a passage outweigh frequent ones). A one-pass randomised SVD (a Gaussian sketch
     of the Gram matrix, summed over all documents, then Nystrom's formula) gives the latent
     space. No word is left out, however frequent: an item in many documents makes its own words
-    frequent. Passages with enough of an item's latent vector are candidates. Those with enough of
+    frequent. Items of more than 2 * HALF words are cut into passages too, any of which nominates
+    the item. Passages with enough of an item's latent vector are candidates. Those with enough of
     its words are compared: the longest common subsequence of words, and that of the item's last
     words (its answer), decide. Words are runs of letters and digits in lower case.
 
@@ -221,7 +222,10 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
     left, sigma, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
     latent = left[:, sigma > 1e-4 * sigma[0]] * weight[:, None] if len(sigma) and sigma[0] > 0 else np.zeros((size, 1))
     latent = latent.astype(np.float32)
-    items_latent = np.stack([latent[w].sum(0) for w in item_words])
+    # a long item is searched by its passages, any of which nominates it
+    pieces = [(i, w[x : x + 2 * HALF]) for i, w in enumerate(item_words) for x in [*range(0, len(w) - 2 * HALF, 2 * HALF), max(0, len(w) - 2 * HALF)]]
+    piece_item = np.array([i for i, _ in pieces])
+    items_latent = np.stack([latent[w].sum(0) for _, w in pieces])
     norms = np.sqrt((items_latent**2).sum(1))
     scaled = items_latent / np.maximum(norms, 1e-12)[:, None]
     finder = spark.sparkContext.broadcast((use, latent, scaled, norms, item_words, item_ids))
@@ -262,14 +266,14 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
             for lo in range(0, len(vectors), 4096):
                 near = vectors[lo : lo + 4096] @ scaled.T
                 p, i = np.nonzero((near >= MASS * norms) & (near > 1e-9))
-                found.append(np.stack([doc[lo + p], i, number[lo + p]], 1))
+                found.append(np.stack([doc[lo + p], piece_item[i], number[lo + p]], 1))
             found = np.concatenate(found)
             if not len(found):
                 continue
             # neighbouring passages of one document and item are one region
             found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
             cut = C.group_starts(found[:, 0], found[:, 1])
-            cut[1:] |= found[1:, 2] > found[:-1, 2] + 2
+            cut[1:] |= found[1:, 2] > found[:-1, 2] + 2 + np.maximum(0, lengths[found[1:, 1]] // HALF - 2)
             lo_of = np.flatnonzero(cut)
             hi_of = np.append(lo_of[1:], len(found)) - 1
             some = held(o, found[lo_of, 0], found[lo_of, 1], found[lo_of, 2], found[hi_of, 2])
