@@ -216,3 +216,60 @@ def test_written_tables_can_be_dropped(spark):
     df = C.written(spark.range(5).select(F.col("id")))
     assert df.count() == 5
     C.dropped(df)
+
+
+def swapped_words(bits=10):
+    """Two words of 2**bits letters that swap a and b in Thue-Morse order: equal under any polynomial hash modulo 2**64."""
+    odd = [k.bit_count() & 1 for k in range(1 << bits)]
+    return "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)
+
+
+def test_patterns_that_cancel_out_are_told_apart(spark):
+    one, two = swapped_words()
+    around = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*around[:30], x, *around[30:]]) for x in (one, two)]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").repartition(2)
+    assert [r["n_removed"] for r in substring_dedup(docs, 50).collect()] == [0, 0]
+    assert {r["doc_id"]: r["decoded"] for r in bpe_encode(docs, default_tokenizer()).collect()} == dict(enumerate(texts, 1))
+    members, _ = ngram_jaccard_join(docs, 3, 99, 100)
+    assert sorted(r["component_id"] for r in members.collect()) == [1, 2]
+    # the same pattern over words, and over bytes of one text
+    long = [" ".join(x) for x in swapped_words(11)]
+    docs = spark.createDataFrame(list(enumerate(long, 1)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup(docs, 1100).collect()}
+    assert got == {d: sum(m) for d, _, m in covered(list(enumerate(long, 1)), words_of, 1100)}
+
+
+def test_hashes_tell_spans_by_their_values():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = C.mix(rng.integers(0, 3, 4000).astype(np.uint64))
+    start = rng.integers(0, 3900, 3000)
+    end = start + rng.integers(1, 90, 3000)
+    for lane in (0, 1):
+        of = dict(zip(C.span_hashes(values, start, end, lane).tolist(), (values[a:z].tobytes() for a, z in zip(start, end, strict=True)), strict=True))
+        assert len(of) == len(set(of.values())) == len({values[a:z].tobytes() for a, z in zip(start, end, strict=True)})
+        for size in (1, 2, 3, 7, 25):
+            assert len(set(C.run_hashes(values, size, lane).tolist())) == len({values[a : a + size].tobytes() for a in range(4001 - size)})
+    buf = rng.integers(97, 99, 3000).astype(np.uint8)
+    start = rng.integers(0, 2800, 2000)
+    end = start + rng.integers(0, 100, 2000)
+    spans = [buf[a:z].tobytes() for a, z in zip(start, end, strict=True)]
+    assert len(set(C.bytes_hashes(buf, start, end).tolist())) == len(set(spans)) == len(set(zip(C.bytes_hashes(buf, start, end).tolist(), spans, strict=True)))
+
+
+def test_texts_longer_than_a_pack(spark):
+    """Several packs, one text over the size of a pack, one very long word."""
+    rng = random.Random(9)
+    shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(60))
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(330_000))
+    rows = [(1, f"{long} {shared} end"), (2, f"start {shared} {'z' * 2_500_000}"), (3, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup(docs).collect()}
+    assert got == {1: (330_061, 0), 2: (62, 60), 3: (330_000, 330_000)}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard_join(docs)[0].collect()} == {1: 1, 2: 2, 3: 1}
+    sizes = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup(docs).collect()}
+    assert sizes[1] == (len(rows[0][1]), 0) and sizes[3] == (len(long), len(long)) and len(shared) <= sizes[2][1] <= len(shared) + 4
+    same = bpe_encode(docs, default_tokenizer()).collect()
+    assert all(dict(rows)[r["doc_id"]] == r["decoded"] for r in same)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,9 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; where that is unset, a temporary one in local mode only.
+
+    Executors of a cluster share no temporary folder, so there an unset one is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -86,36 +92,83 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_FIRST, _LANE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
+#: Places hashed at a time, so that intermediate arrays stay in a core's cache.
+_SOME = 1 << 14
+#: Bytes from which a run is hashed by BLAKE2b.
+_LONG = 64
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a followed by b. Mixed at each joint, so no pattern of tokens cancels out at any length."""
+    h = a * _FIRST
+    h += b
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
-def prefix_hash(tokens: np.ndarray) -> np.ndarray:
-    """H with H[i] the polynomial hash of the first i tokens."""
-    out = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(tokens * powers(len(tokens) + 1)[0][: len(tokens)], out=out[1:])
+def run_hashes(values: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
+    """64-bit hash of each run of ``size`` values, by where it starts. Two lanes make 128 bits.
+
+    Runs of 1, 2, 4 ... values are joined in pairs; two that overlap make up any other size.
+    """
+    n = max(0, len(values) - size + 1)
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, _SOME):
+        h = values[lo : lo + _SOME + size - 1]
+        h = mix(h ^ _LANE) if lane else h
+        have = 1
+        while 2 * have <= size:
+            h = joined(h[:-have], h[have:])
+            have *= 2
+        if have < size:
+            h = joined(h[: have - size], h[size - have :])
+        out[lo : lo + _SOME] = h
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of tokens[start:end], the same wherever the same tokens stand."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hash of values[start:end], of any lengths above 0, the same wherever the same values stand."""
+    length = end - start
+    level = np.frexp(length.astype(np.float64))[1] - 1
+    out = np.empty(len(start), np.uint64)
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        runs = run_hashes(values, 1 << k, lane)
+        out[at] = joined(joined(runs[start[at]], runs[end[at] - (1 << k)]), length[at].astype(np.uint64))
+    return out
+
+
+def bytes_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of buf[start:end]: eight bytes at a time, long runs by BLAKE2b."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), np.dtype("<u8"), padded, strides=(1,))
+    length = end - start
+    out = mix(length.astype(np.uint64) + _LANE)
+    live, at = np.flatnonzero((length > 0) & (length < _LONG)), 0
+    while len(live):
+        left = length[live] - at
+        out[live] = joined(out[live], eight[start[live] + at] & _MASKS[np.minimum(left, 8)])
+        at += 8
+        live = live[left > 8]
+    long = np.flatnonzero(length >= _LONG)
+    if len(long):
+        data = buf.tobytes()
+        digests = b"".join(hashlib.blake2b(data[a:z], digest_size=8).digest() for a, z in zip(start[long].tolist(), end[long].tolist(), strict=True))
+        out[long] = np.frombuffer(digests, "<u8")
+    return out
 
 
 def byte_values(buf: np.ndarray) -> np.ndarray:
     return _BYTES[buf]
 
 
+#: The first k bytes of eight.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -142,10 +195,6 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_values(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(byte_values(buf)), starts, ends)
-
-
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary array; null counts as empty."""
     if column.null_count:
@@ -374,6 +423,11 @@ def answer_bytes(answers) -> np.ndarray:
     return np.frombuffer(b"".join(d.decompress(x["answer"]) for x in answers), np.uint8)
 
 
+def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 ... for ``count`` places, one range after the other."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 def group_starts(*sorted_columns: np.ndarray) -> np.ndarray:
     """True where a run of equal rows of sorted columns begins."""
     n = len(sorted_columns[0])

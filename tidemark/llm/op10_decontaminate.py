@@ -33,7 +33,7 @@ def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut[off] = True
     here, before = np.append(is_word, False), np.append(False, is_word)
     starts, ends = np.flatnonzero(here & (~before | cut)), np.flatnonzero(before & (~here | cut))
-    return C.word_values(low, starts, ends), np.searchsorted(starts, off)
+    return C.bytes_hashes(low, starts, ends), np.searchsorted(starts, off)
 
 
 def _item_words(text: str) -> np.ndarray:

@@ -34,9 +34,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text", key:
 
     Words are runs of bytes outside [\\x20\\x09-\\x0D], unchanged. A reference block of
     window // 2 words stands at every multiple of its length; every window of words holds a
-    whole one, wherever it starts. The blocks are indexed under the least-hash gram in them,
-    all rolling windows of a block's length probe the index (those with one gram as one
-    probe), and hits are extended to maximal exact repeats (see repeats).
+    whole one, wherever it starts. The index has the blocks' digests; every rolling window of a
+    block's length probes it, and hits are extended on the words to both sides, to maximal
+    exact repeats (see repeats).
 
     Returns doc_id, n_words, n_removed, spans (start and end of each removed run, in words),
     kept (remaining words joined by one space) and rest (JSON of the carried columns).
@@ -45,7 +45,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text", key:
     Other columns play no part, whatever their names. An empty table gives no rows.
     """
     block = (window + 1) // 2
-    plan = R.Plan(window, block, min(8, block), words=True, aligned=True)
+    plan = R.Plan(window, block, block, words=True, aligned=True)
 
     def emit(tokens: R.Tokens, gone: np.ndarray):
         data, offsets = words_joined(tokens, ~gone)

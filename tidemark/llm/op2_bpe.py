@@ -99,10 +99,9 @@ class Chunks:
     def __init__(self, pack: C.Pack):
         buf, off = pack.buf, pack.offsets
         n = len(buf)
-        prefix = C.prefix_hash(C.byte_values(buf))
         cut = np.zeros(n + 1, bool)
         if n > ROLL:
-            rolled = (prefix[ROLL:n] - prefix[: n - ROLL]) * C.powers(n + 1)[1][: n - ROLL]
+            rolled = C.run_hashes(C.byte_values(buf), ROLL)[: n - ROLL]
             cut[ROLL:n] = rolled >> np.uint64(64 - CUT_BITS) == 0
             cut[1:] &= ~cut[:-1]
         cut[off] = True
@@ -117,7 +116,7 @@ class Chunks:
         lo, hi = np.searchsorted(safe, at[:-1]), np.searchsorted(safe, at[1:])
         use = hi - lo >= 2
         self.start, self.end = safe[lo[use]], safe[hi[use] - 1]
-        self.key = C.span_hash(prefix, self.start, self.end)
+        self.key = C.bytes_hashes(buf, self.start, self.end)
         self.doc = np.searchsorted(off, self.start, side="right") - 1
         long = self.end - self.start >= LEAST
         self.distinct, first, self.which = np.unique(self.key, return_index=True, return_inverse=True)

@@ -31,15 +31,14 @@ class Sets:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, size: int):
         buf = C.lowered(buf)
         starts, ends, first = C.word_bounds(buf, offsets)
-        words = C.word_values(buf, starts, ends)
-        prefix = C.prefix_hash(words)
+        words = C.bytes_hashes(buf, starts, ends)
         counts = np.diff(first)
-        doc = np.repeat(np.arange(len(counts)), counts)
-        at = np.arange(len(words))
-        end = np.minimum(at + size, first[1:][doc]) if len(at) else at
+        whole = np.maximum(counts - size + 1, 0)
+        at, doc = C.ranges(first[:-1], whole), np.repeat(np.arange(len(counts)), whole)
         # a document with fewer words has its whole sequence as one shingle
-        some = (end - at == size) | ((at == first[:-1][doc]) & (counts[doc] < size)) if len(at) else np.zeros(0, bool)
-        key, doc = C.span_hash(prefix, at[some], end[some]), doc[some]
+        few = np.flatnonzero((counts > 0) & (counts < size))
+        key = np.concatenate([C.run_hashes(words, size)[at], C.span_hashes(words, first[few], first[few + 1])])
+        doc = np.concatenate([doc, few])
         order = np.lexsort((key, doc))
         key, doc = key[order], doc[order]
         keep = C.group_starts(doc, key) if len(key) else np.zeros(0, bool)

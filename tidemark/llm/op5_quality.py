@@ -37,7 +37,7 @@ class Measures:
         self.off, self.kind = off, _KIND[buf]
         bounds = C.word_bounds(buf, off)
         self.starts, self.ends, self.first = bounds
-        words = C.word_values(buf, self.starts, self.ends) if len(buf) else np.zeros(0, np.uint64)
+        words = C.bytes_hashes(buf, self.starts, self.ends)
         per = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[off]).astype(np.float64)
         self.kinds = np.stack([per(self.kind == k) for k in range(13)], 1) if len(buf) else np.zeros((n, 13))
         self.words = np.diff(self.first).astype(np.float64)
@@ -54,7 +54,7 @@ class Measures:
         at = np.flatnonzero(line_cut)
         at = at[at < len(buf)]
         to = np.append(at[1:], len(buf)) if len(at) else at
-        key = C.span_hash(C.prefix_hash(C.byte_values(buf)), at, to) if len(at) else np.zeros(0, np.uint64)
+        key = C.bytes_hashes(buf, at, to)
         doc = np.searchsorted(off, at, side="right") - 1
         order = np.lexsort((key, doc))
         twice = ~C.group_starts(doc[order], key[order]) & (to - at > 20)[order] if len(at) else np.zeros(0, bool)
