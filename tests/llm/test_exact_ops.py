@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 from collections import defaultdict
@@ -165,6 +166,45 @@ def test_bpe_is_that_of_the_library(spark):
     assert sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_bpe_of_other_files_encodes_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(default_tokenizer(), encoding="utf-8").read())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    spec["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    rows = corpus(4) + [(902, ("The Same long sentence Again and again, " * 40), ""), (903, ("The Same long sentence Again and again, " * 40), "")]
+    t = Tokenizer.from_file(str(path))
+    got = bpe_encode(spark.createDataFrame(rows, DOCS).repartition(4), str(path)).collect()
+    want = [(d, t.encode(text or "", add_special_tokens=False).ids) for d, text, _ in rows]
+    assert sorted(((r["doc_id"], r["ids"]) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_bpe_joins_that_do_not_agree_are_encoded_whole():
+    from tidemark.llm import op2_bpe as B
+
+    class One:
+        """Tokens of two bytes from the start of a text: no encoding of a part agrees with that of the whole."""
+
+        sizes = [1, 2]
+
+        def encode(self, data):
+            return [1] * (len(data) // 2) + [0] * (len(data) % 2)
+
+        head, tail = B.Codec.head, B.Codec.tail
+
+    text = ("some words of a text that is long enough to be cut into chunks " * 60).encode()
+    pack = C.Pack.__new__(C.Pack)
+    import numpy as np
+
+    pack.buf, pack.offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    chunks = B.Chunks(pack, True)
+    codec = One()
+    assert len(chunks.start) > 1
+    assert B.joined(codec, chunks, [None] * len(chunks.distinct), text, pack.offsets) == [codec.encode(text)]
+
+
 def test_exact_top_k(spark):
     rng = random.Random(5)
     rows = [(k, [rng.uniform(-1, 1) for _ in range(6)], "x") for k in range(120)]

@@ -48,6 +48,8 @@ class Codec:
         pre = spec["pre_tokenizer"] or {}
         in_order = [vocab[a + b] for a, b in merges]
         plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        #: whether the places of Chunks are agreed; other files have no chunks, and texts are encoded whole
+        self.chunked = plain
         self.fast = None
         if plain and in_order == sorted(in_order) and not spec["model"].get("ignore_merges"):
             import tiktoken
@@ -58,6 +60,7 @@ class Codec:
         for piece, k in [*of_bytes.items(), *((c.encode(), k) for c, k in self.special.items())]:
             pieces[k] = piece
         self.lens = np.array([len(p) for p in pieces])
+        self.sizes = self.lens.tolist()
         self.at = np.cumsum(self.lens) - self.lens
         self.all = np.frombuffer(b"".join(pieces), np.uint8)
 
@@ -78,6 +81,22 @@ class Codec:
         return self.all[np.repeat(self.at[ids] - (to - size), size) + np.arange(int(to[-1]))].tobytes()
 
 
+    def head(self, ids: list[int], size: int) -> list[int] | None:
+        """The first ids, which stand for ``size`` bytes; None if a token stands across."""
+        n, have = 0, 0
+        while have < size and n < len(ids):
+            have += self.sizes[ids[n]]
+            n += 1
+        return ids[:n] if have == size else None
+
+    def tail(self, ids: list[int], size: int) -> list[int] | None:
+        n, have = len(ids), 0
+        while have < size and n:
+            n -= 1
+            have += self.sizes[ids[n]]
+        return ids[n:] if have == size else None
+
+
 _codecs: dict[int, Codec] = {}
 
 
@@ -90,13 +109,13 @@ def _codec(text: str) -> Codec:
 class Chunks:
     """Content-defined chunks of a pack's documents.
 
-    A boundary is agreed between any two encodings where one space stands between two visible
-    ASCII characters: there a pre-token begins, whatever stands around. A chunk's inside runs from
-    its first to its last such place and is encoded alone; what lies between the insides of
-    two chunks is the join, which is encoded anew as a whole.
+    A place where encodings should agree has one space between two visible ASCII characters: a
+    pre-token of the pattern begins there, whatever stands around. A chunk's inside runs from its
+    first to its last such place and is encoded alone; what lies between the insides of
+    two chunks is the join.
     """
 
-    def __init__(self, pack: C.Pack):
+    def __init__(self, pack: C.Pack, chunked: bool):
         buf, off = pack.buf, pack.offsets
         n = len(buf)
         cut = np.zeros(n + 1, bool)
@@ -114,8 +133,10 @@ class Chunks:
         safe = space[~edge[space] & ~edge[space + 1]]
         at = np.flatnonzero(cut)
         lo, hi = np.searchsorted(safe, at[:-1]), np.searchsorted(safe, at[1:])
-        use = hi - lo >= 2
-        self.start, self.end = safe[lo[use]], safe[hi[use] - 1]
+        use = (hi - lo >= 4) & chunked
+        lo, hi = lo[use], hi[use]
+        self.start, self.end = safe[lo], safe[hi - 1]
+        self.safe, self.lo, self.hi = safe, lo, hi
         self.key = C.bytes_hashes(buf, self.start, self.end)
         self.doc = np.searchsorted(off, self.start, side="right") - 1
         long = self.end - self.start >= LEAST
@@ -128,6 +149,53 @@ class Chunks:
         return np.flatnonzero(self.long)
 
 
+def joined(codec: Codec, chunks: Chunks, known: list, data: bytes, off: np.ndarray) -> list[list[int]]:
+    """Ids of each document: its chunks', with the joins encoded anew until both sides agree.
+
+    A join is encoded together with a piece of the chunk on either side, up to a place further in. If the
+    result is the chunks' own ids there, with the join's between, it stands; else the pieces grow, at last to the whole text.
+    """
+    out, first = [], np.searchsorted(chunks.doc, np.arange(len(off)))
+
+    def ids_of(c):
+        w = chunks.which[c]
+        if known[w] is None:
+            known[w] = codec.encode(data[chunks.start[c] : chunks.end[c]])
+        return known[w]
+
+    for d in range(len(off) - 1):
+        lo, hi, ids, whole = int(off[d]), int(off[d + 1]), [], True
+        some, at = range(first[d], first[d + 1]), lo
+        for c in [*some, None]:
+            to = hi if c is None else int(chunks.start[c])
+            join = codec.encode(data[at:to])
+            before = c - 1 if c is not None and c > first[d] else first[d + 1] - 1 if c is None and len(some) else None
+            if not _agrees(codec, chunks, ids_of, data, before, c, at, to, join):
+                whole = False
+                break
+            ids += join
+            if c is not None:
+                ids += ids_of(c)
+                at = int(chunks.end[c])
+        out.append(ids if whole else codec.encode(data[lo:hi]))
+    return out
+
+
+def _agrees(codec, chunks, ids_of, data: bytes, before, after, at: int, to: int, join: list[int]) -> bool:
+    """Whether encoding the join with more and more of its chunks gives the ids that both have."""
+    for step in (1, 2, 4, 8):
+        left, right, a, b = [], [], at, to
+        if before is not None:
+            a = int(chunks.safe[max(chunks.hi[before] - 1 - step, chunks.lo[before])])
+            left = codec.tail(ids_of(before), at - a)
+        if after is not None:
+            b = int(chunks.safe[min(chunks.lo[after] + step, chunks.hi[after] - 1)])
+            right = codec.head(ids_of(after), b - to)
+        if left is not None and right is not None and codec.encode(data[a:b]) == left + join + right:
+            return True
+    return False
+
+
 ALONE, OWN, AWAIT = 0, 1, 2
 
 
@@ -144,14 +212,15 @@ def _owner(keys, who, extras):
 def _encoded(docs: DataFrame, tokenizer: str, text: str, key: str, carry: list[str], schema: str, emit) -> DataFrame:
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
-        model = spark.sparkContext.broadcast(f.read())
+        file = f.read()
+    model, chunked = spark.sparkContext.broadcast(file), Codec(file).chunked
     packs = C.packed(docs, text, key, carry, level=9)
-    nb = C.buckets_for(packs, 1 / 256)
+    nb = C.buckets_for(packs, 1 / 16)  # a bucket holds its chunks' ids, too
     light = packs.drop("rest", "rest_lens", "also")
 
     def digests(batches):
         for row in C.rows_of(batches):
-            chunks = Chunks(C.Pack(row))
+            chunks = Chunks(C.Pack(row), chunked)
             keys = chunks.distinct[chunks.sent()]
             if (out := C.entries(row["pack_id"], keys, [np.zeros(len(keys), np.uint8)], nb)) is not None:
                 yield out
@@ -168,7 +237,7 @@ def _encoded(docs: DataFrame, tokenizer: str, text: str, key: str, carry: list[s
             if not answer.any():
                 continue
             codec, pack = _codec(model.value), C.Pack(row)
-            chunks = Chunks(pack)
+            chunks = Chunks(pack, chunked)
             sent = chunks.sent()
             out = []
             for role in (OWN, AWAIT):
@@ -205,9 +274,10 @@ def _encoded(docs: DataFrame, tokenizer: str, text: str, key: str, carry: list[s
         lens, ids = np.concatenate([x[0] for x in opened]), np.concatenate([x[1] for x in opened])
         begin = np.cumsum(lens) - lens
         order = np.argsort(keys)
+        ranked = keys[order]
         for r in rows:
             if r["asks"]:
-                k = order[np.searchsorted(keys[order], np.frombuffer(r["keys"], np.uint64))]
+                k = order[np.searchsorted(ranked, np.frombuffer(r["keys"], np.uint64))]
                 n = lens[k].astype(np.int64)
                 at = np.repeat(begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 yield C.batch_of(GIVE_SCHEMA, [[r["bucket"]], [r["pack_id"]], [lens[k].astype(np.int32).tobytes()], [press.compress(ids[at].view(np.uint8).reshape(-1, 4).T.tobytes())]])
@@ -219,31 +289,22 @@ def _encoded(docs: DataFrame, tokenizer: str, text: str, key: str, carry: list[s
     def last(batches):
         for row in C.rows_of(batches):
             codec, pack = _codec(model.value), C.Pack(row)
-            chunks = Chunks(pack)
+            chunks = Chunks(pack, codec.chunked)
             known: list = [None] * len(chunks.distinct)
             sent, answer = chunks.sent(), C.answer_bytes(row["answers"])
+            data = pack.buf.tobytes()
             if row["given"]:
                 got = iter(sent[answer == AWAIT])
                 for x in row["given"]:
                     lens, ids = unpressed(x["lens"], x["ids"])
                     ends = np.cumsum(lens)
                     for lo, hi in zip(ends - lens, ends, strict=True):
-                        known[next(got)] = ids[lo:hi].tolist()
-            data, off = pack.buf.tobytes(), pack.offsets
-            first = np.searchsorted(chunks.doc, np.arange(len(off)))
-            lists = []
-            for d in range(len(off) - 1):
-                at, ids = int(off[d]), []
-                for c in range(first[d], first[d + 1]):
-                    start, end, w = int(chunks.start[c]), int(chunks.end[c]), chunks.which[c]
-                    ids += codec.encode(data[at:start])
-                    if known[w] is None:
-                        known[w] = codec.encode(data[start:end])
-                    ids += known[w]
-                    at = end
-                ids += codec.encode(data[at : int(off[d + 1])])
-                lists.append(ids)
-            yield emit(codec, pack, lists)
+                        w = next(got)
+                        c = chunks.sample[w]
+                        # equal digests are confirmed: ids that decode to these bytes are theirs
+                        if codec.decode(ids[lo:hi]) == data[chunks.start[c] : chunks.end[c]]:
+                            known[w] = ids[lo:hi].tolist()
+            yield emit(codec, pack, joined(codec, chunks, known, data, pack.offsets))
 
     known = answers.join(given.hint("merge"), "pack_id", "left")
     return packs.join(known.hint("merge"), "pack_id", "left").mapInArrow(last, schema)
@@ -254,10 +315,11 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "
 
     tokenizer: the path, on the driver, of a byte-level BPE file of the tokenizers library.
     Texts are cut into chunks by a rolling hash. Chunks that several packs of documents have
-    are encoded once, by one of them, and the ids are sent to the others; within a pack a
-    repeated chunk is encoded once. Joins of chunks are encoded anew between the nearest
-    places on which any two encodings agree; where a chunk has none, the join grows over it.
-    The ids are those of encoding the whole text at once.
+    are encoded once, by one of them, and the ids are sent to the others, which check that they
+    decode to their own bytes; within a pack a repeated chunk is encoded once. Joins of chunks
+    are encoded anew with more and more of the chunks on both sides until the ids agree. The ids
+    are those of encoding the whole text at once. A file with a normaliser, a leading space or
+    another pattern has no places that are sure to agree: its texts are encoded whole.
 
     A null text counts as empty: no ids, an empty decoded text. Repeated rows and null ids come
     back as they are; other columns play no part. An empty table gives no rows.
