@@ -1,4 +1,4 @@
-"""Connected components: small graphs in one task, larger ones by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps; each partition joins its own edges first."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from tidemark.llm import common as C
 
 
-#: Edges up to which one task joins the graph (16 bytes an edge); beyond, rounds of shuffles do.
-SMALL = 500_000
-
-
 def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and the least node of each one's component, by hooking and pointer jumping."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -27,13 +23,32 @@ def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = root[root]
 
 
-def _small(edges: DataFrame) -> DataFrame:
+#: Edges that a task joins at a time (16 bytes each).
+SOME = 4_000_000
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: in each partition, each node's to the least that its edges there reach."""
+
     def join(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        node, root = _joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        yield C.batch_of("node long, root long", [node, root])
+        held, size = [], 0
+
+        def out():
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            node, root = _joined(a, b)
+            far = node != root
+            return C.batch_of("a long, b long", [node[far], root[far]])
 
-    return edges.groupBy(F.expr("a - a").alias("one")).applyInArrow(C.per_group(lambda batches: join(b.select(["a", "b"]) for b in batches)), "node long, root long")
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= SOME:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return edges.select("a", "b").mapInArrow(join, "a long, b long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -51,21 +66,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50, small: int = SMALL) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("n"), F.lit(0).alias("is_root")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("is_root")))
+    return ends.groupBy("node").agg(F.sum("n").alias("n"), F.max("is_root").alias("is_root")).filter("n > 1 OR (n > 0 AND is_root > 0)").isEmpty()
+
+
+def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node of its component.
 
-    Each round is written, so lineage stays short; rounds go with the logarithm of the nodes.
+    Each round is written, so lineage stays short; rounds go with the logarithm of the nodes at
+    most, and there are none where one partition holds all edges.
     """
-    now = C.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if now.count() <= small:
-        return _small(now)
-    mark = None
+    now = C.written(_contracted(edges.filter("a <> b")))
     for _ in range(most_rounds):
-        new = C.written(_small_star(_large_star(now)))
-        row = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if _settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        new = C.written(_contracted(_small_star(_large_star(now))))
         C.dropped(now)
         now = new
-        if mark == row:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = row
     raise RuntimeError("components did not settle")

@@ -12,17 +12,23 @@ from tidemark.llm.components import components
 
 #: Token orders: all put rarer tokens first, each breaks ties by its own hash.
 ORDERS = 3
-#: Tokens of each document that look for partners in the first round, and the lines along which they are sorted for it.
-LEADS, LINES = 4, 6
-#: Prefix tokens in each entry, by which a pair is formed at its first common token only.
-FIRST = 8
+#: Rounds that look for likely partners before all pairs are formed, and the lines along which neighbours are sought.
+ROUNDS, LINES = 3, 4
+#: Tokens of each document that look for partners in the first of these rounds.
+LEADS = 6
+#: First shared prefix tokens under each order, by which orders are intersected and a pair is formed at its first common token only.
+FIRST = 6
 #: Counters of a set's profile.
 PROFILE = 128
 META_SCHEMA = "row_id long, doc_id long, n_shingles long, s1 long, s2 long"
-PREFIX_SCHEMA = "pack_id long, n int, entries binary, n_docs int, profiles binary, firsts binary"
-PAIR_SCHEMA = "a long, b long, seen int"
+PREFIX_SCHEMA = "pack_id long, n int, entries binary, n_docs int, docs binary"
+PAIR_SCHEMA = "a long, b long"
 SET_SCHEMA = "pack_b long, a long, n int, members binary, bs binary"
 LINK_SCHEMA = "a long, b long"
+#: What a class shows of itself: its profile, and for each order its first shared prefix tokens, their places and the place of the next one (0: none).
+_CLASS = np.dtype([("node", "<i8"), ("n", "<i4"), ("profile", "u1", (PROFILE,)), ("token", "<u8", (ORDERS, FIRST)), ("place", "<i4", (ORDERS, FIRST + 1))])
+#: An entry under a prefix token of the first order.
+_ENTRY = np.dtype([("part", "<i8"), ("place", "<i4"), ("slot", "u1"), ("of", _CLASS)])
 
 
 class Sets:
@@ -65,10 +71,30 @@ def _apart(profile: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.abs(profile[i].astype(np.int16) - profile[j]).sum(1, dtype=np.int64)
 
 
-def _near_enough(profile, n, i, j, num: int, den: int) -> np.ndarray:
-    """False where the profiles show that the overlap is too small."""
-    total = n[i].astype(np.int64) + n[j]
-    return (total - _apart(profile, i, j)) * (num + den) >= 2 * num * total
+def _in_all_orders(cls: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """False where under some order the pair's prefixes have no common token, or only one too late for the overlap."""
+    use = np.ones(len(i), bool)
+    n, total = cls["n"].astype(np.int64), cls["n"][i].astype(np.int64) + cls["n"][j]
+    for o in range(1, ORDERS):
+        token, place = cls["token"][:, o], cls["place"][:, o].astype(np.int64)
+        same = (token[i][:, :, None] == token[j][:, None, :]) & (token[i] != 0)[:, :, None]
+        met = same.any((1, 2))
+        a = same.any(2).argmax(1)
+        b = same[np.arange(len(i)), a].argmax(1)
+        most = np.minimum(n[i] - place[i, a], n[j] - place[j, b])
+        # not among the first ones: then it is a later one of either
+        later = [np.where(place[x, FIRST] > 0, np.minimum(n[x] - place[x, FIRST], n[y] - place[y, 0]), 0) for x, y in ((i, j), (j, i))]
+        most = np.where(met, most, np.maximum(*later))
+        use &= most * (num + den) >= num * total
+    return use
+
+
+def _met_first(token: np.ndarray, slot: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """False where an earlier prefix token of the first order is common as well: the pair is formed there."""
+    k = np.arange(FIRST)
+    a = np.where(k < slot[i][:, None], token[i, 0], 0)
+    b = np.where(k < slot[j][:, None], token[j, 0], 1)
+    return ~(a[:, :, None] == b[:, None, :]).any((1, 2))
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id", packs: DataFrame | None = None, spanning: bool = False):
@@ -76,12 +102,14 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
 
     Exact: equal sets form a class at once; between classes the candidates are those that
     share a prefix token under each of ORDERS global orders (rarest first by document
-    frequency over all classes, ties by a different hash in each), pass the size and position
-    filters and a bound from profiles (counts of a set's tokens by hash: they differ by no more
-    than the sets do), and are then verified on whole sets. With ``spanning``, for components
-    alone, a first round verifies for each class a few likely partners; the second forms pairs
-    only between parts that are not joined yet, so that a large group of near copies is not
-    compared all with all.
+    frequency over all classes, ties by a different hash in each). Classes meet under the tokens of the
+    first order; the other orders are intersected there, by the first tokens under each that a
+    class carries, so a pair is written once, and only if no order excludes it. It also has to pass the size and
+    position filters and a bound from profiles (counts of a set's tokens by hash: they differ by
+    no more than the sets do). Candidates are then verified on whole sets. With ``spanning``,
+    for components alone, rounds of likely partners (under each token the middle of its group, and
+    neighbours by profile, between different parts) come first; in the end pairs are formed only
+    between parts that are still apart, so a large group of near copies is not compared all with all.
 
     Words are runs of bytes outside [\\x20\\x09-\\x0D], A-Z lower-cased; a document with fewer
     words has its whole sequence as its one shingle, one without words (or a null text) has an
@@ -142,142 +170,158 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     ranks = C.answered(light.mapInArrow(counted, C.ENTRY_SCHEMA), [np.uint16], rarity)
 
     def prefixes(batches):
-        """Prefix tokens that several classes have, under each order."""
+        """Prefix tokens of the first order that several classes have, and what each class shows of itself."""
         import zstandard
 
+        press = zstandard.ZstdCompressor(level=1)
         for row in C.rows_of(batches):
             sets = sets_of(row)
             distinct = np.unique(sets.key)
             rank = C.answer_bytes(row["answers"])[np.searchsorted(distinct, sets.key)].astype(np.uint64)
             length = _prefix_length(sets.size, num, den)
-            out, firsts = [], []
+            docs = np.zeros(len(sets.size), _CLASS)
+            docs["node"], docs["n"] = (row["pack_id"] << C.PLACE_BITS) + np.arange(len(docs)), sets.size
+            counts = np.bincount(sets.doc * PROFILE + (sets.key >> np.uint64(57)).astype(np.int64), minlength=len(docs) * PROFILE)
+            docs["profile"] = np.minimum(counts, 255).reshape(-1, PROFILE)
             for o in range(ORDERS):
                 tie = C.mix(sets.key ^ np.uint64(o + 1))
                 order = np.lexsort(((rank << np.uint64(56)) | (tie >> np.uint64(8)), sets.doc))
                 place = np.arange(len(order)) - sets.first[sets.doc]
                 use = (place < length[sets.doc]) & (rank[order] > 0)
-                at = order[use]
-                doc = sets.doc[at]
-                shared_before = np.cumsum(use) - 1
-                begin = np.searchsorted(doc, np.arange(len(sets.size)))
-                slot = shared_before[use] - begin[doc]
-                token = C.mix(sets.key[at] ^ np.uint64((o + 1) << 40))
-                lists = np.zeros((len(sets.size), FIRST), np.uint64)
-                lists[doc[slot < FIRST], slot[slot < FIRST]] = token[slot < FIRST]
-                firsts.append(lists)
-                out.append((token, (row["pack_id"] << C.PLACE_BITS) + doc, sets.size[doc], place[use], np.full(len(at), o), np.minimum(slot, 31)))
-            key, who, n, place, o, slot = (np.concatenate(x) for x in zip(*out, strict=True))
-            if len(key):
-                used = np.unique(who) & ((1 << C.PLACE_BITS) - 1)
-                counts = np.bincount(sets.doc * PROFILE + (sets.key >> np.uint64(57)).astype(np.int64), minlength=len(sets.size) * PROFILE).reshape(-1, PROFILE)
-                profiles = np.minimum(counts[used], 255).astype(np.uint8)
-                blob = b"".join([_planes(key), _planes(who.astype(np.int64)), _planes(n.astype(np.int32)), _planes(place.astype(np.int32)), _planes((o * 32 + slot).astype(np.uint8))])
-                yield C.batch_of(PREFIX_SCHEMA, [[row["pack_id"]], [len(key)], [zstandard.ZstdCompressor(level=1).compress(blob)], [len(used)], [zstandard.ZstdCompressor(level=1).compress(profiles.T.tobytes())], [np.stack(firsts)[:, used].tobytes()]])
+                at, doc, place = order[use], sets.doc[use], place[use]
+                slot = np.arange(len(at)) - np.searchsorted(doc, np.arange(len(docs)))[doc]
+                token = C.mix(sets.key[at])
+                few = slot < FIRST
+                docs["token"][doc[few], o, slot[few]] = token[few]
+                few = slot <= FIRST
+                docs["place"][doc[few], o, slot[few]] = place[few]
+                if o == 0:
+                    entry = token, doc, place, slot
+            token, doc, place, slot = entry
+            if len(token):
+                used, which = np.unique(doc, return_inverse=True)
+                blob = b"".join([_planes(token), _planes(which.astype(np.int32)), _planes(place.astype(np.int32)), _planes(np.minimum(slot, 255).astype(np.uint8))])
+                yield C.batch_of(PREFIX_SCHEMA, [[row["pack_id"]], [len(token)], [press.compress(blob)], [len(used)], [press.compress(_planes(docs[used]))]])
 
     held = C.written(light.join(ranks.hint("merge"), "pack_id").mapInArrow(prefixes, PREFIX_SCHEMA))
     C.dropped(ranks)
 
-    def opened(row):
-        import zstandard
-
-        raw, n, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["entries"]), np.uint8), row["n"], 0, []
-        for kind in (np.uint64, np.int64, np.int32, np.int32, np.uint8):
-            width = np.dtype(kind).itemsize
-            out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).reshape(n))
-            at += n * width
-        profiles = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["profiles"]), np.uint8).reshape(PROFILE, row["n_docs"]).T
-        at = np.searchsorted(np.unique(out[1]), out[1])
-        firsts = np.frombuffer(row["firsts"], np.uint64).reshape(ORDERS, row["n_docs"], FIRST)
-        return [*out, np.ascontiguousarray(profiles[at]), firsts[out[4] >> 5, at]]
-
-    def lanes(profile):
-        """A profile as plain columns."""
-        return list(np.ascontiguousarray(profile).view(np.uint64).T.copy())
-
-    lane_kinds = [np.uint64] * (PROFILE // 8)
+    def entries_of(slots: int):
+        """Entries of the first so many shared tokens of each class, with its part."""
 
-    def leads(batches):
-        for row in C.rows_of(batches):
-            key, who, n, place, tag, profile, _ = opened(row)
-            use = np.flatnonzero(tag < LEADS)
-            use = use[np.argsort(key[use], kind="stable")]
-            if (out := C.entries(row["pack_id"], key[use], [who[use], n[use], *lanes(profile[use])], nb)) is not None:
-                yield out
+        def send(batches):
+            import zstandard
 
-    def likely(keys, who, extras):
-        """Each class with the smallest set that shares a lead, and with its neighbours along several lines."""
-        node, n, profile = extras[0], extras[1], np.stack(extras[2:], 1).view(np.uint8)
+            opener = zstandard.ZstdDecompressor()
+            for row in C.rows_of(batches):
+                raw, n, at, out = np.frombuffer(opener.decompress(row["entries"]), np.uint8), row["n"], 0, []
+                for kind in (np.uint64, np.int32, np.int32, np.uint8):
+                    width = np.dtype(kind).itemsize
+                    out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).reshape(n))
+                    at += n * width
+                token, which, place, slot = out
+                docs = np.ascontiguousarray(np.frombuffer(opener.decompress(row["docs"]), np.uint8).reshape(_CLASS.itemsize, row["n_docs"]).T).view(_CLASS).reshape(-1)
+                part = docs["node"].copy()
+                if row["parts"]:
+                    pairs = np.array(sorted((x["node"], x["root"]) for x in row["parts"]), np.int64)
+                    at = np.minimum(np.searchsorted(pairs[:, 0], part), len(pairs) - 1)
+                    part = np.where(pairs[at, 0] == part, pairs[at, 1], part)
+                some = np.flatnonzero(slot < slots) if slots else np.arange(n)
+                some = some[np.argsort(token[some], kind="stable")]
+                entry = np.zeros(len(some), _ENTRY)
+                entry["part"], entry["place"], entry["slot"], entry["of"] = part[which[some]], place[some], slot[some], docs[which[some]]
+                if (out := C.entries(row["pack_id"], token[some], [entry], nb)) is not None:
+                    yield out
+
+        return send
+
+    def passing(entry, i, j):
+        """Which pairs of a token pass all filters."""
+        cls = entry["of"]
+        n, place = cls["n"].astype(np.int64), entry["place"].astype(np.int64)
+        total = n[i] + n[j]
+        most = np.minimum(n[i] - place[i], n[j] - place[j])
+        use = _small_enough(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), num, den) & (most * (num + den) >= num * total) & (entry["part"][i] != entry["part"][j])
+        use = np.flatnonzero(use)
+        apart = _apart(cls["profile"], i[use], j[use])
+        near = (total[use] - apart) * (num + den) >= 2 * num * total[use]
+        use, apart = use[near], apart[near]
+        good = _in_all_orders(cls, i[use], j[use], num, den)
+        return use[good], apart[good]
+
+    def likely(keys, entry):
+        """Of each token's classes the middle one with all others, and neighbours by profile: between two parts only the nearest pair."""
+        profile, node = entry["of"]["profile"], entry["of"]["node"]
+        order = np.lexsort((node, keys))
+        cut = C.group_starts(keys[order])
+        begin, group = np.flatnonzero(cut), np.cumsum(cut) - 1
+        mean = np.add.reduceat(profile[order].astype(np.float32), begin, axis=0) / np.diff(np.append(begin, len(keys)))[:, None]
+        off = np.empty(len(keys))
+        for lo in range(0, len(keys), 50_000):
+            off[lo : lo + 50_000] = np.abs(profile[order[lo : lo + 50_000]] - mean[group[lo : lo + 50_000]]).sum(1)
+        middle = order[np.lexsort((off, group))[begin]]
+        i, j = [middle[group]], [order]
         signs = np.random.default_rng(2).choice(np.array([-1, 1], np.int32), (PROFILE, LINES))
-        along = profile.astype(np.int32) @ signs
-        pairs = []
-        for line in [n, *along.T]:
+        for line in [entry["of"]["n"], *(profile.astype(np.int32) @ signs).T]:
             order = np.lexsort((node, line, keys))
-            cut = C.group_starts(keys[order])
-            head = np.flatnonzero(cut)[np.cumsum(cut) - 1]
-            at = np.arange(len(order))
-            for other in ([head] if line is n else []) + [np.maximum(at - 1, head), np.maximum(at - 2, head)]:
-                k = np.flatnonzero(other < at)
-                i, j = order[other[k]], order[k]
-                use = _small_enough(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), num, den) & (node[i] != node[j])
-                i, j = i[use], j[use]
-                use = _near_enough(profile, n, i, j, num, den)
-                i, j = i[use], j[use]
-                # the smaller set asks for the larger, so that one that many ask for goes once to each pack
-                swap = (n[i] > n[j]) | ((n[i] == n[j]) & (node[i] > node[j]))
-                pairs.append(np.stack([np.where(swap, node[j], node[i]), np.where(swap, node[i], node[j])], 1))
-        return np.unique(np.concatenate(pairs), axis=0), 1
-
-    def met_first(firsts, slot, i, j):
-        """False where an earlier prefix token of the order is common as well: the pair is formed there."""
-        k = np.arange(FIRST)
-        a = np.where(k < slot[i][:, None], firsts[i], 0)
-        b = np.where(k < slot[j][:, None], firsts[j], 1)
-        return ~(a[:, :, None] == b[:, None, :]).any((1, 2))
-
-    def all_pairs(keys, who, extras):
-        """Pairs of one token between different parts, under the size and position filters."""
-        node, n, place, tag, part = extras[:5]
-        order = np.lexsort((node, part, keys))
-        profile = np.stack(extras[5:-FIRST], 1)[order].view(np.uint8)
-        firsts = np.stack(extras[-FIRST:], 1)[order]
-        slot = (tag[order] & 31).astype(np.int64)
-        k, node, n, place, tag, part = (x[order] for x in (keys, node, n, place, tag, part))
+            for back in (1, 2):
+                same = keys[order[back:]] == keys[order[:-back]]
+                i.append(order[:-back][same])
+                j.append(order[back:][same])
+        i, j = np.concatenate(i), np.concatenate(j)
+        found = []
+        for lo in range(0, len(i), 50_000):
+            use, apart = passing(entry, i[lo : lo + 50_000], j[lo : lo + 50_000])
+            found.append(np.stack([i[lo + use], j[lo + use], apart], 1))
+        i, j, apart = np.concatenate(found).T if found else np.zeros((3, 0), np.int64)
+        p, q = np.minimum(entry["part"][i], entry["part"][j]), np.maximum(entry["part"][i], entry["part"][j])
+        order = np.lexsort((node[j], node[i], apart, q, p))
+        first = order[C.group_starts(p[order], q[order])] if len(order) else order
+        return np.stack([node[i[first]], node[j[first]]], 1)
+
+    def all_pairs(keys, entry):
+        """Pairs of one token between different parts that pass all filters, at their first common token."""
+        order = np.lexsort((entry["of"]["node"], entry["part"], keys))
+        k, entry = keys[order], entry[order]
+        node, slot, token = entry["of"]["node"], entry["slot"].astype(np.int64), entry["of"]["token"]
         group = C.group_starts(k)
         ends = np.append(np.flatnonzero(group)[1:], len(k))[np.cumsum(group) - 1]
-        same = C.group_starts(k, part)
+        same = C.group_starts(k, entry["part"])
         after = np.append(np.flatnonzero(same)[1:], len(k))[np.cumsum(same) - 1]
         count = ends - after
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
         edges = np.concatenate([[0], np.cumsum(count)])
         lo = 0
         while lo < len(k):  # some pairs at a time
-            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + 200_000, side="right")) - 1)
-            c = count[lo:hi]
-            i = np.repeat(np.arange(lo, hi), c)
-            j = np.repeat(after[lo:hi] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-            most = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
-            total = n[i].astype(np.int64) + n[j]
-            use = _small_enough(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), num, den) & (most * (num + den) >= num * total)
-            i, j = i[use], j[use]
-            use = _near_enough(profile, n, i, j, num, den)
-            i, j = i[use], j[use]
-            use = np.concatenate([met_first(firsts, slot, i[x : x + 20_000], j[x : x + 20_000]) for x in range(0, max(1, len(i)), 20_000)])
-            i, j = i[use], j[use]
-            found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), 1 << (tag[i] >> 5).astype(np.int64)], 1))
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + 100_000, side="right")) - 1)
+            i, j = np.repeat(np.arange(lo, hi), count[lo:hi]), C.ranges(after[lo:hi], count[lo:hi])
+            for x in range(0, len(i), 100_000):
+                u, v = i[x : x + 100_000], j[x : x + 100_000]
+                use, _ = passing(entry, u, v)
+                u, v = u[use], v[use]
+                use = _met_first(token, slot, u, v)
+                u, v = node[u[use]], node[v[use]]
+                found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
             lo = hi
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-        return pairs[:, :2], pairs[:, 2]
+        return np.unique(np.concatenate(found), axis=0)
+
+    def paired(parts, make, slots: int = 0):
+        """Pairs of classes made under each token; parts (node, root) are those joined before."""
+        if parts is None:
+            known = held.withColumn("parts", F.lit(None))
+        else:
+            by_pack = parts.groupBy(place_of("node").alias("pack_id")).agg(F.collect_list(F.struct("node", "root")).alias("parts"))
+            known = held.join(by_pack.hint("merge"), "pack_id", "left")
 
-    def paired(sent, kinds, make):
         def reduce(batches):
-            rows = [r for r in C.rows_of(batches)]
+            rows = list(C.rows_of(batches))
             keys = np.concatenate([C.unplanes(r["keys"], r["n"], np.uint64) for r in rows])
-            pairs, seen = make(keys, None, C.extras_of(rows, kinds))
+            pairs = make(keys, C.extras_of(rows, [_ENTRY])[0])
             for lo in range(0, len(pairs), 100_000):
-                some = pairs[lo : lo + 100_000]
-                yield C.batch_of(PAIR_SCHEMA, [some[:, 0], some[:, 1], np.broadcast_to(seen, len(pairs))[lo : lo + 100_000].astype(np.int32)])
+                yield C.batch_of(PAIR_SCHEMA, [pairs[lo : lo + 100_000, 0], pairs[lo : lo + 100_000, 1]])
 
-        return sent.groupBy("bucket").applyInArrow(C.per_group(reduce), PAIR_SCHEMA)
+        sent = known.mapInArrow(entries_of(slots), C.ENTRY_SCHEMA)
+        return sent.groupBy("bucket").applyInArrow(C.per_group(reduce), PAIR_SCHEMA).distinct()
 
     place_of = lambda c: F.shiftright(c, C.PLACE_BITS)
 
@@ -325,29 +369,17 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         C.dropped(pairs)
         return out
 
-    if spanning:
-        first = verified(paired(held.mapInArrow(leads, C.ENTRY_SCHEMA), [np.int64, np.int32, *lane_kinds], likely).select("a", "b").distinct())
-        parts = C.written(components(first))
-        by_pack = parts.groupBy(place_of("node").alias("pack_id")).agg(F.collect_list(F.struct("node", "root")).alias("parts"))
-        apart = held.join(by_pack, "pack_id", "left")
-    else:
-        # each class is a part of its own
-        apart = held.withColumn("parts", F.lit(None))
-
-    def with_parts(batches):
-        for row in C.rows_of(batches):
-            key, who, n, place, tag, profile, firsts = opened(row)
-            part = who.copy()
-            if row["parts"]:
-                pairs = np.array(sorted((x["node"], x["root"]) for x in row["parts"]), np.int64)
-                at = np.minimum(np.searchsorted(pairs[:, 0], who), len(pairs) - 1)
-                part = np.where(pairs[at, 0] == who, pairs[at, 1], who)
-            order = np.argsort(key, kind="stable")
-            yield C.entries(row["pack_id"], key[order], [*(x[order] for x in (who, n, place, tag, part)), *lanes(profile[order]), *firsts[order].T.copy()], nb)
-
-    pairs = paired(apart.mapInArrow(with_parts, C.ENTRY_SCHEMA), [np.int64, np.int32, np.int32, np.uint8, np.int64, *lane_kinds, *[np.uint64] * FIRST], all_pairs)
-    pairs = pairs.groupBy("a", "b").agg(F.bit_or("seen").alias("seen")).filter(F.col("seen") == (1 << ORDERS) - 1).select("a", "b")
-    links = C.written(first.unionByName(verified(pairs))) if spanning else verified(pairs)
+    links, joined = None, None
+    for k in range(ROUNDS if spanning else 0):
+        found = verified(paired(joined, likely, LEADS if k == 0 else 0))
+        new = C.written(components(found if joined is None else found.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+        if joined is not None:
+            C.dropped(joined)
+        links, joined = found if links is None else links.unionByName(found), new
+        if found.isEmpty():
+            break
+    rest = verified(paired(joined, all_pairs))
+    links = rest if links is None else C.written(links.unionByName(rest))
     C.dropped(held)
     joined = components(links)
     named = classes.join(joined, classes.class_id == joined.node, "left").withColumn("root", F.coalesce("root", "class_id"))
