@@ -161,6 +161,55 @@ def test_leaks_finds_long_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d % 10) for d in range(0, 90, 3)}
 
 
+def test_leaks_recall_against_brute_force(spark):
+    """Items of 10 to 300 words, of common words only or not, copied with changes of all degrees: every window of every document, all items."""
+    rng = random.Random(12)
+    words, common = vocabulary(rng, 2000), [f"c{k}" for k in range(30)]
+    items = [(k, " ".join(rng.choice(common if k % 4 == 0 else words) for _ in range((10, 25, 60, 300)[k % 3 if k % 10 else 3]))) for k in range(40)]
+    docs = []
+    for d in range(120):
+        t = [rng.choice(words + common * 20) for _ in range(rng.randint(20, 150))]
+        if d % 2:
+            item = items[rng.randrange(40)][1].split()
+            change = rng.choice([0, 0.1, 0.25, 0.4, 0.6])
+            t[10:10] = [w if rng.random() > change else rng.choice(words) for w in item]
+        docs.append((d, " ".join(t), "x"))
+    code: dict = {}
+    number = lambda t: np.array([code.setdefault(w, len(code)) for w in t.split()])
+    want = set()
+    for k, item in items:
+        item = number(item)
+        for d, t, _ in docs:
+            t = number(t)
+            span = len(item) * 3 // 2
+            for s in range(0, max(1, len(t) - span + 1), 1 if len(item) < 100 else 10):
+                part = t[s : s + span]
+                if np.isin(part, item).sum() < 0.5 * len(item):
+                    continue
+                share = common_in_order(item, part) / len(item)
+                if share >= 0.7 or share >= 0.5 and common_in_order(item[-8:], part) >= 6:
+                    want.add((d, k))
+                    break
+    found = leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    assert len(want) > 30 and len(got & want) >= 0.95 * len(want)
+    assert not {(r["doc_id"], r["item_id"]) for r in found if r["share"] < 0.5}
+
+
+def test_leaks_edge_cases(spark):
+    """Repeated rows and items, ties, clashing names, words that differ by swapped letters only."""
+    odd = [k.bit_count() & 1 for k in range(1024)]
+    one, two = "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)
+    items = [(1, f"{one} alpha {one} beta {one} gamma delta"), (2, "one two three four five six seven"), (2, "one two three four five six seven")]
+    docs = [(1, f"{two} uno {two} dos {two} tres cuatro", "x"), (2, "so: one two three four five six seven.", "x"), (2, "so: one two three four five six seven.", "x"), (3, items[0][1], None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, _leak string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in leaks(table, bench).collect())
+    assert got == [(2, 2)] * 4 + [(3, 1)]
+    left = decontaminate(table, bench)
+    assert left.columns == table.columns and [r["doc_id"] for r in left.collect()] == [1]
+
+
 def test_common_in_order():
     rng = random.Random(5)
     for _ in range(100):

@@ -12,9 +12,10 @@ from tidemark.llm.op8_toxicity import _WORD, _lower
 #: Words in half a passage; passages are two neighbouring halves, so they overlap by half.
 HALF = 24
 #: Rank of the sketch.
-RANK = 160
-#: Benchmark items searched at a time, which bounds what is broadcast.
-ITEMS, ITEM_BYTES = 5000, 16_000_000
+RANK = 64
+#: Benchmark items searched at a time. They bound the vocabulary, and with it what is broadcast and what the driver decomposes:
+#: at most 400,000 words of RANK numbers.
+ITEMS, ITEM_BYTES = 5000, 2_000_000
 #: Least share of an item's latent mass in a candidate. Its cosine plays no part: rare words beside a frequent item outweigh it.
 MASS = 0.3
 #: A copy has this share of the item in order; a paraphrase the lower one, and the answer.
@@ -64,8 +65,23 @@ class Occurrences:
         return at, half, np.flatnonzero(cut), d, n, follows
 
 
-def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(rows, first, axis=0) if len(first) else np.zeros((0, rows.shape[1]))
+def _sums(table: np.ndarray, which: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows table[which] over the groups that begin at ``first``, in pieces of HALF rows."""
+    n = np.diff(np.append(first, len(which)))
+    pieces = -(-n // HALF)
+    begin = np.repeat(first, pieces) + HALF * C.ranges(np.zeros(len(first), np.int64), pieces)
+    size = np.minimum(HALF, np.repeat(first + n, pieces) - begin)
+    order = np.argsort(-size, kind="stable")
+    out = np.empty((len(begin), table.shape[1]), table.dtype)
+    for lo in range(0, len(order), _CHUNK):
+        some = order[lo : lo + _CHUNK]
+        at, left = begin[some], size[some]
+        total = table[which[at]]
+        for k in range(1, int(left[0])):
+            m = int(np.searchsorted(-left, -k))
+            total[:m] += table[which[at[:m] + k]]
+        out[some] = total
+    return out if len(out) == len(first) else np.add.reduceat(out, np.cumsum(pieces) - pieces, axis=0)
 
 
 def _passages(halves: np.ndarray, follows: np.ndarray) -> np.ndarray:
@@ -187,14 +203,14 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
             if not len(at):
                 continue
             word = o.word[at]
-            z = _passages(_sums(weighted[word], first), follows)
+            z = _passages(_sums(weighted, word, first), follows)
             # a word of a half is in the passage that begins there, and in the one before
             back = z.copy()
             k = np.flatnonzero(follows)
             back[k + 1] += z[k]
             order = np.argsort(word, kind="stable")
             cut = np.flatnonzero(C.group_starts(word[order]))
-            total[word[order][cut]] += np.add.reduceat(back[half[order]], cut, axis=0) * weight[word[order][cut]][:, None]
+            total[word[order][cut]] += _sums(back, half[order], cut) * weight[word[order][cut]][:, None]
         for lo in range(0, size, _CHUNK):
             part = total[lo : lo + _CHUNK]
             if part.any():
@@ -261,7 +277,7 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
             at, half, first, doc, number, follows = o.halves(use)
             if not len(at):
                 continue
-            vectors = _passages(_sums(latent[o.word[at]], first), follows)
+            vectors = _passages(_sums(latent, o.word[at], first), follows)
             found = []
             for lo in range(0, len(vectors), 4096):
                 near = vectors[lo : lo + 4096] @ scaled.T
@@ -290,16 +306,17 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
                 words, where = o.word[x:to][member], o.place[x:to][member]
                 # windows of one and a half times the item's length
                 span, step = len(item) * 3 // 2, max(1, len(item) // 4)
-                for s in range(begin, max(begin + 1, end - span + step), step):
-                    u, v = np.searchsorted(where, s), np.searchsorted(where, s + span)
-                    if v - u < PARAPHRASE * len(item):
-                        continue
+                starts = np.arange(begin, max(begin + 1, end - span + step), step)
+                u, v = np.searchsorted(where, starts), np.searchsorted(where, starts + span)
+                enough = v - u >= PARAPHRASE * len(item)
+                for u, v in dict.fromkeys(zip(u[enough].tolist(), v[enough].tolist(), strict=True)):
                     share = common_in_order(item, words[u:v]) / len(item)
-                    if share >= PARAPHRASE and (d, i) not in best or share > best.get((d, i), (0,))[0]:
-                        if share >= PARAPHRASE:
-                            tail = item[-ANSWER:]
-                            best[d, i] = (share, common_in_order(tail, words[u:v]) / len(tail), int(where[u]))
-            rows = [(d, i, *x) for (d, i), x in sorted(best.items()) if x[0] >= COPY or x[1] >= ANSWER_SHARE]
+                    if share >= PARAPHRASE and share > best.get((d, i), (0,))[0]:
+                        tail = item[-ANSWER:]
+                        answer = common_in_order(tail, words[u:v]) / len(tail)
+                        if share >= COPY or answer >= ANSWER_SHARE:
+                            best[d, i] = (share, answer, int(where[u]))
+            rows = [(d, i, *x) for (d, i), x in sorted(best.items())]
             if rows:
                 d, i, share, answer, place = zip(*rows, strict=True)
                 d = list(d)
@@ -310,9 +327,12 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs without a leak, with all their columns; rows with a null id stay."""
-    gone = C.written(leaks(docs, benchmark, key=key).select(F.col("doc_id").alias("_leak")).filter("_leak IS NOT NULL").distinct())
+    leak = "_leak"
+    while leak in docs.columns:
+        leak += "_"
+    gone = C.written(leaks(docs, benchmark, key=key).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(leak)).distinct())
     side = F.broadcast(gone) if gone.count() <= 100_000 else gone
-    return docs.join(side, docs[key] == F.col("_leak"), "left_anti")
+    return docs.join(side, docs[key] == F.col(leak), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
