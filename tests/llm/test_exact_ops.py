@@ -205,20 +205,61 @@ def test_bpe_joins_that_do_not_agree_are_encoded_whole():
     assert B.joined(codec, chunks, [None] * len(chunks.distinct), text, pack.offsets) == [codec.encode(text)]
 
 
-def test_exact_top_k(spark):
+def top_k(rows, every, k=5):
+    import numpy as np
+
+    good = [(d, [int(np.floor(256 * float(np.float64(x)))) for x in v]) for d, v in rows if d is not None and v and None not in v and np.isfinite(np.array(v, float)).all()]
+    asked = {}
+    for d, v in good:
+        if d % every == 0:
+            asked[d] = min(asked.get(d, v), v)
+    out = []
+    for q, v in asked.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), d) for d, w in good if d != q and len(w) == len(v))[:k]
+        out += [(q, n + 1, d, -s) for n, (s, d) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_exact_top_k(spark, block, monkeypatch):
+    from tidemark.llm import op7_topk
+
+    monkeypatch.setattr(op7_topk, "BLOCK", block)
+    monkeypatch.setattr(op7_topk, "QUERY_BLOCK", 3)
     rng = random.Random(5)
     rows = [(k, [rng.uniform(-1, 1) for _ in range(6)], "x") for k in range(120)]
     rows += [(200, [0.5] * 6, "x"), (201, [0.5] * 6, "x"), (250, None, "x"), (251, [0.1, None] * 3, "x"), (252, [float("nan")] * 6, "x"), (None, [0.9] * 6, "x")]
-    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, q string"), every=50).collect()
+    rows += [(253, [float("inf")] * 6, "x"), (300, [0.25, 1.0], "x"), (301, [1.0, 0.5], "x"), (350, [0.0] * 6, "x"), (100, [0.7] * 6, "x"), (100, [0.7] * 6, "x"), (3, [0.5] * 6, "x"), (400, [], "x")]
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, q string").repartition(3), every=50).collect()
+    assert sorted(tuple(r) for r in got) == top_k([r[:2] for r in rows], 50)
+    # components near 10**6, whose products pass 2**53
+    rows = [(k, [rng.uniform(-1e6, 1e6) for _ in range(8)]) for k in range(60)]
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20).collect()
+    assert sorted(tuple(r) for r in got) == top_k(rows, 20)
+    none = exact_top_k(spark.createDataFrame([(1, [0.5])], "vec_id long, embedding array<double>"))
+    assert none.count() == 0
+
+
+def test_threshold_stops_early():
+    """Few large components: the walk ends long before all vectors are scored, and ends with the right ones."""
     import numpy as np
 
-    good = {d: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for d, v, _ in rows if d is not None and v is not None and None not in v and not np.isnan(v).any()}
-    want = []
-    for q in good:
-        if q % 50 == 0:
-            best = sorted((-int(good[q] @ v), d) for d, v in good.items() if d != q)[:5]
-            want += [(q, k + 1, d, -s) for k, (s, d) in enumerate(best)]
-    assert sorted(tuple(r) for r in got) == sorted(want)
+    from tidemark.llm.op7_topk import threshold_top_k
+
+    rng = np.random.default_rng(4)
+    n, d, k = 4000, 16, 5
+    vectors = np.floor(rng.pareto(1.5, (n, d)) * 10).astype(np.int64)
+    queries = np.floor(rng.pareto(1.5, (10, d)) * 10).astype(np.int64)
+    places, ids, own = np.argsort(vectors, axis=0, kind="stable").astype(np.int32), np.arange(n), np.full(10, -1)
+    free = np.full(10, np.iinfo(np.int64).min)
+    who, score, scored = threshold_top_k(queries, own, free, ids, vectors, places, k)
+    all_scores = queries @ vectors.T
+    for q in range(10):
+        assert who[q].tolist() == np.lexsort((ids, -all_scores[q]))[:k].tolist()
+    assert scored < n // 2
+    # a bound from elsewhere that nothing here reaches ends it at once
+    _, _, few = threshold_top_k(queries, own, all_scores.max(1) * 100, ids, vectors, places, k)
+    assert few <= d
 
 
 def test_url_filter(spark):

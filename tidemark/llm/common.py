@@ -53,17 +53,25 @@ def written(df: DataFrame) -> DataFrame:
 
     The shuffle files of the write go when it ends, so stages don't add up on disk.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_all([df])
+
+
+def written_all(dfs) -> DataFrame:
+    """Write DataFrames of one schema, one after the other, as one table."""
+    path, schema = None, None
+    for df in dfs:
+        spark = df.sparkSession
+        small_batches(spark)
+        path = path or f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+        schema = schema or df.schema
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = spark.conf.get(key, "false")
+        spark.conf.set(key, "true")
+        try:
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.set(key, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def dropped(*dfs: DataFrame) -> None:
