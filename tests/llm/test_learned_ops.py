@@ -256,3 +256,43 @@ def test_chat_orders_long_chains(spark):
         assert [r["turn"] for r in sorted(mine, key=lambda r: (r["place"], r["level"], r["turn"]))] == want
         assert all(r["problems"] is None for r in mine)
     assert all(r["problems"] == "cyclic dependencies" and r["place"] == r["turn"] for r in got if r["conv_id"] == 3)
+
+
+def test_chat_order_crosses_blocks_of_turns(spark, monkeypatch):
+    from tidemark.llm import op6_chat
+
+    monkeypatch.setattr(op6_chat, "TURNS", 7)
+    test_chat_orders_long_chains(spark)
+
+
+def test_chat_order_against_brute_force(spark):
+    rng = random.Random(14)
+    rows, want = [], {}
+    for conv in range(12):
+        n = rng.randint(2, 25)
+        turns = rng.sample(range(-50, 50), 2 * n)
+        needs = {k: rng.sample(range(k), min(k, rng.randint(0, 2))) for k in range(n)}
+        if conv % 4 == 3:
+            needs[0] = [n - 1]
+            needs[n - 1] = [*needs[n - 1], 0]
+        pred = {}
+        for k in range(n):
+            call = json.dumps({"tool_calls": [{"id": f"c{k}", "name": "f", "arguments": "{}", "depends_on": [f"c{j}" for j in needs[k]]}]})
+            rows += [(conv, turns[2 * k], "assistant", call), (conv, turns[2 * k + 1], "tool", json.dumps({"tool_call_id": f"c{k}", "content": "1"}))]
+            pred[turns[2 * k + 1]] = [turns[2 * k]]
+            pred[turns[2 * k]] = [turns[2 * j + 1] for j in needs[k]]
+
+        def at(t, pred=pred):
+            best = (t, 0)
+            for u in pred[t]:
+                place, level = at(u)
+                best = max(best, (place, level + 1))
+            return best
+
+        for t in turns:
+            want[conv, t] = (t, 0) if conv % 4 == 3 else at(t)
+    rows += rows[:3]
+    got = format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r["conv_id"], r["turn"]): (r["place"], r["level"]) for r in got if r["conv_id"]} == {k: v for k, v in want.items() if k[0]}
+    assert all(("cyclic dependencies" in (r["problems"] or "")) == (r["conv_id"] % 4 == 3) for r in got)

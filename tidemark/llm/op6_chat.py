@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
-#: Rounds of pushing messages behind those they depend on; a conversation with longer chains is ordered in one task, by its links alone.
-ROUNDS = 20
-ORDER_SCHEMA = "conv_id long, turn long, place long, level int, cycle boolean"
+#: Neighbouring turns of a conversation that are ordered in one task, and links that a task holds.
+TURNS, LINKS = 4096, 500_000
+NODE_SCHEMA = "conv_id long, turn long, place long, level int"
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 OUT_SCHEMA = "conv_id long, turn long, place long, level int, role string, message string, linked boolean, problems string"
@@ -90,42 +90,70 @@ def _is(text: str | None, field: str, kind) -> bool:
     return kind is not list or all(isinstance(x, dict) for x in raw[field])
 
 
-def _peeled(count: int, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
-    """Nodes without open predecessors, wave by wave; those on cycles or behind them are in none."""
-    order = np.argsort(u, kind="stable")
-    v, first = v[order], np.searchsorted(u[order], np.arange(count + 1))
-    open_ = np.bincount(v, minlength=count)
-    wave, waves = np.flatnonzero(open_ == 0), []
-    while len(wave):
-        waves.append(wave)
-        n = first[wave + 1] - first[wave]
-        after = v[np.repeat(first[wave] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        after, times = np.unique(after, return_counts=True)
-        open_[after] -= times
-        wave = after[open_[after] == 0]
-    return waves
-
-
-def _ordered(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Turns of one conversation's links, the place and level of each, and whether there is a cycle."""
-    turns, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+def _settled(conv, u, v, place, level):
+    """Messages that wait for settled ones only, wave by wave: their numbers among the links' ends, with place and level.
+
+    conv, u, v: the links of several conversations, from turn u to turn v. place, level: those of u where
+    it was settled before, else level is below 0.
+    """
+    key = np.stack([np.concatenate([conv, conv]), np.concatenate([u, v])], 1)
+    nodes, ends = np.unique(key, axis=0, return_inverse=True)
     a, b = ends[: len(u)], ends[len(u) :]
-    waves = _peeled(len(turns), a, b)
-    place, level = turns.copy(), np.zeros(len(turns), np.int64)
-    if sum(map(len, waves)) < len(turns):
-        return turns, place, level, True
-    order = np.argsort(b, kind="stable")
-    a, first = a[order], np.searchsorted(b[order], np.arange(len(turns) + 1))
-    for wave in waves[1:]:
-        n = first[wave + 1] - first[wave]
-        before = a[np.repeat(first[wave] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        head = np.cumsum(n) - n
-        most = np.maximum.reduceat(place[before], head)
-        rank = np.maximum.reduceat(np.where(place[before] == np.repeat(most, n), level[before] + 1, 0), head)
+    n = len(nodes)
+    done, at, rank = np.zeros(n, bool), nodes[:, 1].copy(), np.zeros(n, np.int64)
+    before = level >= 0
+    done[a[before]], at[a[before]], rank[a[before]] = True, place[before], level[before]
+    was = done.copy()
+    by_u, by_v = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    out_first, in_first = np.searchsorted(a[by_u], np.arange(n + 1)), np.searchsorted(b[by_v], np.arange(n + 1))
+    waits = np.bincount(b[~done[a]], minlength=n)
+    wave = np.flatnonzero((waits == 0) & (np.diff(in_first) > 0) & ~done)
+    while len(wave):
+        count = in_first[wave + 1] - in_first[wave]
+        first = a[by_v[C.ranges(in_first[wave], count)]]
+        head = np.cumsum(count) - count
+        most = np.maximum.reduceat(at[first], head)
+        last = np.maximum.reduceat(np.where(at[first] == np.repeat(most, count), rank[first] + 1, 0), head)
         # a message that stands behind all it waits for stays
-        moved = most >= turns[wave]
-        place[wave[moved]], level[wave[moved]] = most[moved], rank[moved]
-    return turns, place, level, False
+        moved = most >= nodes[wave, 1]
+        at[wave[moved]], rank[wave[moved]] = most[moved], last[moved]
+        done[wave] = True
+        after, times = np.unique(b[by_u[C.ranges(out_first[wave], out_first[wave + 1] - out_first[wave])]], return_counts=True)
+        waits[after] -= times
+        wave = after[(waits[after] == 0) & ~done[after]]
+    new = np.flatnonzero(done & ~was)
+    return nodes[new, 0], nodes[new, 1], at[new], rank[new]
+
+
+def _ordered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, turn, place, level) of every message of the links (conv_id, u, v) that can be ordered, and the conversations with a cycle.
+
+    Each round settles, within TURNS neighbouring turns at a time, all messages whose links come from settled ones;
+    it ends when a round settles none, and what is left is on a cycle or behind one.
+    """
+    spark = edges.sparkSession
+    ends = edges.select("conv_id", F.col("v").alias("turn"))
+    nodes = C.written(edges.select("conv_id", F.col("u").alias("turn")).distinct().join(ends.distinct(), ["conv_id", "turn"], "left_anti").select("conv_id", "turn", F.col("turn").alias("place"), F.lit(0).alias("level")))
+    nb = max(C.shuffle_partitions(spark), -(-edges.count() // LINKS))
+
+    def settle(batches):
+        parts = [[b.column(c).fill_null(-1).to_numpy() for c in range(5)] for b in batches]
+        conv, u, v, place, level = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield C.batch_of(NODE_SCHEMA, list(_settled(conv, u, v, place, level)))
+
+    still, done = edges, nodes
+    while True:
+        known = still.join(done.select("conv_id", F.col("turn").alias("u"), "place", "level"), ["conv_id", "u"], "left")
+        task = F.pmod(F.xxhash64("conv_id", F.floor(F.col("v") / TURNS)), F.lit(nb)).alias("task")
+        found = known.select("conv_id", "u", "v", "place", "level", task).groupBy("task").applyInArrow(C.per_group(lambda batches: settle(b.select(["conv_id", "u", "v", "place", "level"]) for b in batches)), NODE_SCHEMA)
+        found = C.written(found)
+        if found.isEmpty():
+            break
+        done = C.written(done.unionByName(found))
+        still = C.written(still.join(done.select("conv_id", F.col("turn").alias("v")), ["conv_id", "v"], "left_anti"))
+        if still.isEmpty():
+            break
+    return done, C.written(still.select("conv_id").distinct())
 
 
 def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -136,9 +164,9 @@ def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Dat
     with ``tool_call_id`` is a result. Calls and results are hash-joined by conversation and
     identifier. A result comes after its call, and a call after the results it depends on: order
     by (place, level, turn), where place is the latest turn that a message waits for and level its
-    rank behind it. Chains may have any length: after ROUNDS rounds the links of a conversation
-    that is not settled (pairs of turns, no texts) are ordered in one task. Arguments are validated against the schema of their name. Keys of the
-    JSON are sorted. Messages stay one row each, so no conversation's texts are gathered in one task.
+    rank behind it. Chains may have any length. Arguments are validated against the schema of their
+    name. Keys of the JSON are sorted. Messages stay one row each: no conversation's texts are
+    gathered in one task, nor more of its links than those of TURNS turns.
 
     problems lists invalid arguments, calls without results, results without calls, identifiers
     used twice and cyclic dependencies (the messages of such a conversation stay by turn); it is null if there are none.
@@ -172,32 +200,11 @@ def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Dat
         edges = results.join(n_calls, key).select("conv_id", F.col("call_turn").alias("u"), F.col("turn").alias("v"))
         waits = calls.select("conv_id", "turn", F.explode("needs").alias("id")).join(n_results, key).select("conv_id", F.col("result_turn").alias("u"), F.col("turn").alias("v"))
         edges = C.written(edges.unionByName(waits).filter("u <> v").distinct())
-        place = C.written(edges.select("conv_id", F.col("v").alias("turn")).unionByName(edges.select("conv_id", F.col("u").alias("turn"))).distinct().select("conv_id", "turn", F.struct(F.col("turn").alias("place"), F.lit(0).alias("level")).alias("p")))
-        moving = None
-        for _ in range(ROUNDS):
-            after = edges.join(place.withColumnRenamed("turn", "u"), ["conv_id", "u"]).groupBy("conv_id", F.col("v").alias("turn"))
-            after = after.agg(F.max(F.struct(F.col("p.place").alias("place"), (F.col("p.level") + 1).alias("level"))).alias("q"))
-            new = C.written(place.join(after, ["conv_id", "turn"], "left").select("conv_id", "turn", F.greatest("p", F.coalesce("q", "p")).alias("p"), (F.coalesce("q", "p") > F.col("p")).alias("moved")))
-            moving = new.filter("moved").select("conv_id").distinct()
-            C.dropped(place)
-            place = new.drop("moved")
-            if moving.isEmpty():
-                moving = None
-                break
-        place = place.withColumn("cycle", F.lit(None).cast("boolean"))
-        if moving is not None:
-            # still moving after so many rounds: long chains, or cycles; a conversation with a cycle stays by turn
-            def order(batches):
-                conv, u, v = (np.concatenate(x) for x in zip(*([b.column(k).to_numpy() for k in range(3)] for b in batches), strict=True))
-                turns, place, level, cycle = _ordered(u, v)
-                yield C.batch_of(ORDER_SCHEMA, [np.full(len(turns), conv[0]), turns, place, level.astype(np.int32), np.full(len(turns), cycle)])
-
-            moving = C.written(moving)
-            settled = edges.join(moving, "conv_id", "left_semi").select("conv_id", "u", "v").groupBy("conv_id").applyInArrow(C.per_group(order), ORDER_SCHEMA)
-            settled = settled.select("conv_id", "turn", F.struct("place", "level").alias("p"), F.when(F.col("cycle"), F.lit(True)).alias("cycle"))
-            place = place.join(moving, "conv_id", "left_anti").unionByName(C.written(settled))
-        notes = notes.join(place, ["conv_id", "turn"], "full")
-        notes = notes.select("conv_id", "turn", "links", "notes", "cycle", F.when(F.col("cycle").isNull(), F.col("p")).alias("p"))
+        place, cyclic = _ordered(edges)
+        touched = edges.select("conv_id", F.col("v").alias("turn")).unionByName(edges.select("conv_id", F.col("u").alias("turn"))).distinct()
+        cyclic = touched.join(cyclic, "conv_id", "left_semi").select("conv_id", "turn", F.lit(None).cast("long").alias("place"), F.lit(None).cast("int").alias("level"), F.lit(True).alias("cycle"))
+        place = place.join(cyclic.select("conv_id").distinct(), "conv_id", "left_anti").withColumn("cycle", F.lit(False)).unionByName(cyclic)
+        notes = notes.join(place.select("conv_id", "turn", F.struct("place", "level").alias("p"), "cycle"), ["conv_id", "turn"], "full")
         rows = rows.join(notes, ["conv_id", "turn"], "left")
         rows = rows.select("conv_id", "turn", F.coalesce("p.place", "turn").alias("place"), F.coalesce("p.level", F.lit(0)).alias("level"), "role", "text", (F.coalesce("links", F.lit(0)) > 0).alias("linked"), F.concat_ws("\n", F.coalesce("notes", F.array().cast("array<string>")), F.when(F.col("cycle"), F.lit("cyclic dependencies"))).alias("notes"))
     else:
@@ -219,14 +226,53 @@ def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Dat
     return rows.mapInArrow(serialise, OUT_SCHEMA)
 
 
+#: The tool of the lifted calls, and its arguments' schema.
+SCHEMAS = {"reply": {"type": "object", "required": ["chars", "turn"], "additionalProperties": False, "properties": {"chars": {"type": "integer", "minimum": 0, "maximum": 300}, "turn": {"type": "integer"}}}}
+
+
+def lifted(conversations: DataFrame) -> DataFrame:
+    """Conversations with tool calls and results, by fixed rules, as the tables hold none.
+
+    An assistant's turn t calls ``reply`` with the length of its text and t, under identifier
+    "c<t>"; from turn 3 on the call depends on "c<t-2>". A user's turn t from 2 on is the
+    result of "c<t-1>". Conversations with an odd conv_id are logged in reverse (turn -t), so that
+    their order has to be found.
+    """
+    t, role = F.col("turn"), F.col("role")
+    name = lambda n: F.concat(F.lit("c"), n.cast("string"))
+    call = F.struct(name(t).alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.length("text").alias("chars"), t.alias("turn"))).alias("arguments"), F.when(t >= 3, F.array(name(t - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+    result = (role == "user") & (t >= 2)
+    text = F.when(role == "assistant", F.to_json(F.struct(F.col("text").alias("content"), F.array(call).alias("tool_calls")))).when(result, F.to_json(F.struct(name(t - 1).alias("tool_call_id"), F.col("text").alias("content")))).otherwise(F.col("text"))
+    return conversations.select("conv_id", F.when(F.col("conv_id") % 2 == 1, -t).otherwise(t).alias("turn"), F.when(result, "tool").otherwise(role).alias("role"), text.alias("text"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chat(C.table(spark, sf_dir, "conversations"))
+    return format_chat(lifted(C.table(spark, sf_dir, "conversations")), SCHEMAS)
 
 
-#: The tables hold no tool calls: linking, order and validation are tested on fixtures.
+#: A message waits for the turn before it alone, so places follow the turns.
 ORACLE_SQL = """
-SELECT conv_id, turn, turn AS place, 0 AS level, role,
-       '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' AS message,
-       false AS linked, NULL::VARCHAR AS problems
-FROM conversations
+WITH RECURSIVE lifted AS (
+  SELECT a.conv_id, a.turn AS t, CASE WHEN a.conv_id % 2 = 1 THEN -a.turn ELSE a.turn END AS turn, a.text,
+    CASE WHEN a.role = 'user' AND a.turn >= 2 THEN 'tool' ELSE a.role END AS role, p.role AS before, n.role AS after
+  FROM conversations a LEFT JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1
+    LEFT JOIN conversations n ON n.conv_id = a.conv_id AND n.turn = a.turn + 1
+), links AS (
+  SELECT *, coalesce(role = 'tool' AND before = 'assistant' OR role = 'assistant' AND t >= 3 AND before = 'user', false) AS waits,
+    coalesce(role = 'tool' AND before = 'assistant' OR role = 'assistant' AND t >= 1 AND after = 'user', false) AS linked
+  FROM lifted
+), placed AS (
+  SELECT conv_id, t, turn AS place, 0 AS level FROM links WHERE NOT waits
+  UNION ALL
+  SELECT l.conv_id, l.t, greatest(p.place, l.turn), CASE WHEN p.place >= l.turn THEN p.level + 1 ELSE 0 END
+  FROM placed p JOIN links l ON l.conv_id = p.conv_id AND l.t = p.t + 1 AND l.waits
+)
+SELECT l.conv_id, l.turn, p.place, p.level, l.role, l.linked,
+  CASE l.role
+    WHEN 'assistant' THEN '{"content":' || to_json(text)::VARCHAR || ',"role":"assistant","tool_calls":[{"arguments":{"chars":' || length(text) || ',"turn":' || t || '},"id":"c' || t || '","name":"reply"}]}'
+    WHEN 'tool' THEN '{"content":' || to_json(text)::VARCHAR || ',"role":"tool","tool_call_id":"c' || (t - 1) || '"}'
+    ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(l.role)::VARCHAR || '}' END AS message,
+  nullif(concat_ws('; ', CASE WHEN l.role = 'assistant' AND NOT linked THEN 'c' || t || ': no result' END, CASE WHEN l.role = 'tool' AND NOT linked THEN 'c' || (t - 1) || ': no call' END,
+    CASE WHEN l.role = 'assistant' AND length(text) > 300 THEN 'c' || t || ': $.chars: above maximum' END), '') AS problems
+FROM links l JOIN placed p USING (conv_id, t)
 """
