@@ -34,20 +34,24 @@ def test_automaton_against_edit_distance():
     a = Automaton(terms, [b"stupi"])
 
     def near(w, t):
-        row = list(range(len(t) + 1))
-        for i, c in enumerate(w):
-            new = [i + 1]
-            for j, d in enumerate(t):
-                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
-            row = new
-        return row[-1]
-
-    words = [*terms, b"idot", b"idiott", b"idi0t", b"stupid", b"stupidly", b"stup", b"x", b"trsh", b"treasure"]
+        """Edits, a swap of neighbours being one."""
+        d = {(i, 0): i for i in range(len(w) + 1)} | {(0, j): j for j in range(len(t) + 1)}
+        for i in range(1, len(w) + 1):
+            for j in range(1, len(t) + 1):
+                d[i, j] = min(d[i - 1, j - 1] + (w[i - 1] != t[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1)
+                if i > 1 and j > 1 and w[i - 2 : i] == t[j - 2 : j][::-1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(w), len(t)]
+
+    words = [*terms, b"idot", b"idiott", b"idi0t", b"stupid", b"stupidly", b"stup", b"x", b"trsh", b"treasure", b"idoit", b"trahs", b"worhtless", b"stuip", b"stuipdly"]
     for _ in range(300):
         w = bytearray(rng.choice(terms))
         for _ in range(rng.randint(0, 2)):
             w[rng.randrange(1, len(w))] = rng.choice(b"abcdio")
+        k = rng.randrange(1, len(w) - 1)
+        w[k : k + 2] = w[k : k + 2][::-1] if rng.random() < 0.3 else w[k : k + 2]
         words.append(bytes(w))
+    assert match(a, b"idoit", b"trahs", b"worhtless", b"stuip") == [NEAR] * 4
     for w, got in zip(words, match(a, *words), strict=True):
         if w in terms:
             assert got == WORD
@@ -59,6 +63,34 @@ def test_automaton_against_edit_distance():
             assert got == NONE and not any(near(w, t) <= 1 and w[:1] == t[:1] for t in terms)
 
 
+def test_every_telling_term_is_learned(spark):
+    """Two hundred terms, of which each marks a few rows, and no word that only happens to be in toxic ones."""
+    rng = random.Random(15)
+    words = vocabulary(rng)
+    terms = ["zq" + "".join(rng.choice("bdfgk") + rng.choice("aeiou") for _ in range(4)) for _ in range(200)]
+    docs = []
+    for d in range(6000):
+        t = prose(rng, rng.randint(10, 40), words).split()
+        if d % 4 == 0:
+            t.insert(rng.randrange(len(t)), terms[d // 4 % 200])
+        docs.append((d, " ".join(t), None))
+    docs += [docs[0]] * 3
+    labels = spark.createDataFrame([(d, int(d % 4 == 0)) for d in range(6000)], "doc_id long, toxic int")
+    got = toxicity(spark.createDataFrame(docs, DOCS), labels).collect()
+    assert len(got) == len(docs)
+    assert sum((r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in got) >= 0.99 * len(got)
+
+
+def test_small_shares_are_drawn(spark):
+    from tidemark.llm import common as C
+
+    ids = spark.range(200_000)
+    assert ids.filter(C.drawn("id", 1.0)).count() == 200_000 and ids.filter(C.drawn("id", 0.0)).count() == 0
+    assert 10 <= ids.filter(C.drawn("id", 1e-4)).count() <= 40
+    bound = -(1 << 63) + int(1e-12 * 2.0**64)
+    assert bound > -(1 << 63)  # one in 10**12 is still some
+
+
 def test_toxicity_holds_out(spark):
     rng = random.Random(2)
     words = vocabulary(rng)

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Added to the byte that is still to come of two that are swapped.
+SWAP = 256
 #: What an accepting state has seen.
 NONE, WORD, STEM, NEAR = 0, 1, 2, 3
 
 
 class Automaton:
-    """Accepts words of the lexicon, words that begin with a stem, and both with one byte wrong.
+    """Accepts words of the lexicon, words that begin with a stem, and words and whole stems with one edit.
 
     A state is a set of (trie node, edits left); it is built by subset construction, so a byte
     costs one look-up however many terms there are. One edit is a byte changed, left out, put
-    in, or two neighbours swapped by two states in a row; terms under ``near_from`` bytes
-    must match exactly.
+    in, or two neighbours swapped (in between, the second of them is awaited: SWAP + its byte);
+    terms under ``near_from`` bytes must match exactly.
     """
 
     def __init__(self, words: list[bytes], stems: list[bytes], near_from: int = 5):
@@ -47,7 +49,7 @@ class Automaton:
                 if x not in out:
                     out.add(x)
                     node, left = x
-                    if left and node:  # the first byte is never left out: too many words would fit
+                    if left == 1 and node:  # the first byte is never left out: too many words would fit
                         todo += [(k, 0) for k in kids[node].values() if near_ok[k]]
             # an exact path beats a wrong one at the same node
             return frozenset(x for x in out if x[1] or (x[0], 1) not in out)
@@ -62,6 +64,10 @@ class Automaton:
                 nxt = set()
                 byte = used[c - 1] if c else -1
                 for node, left in state:
+                    if left >= SWAP:
+                        if byte == left - SWAP:
+                            nxt.add((node, 0))
+                        continue
                     kid = kids[node].get(byte)
                     if kid is not None:
                         nxt.add((kid, left))
@@ -69,8 +75,11 @@ class Automaton:
                         if near_ok[node]:
                             nxt.add((node, 0))  # a byte put in
                         nxt |= {(k, 0) for k in kids[node].values() if near_ok[k]}  # a byte changed
+                        for x, k in kids[node].items() if node else ():
+                            if x != byte and near_ok[kids[k].get(byte, 0)] and byte in kids[k]:
+                                nxt.add((kids[k][byte], SWAP + x))  # the first of two swapped
                 nxt = closed(nxt)
-                stem = STEM if any(stem_end[n] and left for n, left in nxt) else NEAR if any(stem_end[n] and near_ok[n] for n, _ in nxt) else NONE
+                stem = STEM if any(stem_end[n] and left == 1 for n, left in nxt) else NEAR if any(stem_end[n] and near_ok[n] for n, left in nxt if left < SWAP) else NONE
                 if stem == STEM and (STEM not in done):
                     done[STEM] = len(rows)
                     rows.append([len(rows)] * width)
@@ -81,8 +90,8 @@ class Automaton:
                 if nxt not in index:
                     index[nxt] = len(rows)
                     rows.append(None)
-                    exact = any(word_end[n] and left for n, left in nxt)
-                    self.accept.append(WORD if exact else NEAR if stem or any(word_end[n] and near_ok[n] for n, _ in nxt) else NONE)
+                    exact = any(word_end[n] and left == 1 for n, left in nxt)
+                    self.accept.append(WORD if exact else NEAR if stem or any(word_end[n] and near_ok[n] for n, left in nxt if left < SWAP) else NONE)
                     todo.append(nxt)
                 row.append(index[nxt])
             rows[index[state]] = row

@@ -90,6 +90,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def drawn(column, share: float):
+    """True for about this share of the values of a column, by their hash; any share, however small."""
+    return F.xxhash64(column) < F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63)))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(32))

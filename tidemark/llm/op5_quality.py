@@ -150,7 +150,7 @@ def _fitted(texts: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
         return posterior, weights
     posterior[codes] = label_model(codes, counts)
     share = min(1.0, sample / counts.sum())
-    drawn = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * share)) if share < 1 else texts
+    drawn = texts.filter(C.drawn("text", share)) if share < 1 else texts
     schema = "code int, x binary"
 
     def measured(batches):
@@ -158,8 +158,8 @@ def _fitted(texts: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
             m = Measures(*C.column_bytes(b.column(0)))
             yield C.batch_of(schema, [m.votes(), [x.tobytes() for x in m.hashed().astype(np.float32)]])
 
-    # copies share a hash, so chance may draw more than the bound: distinct texts, then the bound
-    rows = drawn.dropDuplicates(["text"]).mapInArrow(measured, schema).limit(2 * sample).toPandas()
+    # chance may draw more than asked for: distinct texts, of least hash up to the bound
+    rows = drawn.dropDuplicates(["text"]).orderBy(F.xxhash64("text"), "text").limit(2 * sample).mapInArrow(measured, schema).toPandas()
     rows = rows[rows["code"] > 0]
     if len(rows):
         x = np.stack([np.frombuffer(r, np.float32) for r in rows["x"]])

@@ -12,8 +12,8 @@ from tidemark.llm.automaton import NEAR, STEM, WORD, Automaton
 
 #: Most labelled rows that the model is fitted on, drawn by a hash of doc_id.
 SAMPLE = 20_000
-#: Most lexicon words, and most stems.
-WORDS, STEMS = 150, 50
+#: Chance, over all words, that a word gets into the lexicon that tells nothing.
+CHANCE = 0.05
 #: Bytes on each side of a match that tell its context.
 WINDOW = 60
 FEATURES = 10
@@ -83,38 +83,47 @@ def features(buf: np.ndarray, off: np.ndarray, lexicon: Automaton, address: Auto
 
 
 def _lexicon(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
-    """Words and stems that labelled rows mark as toxic, from distinct texts."""
+    """Words and stems that labelled rows mark as toxic, from distinct texts.
+
+    A term is kept if four in five of its texts are toxic, and if that many would come by chance with a probability below
+    CHANCE over all terms (by the bound of Chernoff), whatever the number of such terms.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{3,40})"), 1))
-    seen = sample.dropDuplicates(["text"]).select("toxic", F.explode(words).alias("w"))
+    texts = sample.dropDuplicates(["text"])
+    n, toxic = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return [], []
+    share = toxic / n
+    seen = texts.select("toxic", F.explode(words).alias("w"))
     counts = C.written(seen.groupBy("w").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")).filter("n1 >= 1"))
-    odds = F.col("n1") / (F.col("n1") + 4 * F.col("n0") + 1)
-    found = counts.filter("n1 >= 3 AND n1 >= 4 * n0").orderBy(odds.desc(), F.desc("n1"), "w").select("w", "n1").orderBy(F.desc("n1"), "w").limit(4 * WORDS).collect()
+    least = float(np.log(max(1, counts.count()) / CHANCE))
+    both = F.col("n1") + F.col("n0")
+    evidence = F.col("n1") * F.log(F.col("n1") / (both * share)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (both * (1 - share)))).otherwise(0.0)
+    found = counts.filter("n1 >= 4 * n0").filter(evidence > least).orderBy(F.desc("n1"), "w").select("w").collect()
     # a stem is the start of several such words, and of hardly any other
     starts = counts.select("w", "n1", "n0", F.explode(F.sequence(F.lit(4), F.greatest(F.lit(4), F.least(F.lit(8), F.length("w") - 1)))).alias("k")).filter("k < length(w)")
-    starts = starts.groupBy(F.expr("substring(w, 1, k)").alias("s")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count("*").alias("forms"), F.max("n1").alias("most"))
-    starts = starts.filter("forms >= 4 AND n1 >= 8 AND n1 >= 8 * n0").orderBy(F.desc("n1"), F.length("s"), "s").limit(20 * STEMS).collect()
-    clean = seen.filter("toxic = 0").select(F.explode(F.expr("transform(sequence(4, 8), k -> substring(w, 1, k))")).alias("s")).join(F.broadcast(sample.sparkSession.createDataFrame([(r["s"],) for r in starts] or [("",)], "s string")), "s").groupBy("s").count().collect()
-    clean = {r["s"]: r["count"] for r in clean}
+    starts = starts.groupBy(F.expr("substring(w, 1, k)").alias("s")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count("*").alias("forms"))
+    starts = C.written(starts.filter("forms >= 4 AND n1 >= 8 * n0").filter(evidence > least + float(np.log(5))))
+    clean = seen.filter("toxic = 0").select(F.explode(F.expr("transform(sequence(4, 8), k -> substring(w, 1, k))")).alias("s")).groupBy("s").agg(F.count("*").alias("clean"))
+    starts_left = starts.join(clean, "s", "left").filter("n1 >= 8 * coalesce(clean, 0)").select("s", "n1").collect()
     stems: list[str] = []
-    for r in sorted(starts, key=lambda r: (len(r["s"]), -r["n1"], r["s"])):
-        if r["n1"] >= 8 * clean.get(r["s"], 0) and not any(r["s"].startswith(s) for s in stems):
+    for r in sorted(starts_left, key=lambda r: (len(r["s"]), -r["n1"], r["s"])):
+        if not any(r["s"].startswith(s) for s in stems):
             stems.append(r["s"])
-    rank = {r["s"]: r["n1"] for r in starts}
-    stems = sorted(stems, key=lambda s: (-rank[s], s))[:STEMS]
-    words = [r["w"] for r in found if not any(r["w"].startswith(s) for s in stems)][:WORDS]
-    C.dropped(counts)
-    return [w.encode() for w in words], [s.encode() for s in stems]
+    terms = [r["w"] for r in found if not any(r["w"].startswith(s) for s in stems)]
+    C.dropped(counts, starts)
+    return [w.encode() for w in terms], [s.encode() for s in stems]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A toxicity score from 0 to 1 for every whole text.
 
     labels has doc_id and toxic (0 or 1). Terms that mark toxic rows make a lexicon of words and
-    stems, held as a trie; its intersection with a Levenshtein automaton for one wrong byte finds
+    stems, held as a trie; its intersection with a Levenshtein automaton for one edit finds
     them misspelled as well. A window around each match tells quotation (marks on both sides, or
     reported speech) from abuse (someone is addressed). A logistic regression weighs the counts;
-    its prior stands in where labels say nothing. At most ``sample`` labelled rows are
-    used, drawn by a hash of doc_id; all rows are scored.
+    its prior stands in where labels say nothing. About ``sample`` labelled ids are used (twice as
+    many at most), drawn by a hash of doc_id, one row each; all rows are scored.
 
     A null or empty text is scored like one without matches. Rows come back as often as they
     come; a null doc_id stays null. Repeated labels of a doc_id count once, by the highest. No
@@ -126,9 +135,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str
     use = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     have = use.count()
     if have > sample:
-        use = use.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / have))
+        # chance may draw more than asked for: those of least hash up to the bound
+        use = use.filter(C.drawn("doc_id", sample / have)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
     taken = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    taken = C.written(taken.join(F.broadcast(use), "doc_id"))
+    # one row of each id, so that the rows have the ids' bound
+    taken = C.written(taken.join(F.broadcast(use), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
     words, stems = _lexicon(taken)
     lexicon, address, report = Automaton(words, stems), Automaton(ADDRESS, [], 99), Automaton(REPORT, [], 99)
     tools = spark.sparkContext.broadcast((lexicon, address, report))
