@@ -272,6 +272,18 @@ def test_url_filter(spark):
     ]
 
 
+def test_url_filter_edge_cases(spark):
+    rules = spark.createDataFrame([("block", "b.c/x/"), ("allow", None), (None, "c/"), ("block", "no slash"), ("block", "B.C/x/"), ("allow", "a.b.c/x/y")], "verdict string, rule string")
+    deep = "http://" + "s." * 3000 + "b.c/x/" + "p" * 5000
+    urls = [(1, deep), (1, deep), (None, "http://a.b.c/x/yz"), (2, "http://a.b.c/X/"), (3, ""), (4, "x://b.c?/x/")]
+    pages = spark.createDataFrame([(k, u, "clash") for k, u in urls], "page_id long, url string, host string")
+    got = url_filter(pages, rules).collect()
+    assert sorted(((r["page_id"], r["rule"], r["verdict"]) for r in got), key=key) == sorted([(1, "b.c/x/", "block")] * 2 + [(None, "a.b.c/x/y", "allow"), (2, None, "allow"), (3, None, "allow"), (4, None, "allow")], key=key)
+    none = spark.createDataFrame([], "verdict string, rule string")
+    assert {r["verdict"] for r in url_filter(pages, none, default="block").collect()} == {"block"}
+    assert url_filter(pages.limit(0), rules).count() == 0
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert substring_dedup(docs).count() == suffix_dedup(docs).count() == bpe_encode(docs, default_tokenizer()).count() == 0

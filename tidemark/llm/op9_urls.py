@@ -11,6 +11,8 @@ from tidemark.llm import common as C
 BROADCAST_RULES = 100_000
 #: Leading hex digits of a digest that the join is on.
 SHORT = 8
+#: Most pairs of a path length and a number of host labels among the rules: what one url is expanded into.
+SHAPES = 4096
 #: The verdict where no rule fits.
 DEFAULT = "allow"
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -21,15 +23,16 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", key: str =
 
     rules has verdict and rule, a rule being a host, a slash and the rest of a path
     (``example.net/en/``). It fits its host and all subdomains if the url's path starts with
-    the rule's. Each url is expanded into its host's suffixes at dots, joined with those
-    prefixes of its path that are as long as some rule's path; the SHORT first digits of
+    the rule's. Each distinct host and path is expanded into the suffixes of the host at dots, of as many labels as
+    some rule's host, joined with those prefixes of the path that are as long as some rule's path; so no host, however
+    many dots it has, makes more expressions than the rules have shapes. The SHORT first digits of
     their SHA-256 digests are joined with the rules', full digests confirm, and the longest
-    expression wins (of two equal rules: block before allow).
+    expression wins (of two equal ones: block before allow, then the rule that sorts last).
 
     Host: after the first :// up to /, ?, # or the end, A-Z lower-cased. Path: what follows up
     to ?, # or the end. A null url, or one without ://, has both empty; no rule then fits.
     Rows repeat as they come, and a null key stays null. Other columns play no part. Empty
-    rules give every url the default; an empty table gives no rows.
+    rules give every url the default; an empty table gives no rows. Rules with a null or without a slash are left out.
     Returns key, host, path, rule (or null) and verdict.
     """
     spark = pages.sparkSession
@@ -38,26 +41,29 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", key: str =
     given = given.filter("verdict IS NOT NULL AND instr(rule, '/') > 0").groupBy("rule").agg(F.max("verdict").alias("verdict"))
     given = given.withColumn("digest", F.sha2(F.concat(F.translate(F.substring_index("rule", "/", 1), up, low), F.lit("/"), F.expr("substring(rule, instr(rule, '/') + 1)")), 256))
     given = given.select("rule", "verdict", F.col("digest").alias("rule_digest"), F.substring("digest", 1, SHORT).alias("short"), F.expr("length(rule) - instr(rule, '/') + 1").alias("path_length"))
-    n, lengths = given.agg(F.count("*"), F.collect_set("path_length")).first()
-    if len(lengths) > 4096:
-        raise ValueError("rules have paths of more than 4096 lengths")
+    given = given.withColumn("labels", F.size(F.split(F.substring_index("rule", "/", 1), r"\.")))
+    n, lengths, labels = given.agg(F.count("*"), F.collect_set("path_length"), F.collect_set("labels")).first()
+    given = given.drop("path_length", "labels")
+    if len(lengths) * len(labels) > SHAPES:
+        raise ValueError(f"rules have more than {SHAPES} pairs of path length and host labels")
 
     url_text = F.coalesce(F.col(url), F.lit(""))
-    out = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), url_text.alias("_url"))
+    out = pages.select(F.col(key).alias("_key"), url_text.alias("_url"))
     out = out.withColumn("_rest", F.when(F.instr("_url", "://") > 0, F.expr("substring(_url, instr(_url, '://') + 3)")).otherwise(F.lit("")))
     out = out.withColumn("_raw", F.regexp_extract("_rest", r"^([^/?#]*)", 1))
-    out = out.select("_row", "_key", F.translate("_raw", up, low).alias("host"), F.regexp_extract(F.expr("substring(_rest, length(_raw) + 1)"), r"^([^?#]*)", 1).alias("path"))
+    out = out.select("_key", F.translate("_raw", up, low).alias("host"), F.regexp_extract(F.expr("substring(_rest, length(_raw) + 1)"), r"^([^?#]*)", 1).alias("path"))
     # hosts' suffixes at dots; prefixes of the path
     parts = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    counts = F.filter(F.array(*[F.lit(int(x)) for x in sorted(labels)]).cast("array<int>"), lambda x: x <= F.size(parts))
+    hosts = F.transform(counts, lambda x: F.array_join(F.slice(parts, F.size(parts) - x + 1, x), "."))
     sizes = F.filter(F.array(*[F.lit(int(x)) for x in sorted(lengths)]).cast("array<int>"), lambda x: x <= F.length("path"))
     texts = F.flatten(F.transform(hosts, lambda h: F.transform(sizes, lambda x: F.concat(h, F.substring("path", F.lit(1), x)))))
-    found = out.filter("host <> ''").select("_row", F.explode(F.array_distinct(texts)).alias("text"))
-    found = found.select("_row", F.sha2("text", 256).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
+    found = out.filter("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(texts)).alias("text"))
+    found = found.select("host", "path", F.sha2("text", 256).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
     side = F.broadcast(given) if n <= BROADCAST_RULES else given
     hit = found.join(side, "short").filter("digest = rule_digest")
-    best = hit.groupBy("_row").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "verdict")).alias("best"))
-    return out.join(best, "_row", "left").select(F.col("_key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = hit.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "verdict", "rule")).alias("best"))
+    return out.join(best, ["host", "path"], "left").select(F.col("_key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
