@@ -109,7 +109,7 @@ _FIRST, _LANE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 #: Places hashed at a time, so that intermediate arrays stay in a core's cache.
 _SOME = 1 << 14
 #: Bytes from which a run is hashed by BLAKE2b.
-_LONG = 64
+_LONG = 256
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,20 +128,33 @@ def run_hashes(values: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
     """64-bit hash of each run of ``size`` values, by where it starts. Two lanes make 128 bits.
 
     Runs of 1, 2, 4 ... values are joined in pairs; two that overlap make up any other size.
+    Bytes (values of one byte) begin with runs of eight, as they are.
     """
     n = max(0, len(values) - size + 1)
     out = np.empty(n, np.uint64)
+    whole = values.itemsize == 1 and size >= 8
+    eight = _eights(values) if whole else None
     for lo in range(0, n, _SOME):
-        h = values[lo : lo + _SOME + size - 1]
+        hi = min(n, lo + _SOME)
+        if whole:
+            h, have = eight[lo : hi + size - 8].copy(), 8
+        else:
+            h, have = values[lo : hi + size - 1], 1
+            h = _BYTES[h] if values.itemsize == 1 else h
         h = mix(h ^ _LANE) if lane else h
-        have = 1
         while 2 * have <= size:
             h = joined(h[:-have], h[have:])
             have *= 2
         if have < size:
             h = joined(h[: have - size], h[size - have :])
-        out[lo : lo + _SOME] = h
-    return out
+        out[lo:hi] = h
+    return mix(out) if size == 8 and whole else out
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), np.dtype("<u8"), padded, strides=(1,))
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
@@ -156,12 +169,11 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, lane: in
     return out
 
 
-def bytes_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of buf[start:end]: eight bytes at a time, long runs by BLAKE2b."""
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(buf) + 1,), np.dtype("<u8"), padded, strides=(1,))
+def bytes_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hash of buf[start:end]: eight bytes at a time, long runs by BLAKE2b. Two lanes make 128 bits."""
+    eight = _eights(buf)
     length = end - start
-    out = mix(length.astype(np.uint64) + _LANE)
+    out = mix(length.astype(np.uint64) + (_FIRST if lane else _LANE))
     live, at = np.flatnonzero((length > 0) & (length < _LONG)), 0
     while len(live):
         left = length[live] - at
@@ -170,16 +182,12 @@ def bytes_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         live = live[left > 8]
     long = np.flatnonzero(length >= _LONG)
     if len(long):
-        data = buf.tobytes()
-        digests = b"".join(hashlib.blake2b(data[a:z], digest_size=8).digest() for a, z in zip(start[long].tolist(), end[long].tolist(), strict=True))
+        data, key = buf.tobytes(), bytes([lane])
+        digests = b"".join(hashlib.blake2b(data[a:z], digest_size=8, key=key).digest() for a, z in zip(start[long].tolist(), end[long].tolist(), strict=True))
         out[long] = np.frombuffer(digests, "<u8")
     return out
 
 
-def byte_values(buf: np.ndarray) -> np.ndarray:
-    return _BYTES[buf]
-
-
 #: The first k bytes of eight.
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)

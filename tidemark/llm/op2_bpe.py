@@ -120,7 +120,7 @@ class Chunks:
         n = len(buf)
         cut = np.zeros(n + 1, bool)
         if n > ROLL:
-            rolled = C.run_hashes(C.byte_values(buf), ROLL)[: n - ROLL]
+            rolled = C.run_hashes(buf, ROLL)[: n - ROLL]
             cut[ROLL:n] = rolled >> np.uint64(64 - CUT_BITS) == 0
             cut[1:] &= ~cut[:-1]
         cut[off] = True

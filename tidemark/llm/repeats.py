@@ -80,13 +80,16 @@ class Tokens:
             self.starts, self.ends, self.first = C.word_bounds(pack.buf, pack.offsets)
             self.values = C.bytes_hashes(pack.buf, self.starts, self.ends)
         else:
-            self.first, self.values = pack.offsets, C.byte_values(pack.buf)
+            self.first, self.values = pack.offsets, pack.buf
         self.n = len(self.values)
         counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(counts)), counts)
         self.left = self.first[1:][self.doc] - np.arange(self.n)
         self.long = counts[self.doc] >= plan.window
 
+    def spans(self, start: np.ndarray, end: np.ndarray, lane: int) -> np.ndarray:
+        return C.span_hashes(self.values, start, end, lane) if self.plan.words else C.bytes_hashes(self.values, start, end, lane)
+
     def probes(self, kept_bits: int = 64) -> None:
         """Keys of pass 1 with their documents: aligned and rolling blocks, or the distinct anchors of all blocks."""
         k, b = self.plan.gram, self.plan.block
@@ -140,7 +143,7 @@ class Tokens:
         at = address[lead]
         key = self.hash[at]
         shape = ((at - self.lo).astype(np.uint64) << np.uint64(32)) | (self.hi - self.lo).astype(np.uint64)
-        context, check = (C.joined(C.span_hashes(self.values, self.lo, self.hi + n, lane), shape) for lane in (0, 1))
+        context, check = (C.joined(self.spans(self.lo, self.hi + n, lane), shape) for lane in (0, 1))
         ids = self.pack.ids[self.doc[self.lo]]
         order = np.lexsort((ids, check, context, key))
         cut = C.group_starts(key[order], context[order], check[order])
@@ -157,7 +160,7 @@ class Tokens:
         count = self.hi[run] - self.lo[run] + 1
         first = np.cumsum(count) - count
         at = C.ranges(self.lo[run], count)
-        key, check = (C.run_hashes(self.values, self.plan.window, lane)[at] if len(at) else np.zeros(0, np.uint64) for lane in (0, 1))
+        key, check = (self.spans(at, at + self.plan.window, lane) for lane in (0, 1))
         ids = np.repeat(self.run_id[run], count)
         order = np.lexsort((ids, check, key))
         cut = C.group_starts(key[order], check[order])
