@@ -31,6 +31,16 @@ _CLASS = np.dtype([("node", "<i8"), ("n", "<i4"), ("profile", "u1", (PROFILE,)),
 _ENTRY = np.dtype([("part", "<i8"), ("place", "<i4"), ("slot", "u1"), ("of", _CLASS)])
 
 
+def _by_document(doc: np.ndarray, value: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Order by document, then value, then key: one sort of what fits in 64 bits, unless that leaves a tie of keys."""
+    both = (doc.astype(np.uint64) << np.uint64(64 - C.PLACE_BITS)) | (value >> np.uint64(C.PLACE_BITS))
+    order = np.argsort(both)
+    tied = np.flatnonzero(~C.group_starts(both[order]))
+    if len(tied) and (key[order[tied]] != key[order[tied - 1]]).any():
+        return np.lexsort((key, value, doc))
+    return order
+
+
 class Sets:
     """Distinct shingles of each document of a pack: doc and key, sorted by both."""
 
@@ -45,7 +55,7 @@ class Sets:
         few = np.flatnonzero((counts > 0) & (counts < size))
         key = np.concatenate([C.run_hashes(words, size)[at], C.span_hashes(words, first[few], first[few + 1])])
         doc = np.concatenate([doc, few])
-        order = np.lexsort((key, doc))
+        order = _by_document(doc, key, key)
         key, doc = key[order], doc[order]
         keep = C.group_starts(doc, key) if len(key) else np.zeros(0, bool)
         self.key, self.doc = key[keep], doc[keep]
@@ -176,8 +186,10 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         press = zstandard.ZstdCompressor(level=1)
         for row in C.rows_of(batches):
             sets = sets_of(row)
-            distinct = np.unique(sets.key)
-            rank = C.answer_bytes(row["answers"])[np.searchsorted(distinct, sets.key)].astype(np.uint64)
+            order = np.argsort(sets.key)
+            which = np.empty(len(order), np.int64)
+            which[order] = np.cumsum(C.group_starts(sets.key[order])) - 1 if len(order) else order
+            rank = C.answer_bytes(row["answers"])[which].astype(np.uint64)
             length = _prefix_length(sets.size, num, den)
             docs = np.zeros(len(sets.size), _CLASS)
             docs["node"], docs["n"] = (row["pack_id"] << C.PLACE_BITS) + np.arange(len(docs)), sets.size
@@ -185,7 +197,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
             docs["profile"] = np.minimum(counts, 255).reshape(-1, PROFILE)
             for o in range(ORDERS):
                 tie = C.mix(sets.key ^ np.uint64(o + 1))
-                order = np.lexsort(((rank << np.uint64(56)) | (tie >> np.uint64(8)), sets.doc))
+                order = _by_document(sets.doc, (rank << np.uint64(56)) | (tie >> np.uint64(8)), sets.key)
                 place = np.arange(len(order)) - sets.first[sets.doc]
                 use = (place < length[sets.doc]) & (rank[order] > 0)
                 at, doc, place = order[use], sets.doc[use], place[use]
