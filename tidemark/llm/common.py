@@ -8,6 +8,7 @@ compact blob per (pack, bucket) in place of one row per token.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import hashlib
 import tempfile
@@ -74,6 +75,36 @@ def written_all(dfs) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back: idle Python workers stay beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(f):
+    """f, a function of record batches, with memory given back when it ends."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def slices(batches, column: int, size: int = 1_000_000):
+    """Batches cut so that the texts of a column hold about ``size`` bytes, or one row."""
+    for b in batches:
+        offsets = column_bytes(b.column(column))[1]
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def dropped(*dfs: DataFrame) -> None:
     """Delete tables made by written() that nothing reads any more."""
     for df in dfs:
@@ -284,7 +315,7 @@ def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list
             yield out()
 
     rest = F.to_json(F.struct(*[docs[c] for c in carry])) if carry else F.lit("")
-    return written(docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("text"), rest.alias("rest")).mapInArrow(pack, PACK_SCHEMA))
+    return written(docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("text"), rest.alias("rest")).mapInArrow(tidied(pack), PACK_SCHEMA))
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
@@ -405,7 +436,10 @@ def per_group(reduce):
     """A function of the batches of a group, with the types by which applyInArrow knows it."""
 
     def of_group(batches):
-        yield from reduce(batches)
+        try:
+            yield from reduce(batches)
+        finally:
+            release()
 
     of_group.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return of_group

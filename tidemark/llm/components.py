@@ -48,7 +48,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         if size:
             yield out()
 
-    return edges.select("a", "b").mapInArrow(join, "a long, b long")
+    return edges.select("a", "b").mapInArrow(C.tidied(join), "a long, b long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

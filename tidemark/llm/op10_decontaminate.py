@@ -171,7 +171,7 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
                     yield C.batch_of(OCCURRENCE_SCHEMA, [[ids[at:to].tobytes()], [known[at:to].tobytes()], [counts.tobytes()], [len(some)], [C.planes(number)], [C.planes(place)]])
                 at = to
 
-    seen = C.written(docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("text")).mapInArrow(occur, OCCURRENCE_SCHEMA))
+    seen = C.written(docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("text")).mapInArrow(C.tidied(occur), OCCURRENCE_SCHEMA))
 
     def frequencies(batches):
         df = np.zeros(size, np.int64)
@@ -183,7 +183,7 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
         used = np.flatnonzero(df)
         yield C.batch_of("word int, n long", [used, df[used]])
 
-    counts = dict(seen.mapInArrow(frequencies, "word int, n long").groupBy("word").agg(F.sum("n")).collect())
+    counts = dict(seen.mapInArrow(C.tidied(frequencies), "word int, n long").groupBy("word").agg(F.sum("n")).collect())
     df = np.zeros(size)
     df[list(counts)] = list(counts.values())
     use = df > 0
@@ -224,7 +224,7 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
                 total, chunk = part if total is None else total + part, b.column(0)[k].as_py()
         yield C.batch_of("chunk int, part binary", [[chunk], [total.tobytes()]])
 
-    parts = seen.mapInArrow(sketch, "chunk int, part binary").groupBy("chunk").applyInArrow(C.per_group(added), "chunk int, part binary").collect()
+    parts = seen.mapInArrow(C.tidied(sketch), "chunk int, part binary").groupBy("chunk").applyInArrow(C.per_group(added), "chunk int, part binary").collect()
     y = np.zeros((size, rank))
     for r in parts:
         part = np.frombuffer(r["part"], np.float64).reshape(-1, rank)
@@ -322,7 +322,7 @@ def _leaks_of(docs: DataFrame, items: list, text: str, key: str) -> DataFrame:
                 d = list(d)
                 yield C.batch_of(HIT_SCHEMA, [[int(o.ids[x]) if o.known[x] else None for x in d], [item_ids[x] for x in i], list(share), list(answer), list(place), ["copy" if x >= COPY else "paraphrase" for x in share]])
 
-    return seen.mapInArrow(search, HIT_SCHEMA)
+    return seen.mapInArrow(C.tidied(search), HIT_SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:

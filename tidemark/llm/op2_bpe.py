@@ -225,7 +225,7 @@ def _encoded(docs: DataFrame, tokenizer: str, text: str, key: str, carry: list[s
             if (out := C.entries(row["pack_id"], keys, [np.zeros(len(keys), np.uint8)], nb)) is not None:
                 yield out
 
-    answers = C.answered(light.mapInArrow(digests, C.ENTRY_SCHEMA), [np.uint8], _owner)
+    answers = C.answered(light.mapInArrow(C.tidied(digests), C.ENTRY_SCHEMA), [np.uint8], _owner)
 
     def post(batches):
         """Owners post their chunks' ids; others ask for them."""
@@ -282,7 +282,7 @@ def _encoded(docs: DataFrame, tokenizer: str, text: str, key: str, carry: list[s
                 at = np.repeat(begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 yield C.batch_of(GIVE_SCHEMA, [[r["bucket"]], [r["pack_id"]], [lens[k].astype(np.int32).tobytes()], [press.compress(ids[at].view(np.uint8).reshape(-1, 4).T.tobytes())]])
 
-    posted = light.join(answers.hint("merge"), "pack_id").mapInArrow(post, POST_SCHEMA)
+    posted = light.join(answers.hint("merge"), "pack_id").mapInArrow(C.tidied(post), POST_SCHEMA)
     given = posted.groupBy("bucket").applyInArrow(C.per_group(give), GIVE_SCHEMA)
     given = C.written(given.groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "lens", "ids"))).alias("given")))
 
@@ -307,7 +307,7 @@ def _encoded(docs: DataFrame, tokenizer: str, text: str, key: str, carry: list[s
             yield emit(codec, pack, joined(codec, chunks, known, data, pack.offsets))
 
     known = answers.join(given.hint("merge"), "pack_id", "left")
-    return packs.join(known.hint("merge"), "pack_id", "left").mapInArrow(last, schema)
+    return packs.join(known.hint("merge"), "pack_id", "left").mapInArrow(C.tidied(last), schema)
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", carry: list[str] = ()) -> DataFrame:

@@ -141,7 +141,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
             s1, s2, n = np.frombuffer(row["also"], np.uint64).reshape(3, -1).view(np.int64)
             yield C.batch_of(META_SCHEMA, [(row["pack_id"] << C.PLACE_BITS) + np.arange(len(ids)), pa.array(ids, pa.int64(), mask=ids == C.NULL_ID), n, s1, s2])
 
-    rows = packs.select("pack_id", "ids", "also").mapInArrow(meta, META_SCHEMA)
+    rows = packs.select("pack_id", "ids", "also").mapInArrow(C.tidied(meta), META_SCHEMA)
     classes = rows.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("row_id").alias("class_id"), F.min("doc_id").alias("least_id"))
     classes = C.written(classes)
     kept = classes.groupBy(F.shiftright("class_id", C.PLACE_BITS).alias("pack_id")).agg(F.sort_array(F.collect_list(F.col("class_id").bitwiseAND(F.lit((1 << C.PLACE_BITS) - 1)).cast("int"))).alias("kept"))
@@ -177,7 +177,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         out[order] = rank[np.cumsum(cut) - 1]
         return out
 
-    ranks = C.answered(light.mapInArrow(counted, C.ENTRY_SCHEMA), [np.uint16], rarity)
+    ranks = C.answered(light.mapInArrow(C.tidied(counted), C.ENTRY_SCHEMA), [np.uint16], rarity)
 
     def prefixes(batches):
         """Prefix tokens of the first order that several classes have, and what each class shows of itself."""
@@ -215,7 +215,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
                 blob = b"".join([_planes(token), _planes(which.astype(np.int32)), _planes(place.astype(np.int32)), _planes(np.minimum(slot, 255).astype(np.uint8))])
                 yield C.batch_of(PREFIX_SCHEMA, [[row["pack_id"]], [len(token)], [press.compress(blob)], [len(used)], [press.compress(_planes(docs[used]))]])
 
-    held = C.written(light.join(ranks.hint("merge"), "pack_id").mapInArrow(prefixes, PREFIX_SCHEMA))
+    held = C.written(light.join(ranks.hint("merge"), "pack_id").mapInArrow(C.tidied(prefixes), PREFIX_SCHEMA))
     C.dropped(ranks)
 
     def entries_of(slots: int):
@@ -332,7 +332,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
             for lo in range(0, len(pairs), 100_000):
                 yield C.batch_of(PAIR_SCHEMA, [pairs[lo : lo + 100_000, 0], pairs[lo : lo + 100_000, 1]])
 
-        sent = known.mapInArrow(entries_of(slots), C.ENTRY_SCHEMA)
+        sent = known.mapInArrow(C.tidied(entries_of(slots)), C.ENTRY_SCHEMA)
         return sent.groupBy("bucket").applyInArrow(C.per_group(reduce), PAIR_SCHEMA).distinct()
 
     place_of = lambda c: F.shiftright(c, C.PLACE_BITS)
@@ -375,7 +375,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        sent = light.join(ask.hint("merge"), "pack_id").mapInArrow(send, SET_SCHEMA)
+        sent = light.join(ask.hint("merge"), "pack_id").mapInArrow(C.tidied(send), SET_SCHEMA)
         needed = light.join(pairs.select(place_of("b").alias("pack_id")).distinct().hint("merge"), "pack_id", "left_semi")
         out = C.written(needed.groupBy("pack_id").cogroup(sent.groupBy("pack_b")).applyInArrow(lambda l, r: check(l.to_batches(), r.to_batches()), LINK_SCHEMA))
         C.dropped(pairs)
@@ -422,7 +422,7 @@ def near_duplicate_filter(docs: DataFrame, size: int = 5, num: int = 8, den: int
             texts = C.strings(pack.buf, pack.offsets, nulls=pack.nulls)
             yield C.batch_of(KEPT_SCHEMA, [x.take(stay) for x in (pack.id_column(), texts, pack.rest())])
 
-    return packs.drop("also").join(stay.hint("merge"), "pack_id").mapInArrow(rows, KEPT_SCHEMA)
+    return packs.drop("also").join(stay.hint("merge"), "pack_id").mapInArrow(C.tidied(rows), KEPT_SCHEMA)
 
 
 def _planes(a: np.ndarray) -> bytes:

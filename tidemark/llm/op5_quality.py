@@ -137,13 +137,13 @@ def _fitted(texts: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
 
     def vote(batches):
         total = {}
-        for b in batches:
+        for b in C.slices(batches, 0):
             codes, n = np.unique(Measures(*C.column_bytes(b.column(0))).votes(), return_counts=True)
             for c, k in zip(codes.tolist(), n.tolist(), strict=True):
                 total[c] = total.get(c, 0) + k
         yield C.batch_of(VOTE_SCHEMA, [list(total), list(total.values())])
 
-    patterns = texts.mapInArrow(vote, VOTE_SCHEMA).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    patterns = texts.mapInArrow(C.tidied(vote), VOTE_SCHEMA).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     codes, counts = np.array([r["code"] for r in patterns], np.int64), np.array([r["n"] for r in patterns], np.float64)
     posterior, weights = np.full(3 ** len(LABELLERS), 0.5), np.zeros(DIMS + 1)
     if not len(codes):
@@ -154,12 +154,12 @@ def _fitted(texts: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     schema = "code int, x binary"
 
     def measured(batches):
-        for b in batches:
+        for b in C.slices(batches, 0):
             m = Measures(*C.column_bytes(b.column(0)))
             yield C.batch_of(schema, [m.votes(), [x.tobytes() for x in m.hashed().astype(np.float32)]])
 
     # chance may draw more than asked for: distinct texts, of least hash up to the bound
-    rows = drawn.dropDuplicates(["text"]).orderBy(F.xxhash64("text"), "text").limit(2 * sample).mapInArrow(measured, schema).toPandas()
+    rows = drawn.dropDuplicates(["text"]).orderBy(F.xxhash64("text"), "text").limit(2 * sample).mapInArrow(C.tidied(measured), schema).toPandas()
     rows = rows[rows["code"] > 0]
     if len(rows):
         x = np.stack([np.frombuffer(r, np.float32) for r in rows["x"]])
@@ -184,12 +184,12 @@ def quality_scores(docs: DataFrame, sample: int = SAMPLE, text: str = "text", ke
     posterior, weights = _fitted(texts.select("text"), sample)
 
     def scored(batches):
-        for b in batches:
+        for b in C.slices(batches, 1):
             m = Measures(*C.column_bytes(b.column(1)))
             code = m.votes()
             yield C.batch_of(SCORE_SCHEMA, [b.column(0), code, posterior[code], m.linear(weights)])
 
-    return texts.mapInArrow(scored, SCORE_SCHEMA)
+    return texts.mapInArrow(C.tidied(scored), SCORE_SCHEMA)
 
 
 def quality_filter(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE, text: str = "text") -> DataFrame:
@@ -198,10 +198,10 @@ def quality_filter(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE, te
     at = docs.columns.index(text)
 
     def kept(batches):
-        for b in batches:
+        for b in C.slices(batches, at):
             yield b.filter(pa.array(Measures(*C.column_bytes(b.column(at))).linear(weights) >= least))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(C.tidied(kept), docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,7 +223,7 @@ def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Dat
                 problems.append("; ".join(found) if found else None)
             yield C.batch_of(OUT_SCHEMA, [b.column(0), b.column(1), b.column(2), b.column(3), b.column(4), messages, b.column(6), problems])
 
-    return rows.mapInArrow(serialise, OUT_SCHEMA)
+    return rows.mapInArrow(C.tidied(serialise), OUT_SCHEMA)
 
 
 #: The tool of the lifted calls, and its arguments' schema.

@@ -117,7 +117,7 @@ def _found(lists: DataFrame, queries: list, bounds: dict, k: int, deepest: int |
             good = (score > _LEAST) & (score >= bound[:, None])
             yield C.batch_of(PART_SCHEMA, [np.broadcast_to(q[:, None], who.shape)[good], who[good], score[good]])
 
-    return lists.mapInArrow(search, PART_SCHEMA)
+    return lists.mapInArrow(C.tidied(search), PART_SCHEMA)
 
 
 def _best(parts: DataFrame, k: int) -> DataFrame:

@@ -146,23 +146,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str
     schema = "toxic int, " + ", ".join(f"x{k} double" for k in range(FEATURES))
 
     def seen(batches):
-        for b in batches:
+        for b in C.slices(batches, 1):
             x = features(*C.column_bytes(b.column(1)), *tools.value)
             yield C.batch_of(schema, [b.column(0), *x.T])
 
-    rows = taken.select("toxic", "text").mapInArrow(seen, schema).toPandas().to_numpy()
+    rows = taken.select("toxic", "text").mapInArrow(C.tidied(seen), schema).toPandas().to_numpy()
     C.dropped(taken)
     weights = PRIOR
     if len(rows) and 0 < rows[:, 0].sum() < len(rows):
         weights = logistic.fit(rows[:, 1:], rows[:, 0], PRIOR)
 
     def scored(batches):
-        for b in batches:
+        for b in C.slices(batches, 1):
             x = features(*C.column_bytes(b.column(1)), *tools.value)
             counts = np.expm1(x).round().astype(np.int32)
             yield C.batch_of(SCORE_SCHEMA, [b.column(0), logistic.score(x, weights), counts[:, :6].sum(1), counts[:, 7]])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scored, SCORE_SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(C.tidied(scored), SCORE_SCHEMA)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

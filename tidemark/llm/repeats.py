@@ -277,11 +277,11 @@ def remove_repeats(packs: DataFrame, plan: Plan, schema: str, emit) -> DataFrame
     light = packs.drop("rest", "rest_lens", "also")
     # merged at every size: a broadcast of small answers would only be a second plan to test
     named = lambda df, name: df.withColumnRenamed("answers", name).hint("merge")
-    a1 = named(C.answered(light.mapInArrow(first, C.ENTRY_SCHEMA), [np.uint8], _decide_anchor), "a1")
-    a2 = named(C.answered(light.join(a1, "pack_id").mapInArrow(second, C.ENTRY_SCHEMA), [np.uint64, np.uint64, np.int64], _decide_context), "a2")
-    a3 = named(C.answered(light.join(a1, "pack_id").join(a2, "pack_id").mapInArrow(third, C.ENTRY_SCHEMA), [np.uint64, np.int64], _decide_window), "a3")
+    a1 = named(C.answered(light.mapInArrow(C.tidied(first), C.ENTRY_SCHEMA), [np.uint8], _decide_anchor), "a1")
+    a2 = named(C.answered(light.join(a1, "pack_id").mapInArrow(C.tidied(second), C.ENTRY_SCHEMA), [np.uint64, np.uint64, np.int64], _decide_context), "a2")
+    a3 = named(C.answered(light.join(a1, "pack_id").join(a2, "pack_id").mapInArrow(C.tidied(third), C.ENTRY_SCHEMA), [np.uint64, np.int64], _decide_window), "a3")
     known = a1.join(a2, "pack_id", "left").join(a3, "pack_id", "left")
-    return packs.join(known.hint("merge"), "pack_id", "left").mapInArrow(last, schema)
+    return packs.join(known.hint("merge"), "pack_id", "left").mapInArrow(C.tidied(last), schema)
 
 
 def runs(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
