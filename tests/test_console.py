@@ -72,7 +72,7 @@ def test_hub_drops_for_slow_readers_alone(spark, tmp_path):
 def test_stream_reads_each_event_once(spark, tmp_path):
     rows = lambda lo, hi: L.events(spark, SF).filter((F.col("id") >= lo) & (F.col("id") < hi)).write.mode("append").parquet(str(tmp_path / "log"))
     rows(0, 100)
-    q = E.stream(spark, str(tmp_path / "log"), cursor=49).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = E.stream(spark, str(tmp_path / "log"), cursor=49, schema=E.SCHEMA.replace("activity_id string", "activity_id long")).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     rows(100, 150)
     q.processAllAvailable()

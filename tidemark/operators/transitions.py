@@ -90,9 +90,13 @@ def claim(activities: DataFrame, queue: str, slots: int, worker: str, as_of, lea
 
 
 def claim_all_queues(activities: DataFrame, slots: DataFrame, as_of, lease_ms: int) -> DataFrame:
-    """Extension: slots (queue_name, worker_id, slots) of many queues in one pass; row_number() is cut per partition before the shuffle."""
+    """Extension: slots (queue_name, worker_id, slots) of many queues in one pass.
+
+    The largest number of slots, a literal, cuts each queue's rows in every partition before the shuffle; a queue's own slots cut the rest.
+    """
+    most = slots.agg(F.max("slots")).first()[0] or 0
     order = Window.partitionBy("queue_name").orderBy(F.desc("priority"), F.desc("retry_count"), F.coalesce("scheduled_at", "created_at").asc_nulls_last(), "id")
-    found = eligible(activities, as_of).withColumn("turn", F.row_number().over(order)).join(F.broadcast(slots), "queue_name").filter(F.col("turn") <= F.col("slots"))
+    found = eligible(activities, as_of).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most).join(slots, "queue_name").filter(F.col("turn") <= F.col("slots"))
     return _claimed(found, F.col("worker_id"), as_of, lease_ms)
 
 
@@ -112,6 +116,11 @@ def ack_success(activities: DataFrame, commands: DataFrame, as_of) -> DataFrame:
     return fenced(activities, commands).filter("outcome = 'success'").select("id", F.lit("completed").alias("status"), as_of.alias("completed_at"), F.col("current_worker_id").alias("last_worker_id"), F.lit("Ok").alias("state"), F.coalesce("data", F.lit("null")).alias("data"), F.lit("Completed").alias("event_type"), "parent_activity_id")
 
 
+def failure(error, kind, as_of):
+    """The result of an activity that failed for good, as JSON."""
+    return F.to_json(F.struct(error.alias("error"), kind.alias("type"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("failed_at")))
+
+
 def ack_failure(activities: DataFrame, commands: DataFrame, as_of) -> DataFrame:
     """Failed, retrying or dead-lettered. Only a retry counts; only the end writes a result and wakes the parent."""
     retryable = F.col("outcome") == "retryable"
@@ -119,7 +128,7 @@ def ack_failure(activities: DataFrame, commands: DataFrame, as_of) -> DataFrame:
     status = F.when(~retryable, "failed").when(retry, "retrying").otherwise("dead_letter")
     delay = S.retry_delay_seconds("retry_delay_seconds", "retry_count", "max_retry_delay_seconds")
     found = fenced(activities, commands).filter("outcome <> 'success'")
-    data = F.concat(F.lit('{"error":"'), F.col("error"), F.lit('","type":"'), F.when(retryable, "dead_letter").otherwise("non_retryable"), F.lit('"}'))
+    data = failure(F.col("error"), F.when(retryable, "dead_letter").otherwise("non_retryable"), as_of)
     return found.select(
         "id", status.alias("status"), F.when(retry, F.col("retry_count") + 1).otherwise(F.col("retry_count")).alias("retry_count"),
         F.when(retry, S.plus_seconds(as_of, delay)).alias("scheduled_at"), F.when(~retry, as_of).alias("completed_at"), F.when(~retry, F.col("started_at")).alias("started_at"),
@@ -139,7 +148,7 @@ def reap(activities: DataFrame, as_of, batch: int | None = 100) -> DataFrame:
 
 def park(activities: DataFrame, yields: DataFrame) -> DataFrame:
     """Yielded activities wait until wake_at; attempts stay, the worker and its lease go. yields: id, worker_id, wake_at, kind, step."""
-    detail = F.concat(F.lit('{"kind":"'), F.col("kind"), F.lit('","step":"'), F.col("step"), F.lit('"}'))
+    detail = F.to_json(F.struct("kind", "step"))
     return fenced(activities, yields).select("id", F.lit("waiting").alias("status"), F.col("wake_at").alias("scheduled_at"), "retry_count", F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("long").alias("lease_deadline_ms"), F.col("current_worker_id").alias("last_worker_id"), F.lit("Yielded").alias("event_type"), detail.alias("detail"))
 
 

@@ -40,7 +40,7 @@ line AS (
       ELSE CASE l_linenumber WHEN 1 THEN 'pending' WHEN 2 THEN 'scheduled' WHEN 3 THEN 'retrying' WHEN 4 THEN 'waiting' ELSE 'processing' END END,
     l_shipdate, l_orderkey * 1000, l_orderkey * 1000, 1
   FROM line JOIN orders ON l_orderkey = o_orderkey
-), acts AS ({_FINISH})"""
+), acts AS MATERIALIZED ({_FINISH})"""
 
 SNAP = """
 snap AS (
@@ -83,7 +83,7 @@ log AS (
 COMMANDS = """
 held AS (
   SELECT *, CASE WHEN h % 11 = 0 THEN 'stale' ELSE current_worker_id END AS worker, CASE h % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'non_retryable' ELSE 'retryable' END AS outcome,
-    'boom' || (h % 3) AS error, '{"done":' || id || '}' AS given
+    CASE h % 3 WHEN 0 THEN 'bad "quote"' WHEN 1 THEN 'line' || chr(10) || 'and \\ slash' ELSE 'boom2' END AS error, '{"done":' || id || '}' AS given
   FROM acts WHERE status = 'processing'
 ), fenced AS (SELECT * FROM held WHERE worker = current_worker_id)"""
 

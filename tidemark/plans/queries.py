@@ -52,7 +52,7 @@ def stats_active_workers(spark, sf_dir) -> DataFrame:
 
 @query(O.over(f"SELECT {_count(I.ALL_STATES, prefix='root_')} FROM acts WHERE queue_name = 'main' AND parent_activity_id IS NULL"))
 def stats_roots(spark, sf_dir) -> DataFrame:
-    return I.stats_roots(L.roots(spark, sf_dir), MAIN)
+    return I.stats_roots(L.activities(spark, sf_dir), MAIN)
 
 
 @query(O.over(f"SELECT {_PRIORITY.format('')} FROM acts WHERE queue_name = 'main'"))
@@ -112,7 +112,7 @@ def _recent_sql(status, roots_only):
 
 
 for _status in [None, *I.ALL_STATES]:
-    query(_recent_sql(_status, True), f"recent_roots_{_status or 'all'}")(lambda spark, sf_dir, s=_status: I.recent(L.roots(spark, sf_dir), MAIN, s))
+    query(_recent_sql(_status, True), f"recent_roots_{_status or 'all'}")(lambda spark, sf_dir, s=_status: I.recent(L.activities(spark, sf_dir), MAIN, s))
     query(_recent_sql(_status, False), f"recent_activities_{_status or 'all'}")(lambda spark, sf_dir, s=_status: I.recent(L.activities(spark, sf_dir), MAIN, s, roots_only=False))
 
 
@@ -207,9 +207,9 @@ def enqueue_defaults(spark, sf_dir) -> DataFrame:
     return T.new_activities(_requests(spark, sf_dir), L.as_of())
 
 
-@query("WITH " + _REQUESTS + "SELECT id, status, CASE WHEN scheduled_at IS NULL THEN 'Enqueued' ELSE 'Scheduled' END AS event_type FROM req")
+@query("WITH " + _REQUESTS + "SELECT id, status, CASE WHEN scheduled_at IS NULL THEN 'Enqueued' ELSE 'Scheduled' END AS event_type, '{\"activity_type\":' || to_json(activity_type)::VARCHAR || ',\"priority\":' || priority || CASE WHEN scheduled_at IS NULL THEN '' ELSE ',\"scheduled_at\":\"' || strftime(scheduled_at, '%Y-%m-%dT%H:%M:%S.000') || '\"' END || '}' AS detail FROM req")
 def enqueue(spark, sf_dir) -> DataFrame:
-    return T.enqueue(T.new_activities(_requests(spark, sf_dir), L.as_of())).drop("detail")
+    return T.enqueue(T.new_activities(_requests(spark, sf_dir), L.as_of()))
 
 
 def _claims(spark, sf_dir) -> DataFrame:
@@ -297,7 +297,7 @@ def ack_success(spark, sf_dir) -> DataFrame:
 @query(O.over(f"""
 SELECT id, status, CASE WHEN retry THEN retry_count + 1 ELSE retry_count END AS retry_count, CASE WHEN retry THEN {O.AS_OF} + to_seconds({O.DELAY}) END AS scheduled_at,
   CASE WHEN NOT retry THEN {O.AS_OF} END AS completed_at, CASE WHEN NOT retry THEN started_at END AS started_at, error AS last_error, {O.AS_OF} AS last_error_at, current_worker_id AS last_worker_id,
-  CASE WHEN NOT retry THEN 'Err' END AS state, CASE WHEN NOT retry THEN '{{"error":"' || error || '","type":"' || CASE outcome WHEN 'retryable' THEN 'dead_letter' ELSE 'non_retryable' END || '"}}' END AS data,
+  CASE WHEN NOT retry THEN 'Err' END AS state, CASE WHEN NOT retry THEN '{{"error":' || to_json(error)::VARCHAR || ',"type":"' || CASE outcome WHEN 'retryable' THEN 'dead_letter' ELSE 'non_retryable' END || '","failed_at":"1999-01-01T00:00:00Z"}}' END AS data,
   CASE status WHEN 'failed' THEN 'Failed' WHEN 'retrying' THEN 'Retrying' ELSE 'DeadLetter' END AS event_type, CASE WHEN NOT retry THEN parent_activity_id END AS wakes
 FROM (SELECT * EXCLUDE status, outcome = 'retryable' AND {O.RETRY} AS retry, CASE WHEN outcome = 'non_retryable' THEN 'failed' WHEN {O.RETRY} THEN 'retrying' ELSE 'dead_letter' END AS status FROM fenced WHERE outcome <> 'success')""", O.COMMANDS))
 def ack_failure_route(spark, sf_dir) -> DataFrame:

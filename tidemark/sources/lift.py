@@ -124,4 +124,4 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("id") % 1000 + F.floor(F.col("id") / 1000)
     outcome = F.when(h % 4 == 0, "success").when(h % 4 == 1, "non_retryable").otherwise("retryable")
     worker = F.when(h % 11 == 0, "stale").otherwise(F.col("current_worker_id"))
-    return activities(spark, sf_dir).filter("status = 'processing'").select("id", outcome.alias("outcome"), worker.alias("worker_id"), F.concat(F.lit("boom"), (h % 3).cast("string")).alias("error"), F.concat(F.lit('{"done":'), F.col("id").cast("string"), F.lit("}")).alias("data"))
+    return activities(spark, sf_dir).filter("status = 'processing'").select("id", outcome.alias("outcome"), worker.alias("worker_id"), F.when(h % 3 == 0, 'bad "quote"').when(h % 3 == 1, "line\nand \\ slash").otherwise("boom2").alias("error"), F.concat(F.lit('{"done":'), F.col("id").cast("string"), F.lit("}")).alias("data"))

@@ -1,13 +1,16 @@
 """The engine: claims, runs handlers on the executors and appends what follows to the log.
 
-Each tick is one batch: expired leases are reaped, the next activities claimed, their handlers
-run, and results, events and states appended. A crash before the append repeats the tick; the
-memo then holds what earlier ticks kept. start() ticks from a Structured Streaming trigger.
+Each tick reaps expired leases, claims the next activities, runs their handlers and appends results, events, children
+and states as one batch: a crash leaves either all of it or nothing, and then the lease runs out and the
+activities run again with the memos of earlier ticks. Several engines may share a log: they take turns
+to write, and handlers run outside their turns. start() ticks from a Structured Streaming trigger.
 """
 
 from __future__ import annotations
 
 import json
+import threading
+import time
 import uuid
 from collections import Counter
 from datetime import datetime, timezone
@@ -29,9 +32,18 @@ def at(now: datetime):
     return F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def utc_now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
+
+
+#: Seconds between beats of a pool, and between sweeps.
+BEAT_SECONDS, SWEEP_SECONDS = 10, 600
+
+
 class Engine:
-    def __init__(self, log: Log, queue: str, handlers: list[Handler], slots: int = 10, types: list[str] | None = None, lease_ms: int = 60_000):
-        self.log, self.queue, self.slots, self.types, self.lease_ms = log, queue, slots, types, lease_ms
+    def __init__(self, log: Log, queue: str, handlers: list[Handler], slots: int = 10, types: list[str] | None = None, lease_ms: int = 60_000, retention: tuple[int, int] | None = None):
+        """retention: seconds after which completed trees, and failed ones, are swept while the engine runs (0: never)."""
+        self.log, self.queue, self.slots, self.types, self.lease_ms, self.retention = log, queue, slots, types, lease_ms, retention
         self.handlers = {h.activity_type: h for h in handlers}
         missing = set(types or []) - set(self.handlers)
         if missing:
@@ -39,6 +51,8 @@ class Engine:
         self.worker = f"{queue}-{uuid.uuid4().hex[:8]}"
         self.counters: Counter = Counter()
         self.query = None
+        self._stopping, self._busy = threading.Event(), threading.Lock()
+        self._beat_at = self._sweep_at = float("-inf")
 
     @property
     def spark(self) -> SparkSession:
@@ -48,12 +62,16 @@ class Engine:
 
     def enqueue(self, requests: list[Request], now: datetime | None = None) -> list[str]:
         """Ids of new activities, or of those that already hold a key."""
-        now = now or datetime.now(timezone.utc).replace(tzinfo=None)
+        now = now or utc_now()
         rows = []
         for r in requests:
             o = r.checked(False).options
             rows.append((str(uuid.uuid4()), self.queue, r.activity_type, json.dumps(r.payload), o.get("priority"), o.get("max_retries"), o.get("timeout_seconds"), o.get("delay_seconds"), o.get("max_retry_delay_seconds"), json.dumps(o["metadata"]) if "metadata" in o else None, o.get("key"), o.get("behaviour", "return_existing")))
         df = self.spark.createDataFrame(rows, "id string, queue_name string, activity_type string, payload string, priority int, max_retries int, timeout_seconds long, delay_seconds long, max_retry_delay_seconds long, metadata string, idempotency_key string, behaviour string")
+        with self.log.exclusive():
+            return self._enqueue(df, rows, now)
+
+    def _enqueue(self, df: DataFrame, rows: list[tuple], now: datetime) -> list[str]:
         names = {r[0]: r[0] for r in rows}
         keyed = {b for *_, k, b in rows if k is not None}
         fresh = df.filter("idempotency_key IS NULL")
@@ -70,16 +88,23 @@ class Engine:
         return [names[r[0]] for r in rows]
 
     def _new(self, requests: DataFrame, now: datetime) -> None:
+        self.log.append(**self._rows_of_new(requests, now))
+
+    def _rows_of_new(self, requests: DataFrame, now: datetime) -> dict[str, DataFrame]:
+        """Rows of activities, events and keys of new activities."""
         more = requests.select("id", *[c for c in ("metadata", "idempotency_key") if c in requests.columns])
-        new = T.new_activities(requests.drop("metadata", "idempotency_key"), at(now)).join(more, "id").cache()
-        events = T.enqueue(new).join(new.select("id", "queue_name"), "id").withColumn("activity_id", F.col("id")).withColumn("created_at", at(now))
+        new = T.new_activities(requests.drop("metadata", "idempotency_key"), at(now)).join(more, "id")
+        events = self._events(T.enqueue(new), now)
         keys = new.filter("idempotency_key IS NOT NULL").select("queue_name", "idempotency_key", F.col("id").alias("activity_id"))
-        self.log.append(events=events, keys=keys, activities=new)
-        new.unpersist()
+        return {"events": events, "keys": keys, "activities": new}
 
     def signal(self, activity_id: str, name: str, payload, now: datetime) -> bool:
         """Delivered, or not as there is no such activity."""
         s = self.spark.createDataFrame([(str(uuid.uuid4()), activity_id, name, json.dumps(payload))], "signal_id string, id string, name string, payload string")
+        with self.log.exclusive():
+            return self._signal(s, now)
+
+    def _signal(self, s: DataFrame, now: datetime) -> bool:
         acts = self.log.latest("activities")
         done = self._pinned(T.signal(acts, s))
         if not done.first()["delivered"]:
@@ -95,10 +120,30 @@ class Engine:
         found = self.log.latest("keys").filter((F.col("queue_name") == self.queue) & (F.col("idempotency_key") == f"{key}-{activity_type}")).first()
         return found is not None and self.signal(found["activity_id"], name, payload, now)
 
+    def extend_lease(self, activity_id: str, seconds: int, now: datetime | None = None) -> bool:
+        """A lease that ends so many seconds from now, for an activity in process."""
+        now = now or utc_now()
+        with self.log.exclusive():
+            acts = self.log.latest("activities")
+            done = self._pinned(T.extend_lease(acts, self.spark.createDataFrame([(activity_id, seconds)], "id string, by_seconds long"), at(now)))
+            if done.isEmpty():
+                return False
+            self.log.append(events=self._events(done, now), activities=acts.drop("lease_deadline_ms").join(done.select("id", "lease_deadline_ms"), "id"))
+        return True
+
     def result(self, activity_id: str) -> tuple[str, str] | None:
         row = self.log.latest("results").filter(F.col("activity_id") == activity_id).first()
         return (row["state"], row["data"]) if row else None
 
+    def wait_for_result(self, activity_id: str, timeout: float = 60, every: float = 0.5) -> tuple[str, str]:
+        """The result as soon as there is one."""
+        until = time.monotonic() + timeout
+        while (found := self.result(activity_id)) is None:
+            if time.monotonic() > until:
+                raise TimeoutError(f"no result of {activity_id}")
+            time.sleep(every)
+        return found
+
     # --- one tick ---------------------------------------------------------------------------
 
     def _moved(self, acts: DataFrame, change: DataFrame) -> DataFrame:
@@ -113,21 +158,32 @@ class Engine:
 
     def tick(self, now: datetime) -> int:
         """Activities that were claimed."""
+        with self.log.exclusive():
+            claimed = self._claim(now)
+            n = claimed.count()
+        if n:
+            self._run(claimed.select("id"), now)
+        self.counters["claimed"] += n
+        return n
+
+    def _claim(self, now: datetime) -> DataFrame:
         acts = self.log.latest("activities").filter(F.col("queue_name") == self.queue)
         reaped = self._pinned(T.reap(acts, at(now)))
         if not reaped.isEmpty():
             ended = reaped.filter("wakes IS NOT NULL").select(F.col("wakes").alias("parent_activity_id"))
-            dead = reaped.filter("state IS NOT NULL").select(F.col("id").alias("activity_id"), "state", F.lit('{"error":"lease expired","type":"dead_letter"}').alias("data"), at(now).alias("created_at"), F.col("id").alias("owner_activity_id"))
+            dead = self._ended(reaped.filter("state IS NOT NULL").withColumn("data", T.failure(F.lit("lease expired"), F.lit("dead_letter"), at(now))), now)
             moved = self._moved(acts, reaped).unionByName(self._moved(acts, T.wake_parents(acts, ended)), allowMissingColumns=True)
             self.log.append(results=dead, events=self._events(reaped, now), activities=moved)
             acts = self.log.latest("activities").filter(F.col("queue_name") == self.queue)
         claimed = self._pinned(T.claim(acts, self.queue, self.slots, self.worker, at(now), self.lease_ms, self.types))
-        n = claimed.count()
-        if n:
-            self.log.append(events=self._events(claimed.withColumn("worker_id", F.col("current_worker_id")), now), activities=acts.drop("status", "current_worker_id", "started_at", "lease_deadline_ms").join(claimed.select("id", "status", "current_worker_id", "started_at", "lease_deadline_ms"), "id"))
-            self._run(claimed.select("id"), now)
-        self.counters["claimed"] += n
-        return n
+        if not claimed.isEmpty():
+            new = ["id", "status", "current_worker_id", "started_at", "lease_deadline_ms"]
+            self.log.append(events=self._events(claimed.withColumn("worker_id", F.col("current_worker_id")), now), activities=acts.drop(*new[1:]).join(claimed.select(new), "id"))
+        return claimed
+
+    def _ended(self, rows: DataFrame, now: datetime) -> DataFrame:
+        """Results of activities that ended."""
+        return rows.select(F.col("id").alias("activity_id"), "state", "data", at(now).alias("created_at"), F.col("id").alias("owner_activity_id"))
 
     def _events(self, rows: DataFrame, now: datetime) -> DataFrame:
         return rows.withColumn("activity_id", F.col("id")).withColumn("queue_name", F.lit(self.queue)).withColumn("created_at", at(now))
@@ -156,57 +212,108 @@ class Engine:
                 yield pd.DataFrame(out, columns=["id", "worker_id", "outcome", "data", "error", "wake_at", "kind", "step", "memo", "spawns"])
 
         # written once: a second read must not run handlers again
-        done = rows.mapInPandas(run, OUTCOME)
-        path = f"{self.log.path}/_outcomes/{self.log.batch}"
-        done.write.mode("overwrite").parquet(path)
+        path = f"{self.log.path}/_outcomes/{uuid.uuid4().hex}"
+        rows.mapInPandas(run, OUTCOME).write.parquet(path)
         done = self.spark.read.schema(OUTCOME).parquet(path)
-        held = acts.filter("status = 'processing'")
-        commands = done.filter("outcome <> 'yield'").select("id", "worker_id", "outcome", "error", "data")
-        good, bad = T.ack_success(held, commands, at(now)), T.ack_failure(held, commands, at(now))
-        parked = T.park(held, done.filter("outcome = 'yield'").select("id", "worker_id", "wake_at", "kind", "step"))
-        memo = done.select("id", F.explode("memo").alias("m")).select(F.expr("uuid()").alias("activity_id"), "m.state", "m.data", at(now).alias("created_at"), F.col("id").alias("owner_activity_id"), "m.step")
-        ended = good.select(F.col("id").alias("activity_id"), "state", "data", at(now).alias("created_at"), F.col("id").alias("owner_activity_id")).unionByName(bad.filter("state IS NOT NULL").select(F.col("id").alias("activity_id"), "state", "data", at(now).alias("created_at"), F.col("id").alias("owner_activity_id")))
-        events = self._events(good.select("id", "event_type"), now).unionByName(self._events(bad.select("id", "event_type"), now)).unionByName(self._events(parked.select("id", "event_type", "detail"), now), allowMissingColumns=True)
-        moved = self._moved(acts, good).unionByName(self._moved(acts, bad), allowMissingColumns=True).unionByName(self._moved(acts, parked), allowMissingColumns=True)
+        with self.log.exclusive():
+            dead = self._settle(done, now)
         for row in done.groupBy("outcome").count().collect():
             self.counters[row["outcome"]] += row["count"]
-        self.log.append(results=memo.unionByName(ended, allowMissingColumns=True), events=events, activities=moved)
-        self._spawn(done, now)
-        acts = self.log.latest("activities")
-        # a parent that parked for a child that has ended meanwhile is woken too
-        over = acts.filter(F.col("status").isin(S.TERMINAL)).join(self.log.read("activities").filter(F.col("seq") >= self.log.batch - 3).select("id").distinct(), "id", "left_semi")
-        waiting = T.wake_parents(acts, over)
-        self.log.append(activities=self._moved(acts, waiting))
-        for row in bad.filter("status = 'dead_letter'").join(acts.select("id", "activity_type", "payload"), "id").toLocalIterator():
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        for row in dead:
             if row["activity_type"] in self.handlers:
                 self.handlers[row["activity_type"]].on_dead_letter(json.loads(row["payload"] or "null"), row["last_error"])
 
-    def _spawn(self, done: DataFrame, now: datetime) -> None:
+    def _settle(self, done: DataFrame, now: datetime) -> list:
+        """One batch of all that follows from handlers' outcomes; returns what died."""
+        acts = self.log.latest("activities")
+        held = acts.filter("status = 'processing'")
+        commands = done.filter("outcome <> 'yield'").select("id", "worker_id", "outcome", "error", "data")
+        good, bad = T.ack_success(held, commands, at(now)), T.ack_failure(held, commands, at(now))
+        parked = T.park(held, done.filter("outcome = 'yield'").select("id", "worker_id", "wake_at", "kind", "step"))
+        over = bad.filter("state IS NOT NULL")
+        # a parent is woken by the end of any child, and doesn't sleep for a child that has ended
+        parents = good.select("parent_activity_id").unionByName(over.select(F.col("wakes").alias("parent_activity_id")))
+        ended = acts.filter(F.col("status").isin(S.TERMINAL)).select("id").unionByName(good.select("id")).unionByName(over.select("id"))
+        awaits = done.filter("kind = 'await'").select(F.col("id").alias("parent"), F.col("step").alias("id")).join(ended, "id", "left_semi")
+        ready = awaits.select(F.col("parent").alias("id")).unionByName(parents.select(F.col("parent_activity_id").alias("id"))).filter("id IS NOT NULL").distinct().withColumn("ready", F.lit(True))
+        parked = parked.join(ready, "id", "left").withColumns({"status": F.when(F.col("ready"), "pending").otherwise(F.col("status")), "scheduled_at": F.when(F.col("ready"), F.lit(None)).otherwise(F.col("scheduled_at"))})
+        # what isn't held any more changes nothing, its memos included
+        mine = done.join(good.select("id").unionByName(bad.select("id")).unionByName(parked.select("id")), "id", "left_semi")
+        memo = mine.select("id", F.explode("memo").alias("m")).select(S.checkpoint_id("id", "m.step").alias("activity_id"), "m.state", "m.data", at(now).alias("created_at"), F.col("id").alias("owner_activity_id"), "m.step")
+        stored = memo.select(F.col("activity_id").alias("id"), F.lit("ResultStored").alias("event_type"), F.to_json(F.struct(F.col("owner_activity_id").alias("owner"), "step")).alias("detail"))
+        events = stored
+        for rows in (good.select("id", "event_type"), bad.select("id", "event_type"), parked.select("id", "event_type", "detail")):
+            events = events.unionByName(rows, allowMissingColumns=True)
+        moved = self._moved(acts, good)
+        for change in (bad, parked, T.wake_parents(acts, parents)):
+            moved = moved.unionByName(self._moved(acts, change), allowMissingColumns=True)
+        new = self._rows_of_new(self._spawned(mine, acts), now)
+        self.log.append(
+            results=memo.unionByName(self._ended(good, now), allowMissingColumns=True).unionByName(self._ended(over, now), allowMissingColumns=True),
+            keys=new["keys"],
+            activities=new["activities"].unionByName(moved, allowMissingColumns=True),
+            events=self._events(events, now).unionByName(new["events"], allowMissingColumns=True),
+        )
+        return self.log.latest("activities").filter("status = 'dead_letter'").join(done.filter("outcome = 'retryable'").select("id"), "id", "left_semi").select("activity_type", "payload", "last_error").collect()
+
+    def _spawned(self, done: DataFrame, acts: DataFrame) -> DataFrame:
+        """Children that are not there yet."""
         s = done.select(F.explode("spawns").alias("s")).select("s.*")
-        s = s.join(self.log.latest("activities").select("id"), "id", "left_anti").dropDuplicates(["id"]).filter(F.col("depth") <= T.MOST_DEPTH)
-        if not s.isEmpty():
-            self._new(s.select("id", F.lit(self.queue).alias("queue_name"), "activity_type", "payload", "priority", "max_retries", "timeout_seconds", "delay_seconds", "max_retry_delay_seconds", F.col("key").alias("idempotency_key"), F.col("parent").alias("parent_activity_id"), F.col("root").alias("root_activity_id"), (F.col("depth") - 1).alias("parent_depth")), now)
+        s = s.join(acts.select("id"), "id", "left_anti").dropDuplicates(["id"])
+        names = {"key": "idempotency_key", "parent": "parent_activity_id", "root": "root_activity_id"}
+        given = ["id", "activity_type", "payload", "priority", "max_retries", "timeout_seconds", "delay_seconds", "max_retry_delay_seconds"]
+        return s.select(*given, F.lit(self.queue).alias("queue_name"), *[F.col(k).alias(v) for k, v in names.items()], (F.col("depth") - 1).alias("parent_depth"))
 
     def sweep(self, now: datetime, completed_ttl: int = 0, failed_ttl: int = 0, batch: int = 100) -> int:
         """Expired trees, oldest first."""
-        acts = self.log.latest("activities")
-        roots = self._pinned(T.expired_roots(acts, self.queue, at(now), completed_ttl, failed_ttl, batch))
-        n = roots.count()
-        if n:
-            tables = {"activities": acts, "results": self.log.latest("results"), "events": self.log.read("events").withColumn("id", F.col("activity_id")), "keys": self.log.latest("keys")}
-            self.log.erase(T.sweep(tables, roots))
+        with self.log.exclusive():
+            acts = self.log.latest("activities")
+            roots = self._pinned(T.expired_roots(acts, self.queue, at(now), completed_ttl, failed_ttl, batch))
+            n = roots.count()
+            if n:
+                tables = {t: self.log.latest(t) for t in ("results", "events", "keys")} | {"activities": acts}
+                self.log.erase(T.sweep(tables, roots))
         return n
 
     # --- life -------------------------------------------------------------------------------
 
+    def _beat(self) -> None:
+        """One trigger: a beat of the pool, a tick, and sweeps when they are due, batch by batch until one is short."""
+        with self._busy:
+            if self._stopping.is_set():
+                return
+            now = utc_now()
+            if time.monotonic() - self._beat_at > BEAT_SECONDS:
+                self._beat_at = time.monotonic()
+                self._pool(self.slots, now)
+            self.tick(now)
+            if self.retention and time.monotonic() - self._sweep_at > SWEEP_SECONDS:
+                self._sweep_at = time.monotonic()
+                while self.sweep(utc_now(), *self.retention) >= 100 and not self._stopping.is_set():
+                    pass
+
+    def _pool(self, workers: int | None, now: datetime) -> None:
+        schema = "pool_id string, queue_name string, max_workers int, activity_types array<string>"
+        with self.log.exclusive():
+            self.log.append(pools=self.spark.createDataFrame([(self.worker, self.queue, workers, self.types)], schema).withColumn("last_seen_at", at(now)))
+
     def start(self, checkpoint: str, every: str = "1 second") -> None:
         """Tick on a trigger until stop()."""
+        self._stopping.clear()
         beat = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        self.query = beat.writeStream.foreachBatch(lambda _df, _n: self.tick(datetime.now(timezone.utc).replace(tzinfo=None))).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
-
-    def stop(self, grace: float = 30) -> None:
-        """After the batch in flight."""
-        if self.query is not None:
-            self.query.processAllAvailable() if grace <= 0 else None
-            self.query.stop()
-            self.query = None
+        self.query = beat.writeStream.foreachBatch(lambda _df, _n: self._beat()).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+    def stop(self, grace: float = 30) -> bool:
+        """No new claims; the batch in flight has ``grace`` seconds to end, then it is cut off and its leases run out. True if it ended."""
+        if self.query is None:
+            return True
+        self._stopping.set()
+        drained = self._busy.acquire(timeout=max(0.0, grace))
+        self.query.stop()
+        self.query = None
+        if drained:
+            self._busy.release()
+            self._pool(None, utc_now())
+        return drained
