@@ -11,7 +11,7 @@ from tidemark.functions import scalar as S
 from tidemark.operators import inspect as I
 from tidemark.operators import transitions as T
 from tidemark.plans import oracle as O
-from tidemark.sources import lift as L
+from tidemark.sources import stored as L
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -141,8 +141,7 @@ def get_result(spark, sf_dir) -> DataFrame:
 
 @query("WITH " + O.EVENTS + "SELECT id, activity_id, event_type, worker_id, detail, created_at FROM log WHERE activity_id = 7000 ORDER BY created_at, id LIMIT 50")
 def activity_events(spark, sf_dir) -> DataFrame:
-    found = I.activity_events(L.events(spark, sf_dir), 7000)
-    return found.select("id", F.lit(7000).cast("long").alias("activity_id"), "event_type", "worker_id", "detail", "created_at")
+    return I.activity_events(L.events(spark, sf_dir), 7000).select("id", "activity_id", "event_type", "worker_id", "detail", "created_at")
 
 
 @query(O.over("SELECT activity_id, split_part(step, ':', 1) AS kind, substr(step, strpos(step, ':') + 1) AS name, state, data, created_at FROM checkpoints WHERE owner_activity_id = 7000", O.RESULTS))
@@ -434,7 +433,8 @@ doomed AS (SELECT activity_id FROM results WHERE owner_activity_id IN (SELECT id
 def sweep_tree_counts(spark, sf_dir) -> DataFrame:
     tables = {"activities": L.activities(spark, sf_dir), "results": L.results(spark, sf_dir), "events": L.events(spark, sf_dir), "keys": L.idempotency(spark, sf_dir)}
     out = None
-    for kind, gone in T.sweep(tables, _gone(spark, sf_dir)).items():
+    # the roots serve four counts; persisted, not checkpointed: lost blocks are computed anew
+    for kind, gone in T.sweep(tables, _gone(spark, sf_dir).persist()).items():
         n = gone.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
         out = n if out is None else out.unionByName(n)
     return out

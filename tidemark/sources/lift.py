@@ -97,21 +97,29 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results_of(activities(spark, sf_dir))
+
+
+def results_of(activities: DataFrame) -> DataFrame:
     """Terminal activities' own results, and a checkpoint of each child owned by its root."""
-    acts = activities(spark, sf_dir).select("id", "status", "payload", "created_at")
+    acts = activities.select("id", "status", "payload", "created_at")
     own = acts.filter(F.col("status").isin(S.TERMINAL)).select(F.col("id").alias("activity_id"), F.when(F.col("status") == "completed", "Ok").otherwise("Err").alias("state"), F.col("payload").alias("data"), (F.col("created_at") + _hours(48)).alias("created_at"), F.col("id").alias("owner_activity_id"), F.lit(None).cast("string").alias("step"))
-    return own.unionByName(checkpoints(spark, sf_dir))
+    return own.unionByName(checkpoints_of(activities))
 
 
-def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kids, rn = children(spark, sf_dir), F.col("id") % 1000
+def checkpoints_of(activities: DataFrame) -> DataFrame:
+    kids, rn = activities.filter("depth = 1"), F.col("id") % 1000
     step = F.concat(F.when(rn % 3 == 0, "run").when(rn % 3 == 1, "sleep").otherwise("signal"), F.lit(":s"), rn.cast("string"))
     return kids.select((-F.col("id")).alias("activity_id"), F.lit("Ok").alias("state"), F.col("payload").alias("data"), "created_at", F.col("root_activity_id").alias("owner_activity_id"), step.alias("step"))
 
 
 def idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys_of(activities(spark, sf_dir))
+
+
+def keys_of(activities: DataFrame) -> DataFrame:
     k = F.floor(F.col("id") / 1000)
-    return activities(spark, sf_dir).filter("idempotency_key IS NOT NULL").select("queue_name", "idempotency_key", F.when(k % 50 == 0, -F.col("id")).otherwise(F.col("id")).alias("activity_id"), "created_at")
+    return activities.filter("idempotency_key IS NOT NULL").select("queue_name", "idempotency_key", F.when(k % 50 == 0, -F.col("id")).otherwise(F.col("id")).alias("activity_id"), "created_at")
 
 
 def worker_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +128,12 @@ def worker_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands_of(activities(spark, sf_dir))
+
+
+def commands_of(activities: DataFrame) -> DataFrame:
     """An acknowledgement of every activity in process, some by a worker that no longer holds it."""
     h = F.col("id") % 1000 + F.floor(F.col("id") / 1000)
     outcome = F.when(h % 4 == 0, "success").when(h % 4 == 1, "non_retryable").otherwise("retryable")
     worker = F.when(h % 11 == 0, "stale").otherwise(F.col("current_worker_id"))
-    return activities(spark, sf_dir).filter("status = 'processing'").select("id", outcome.alias("outcome"), worker.alias("worker_id"), F.when(h % 3 == 0, 'bad "quote"').when(h % 3 == 1, "line\nand \\ slash").otherwise("boom2").alias("error"), F.concat(F.lit('{"done":'), F.col("id").cast("string"), F.lit("}")).alias("data"))
+    return activities.filter("status = 'processing'").select("id", outcome.alias("outcome"), worker.alias("worker_id"), F.when(h % 3 == 0, 'bad "quote"').when(h % 3 == 1, "line\nand \\ slash").otherwise("boom2").alias("error"), F.concat(F.lit('{"done":'), F.col("id").cast("string"), F.lit("}")).alias("data"))
