@@ -161,8 +161,10 @@ class Engine:
         with self.log.exclusive():
             claimed = self._claim(now)
             n = claimed.count()
+            # at most ``slots`` rows with their memos, read before another writer has its turn
+            rows = self._pinned(self._inputs(claimed.select("id"))) if n else None
         if n:
-            self._run(claimed.select("id"), now)
+            self._run(rows.repartition(n), now)
         self.counters["claimed"] += n
         return n
 
@@ -188,13 +190,16 @@ class Engine:
     def _events(self, rows: DataFrame, now: datetime) -> DataFrame:
         return rows.withColumn("activity_id", F.col("id")).withColumn("queue_name", F.lit(self.queue)).withColumn("created_at", at(now))
 
-    def _run(self, ids: DataFrame, now: datetime) -> None:
+    def _inputs(self, ids: DataFrame) -> DataFrame:
+        """Activities with their memos and their children's results."""
         acts, results = self.log.latest("activities"), self.log.latest("results")
         mine = acts.join(ids, "id", "left_semi")
-        memo = results.filter("step IS NOT NULL").groupBy(F.col("owner_activity_id").alias("id")).agg(F.collect_list(F.struct("step", "state", "data")).alias("memo"))
+        memo = results.filter("step IS NOT NULL").join(ids.withColumnRenamed("id", "owner_activity_id"), "owner_activity_id", "left_semi").groupBy(F.col("owner_activity_id").alias("id")).agg(F.collect_list(F.struct("step", "state", "data")).alias("memo"))
         own = results.filter("step IS NULL").select(F.col("activity_id").alias("child"), "state", "data")
-        below = acts.filter("parent_activity_id IS NOT NULL").select(F.col("parent_activity_id").alias("id"), F.col("id").alias("child")).join(own, "child").groupBy("id").agg(F.collect_list(F.struct("child", "state", "data")).alias("below"))
-        rows = mine.join(memo, "id", "left").join(below, "id", "left")
+        below = acts.select(F.col("parent_activity_id").alias("id"), F.col("id").alias("child")).join(ids, "id", "left_semi").join(own, "child").groupBy("id").agg(F.collect_list(F.struct("child", "state", "data")).alias("below"))
+        return mine.join(memo, "id", "left").join(below, "id", "left")
+
+    def _run(self, rows: DataFrame, now: datetime) -> None:
         handlers, worker = self.handlers, self.worker
 
         def run(batches):
@@ -227,8 +232,11 @@ class Engine:
 
     def _settle(self, done: DataFrame, now: datetime) -> list:
         """One batch of all that follows from handlers' outcomes; returns what died."""
-        acts = self.log.latest("activities")
-        held = acts.filter("status = 'processing'")
+        every = self.log.latest("activities")
+        held = self._pinned(every.filter("status = 'processing'").join(done.select("id"), "id", "left_semi"))
+        # the batch's own rows, their parents, the children they wait for or start: two passes over the log, the rest is local
+        around = held.select(F.col("parent_activity_id").alias("id")).unionByName(done.filter("kind = 'await'").select(F.col("step").alias("id"))).unionByName(done.select(F.explode("spawns.id").alias("id")))
+        acts = held.unionByName(self._pinned(every.join(around.filter("id IS NOT NULL").distinct(), "id", "left_semi").join(held.select("id"), "id", "left_anti")))
         commands = done.filter("outcome <> 'yield'").select("id", "worker_id", "outcome", "error", "data")
         good, bad = T.ack_success(held, commands, at(now)), T.ack_failure(held, commands, at(now))
         parked = T.park(held, done.filter("outcome = 'yield'").select("id", "worker_id", "wake_at", "kind", "step"))
@@ -256,7 +264,7 @@ class Engine:
             activities=new["activities"].unionByName(moved, allowMissingColumns=True),
             events=self._events(events, now).unionByName(new["events"], allowMissingColumns=True),
         )
-        return self.log.latest("activities").filter("status = 'dead_letter'").join(done.filter("outcome = 'retryable'").select("id"), "id", "left_semi").select("activity_type", "payload", "last_error").collect()
+        return over.filter("status = 'dead_letter'").select("id", "last_error").join(held.drop("last_error"), "id").select("activity_type", "payload", "last_error").collect()
 
     def _spawned(self, done: DataFrame, acts: DataFrame) -> DataFrame:
         """Children that are not there yet."""
