@@ -248,3 +248,28 @@ def test_leases_are_extended(spark, tmp_path):
     assert engine.extend_lease(key, 7200, NOW)
     late = NOW + timedelta(seconds=3600)
     assert engine.tick(late) == 0 and log.latest("activities").first()["status"] == "processing"
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    logs = [Log(spark, str(tmp_path / "log")) for _ in range(4)]
+    inside, most, turns = [], [], []
+
+    def write(log):
+        for _ in range(25):
+            with log.exclusive():
+                inside.append(1)
+                most.append(len(inside))
+                time.sleep(0.001)
+                inside.pop()
+                turns.append(1)
+
+    threads = [threading.Thread(target=write, args=(log,)) for log in logs]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert max(most) == 1 and len(turns) == 100
+    with logs[0].exclusive(), pytest.raises(TimeoutError), logs[1].exclusive(patience=0.2):
+        pass
+    with logs[0].exclusive(), logs[1].exclusive(stale=-1):
+        pass  # one left by a crash is broken
