@@ -1,4 +1,4 @@
-"""Operator 4: suffix-array dedup on bytes, by a depth-limited radix sort."""
+"""Operator 4: suffix dedup on bytes to a limited depth. Not by most-significant-digit passes: see README for the reason and figures."""
 
 from __future__ import annotations
 
@@ -16,12 +16,11 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<i
 def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 24, text: str = "text", key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
     """Remove each byte covered by a ``depth``-byte string that also starts in a document with a smaller id.
 
-    Suffixes are ordered only to ``depth`` bytes, by passes of a most-significant-digit radix
-    sort over groups that are still mixed. Suffixes whose first ``depth`` bytes share their
-    least-hash ``digit``-byte string go through the first two passes together:
-    the first pass deals them by that digit and settles groups of one document, the second by
-    the bytes they cover together, and the third orders single suffixes to full depth where
-    groups are still mixed. Equal groups are exactly the repeated strings.
+    Only the first ``depth`` bytes of suffixes are compared, in three passes, each over groups that are still
+    mixed. Suffixes whose first ``depth`` bytes share their string of ``digit`` bytes of least hash go
+    through the first two together: the first pass deals them by that string and settles groups
+    of one document, the second by all the bytes they cover together, and the third compares single suffixes
+    to full depth where groups are still mixed. Equal ones are exactly the repeated strings.
 
     Returns doc_id, n_bytes, n_removed, n_spans, spans (start and end of each removed run, in
     bytes), kept (remaining bytes) and rest (JSON of the carried columns).
