@@ -88,6 +88,16 @@ def test_suffix_dedup(spark):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("depth,digit,slices", [(12, 12, 1), (12, 1, 4), (9, 8, 2), (1, 1, 2), (50, 16, 5)])
+def test_suffix_digits_and_slices(spark, monkeypatch, depth, digit, slices):
+    """Any digits and slices, and first digits that many buckets share."""
+    monkeypatch.setattr(C, "BUCKET_KEYS", 300)
+    rows = corpus(3)
+    got = suffix_dedup(spark.createDataFrame(rows, DOCS).repartition(3), depth, digit, slices=slices).collect()
+    want = [(d, len(t), sum(m), bytes(b for b, x in zip(t, m) if not x)) for d, t, m in covered([r[:2] for r in rows], lambda t: (t or "").encode(), depth)]
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got), key=key) == sorted(want, key=key)
+
+
 def shingles(t, size):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     w = [x.translate(lower) for x in words_of(t)]

@@ -446,16 +446,23 @@ def per_group(reduce):
 
 
 def answered(sent: DataFrame, kinds: list, decide) -> DataFrame:
+    """replies, written."""
+    return written(replies(sent, kinds, decide))
+
+
+def replies(sent: DataFrame, kinds: list, decide, unpress=None) -> DataFrame:
     """One row per pack with the sorted answers of all its buckets.
 
     decide(keys, pack index of each entry, extras) returns a byte per entry.
+    unpress(data, n) reads keys that were not written by entries().
     """
+    unpress = unpress or (lambda data, n: unplanes(data, n, np.uint64))
 
     def reduce(batches):
         import zstandard
 
         rows = list(rows_of(batches))
-        keys = np.concatenate([unplanes(r["keys"], r["n"], np.uint64) for r in rows])
+        keys = np.concatenate([unpress(r["keys"], r["n"]) for r in rows])
         n = np.array([r["n"] for r in rows])
         out = decide(keys, np.repeat(np.arange(len(rows)), n), extras_of(rows, kinds)).astype(np.uint8)
         cuts = np.concatenate([[0], np.cumsum(n)])
@@ -465,7 +472,7 @@ def answered(sent: DataFrame, kinds: list, decide) -> DataFrame:
             yield batch_of(ANSWER_SCHEMA, [[rows[k]["bucket"] for k in some], [rows[k]["pack_id"] for k in some], [press.compress(out[cuts[k] : cuts[k + 1]].tobytes()) for k in some]])
 
     out = sent.groupBy("bucket").applyInArrow(per_group(reduce), ANSWER_SCHEMA)
-    return written(out.groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers")))
+    return out.groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
 
 
 def answer_bytes(answers) -> np.ndarray:

@@ -1,7 +1,26 @@
-"""Operator 4: suffix dedup on bytes to a limited depth. Not by most-significant-digit passes: see README for the reason and figures."""
+"""Operator 4: suffix dedup on bytes by a radix sort of limited depth, most significant digit first.
+
+All suffixes take part, and no suffix is looked at beyond ``depth`` bytes.
+
+1. First digit, two bytes: counted over all suffixes. The counts deal suffixes, in their
+   order, to buckets of about equal size, and buckets to slices that are sorted one after the
+   other, which bounds what lies on disk. A digit with more than a bucket of suffixes is
+   spread over several by the bytes that follow.
+2. Second digit, up to ``digit`` bytes: each bucket is sorted by it. Groups of one document are settled.
+   A suffix is settled as well where a later one of its ``depth`` bytes is, since that one's
+   digit is a part of its own later digits. What is left stands in runs of neighbours.
+3. The longest digit, whole runs: a run that also stands in a smaller document is repeated as a whole.
+4. Last digit, up to ``depth`` bytes: the suffixes of the first document of each run are sorted by it.
+   Equal ones are exactly the repeated strings.
+
+Each pack sends its distinct digits once, sorted (see common.entries). Pass 2 keeps 28 bits of a digit in its
+bucket, so it may take some for equal, which costs work only; passes 3 and 4 tell digits apart by 128 bits.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +30,195 @@ from tidemark.llm import common as C
 from tidemark.llm import repeats as R
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary, rest string"
+COUNT_SCHEMA = "first int, n long"
+RUNS_SCHEMA = "pack_id long, lo binary, hi binary"
+#: Values of the first digit.
+FIRST = 1 << 16
+#: Bits of the second digit, and of a bucket's number, in a sort key; the rest is the document's place in its pack.
+DIGIT_BITS, BUCKET_BITS = 28, 64 - 28 - C.PLACE_BITS
+_DIGIT = np.uint64((1 << DIGIT_BITS) - 1)
+
+
+@dataclass(frozen=True)
+class Deal:
+    """Buckets of suffixes by their first digit: the first bucket of each value, over how many it is spread, and buckets to a slice."""
+
+    first: np.ndarray
+    spread: np.ndarray
+    each: int
+    slices: int
+
+    @staticmethod
+    def of(counts: np.ndarray, partitions: int, slices: int) -> Deal:
+        total = int(counts.sum())
+        size = max(1, min(C.BUCKET_KEYS, total // (slices * partitions)))
+        first = (np.cumsum(counts) - counts) // size
+        spread = np.maximum(1, -(-counts // size))
+        buckets = int((first + spread).max())
+        slices = max(slices, -(-buckets >> BUCKET_BITS))
+        return Deal(first, spread, -(-buckets // slices), slices)
+
+    def bucket(self, digit: np.ndarray, following: np.ndarray) -> np.ndarray:
+        out, spread = self.first[digit], self.spread[digit]
+        hot = np.flatnonzero(spread > 1)
+        out[hot] += ((following[hot] >> np.uint64(34)) * spread[hot].astype(np.uint64) >> np.uint64(30)).astype(np.int64)
+        return out
+
+    def slice(self, digit: np.ndarray) -> np.ndarray:
+        return self.first[digit] // self.each
+
+
+class Suffixes:
+    """The suffixes of a pack's documents of at least ``depth`` bytes."""
+
+    def __init__(self, pack: C.Pack, depth: int, digit: int):
+        self.pack, self.depth, self.size = pack, depth, digit
+        self.n = len(pack.buf)
+        counts = np.diff(pack.offsets)
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        left = pack.offsets[1:][self.doc] - np.arange(self.n)
+        self.at = np.flatnonzero((counts >= depth)[self.doc] & (left >= digit))
+
+    def first_digit(self, at: np.ndarray) -> np.ndarray:
+        digit = self.pack.buf[at].astype(np.int64) << 8
+        return digit | self.pack.buf[at + 1] if self.size > 1 else digit
+
+    def keys(self, deal: Deal) -> np.ndarray:
+        """Bucket and second digit of each suffix."""
+        digit = C.run_hashes(self.pack.buf, self.size)[self.at]
+        return (deal.bucket(self.first_digit(self.at), digit).astype(np.uint64) << np.uint64(DIGIT_BITS)) | (digit & _DIGIT)
+
+    def second_digits(self, deal: Deal, part: int):
+        """Sorted distinct keys of a slice, and whether several documents of the pack have them."""
+        key = self.keys(deal)
+        low = np.uint64(part * deal.each)
+        bucket = key >> np.uint64(DIGIT_BITS)
+        inside = np.flatnonzero((bucket >= low) & (bucket < low + np.uint64(deal.each)))
+        key = ((key[inside] - (low << np.uint64(DIGIT_BITS))) << np.uint64(C.PLACE_BITS)) | self.doc[self.at[inside]].astype(np.uint64)
+        key.sort()
+        if not len(key):
+            return key, np.zeros(0, np.uint8)
+        cut = np.flatnonzero(C.group_starts(key >> np.uint64(C.PLACE_BITS)))
+        last = np.append(cut[1:], len(key)) - 1
+        several = (key[cut] != key[last]).astype(np.uint8)
+        return (key[cut] >> np.uint64(C.PLACE_BITS)) + (low << np.uint64(DIGIT_BITS)), several
+
+    def runs(self, deal: Deal, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last suffix of each run in which all digits of all suffixes are shared."""
+        key = self.keys(deal)
+        order = np.argsort(key)
+        shared = np.zeros(self.n, bool)
+        if len(key):
+            shared[self.at[order]] = answer[np.cumsum(C.group_starts(key[order])) - 1] > 0
+        width = self.depth - self.size + 1
+        lo, hi = R.runs(shared, self.pack.offsets)
+        long = hi - lo >= width
+        return lo[long], hi[long] - width
+
+
+def _pressed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences: two low bytes as they are, the high ones pressed."""
+    import zstandard
+
+    steps = np.diff(keys, prepend=keys.dtype.type(0)).astype(np.uint32)
+    return (steps & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + zstandard.ZstdCompressor(level=1).compress((steps >> np.uint32(16)).astype(np.uint16).tobytes())
+
+
+def _unpressed(data: bytes, n: int) -> np.ndarray:
+    import zstandard
+
+    high = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2 * n :], max_output_size=2 * n), np.uint16)
+    return np.cumsum(np.frombuffer(data, np.uint16, n) + (high.astype(np.uint64) << np.uint64(16)), dtype=np.uint64)
 
 
-def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 24, text: str = "text", key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
+def _digit_entries(pack_id: int, key: np.ndarray, several: np.ndarray) -> pa.RecordBatch | None:
+    import zstandard
+
+    if not len(key):
+        return None
+    bucket = (key >> np.uint64(DIGIT_BITS)).astype(np.int64)
+    cut = np.append(np.flatnonzero(C.group_starts(bucket)), len(key))
+    digit, press = key & _DIGIT, zstandard.ZstdCompressor(level=1)
+    blobs = [_pressed(digit[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+    flags = [press.compress(several[a:z].tobytes()) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+    return C.batch_of(C.ENTRY_SCHEMA, [bucket[cut[:-1]], np.full(len(cut) - 1, pack_id), np.diff(cut), blobs, flags])
+
+
+def _decide_digit(keys, who, extras):
+    """1 for digits that several documents have."""
+    order = np.argsort(keys)
+    cut = C.group_starts(keys[order])
+    at, group = np.flatnonzero(cut), np.cumsum(cut) - 1
+    shared = (np.diff(np.append(at, len(keys))) > 1) | (np.maximum.reduceat(extras[0][order], at) > 0)
+    out = np.empty(len(keys), np.uint8)
+    out[order] = shared[group]
+    return out
+
+
+class Runs:
+    """Runs of suffixes of a pack that are still in groups of several documents."""
+
+    def __init__(self, row: dict, depth: int):
+        self.pack, self.depth = C.Pack(row), depth
+        self.lo, self.hi = (np.frombuffer(row[c] or b"", np.int64) for c in ("lo", "hi"))
+        self.id = self.pack.ids[np.searchsorted(self.pack.offsets, self.lo, side="right") - 1]
+
+    def whole(self):
+        """Entries of whole runs: two lanes of their hash, least id."""
+        key, check = (C.bytes_hashes(self.pack.buf, self.lo, self.hi + self.depth, lane) for lane in (0, 1))
+        order = np.lexsort((self.id, check, key))
+        cut = C.group_starts(key[order], check[order])
+        self.group = np.empty(len(key), np.int64)
+        self.group[order] = np.cumsum(cut) - 1
+        self.lead = order[cut] if len(key) else order
+        return key[self.lead], check[self.lead], self.id[self.lead]
+
+    def last_digits(self, covered: np.ndarray, deal: Deal, part: int | None = None):
+        """Entries of the suffixes of runs that lead and aren't covered, by slice: two lanes, least id."""
+        self.open = np.flatnonzero(covered == 0)
+        run = self.lead[self.open]
+        count = self.hi[run] - self.lo[run] + 1
+        self.suffix = C.ranges(self.lo[run], count)
+        self.suffix_id = np.repeat(self.id[run], count)
+        first = self.pack.buf[self.suffix].astype(np.int64) << 8
+        parts = deal.slice(first | self.pack.buf[self.suffix + 1] if self.depth > 1 else first)
+        if part is not None:
+            self.suffix, self.suffix_id, parts = (x[parts == part] for x in (self.suffix, self.suffix_id, parts))
+        key, check = (C.bytes_hashes(self.pack.buf, self.suffix, self.suffix + self.depth, lane) for lane in (0, 1))
+        order = np.lexsort((self.suffix_id, check, key, parts))
+        cut = C.group_starts(parts[order], key[order], check[order])
+        self.suffix_group = np.empty(len(key), np.int64)
+        self.suffix_group[order] = np.cumsum(cut) - 1
+        self.least = self.suffix_id[order[cut]] if len(key) else self.suffix_id
+        lead = order[cut] if len(key) else order
+        return key[lead], check[lead], self.suffix_id[lead]
+
+    def removed(self, covered: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+        """Mask of the bytes that repeated strings cover. Runs like a pack's leading one in a larger document go whole."""
+        cover = np.zeros(len(self.pack.buf) + 1, np.int64)
+        if len(self.lo):
+            whole = (covered[self.group] > 0) | (self.id > self.id[self.lead][self.group])
+            np.add.at(cover, self.lo[whole], 1)
+            np.add.at(cover, self.hi[whole] + self.depth, -1)
+            gone = (repeated[self.suffix_group] > 0) | (self.suffix_id > self.least[self.suffix_group])
+            # equal runs of the leading document share the verdict of its first
+            verdict = np.full(len(self.lead), -1)
+            count = (self.hi - self.lo + 1)[self.lead[self.open]]
+            verdict[self.open] = np.cumsum(count) - count
+            rest = np.flatnonzero(~whole)
+            count = self.hi[rest] - self.lo[rest] + 1
+            at = C.ranges(self.lo[rest], count)[gone[C.ranges(verdict[self.group[rest]], count)]]
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + self.depth, -1)
+        return np.cumsum(cover[:-1]) > 0
+
+
+def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str = "text", key: str = "doc_id", carry: list[str] = (), slices: int = 3) -> DataFrame:
     """Remove each byte covered by a ``depth``-byte string that also starts in a document with a smaller id.
 
-    Only the first ``depth`` bytes of suffixes are compared, in three passes, each over groups that are still
-    mixed. Suffixes whose first ``depth`` bytes share their string of ``digit`` bytes of least hash go
-    through the first two together: the first pass deals them by that string and settles groups
-    of one document, the second by all the bytes they cover together, and the third compares single suffixes
-    to full depth where groups are still mixed. Equal ones are exactly the repeated strings.
+    Suffixes are sorted by their first two bytes, by their first ``digit`` bytes and by
+    their first ``depth`` bytes, each pass within the groups that are still mixed (see above).
+    slices: parts, by first digits, in which passes go over the texts; more of them hold less on disk at a time.
 
     Returns doc_id, n_bytes, n_removed, n_spans, spans (start and end of each removed run, in
     bytes), kept (remaining bytes) and rest (JSON of the carried columns).
@@ -28,16 +226,81 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 24, text: str =
     another's bytes; a null doc_id ranks last. Other columns play no part. An empty table
     gives no rows.
     """
-    plan = R.Plan(depth, depth, min(digit, depth), words=False, aligned=False)
+    digit = min(digit, depth)
+    packs = C.packed(docs, text, key, carry)
+    light = packs.drop("rest", "rest_lens", "also")
+
+    def counted(batches):
+        counts = np.zeros(FIRST, np.int64)
+        for row in C.rows_of(batches):
+            suffixes = Suffixes(C.Pack(row), depth, digit)
+            counts += np.bincount(suffixes.first_digit(suffixes.at), minlength=FIRST)
+        yield C.batch_of(COUNT_SCHEMA, [np.flatnonzero(counts), counts[counts > 0]])
+
+    # no more rows than values of the digit
+    found = light.mapInArrow(C.tidied(counted), COUNT_SCHEMA).groupBy("first").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(FIRST, np.int64)
+    counts[found["first"]] = found["n"]
+    deal = Deal.of(counts, C.shuffle_partitions(docs.sparkSession), slices)
+
+    def second(part):
+        def send(batches):
+            for row in C.rows_of(batches):
+                keys, several = Suffixes(C.Pack(row), depth, digit).second_digits(deal, part)
+                if (out := _digit_entries(row["pack_id"], keys, several)) is not None:
+                    yield out
+
+        return C.replies(light.mapInArrow(C.tidied(send), C.ENTRY_SCHEMA), [np.uint8], _decide_digit, _unpressed)
+
+    def left(batches):
+        for row in C.rows_of(batches):
+            lo, hi = Suffixes(C.Pack(row), depth, digit).runs(deal, C.answer_bytes(row["digits"]))
+            yield C.batch_of(RUNS_SCHEMA, [[row["pack_id"]], [lo.tobytes()], [hi.tobytes()]])
+
+    def whole(batches):
+        for row in C.rows_of(batches):
+            key, *extras = Runs(row, depth).whole()
+            if (out := C.entries(row["pack_id"], key, extras, nb)) is not None:
+                yield out
+
+    def fourth(part):
+        def send(batches):
+            for row in C.rows_of(batches):
+                runs = Runs(row, depth)
+                runs.whole()
+                key, *extras = runs.last_digits(C.answer_bytes(row["covered"]), deal, part)
+                if (out := C.entries(row["pack_id"], key, extras, nb)) is not None:
+                    yield out
+
+        sent = open_.mapInArrow(C.tidied(send), C.ENTRY_SCHEMA).withColumn("bucket", F.col("bucket") + part * nb)
+        return C.replies(sent, [np.uint64, np.int64], R.decide_window)
+
+    def last(batches):
+        for row in C.rows_of(batches):
+            runs, covered = Runs(row, depth), C.answer_bytes(row["covered"])
+            runs.whole()
+            runs.last_digits(covered, deal)
+            yield emit(runs.pack, runs.removed(covered, C.answer_bytes(row["repeated"])))
+
+    def emit(p: C.Pack, gone: np.ndarray):
+        first = p.offsets
+        starts, ends = R.runs(gone, first)
+        before = np.concatenate([[0], np.cumsum(gone)])[first]
+        kept = C.strings(p.buf[~gone], first - before, pa.binary())
+        return C.batch_of(SCHEMA, [p.id_column(), np.diff(first), np.diff(before), np.diff(np.searchsorted(starts, first)), R.span_lists(starts, ends, first), kept, p.rest()])
+
+    nb = C.buckets_for(packs, 1 / 8)
+    digits = _of_packs(C.written_all(second(part) for part in range(deal.slices)), "digits")
+    runs = C.written(light.join(digits, "pack_id", "left").mapInArrow(C.tidied(left), RUNS_SCHEMA)).hint("merge")
+    covered = _of_packs(C.written(C.replies(light.join(runs, "pack_id").mapInArrow(C.tidied(whole), C.ENTRY_SCHEMA), [np.uint64, np.int64], R.decide_window)), "covered")
+    open_ = light.join(runs, "pack_id").join(covered, "pack_id")
+    repeated = _of_packs(C.written_all(fourth(part) for part in range(deal.slices)), "repeated")
+    return packs.join(runs, "pack_id").join(covered, "pack_id", "left").join(repeated, "pack_id", "left").mapInArrow(C.tidied(last), SCHEMA)
 
-    def emit(tokens: R.Tokens, gone: np.ndarray):
-        p = tokens.pack
-        starts, ends = R.runs(gone, tokens.first)
-        before = np.concatenate([[0], np.cumsum(gone)])[tokens.first]
-        kept = C.strings(p.buf[~gone], tokens.first - before, pa.binary())
-        return C.batch_of(SCHEMA, [p.id_column(), np.diff(tokens.first), np.diff(before), np.diff(np.searchsorted(starts, tokens.first)), R.span_lists(starts, ends, tokens.first), kept, p.rest()])
 
-    return R.remove_repeats(C.packed(docs, text, key, carry), plan, SCHEMA, emit)
+def _of_packs(answers: DataFrame, name: str) -> DataFrame:
+    """One row per pack with the answers of all slices; merged at every size."""
+    return answers.groupBy("pack_id").agg(F.sort_array(F.flatten(F.collect_list("answers"))).alias(name)).hint("merge")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

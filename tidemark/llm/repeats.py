@@ -215,7 +215,7 @@ def _decide_context(keys, who, extras):
     return out
 
 
-def _decide_window(keys, who, extras):
+def decide_window(keys, who, extras):
     check, ids = extras
     order = np.lexsort((ids, check, keys))
     cut = C.group_starts(keys[order], check[order])
@@ -279,7 +279,7 @@ def remove_repeats(packs: DataFrame, plan: Plan, schema: str, emit) -> DataFrame
     named = lambda df, name: df.withColumnRenamed("answers", name).hint("merge")
     a1 = named(C.answered(light.mapInArrow(C.tidied(first), C.ENTRY_SCHEMA), [np.uint8], _decide_anchor), "a1")
     a2 = named(C.answered(light.join(a1, "pack_id").mapInArrow(C.tidied(second), C.ENTRY_SCHEMA), [np.uint64, np.uint64, np.int64], _decide_context), "a2")
-    a3 = named(C.answered(light.join(a1, "pack_id").join(a2, "pack_id").mapInArrow(C.tidied(third), C.ENTRY_SCHEMA), [np.uint64, np.int64], _decide_window), "a3")
+    a3 = named(C.answered(light.join(a1, "pack_id").join(a2, "pack_id").mapInArrow(C.tidied(third), C.ENTRY_SCHEMA), [np.uint64, np.int64], decide_window), "a3")
     known = a1.join(a2, "pack_id", "left").join(a3, "pack_id", "left")
     return packs.join(known.hint("merge"), "pack_id", "left").mapInArrow(C.tidied(last), schema)
 
