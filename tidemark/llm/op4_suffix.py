@@ -64,6 +64,10 @@ class Deal:
         out[hot] += ((following[hot] >> np.uint64(34)) * spread[hot].astype(np.uint64) >> np.uint64(30)).astype(np.int64)
         return out
 
+    def meets(self, part: int) -> np.ndarray:
+        """Values of the first digit that have buckets in a slice."""
+        return (self.first < (part + 1) * self.each) & (self.first + self.spread > part * self.each)
+
     def slice(self, digit: np.ndarray) -> np.ndarray:
         return self.first[digit] // self.each
 
@@ -83,18 +87,19 @@ class Suffixes:
         digit = self.pack.buf[at].astype(np.int64) << 8
         return digit | self.pack.buf[at + 1] if self.size > 1 else digit
 
-    def keys(self, deal: Deal) -> np.ndarray:
-        """Bucket and second digit of each suffix."""
-        digit = C.run_hashes(self.pack.buf, self.size)[self.at]
-        return (deal.bucket(self.first_digit(self.at), digit).astype(np.uint64) << np.uint64(DIGIT_BITS)) | (digit & _DIGIT)
+    def keys(self, deal: Deal, at: np.ndarray) -> np.ndarray:
+        """Bucket and second digit of some suffixes."""
+        digit = C.run_hashes(self.pack.buf, self.size)[at]
+        return (deal.bucket(self.first_digit(at), digit).astype(np.uint64) << np.uint64(DIGIT_BITS)) | (digit & _DIGIT)
 
     def second_digits(self, deal: Deal, part: int):
         """Sorted distinct keys of a slice, and whether several documents of the pack have them."""
-        key = self.keys(deal)
+        at = self.at[deal.meets(part)[self.first_digit(self.at)]]
+        key = self.keys(deal, at)
         low = np.uint64(part * deal.each)
         bucket = key >> np.uint64(DIGIT_BITS)
         inside = np.flatnonzero((bucket >= low) & (bucket < low + np.uint64(deal.each)))
-        key = ((key[inside] - (low << np.uint64(DIGIT_BITS))) << np.uint64(C.PLACE_BITS)) | self.doc[self.at[inside]].astype(np.uint64)
+        key = ((key[inside] - (low << np.uint64(DIGIT_BITS))) << np.uint64(C.PLACE_BITS)) | self.doc[at[inside]].astype(np.uint64)
         key.sort()
         if not len(key):
             return key, np.zeros(0, np.uint8)
@@ -105,7 +110,7 @@ class Suffixes:
 
     def runs(self, deal: Deal, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last suffix of each run in which all digits of all suffixes are shared."""
-        key = self.keys(deal)
+        key = self.keys(deal, self.at)
         order = np.argsort(key)
         shared = np.zeros(self.n, bool)
         if len(key):
@@ -213,7 +218,7 @@ class Runs:
         return np.cumsum(cover[:-1]) > 0
 
 
-def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str = "text", key: str = "doc_id", carry: list[str] = (), slices: int = 3) -> DataFrame:
+def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str = "text", key: str = "doc_id", carry: list[str] = (), slices: int = 2) -> DataFrame:
     """Remove each byte covered by a ``depth``-byte string that also starts in a document with a smaller id.
 
     Suffixes are sorted by their first two bytes, by their first ``digit`` bytes and by
