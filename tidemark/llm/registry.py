@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_substring, op2_bpe, op3_jaccard, op4_suffix, op5_quality, op6_chat, op7_topk, op8_toxicity, op9_urls, op10_decontaminate
+from tidemark.llm import op1_substring, op2_bpe, op3_jaccard, op4_suffix, op5_quality, op6_chat, op7_topk, op8_toxicity, op9_urls, op10_decontaminate, op11_negatives
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity.op8_toxicity,
     "op9_url_filters": op9_urls.op9_url_filters,
     "op10_decontaminate": op10_decontaminate.op10_decontaminate,
+    "op11_hard_negatives": op11_negatives.op11_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_chat_format": op6_chat.ORACLE_SQL,
     "op7_exact_topk": op7_topk.ORACLE_SQL,
     "op9_url_filters": op9_urls.ORACLE_SQL,
+    "op11_hard_negatives": op11_negatives.ORACLE_SQL,
 }
