@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_substring, op2_bpe, op3_jaccard, op4_suffix, op5_quality, op6_chat, op7_topk, op8_toxicity, op9_urls, op10_decontaminate, op11_negatives
+from tidemark.llm import op1_substring, op2_bpe, op3_jaccard, op4_suffix, op5_quality, op6_chat, op7_topk, op8_toxicity, op9_urls, op10_decontaminate, op11_negatives, op12_divergence, op13_pii
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_url_filters": op9_urls.op9_url_filters,
     "op10_decontaminate": op10_decontaminate.op10_decontaminate,
     "op11_hard_negatives": op11_negatives.op11_hard_negatives,
+    "op12_source_divergence": op12_divergence.op12_source_divergence,
+    "op13_pii": op13_pii.op13_pii,
 }
 
 ORACLE_SQL = {
@@ -25,4 +27,6 @@ ORACLE_SQL = {
     "op7_exact_topk": op7_topk.ORACLE_SQL,
     "op9_url_filters": op9_urls.ORACLE_SQL,
     "op11_hard_negatives": op11_negatives.ORACLE_SQL,
+    "op12_source_divergence": op12_divergence.ORACLE_SQL,
+    "op13_pii": op13_pii.ORACLE_SQL,
 }
