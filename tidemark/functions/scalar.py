@@ -106,3 +106,12 @@ def valid_queue_name(name) -> Column:
 def bare_event_type(event_type) -> Column:
     """Old rows hold the type as a JSON string; its quotes go."""
     return F.when(_c(event_type).rlike('^".*"$'), F.regexp_replace(_c(event_type), '^"|"$', "")).otherwise(_c(event_type))
+
+
+def merged_metadata(maps):
+    """An array of JSON maps as one: of equal keys the later one wins, whatever its value, null too. Null maps count as empty; none at all give null."""
+    kind = "map<string,string>"
+    maps = F.transform(F.filter(maps, lambda m: m.isNotNull()), lambda m: F.from_json(m, kind))
+    # what comes later replaces, so that no key is there twice whatever spark.sql.mapKeyDedupPolicy says
+    merge = lambda a, m: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(m, k)), m)
+    return F.when(F.size(maps) > 0, F.to_json(F.aggregate(maps, F.create_map().cast(kind), merge)))

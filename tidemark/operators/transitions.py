@@ -14,6 +14,10 @@ from tidemark.operators.inspect import in_queue
 #: How a taken idempotency key is met.
 BEHAVIOURS = ["return_existing", "allow_reuse", "allow_reuse_on_failure", "no_reuse"]
 MOST_DEPTH = 32
+#: The counters of an engine.
+COUNTERS = ["activity_completed", "activity_lost_completion", "activity_yielded", "activity_retry", "activity_failed_non_retry", "activity_timeout", "activity_trees_swept"]
+#: The error of a handler that ran past its time.
+TIMEOUT = "timeout"
 
 
 def new_activities(requests: DataFrame, as_of) -> DataFrame:
@@ -44,31 +48,31 @@ def enqueue(new: DataFrame) -> DataFrame:
     return new.select("id", "status", F.when(F.col("scheduled_at").isNotNull(), "Scheduled").otherwise("Enqueued").alias("event_type"), detail.alias("detail"))
 
 
-def resolve_keys(claims: DataFrame, keys: DataFrame, activities: DataFrame, behaviour: str) -> DataFrame:
-    """What becomes of claims (queue_name, idempotency_key, id, created_at) of idempotency keys.
+def resolve_keys(claims: DataFrame, keys: DataFrame, activities: DataFrame, behaviour: str | None = None) -> DataFrame:
+    """What becomes of claims (queue_name, idempotency_key, id, created_at) of idempotency keys, by one behaviour or by each claim's own in a column ``behaviour``.
 
-    The first claim of a key in the batch, by time and id, meets what is stored; the others then
-    meet that first one. A key whose activity is gone is reclaimed under any behaviour.
+    Claims of a key meet what is stored, in order of time and id, until one of them takes the key; the later ones meet that one, which is
+    new and so has not failed, or whoever takes the key after it. A key whose activity is gone is reclaimed under any behaviour.
     Actions: enqueue, reclaim, return, reuse, conflict, duplicate. Returns queue_name, idempotency_key, id, action, activity_id.
     """
-    if behaviour not in BEHAVIOURS:
+    if behaviour is not None and behaviour not in BEHAVIOURS:
         raise ValueError(behaviour)
-    key = ["queue_name", "idempotency_key"]
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy("created_at", "id"))
+    key, b = ["queue_name", "idempotency_key"], F.lit(behaviour) if behaviour else F.col("behaviour")
+    order = Window.partitionBy(*key).orderBy("created_at", "id")
     held = keys.select(*key, F.col("activity_id").alias("held_id"))
     state = activities.select(F.col("id").alias("held_id"), F.col("status").alias("held_status"))
-    c = claims.select(*key, "id", turn.alias("turn")).join(held, key, "left").join(state, "held_id", "left")
-    fresh, orphan = F.col("held_id").isNull(), F.col("held_id").isNotNull() & F.col("held_status").isNull()
-    taken = {"return_existing": F.lit("return"), "allow_reuse": F.lit("reuse"), "no_reuse": F.lit("duplicate"), "allow_reuse_on_failure": F.when(F.col("held_status").isin("failed", "dead_letter"), "reuse").otherwise("conflict")}[behaviour]
-    first = F.when(fresh, "enqueue").when(orphan, "reclaim").otherwise(taken)
-    # a later claim of the batch meets the first, which is new and so has not failed
-    w = Window.partitionBy(*key).orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = c.withColumn("own", first).withColumn("first_own", F.first("own").over(w)).withColumn("first_id", F.first("id").over(w))
-    made = F.col("first_own").isin("enqueue", "reclaim", "reuse")
-    after = {"return_existing": "return", "allow_reuse": "reuse", "no_reuse": "duplicate", "allow_reuse_on_failure": "conflict"}[behaviour]
-    action = F.when((F.col("turn") > 1) & made, F.lit(after)).otherwise(F.col("own"))
-    target = F.when(action.isin("enqueue", "reclaim", "reuse"), F.col("id")).when(action == "return", F.when((F.col("turn") > 1) & made, F.col("first_id")).otherwise(F.col("held_id")))
-    return c.select(*key, "id", action.alias("action"), target.alias("activity_id"))
+    c = claims.select(*key, "id", "created_at", b.alias("behaviour")).join(held, key, "left").join(state, "held_id", "left")
+    # what each would become by itself, and behind another claim that has taken the key
+    reuse = F.when(F.col("behaviour") == "allow_reuse", "reuse").when(F.col("behaviour") == "return_existing", "return").when(F.col("behaviour") == "no_reuse", "duplicate")
+    alone = F.when(F.col("held_id").isNull(), "enqueue").when(F.col("held_status").isNull(), "reclaim").otherwise(reuse.when(F.col("held_status").isin("failed", "dead_letter"), "reuse").otherwise("conflict"))
+    behind = reuse.otherwise("conflict")
+    c = c.withColumns({"alone": alone, "behind": behind}).withColumn("takes", F.col("alone").isin("enqueue", "reclaim", "reuse"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("taken", F.coalesce(F.max("takes").over(before), F.lit(False)))
+    action = F.when(F.col("taken"), F.col("behind")).otherwise(F.col("alone"))
+    own = F.when(action.isin("enqueue", "reclaim", "reuse"), F.col("id"))
+    holder = F.coalesce(F.last(own, ignorenulls=True).over(before), F.col("held_id"))
+    return c.select(*key, "id", action.alias("action"), F.when(action == "return", holder).otherwise(own).alias("activity_id"))
 
 
 def orphan_keys(keys: DataFrame, activities: DataFrame) -> DataFrame:
@@ -102,13 +106,65 @@ def claim_all_queues(activities: DataFrame, slots: DataFrame, as_of, lease_ms: i
 
 def _claimed(found: DataFrame, worker, as_of, lease_ms: int) -> DataFrame:
     worker = F.lit(worker) if isinstance(worker, str) else worker
-    return found.select("id", "queue_name", "activity_type", "priority", "retry_count", F.lit("processing").alias("status"), worker.alias("current_worker_id"), as_of.alias("started_at"), S.lease_deadline_ms(S.epoch_ms(as_of), "timeout_seconds", lease_ms).alias("lease_deadline_ms"), F.lit("Dequeued").alias("event_type"))
+    attempt = [(F.coalesce("attempt", F.lit(0)) + 1).alias("attempt")] if "attempt" in found.columns else []
+    return found.select(
+        "id", "queue_name", "activity_type", "priority", "retry_count", F.lit("processing").alias("status"), worker.alias("current_worker_id"), as_of.alias("started_at"),
+        S.lease_deadline_ms(S.epoch_ms(as_of), "timeout_seconds", lease_ms).alias("lease_deadline_ms"), F.lit("Dequeued").alias("event_type"), *attempt,
+    )
 
 
 def fenced(activities: DataFrame, commands: DataFrame) -> DataFrame:
-    """Commands of workers that still hold their activity in process."""
+    """Commands of workers that still hold their activity in process.
+
+    Where both have ``attempt``, the token that each claim of an activity raises, it must be the claim's own: a worker that has claimed the same
+    activity again can't end it for its earlier attempt. Of several commands for one attempt the first counts, by ``seq`` where they have it.
+    """
     c = commands.withColumnRenamed("worker_id", "current_worker_id")
-    return activities.filter("status = 'processing'").join(c, ["id", "current_worker_id"])
+    fence = ["id", "current_worker_id"]
+    if "attempt" in commands.columns and "attempt" in activities.columns:
+        fence.append("attempt")
+        order = F.col("seq").asc_nulls_last() if "seq" in commands.columns else F.xxhash64(*[x for x in c.columns if x != "id"])
+        c = c.withColumn("_turn", F.row_number().over(Window.partitionBy(*fence).orderBy(order))).filter("_turn = 1").drop("_turn")
+    elif "attempt" in commands.columns:
+        c = c.drop("attempt")
+    return activities.filter("status = 'processing'").join(c, fence)
+
+
+def stale_acks(activities: DataFrame, commands: DataFrame) -> DataFrame:
+    """Commands (id, worker_id, attempt, seq) that the fence keeps out, each once, and why.
+
+    ``unknown``: no such activity; ``ended``: it is not in process; ``foreign``: another worker holds it; ``late``: the worker's claim is an earlier one (or it
+    names none); ``early``: there is no such claim yet; ``repeated``: an earlier command, by seq, has ended this attempt.
+    """
+    state = activities.select("id", "status", "current_worker_id", F.col("attempt").alias("held_attempt"))
+    c = commands.select("id", "worker_id", "attempt", "seq").join(state, "id", "left")
+    turn = F.row_number().over(Window.partitionBy("id", "worker_id", "attempt").orderBy(F.col("seq").asc_nulls_last()))
+    reason = (
+        F.when(F.col("status").isNull(), "unknown").when(F.col("status") != "processing", "ended").when(~F.col("worker_id").eqNullSafe(F.col("current_worker_id")), "foreign")
+        .when(F.col("attempt").isNull() | (F.col("attempt") < F.col("held_attempt")), "late").when(~F.col("attempt").eqNullSafe(F.col("held_attempt")), "early").when(turn > 1, "repeated")
+    )
+    return c.withColumn("reason", reason).filter("reason IS NOT NULL").select("id", "worker_id", "attempt", "seq", "reason")
+
+
+def counted(activities: DataFrame, commands: DataFrame) -> DataFrame:
+    """Commands (id, worker_id, outcome, error) with the ``counter`` each raises: what a handler asked for, and for an end or a wait also whether its worker still held the activity."""
+    fence = ["id", "worker_id", *(["attempt"] if "attempt" in commands.columns and "attempt" in activities.columns else [])]
+    live = fenced(activities, commands.select(*fence).distinct()).withColumnRenamed("current_worker_id", "worker_id").select(*fence, F.lit(True).alias("live"))
+    held, outcome = F.col("live").isNotNull(), F.col("outcome")
+    counter = (
+        F.when(outcome == "success", F.when(held, "activity_completed").otherwise("activity_lost_completion")).when(outcome == "yield", F.when(held, "activity_yielded"))
+        .when((outcome == "retryable") & F.col("error").eqNullSafe(TIMEOUT), "activity_timeout").when(outcome == "retryable", "activity_retry").when(outcome == "non_retryable", "activity_failed_non_retry")
+    )
+    return commands.join(live, fence, "left").select(*commands.columns, counter.alias("counter"))
+
+
+def counters(counted: DataFrame, swept: DataFrame) -> DataFrame:
+    """All counters by name, those at 0 too: of counted commands, and of the trees that a sweep takes (one row each)."""
+    names = F.explode(F.array(*[F.lit(c) for c in COUNTERS]))
+    none = counted.sparkSession.range(1).select(names.alias("counter"), F.lit(0).alias("n"))
+    ones = counted.filter("counter IS NOT NULL").select("counter", F.lit(1).alias("n"))
+    trees = swept.select(F.lit("activity_trees_swept").alias("counter"), F.lit(1).alias("n"))
+    return none.unionByName(ones).unionByName(trees).groupBy("counter").agg(F.sum("n").alias("value"))
 
 
 def ack_success(activities: DataFrame, commands: DataFrame, as_of) -> DataFrame:
@@ -210,7 +266,7 @@ def depth_violations(spawned: DataFrame, most: int = MOST_DEPTH) -> DataFrame:
 def expired_roots(activities: DataFrame, queue: str, as_of, completed_ttl: int = 0, failed_ttl: int = 0, batch: int | None = None) -> DataFrame:
     """Roots whose whole tree may go: ended longer ago than their kind's seconds (0: for ever), with no open activity below.
 
-    An anti join on the tree's root; old rows without a root are their own.
+    One shuffle: each row that keeps its tree, or is a root whose time is over, counts for that tree, pre-aggregated; old rows without a root are their own.
     """
     mine = in_queue(activities, queue)
     age = lambda ttl: S.plus_seconds(F.col("completed_at"), F.lit(int(ttl))) < as_of
@@ -219,22 +275,24 @@ def expired_roots(activities: DataFrame, queue: str, as_of, completed_ttl: int =
         old = old | ((F.col("status") == "completed") & age(completed_ttl))
     if failed_ttl > 0:
         old = old | (F.col("status").isin("failed", "dead_letter") & age(failed_ttl))
-    found = mine.filter("parent_activity_id IS NULL").filter(F.coalesce(old, F.lit(False))).select("id", "completed_at")
-    going = mine.filter(~F.col("status").isin(S.TERMINAL)).select(F.coalesce("root_activity_id", "id").alias("id")).distinct()
-    found = found.join(going, "id", "left_anti")
+    going = ~F.col("status").isin(S.TERMINAL)
+    tree = F.when(going, F.coalesce("root_activity_id", "id")).when(F.col("parent_activity_id").isNull() & old, F.col("id"))
+    trees = mine.select(tree.alias("id"), going.alias("going"), F.when(~going, F.col("completed_at")).alias("completed_at")).filter("id IS NOT NULL")
+    found = trees.groupBy("id").agg(F.max("going").alias("going"), F.max("completed_at").alias("completed_at")).filter("NOT going").select("id", "completed_at")
     return found if batch is None else found.orderBy("completed_at", "id").limit(batch)
 
 
 def sweep(tables: dict[str, DataFrame], roots: DataFrame) -> dict[str, DataFrame]:
-    """Rows of activities, results, events and keys that go with the trees of roots (id)."""
+    """Rows of activities, results, events and keys that go with the trees of roots (id).
+
+    The trees' ids come from one semi join by root; results, by owner or own id, keys and events then meet those ids, each shuffled once.
+    """
     ids = tables["activities"].select("id", F.coalesce("root_activity_id", "id").alias("root")).join(roots.select(F.col("id").alias("root")), "root", "left_semi").select("id")
-    gone = tables["results"].join(ids.select(F.col("id").alias("owner_activity_id")), "owner_activity_id", "left_semi")
-    own = tables["results"].join(ids.select(F.col("id").alias("activity_id")), "activity_id", "left_semi")
-    results = gone.select("activity_id").union(own.select("activity_id")).distinct()
-    event_owners = ids.union(results).distinct()
+    by = tables["results"].select("activity_id", F.explode(F.array_distinct(F.array("owner_activity_id", "activity_id"))).alias("id")).join(ids, "id", "left_semi")
+    results = by.select("activity_id").distinct()
     return {
         "activities": ids,
         "results": results,
-        "events": tables["events"].join(event_owners.select(F.col("id").alias("activity_id")), "activity_id", "left_semi").select("id"),
+        "events": tables["events"].join(ids.union(results).select(F.col("id").alias("activity_id")), "activity_id", "left_semi").select("id"),
         "keys": tables["keys"].join(ids.select(F.col("id").alias("activity_id")), "activity_id", "left_semi").select("queue_name", "idempotency_key"),
     }

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import inspect as I
+from tidemark.operators import timers
 from tidemark.operators import transitions as T
 from tidemark.plans import oracle as O
+from tidemark.sources import commits
 from tidemark.sources import stored as L
 
 QUERIES: dict[str, Callable] = {}
@@ -432,9 +434,144 @@ tree AS (SELECT id FROM acts WHERE coalesce(root_activity_id, id) IN (SELECT id
 doomed AS (SELECT activity_id FROM results WHERE owner_activity_id IN (SELECT id FROM tree) OR activity_id IN (SELECT id FROM tree))"""))
 def sweep_tree_counts(spark, sf_dir) -> DataFrame:
     tables = {"activities": L.activities(spark, sf_dir), "results": L.results(spark, sf_dir), "events": L.events(spark, sf_dir), "keys": L.idempotency(spark, sf_dir)}
-    out = None
-    # the roots serve four counts; persisted, not checkpointed: lost blocks are computed anew
-    for kind, gone in T.sweep(tables, _gone(spark, sf_dir).persist()).items():
-        n = gone.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    kinds = spark.createDataFrame([(kind, 0) for kind in tables], "kind string, n long")
+    for kind, gone in T.sweep(tables, _gone(spark, sf_dir)).items():
+        kinds = kinds.unionByName(gone.select(F.lit(kind).alias("kind"), F.lit(1).alias("n")))
+    return kinds.groupBy("kind").agg(F.sum("n").alias("n"))
+
+
+# --- time: timers, leases, fences, commits ----------------------------------------------------
+
+#: Events end on 2024-01-30; timers are asked for five days before.
+_TIMERS_AT = "2024-01-25 00:00:00"
+
+
+def _timer_commands(spark, sf_dir, timer, ops, minutes) -> DataFrame:
+    """Commands of one timer of each user, read from what events do to an activity."""
+    e, n = L.read(spark, sf_dir, "events"), F.col("event_id")
+    case = lambda k: F.create_map(*[F.lit(x) for event, pair in ops.items() for x in (event, pair[k])])[F.col("event_type")]
+    at = S.epoch_ms(F.col("ts"))
+    armed = case(0) != "cancel"
+    return e.select(
+        (F.col("user_id") * 1000).cast("string").alias("activity_id"), F.lit(timer).alias("timer"), case(0).alias("op"), F.when(armed, case(1)).alias("kind"),
+        F.when(armed, at + 60_000 * (n * minutes[0] % minutes[1])).alias("due_ms"), (n % 5).cast("int").alias("attempt"), at.alias("at_ms"), n.alias("seq"),
+    )
+
+
+_WAKES = {"click": ("set", "sleep"), "error": ("set", "retry"), "signup": ("set", "delay"), "view": ("cancel", ""), "purchase": ("cancel", "")}
+_LEASES = {"view": ("set", "lease"), "click": ("extend", "lease"), "signup": ("extend", "lease"), "error": ("cancel", ""), "purchase": ("cancel", "")}
+
+
+def _timer_sql(timer, ops, minutes):
+    """Played forward by recursion over each activity's commands: what is armed before each, and whether its time passes first."""
+    case = lambda k: "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{p[k]}'" for e, p in ops.items()) + " END"
+    return f"""
+WITH RECURSIVE cmd AS (
+  SELECT (user_id * 1000)::VARCHAR AS activity_id, {case(0)} AS op, {case(1)} AS kind, epoch_us(ts) // 1000 AS at_ms, epoch_us(ts) // 1000 + 60000 * (event_id * {minutes[0]} % {minutes[1]}) AS due, (event_id % 5)::INTEGER AS attempt, event_id AS seq,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events
+), closed AS (
+  SELECT * FROM cmd UNION ALL SELECT activity_id, 'cancel', '', 9223372036854775807, 0, 0, -1, max(n) + 1 FROM cmd GROUP BY activity_id
+), play AS (
+  SELECT activity_id, n, CASE WHEN op = 'set' THEN due END AS due, CASE WHEN op = 'set' THEN at_ms END AS armed_ms, kind, attempt, seq, NULL::BIGINT AS fired_ms, NULL::BIGINT AS fired_due, NULL::VARCHAR AS fired_kind, NULL::INTEGER AS fired_attempt, NULL::BIGINT AS fired_seq
+  FROM closed WHERE n = 1
+  UNION ALL
+  SELECT c.activity_id, c.n, CASE WHEN c.op = 'set' OR (c.op = 'extend' AND p.due IS NOT NULL AND greatest(p.due, p.armed_ms) >= c.at_ms) THEN c.due END, c.at_ms, c.kind, c.attempt, c.seq,
+    CASE WHEN greatest(p.due, p.armed_ms) < c.at_ms AND p.due IS NOT NULL THEN greatest(p.due, p.armed_ms) END, p.due, p.kind, p.attempt, p.seq
+  FROM play p JOIN closed c ON c.activity_id = p.activity_id AND c.n = p.n + 1
+)
+SELECT activity_id, '{timer}' AS timer, fired_kind AS kind, fired_due AS due_ms, fired_attempt AS attempt, fired_ms, fired_seq AS seq FROM play WHERE fired_ms <= epoch_ms(TIMESTAMP '{_TIMERS_AT}')"""
+
+
+def _timers_at():
+    return S.epoch_ms(F.lit(_TIMERS_AT).cast("timestamp_ntz"))
+
+
+@query(_timer_sql("wake", _WAKES, (37, 1500)))
+def due_timers(spark, sf_dir) -> DataFrame:
+    """Sleeps, retries and delays as they fell due."""
+    return timers.fired(_timer_commands(spark, sf_dir, "wake", _WAKES, (37, 1500)), _timers_at())
+
+
+@query(_timer_sql("lease", _LEASES, (53, 1200)))
+def lease_expiries(spark, sf_dir) -> DataFrame:
+    """Leases that ended, each at the deadline that it was last moved to."""
+    return timers.fired(_timer_commands(spark, sf_dir, "lease", _LEASES, (53, 1200)), _timers_at())
+
+
+def _attempts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Activities with the attempt of their claim, and acknowledgements: of it, of earlier and later ones, by others, of what isn't in process, and repeated."""
+    a = L.activities(spark, sf_dir).withColumn("attempt", F.col("retry_count") + 1)
+    h = F.col("id") % 1000 + F.floor(F.col("id") / 1000)
+    sent = a.filter((F.col("status") == "processing") | (h % 50 == 0)).select(
+        F.when(h % 101 == 0, -F.col("id")).otherwise(F.col("id")).alias("id"), F.when(h % 11 == 0, "stale").otherwise(F.coalesce("current_worker_id", F.lit("w0"))).alias("worker_id"),
+        F.when(h % 5 == 0, F.col("attempt") - 1).when(h % 7 == 0, F.col("attempt") + 1).when(h % 13 != 0, F.col("attempt")).alias("attempt"),
+        F.lit("success").alias("outcome"), F.concat(F.lit('{"n":'), h.cast("string"), F.lit("}")).alias("data"), F.lit(None).cast("string").alias("error"), (2 * F.col("id")).alias("seq"),
+    )
+    again = sent.filter(F.pmod(F.col("id"), F.lit(3)) == 0).withColumns({"seq": F.col("seq") + 1, "data": F.lit("again")})
+    return a, sent.unionByName(again)
+
+
+_ATTEMPTS = """
+sent AS (
+  SELECT CASE WHEN h % 101 = 0 THEN -id ELSE id END AS id, CASE WHEN h % 11 = 0 THEN 'stale' ELSE coalesce(current_worker_id, 'w0') END AS worker_id,
+    CASE WHEN h % 5 = 0 THEN retry_count WHEN h % 7 = 0 THEN retry_count + 2 WHEN h % 13 <> 0 THEN retry_count + 1 END AS attempt, '{"n":' || h || '}' AS given, 2 * id AS seq
+  FROM acts WHERE status = 'processing' OR h % 50 = 0
+), acks AS (
+  SELECT *, 1 AS turn FROM sent UNION ALL SELECT id, worker_id, attempt, 'again', seq + 1, 2 FROM sent WHERE id % 3 = 0
+), judged AS (
+  SELECT acks.*, parent_activity_id, CASE WHEN acts.id IS NULL THEN 'unknown' WHEN status <> 'processing' THEN 'ended' WHEN worker_id <> current_worker_id THEN 'foreign'
+    WHEN attempt IS NULL OR attempt < retry_count + 1 THEN 'late' WHEN attempt > retry_count + 1 THEN 'early' WHEN turn > 1 THEN 'repeated' END AS reason
+  FROM acks LEFT JOIN acts ON acts.id = acks.id
+)"""
+
+
+@query(O.over("SELECT id, worker_id, attempt::INTEGER AS attempt, seq, reason FROM judged WHERE reason IS NOT NULL", _ATTEMPTS))
+def stale_acks(spark, sf_dir) -> DataFrame:
+    return T.stale_acks(*_attempts(spark, sf_dir))
+
+
+@query(O.over(f"SELECT id, 'completed' AS status, {O.AS_OF} AS completed_at, worker_id AS last_worker_id, 'Ok' AS state, given AS data, 'Completed' AS event_type, parent_activity_id FROM judged WHERE reason IS NULL", _ATTEMPTS))
+def ack_success_by_attempt(spark, sf_dir) -> DataFrame:
+    a, sent = _attempts(spark, sf_dir)
+    return T.ack_success(a, sent, L.as_of())
+
+
+@query("SELECT event_id % 8 + 1 AS number, (user_id * 1000)::VARCHAR AS activity_id, event_type AS kind, event_id::VARCHAR AS detail, ts AS created_at FROM events WHERE event_id % 8 IN (2, 3, 4) UNION ALL SELECT 6, (user_id * 1000)::VARCHAR, event_type, event_id::VARCHAR, ts FROM events WHERE event_id % 8 = 6")
+def events_by_commit(spark, sf_dir) -> DataFrame:
+    """Events of the commits after 2 and up to 6, of a log of seven commits and a batch, the sixth, that was cut off before its own."""
+    found = commits.between(spark, L.event_log(spark, sf_dir), "events", after=2, upto=6)
+    return found.select("number", "activity_id", F.col("event_type").alias("kind"), "detail", "created_at")
+
+
+# --- counters and metadata --------------------------------------------------------------------
+
+
+def _outcomes(spark, sf_dir) -> DataFrame:
+    """Commands, some of them waits and some of them timeouts."""
+    h = F.col("id") % 1000 + F.floor(F.col("id") / 1000)
+    c = L.commands(spark, sf_dir)
+    return c.select("id", "worker_id", F.when(h % 9 == 0, "yield").otherwise(F.col("outcome")).alias("outcome"), F.when(h % 6 == 2, T.TIMEOUT).otherwise(F.col("error")).alias("error"))
+
+
+@query(O.over("""
+SELECT name AS counter, count(*) FILTER (counter = name)::BIGINT AS value FROM (SELECT unnest(['activity_completed', 'activity_lost_completion', 'activity_yielded', 'activity_retry', 'activity_failed_non_retry', 'activity_timeout', 'activity_trees_swept']) AS name), (
+  SELECT CASE WHEN h % 9 = 0 THEN CASE WHEN worker = current_worker_id THEN 'activity_yielded' END WHEN outcome = 'success' THEN CASE WHEN worker = current_worker_id THEN 'activity_completed' ELSE 'activity_lost_completion' END
+    WHEN outcome = 'non_retryable' THEN 'activity_failed_non_retry' WHEN h % 6 = 2 THEN 'activity_timeout' ELSE 'activity_retry' END AS counter FROM held
+  UNION ALL SELECT 'activity_trees_swept' FROM gone) GROUP BY name""", O.COMMANDS, _SWEEP))
+def metric_counters(spark, sf_dir) -> DataFrame:
+    return T.counters(T.counted(L.activities(spark, sf_dir), _outcomes(spark, sf_dir)), _gone(spark, sf_dir))
+
+
+@query(O.over("""
+SELECT id, CASE WHEN h % 7 = 2 AND k % 4 = 3 AND h % 2 = 1 THEN NULL ELSE array_to_string(list_sort(list_filter([
+    'source=' || CASE WHEN k % 4 = 1 THEN 'again' WHEN k % 4 = 2 THEN 'null' WHEN h % 7 = 0 THEN 'cron' WHEN h % 7 = 1 THEN 'api' END,
+    CASE WHEN k % 4 <> 3 THEN 'k=' || CASE WHEN h % 2 = 0 THEN 'last' ELSE k::VARCHAR END WHEN h % 2 = 0 THEN 'k=last' END], lambda x: x IS NOT NULL)), ',') END AS pairs FROM acts"""))
+def merged_metadata(spark, sf_dir) -> DataFrame:
+    """Metadata with two later maps over it: keys that come again, null values, null maps."""
+    k, h = F.floor(F.col("id") / 1000), F.col("id") % 1000 + F.floor(F.col("id") / 1000)
+    source = F.when(k % 4 == 1, '"source":"again",').when(k % 4 == 2, '"source":null,').otherwise("")
+    second = F.when(k % 4 != 3, F.concat(F.lit("{"), source, F.lit('"k":"'), k.cast("string"), F.lit('"}')))
+    merged = S.merged_metadata(F.array("metadata", second, F.when(h % 2 == 0, '{"k":"last"}')))
+    pairs = F.transform(F.map_entries(F.from_json(merged, "map<string,string>")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    return L.activities(spark, sf_dir).select("id", F.array_join(F.array_sort(pairs), ",").alias("pairs"))

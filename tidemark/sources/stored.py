@@ -1,4 +1,4 @@
-"""The lifted tables as a stored log: written once a session, partitioned by queue and clustered by id.
+"""The lifted tables as a stored log: partitioned by queue and clustered by id, written anew when a table changes.
 
 Same functions as lift, over Parquet, so that filters on queue, status and id reach the scan and nothing is numbered
 or joined anew for each query.
@@ -6,6 +6,8 @@ or joined anew for each query.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tidemark.sources import lift
 from tidemark.sources.lift import AS_OF, LEASE_MS, as_of, events, read, worker_pools  # noqa: F401
+from tidemark.sources.log import Log
 
-_written: dict[tuple[str, str], tuple[str, object]] = {}
+#: By application, folder and kind: the files that the copy was made of, and copies, the newest last.
+_written: dict[tuple[str, str, str], tuple[tuple, list[str], object]] = {}
 
 
 def _folder(spark: SparkSession) -> str:
@@ -28,22 +32,95 @@ def _folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/tidemark-lift-{uuid.uuid4().hex}"
 
 
+def _fs(spark: SparkSession, path: str):
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file, file.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _there(spark: SparkSession, path: str) -> bool:
-    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+    file, fs = _fs(spark, path)
+    return fs.exists(file)
+
+
+def _files(spark: SparkSession, sf_dir: str, tables: list[str]) -> tuple:
+    """Names, sizes and times of the source tables' files: a listing, no read."""
+    found = []
+    for table in tables:
+        for name in sorted(read(spark, sf_dir, table).inputFiles()):
+            file, fs = _fs(spark, name)
+            status = fs.getFileStatus(file)
+            found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        with contextlib.suppress(Exception):
+            file, fs = _fs(spark, path)
+            fs.delete(file, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete this session's copies."""
+    for key in [k for k in _written if k[0] == spark.sparkContext.applicationId]:
+        _drop(spark, _written.pop(key)[1])
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None:
+            forget(spark)
+
+
+atexit.register(_at_exit)
+
+
+def _copy(spark: SparkSession, sf_dir: str, kind: str, tables: list[str], write) -> tuple[str, object]:
+    """The path of a copy of the tables as they are now, and what write(path) says of it.
+
+    A copy that has been replaced stays until the next change, for queries that still read it.
+    """
+    key, files = (spark.sparkContext.applicationId, sf_dir, kind), _files(spark, sf_dir, tables)
+    seen, paths, said = _written.get(key, (None, [], None))
+    if seen != files or not _there(spark, paths[-1]):
+        path = _folder(spark)
+        said = write(path)
+        _drop(spark, paths[:-1])
+        paths = [*paths[-1:], path]
+        _written[key] = files, paths, said
+    return paths[-1], said
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written or not _there(spark, _written[key][0]):
-        df, path = lift.activities(spark, sf_dir), _folder(spark)
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Lifted activities as the source tables are now."""
+
+    def write(path):
+        df, parts = lift.activities(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions"))
         df.repartitionByRange(parts, "id").sortWithinPartitions("id").write.partitionBy("queue_name").parquet(path)
-        _written[key] = path, df.schema
-    path, schema = _written[key]
+        return df.schema
+
+    path, schema = _copy(spark, sf_dir, "activities", ["orders", "lineitem"], write)
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
+def event_log(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a log of the events: a commit for each remainder of their ids by 8, but for remainder 5, whose batch was cut off before its commit."""
+
+    def write(path):
+        log, e = Log(spark, f"{path}/log"), read(spark, sf_dir, "events")
+        rows = e.select((F.col("user_id") * 1000).alias("activity_id"), "event_type", F.col("event_id").cast("string").alias("detail"), F.col("ts").alias("created_at"), (F.col("event_id") % 8).alias("part"))
+        for part in range(8):
+            batch = {"events": rows.filter(F.col("part") == part)}
+            if part == 5:
+                log._write(log.last() + 1, batch)
+            else:
+                log.append(**batch)
+
+    path, _ = _copy(spark, sf_dir, "events", ["events"], write)
+    return f"{path}/log"
+
+
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activities(spark, sf_dir).filter("depth = 0")
 

@@ -13,6 +13,7 @@ import threading
 import time
 import uuid
 from collections import Counter
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as S
 from tidemark.operators import transitions as T
 from tidemark.sources.log import Log
-from tidemark.streaming.handlers import Handler, Request, attempt
+from tidemark.streaming.handlers import ALIAS, Handler, Request, attempt
+from tidemark.streaming.metrics import Counters, observed
 
-SPAWN = "array<struct<id:string,activity_type:string,payload:string,key:string,parent:string,root:string,depth:int,priority:int,max_retries:int,timeout_seconds:bigint,delay_seconds:bigint,max_retry_delay_seconds:bigint>>"
-OUTCOME = f"id string, worker_id string, outcome string, data string, error string, wake_at timestamp_ntz, kind string, step string, memo array<struct<step:string,state:string,data:string>>, spawns {SPAWN}"
+SPAWN = "array<struct<id:string,activity_type:string,payload:string,key:string,behaviour:string,parent:string,root:string,depth:int,priority:int,max_retries:int,timeout_seconds:bigint,delay_seconds:bigint,max_retry_delay_seconds:bigint,metadata:array<string>>>"
+OUTCOME = f"id string, worker_id string, attempt int, outcome string, data string, error string, wake_at timestamp_ntz, kind string, step string, memo array<struct<step:string,state:string,data:string>>, spawns {SPAWN}"
 
 
 def at(now: datetime):
@@ -36,20 +38,23 @@ def utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-#: Seconds between beats of a pool, and between sweeps.
-BEAT_SECONDS, SWEEP_SECONDS = 10, 600
+#: Seconds between beats of a pool, and between sweeps; commits after which the log is folded.
+BEAT_SECONDS, SWEEP_SECONDS, FOLD_COMMITS = 10, 600, 64
+#: Seconds after which a handler that waits for another parent's child is run again.
+LOOK_SECONDS = 5
 
 
 class Engine:
-    def __init__(self, log: Log, queue: str, handlers: list[Handler], slots: int = 10, types: list[str] | None = None, lease_ms: int = 60_000, retention: tuple[int, int] | None = None):
-        """retention: seconds after which completed trees, and failed ones, are swept while the engine runs (0: never)."""
+    def __init__(self, log: Log, queue: str, handlers: list[Handler], slots: int = 10, types: list[str] | None = None, lease_ms: int = 60_000, retention: tuple[int, int] | None = None, metrics: Callable[[str, int], None] | None = None):
+        """retention: seconds after which completed trees, and failed ones, are swept while the engine runs (0: never). metrics: gets each counter's increments."""
         self.log, self.queue, self.slots, self.types, self.lease_ms, self.retention = log, queue, slots, types, lease_ms, retention
         self.handlers = {h.activity_type: h for h in handlers}
         missing = set(types or []) - set(self.handlers)
         if missing:
             raise ValueError(f"no handler for {sorted(missing)}")
         self.worker = f"{queue}-{uuid.uuid4().hex[:8]}"
-        self.counters: Counter = Counter()
+        self.metrics = Counters(metrics)
+        self.counters: Counter = self.metrics.total
         self.query = None
         self._stopping, self._busy = threading.Event(), threading.Lock()
         self._beat_at = self._sweep_at = float("-inf")
@@ -66,19 +71,18 @@ class Engine:
         rows = []
         for r in requests:
             o = r.checked(False).options
-            rows.append((str(uuid.uuid4()), self.queue, r.activity_type, json.dumps(r.payload), o.get("priority"), o.get("max_retries"), o.get("timeout_seconds"), o.get("delay_seconds"), o.get("max_retry_delay_seconds"), json.dumps(o["metadata"]) if "metadata" in o else None, o.get("key"), o.get("behaviour", "return_existing")))
-        df = self.spark.createDataFrame(rows, "id string, queue_name string, activity_type string, payload string, priority int, max_retries int, timeout_seconds long, delay_seconds long, max_retry_delay_seconds long, metadata string, idempotency_key string, behaviour string")
+            rows.append((str(uuid.uuid4()), self.queue, r.activity_type, json.dumps(r.payload), o.get("priority"), o.get("max_retries"), o.get("timeout_seconds"), o.get("delay_seconds"), o.get("max_retry_delay_seconds"), [json.dumps(m) for m in o.get("metadata", [])], o.get("key"), o.get("behaviour", "return_existing")))
+        df = self.spark.createDataFrame(rows, "id string, queue_name string, activity_type string, payload string, priority int, max_retries int, timeout_seconds long, delay_seconds long, max_retry_delay_seconds long, metadata array<string>, idempotency_key string, behaviour string")
+        df = df.withColumn("metadata", S.merged_metadata("metadata"))
         with self.log.exclusive():
             return self._enqueue(df, rows, now)
 
     def _enqueue(self, df: DataFrame, rows: list[tuple], now: datetime) -> list[str]:
         names = {r[0]: r[0] for r in rows}
-        keyed = {b for *_, k, b in rows if k is not None}
         fresh = df.filter("idempotency_key IS NULL")
-        for behaviour in sorted(keyed):
-            claims = df.filter((F.col("behaviour") == behaviour) & F.col("idempotency_key").isNotNull()).withColumn("created_at", at(now))
-            done = T.resolve_keys(claims, self.log.latest("keys"), self.log.latest("activities"), behaviour)
-            done = self._pinned(done)
+        if any(r[10] is not None for r in rows):
+            claims = df.filter("idempotency_key IS NOT NULL").withColumn("created_at", at(now))
+            done = self._pinned(T.resolve_keys(claims, self.log.latest("keys"), self.log.latest("activities")))
             for row in done.collect():
                 if row["activity_id"] is None:
                     raise ValueError(f"{row['action']}: {row['idempotency_key']}")
@@ -179,7 +183,7 @@ class Engine:
             acts = self.log.latest("activities").filter(F.col("queue_name") == self.queue)
         claimed = self._pinned(T.claim(acts, self.queue, self.slots, self.worker, at(now), self.lease_ms, self.types))
         if not claimed.isEmpty():
-            new = ["id", "status", "current_worker_id", "started_at", "lease_deadline_ms"]
+            new = ["id", "status", "current_worker_id", "started_at", "lease_deadline_ms", "attempt"]
             self.log.append(events=self._events(claimed.withColumn("worker_id", F.col("current_worker_id")), now), activities=acts.drop(*new[1:]).join(claimed.select(new), "id"))
         return claimed
 
@@ -196,7 +200,10 @@ class Engine:
         mine = acts.join(ids, "id", "left_semi")
         memo = results.filter("step IS NOT NULL").join(ids.withColumnRenamed("id", "owner_activity_id"), "owner_activity_id", "left_semi").groupBy(F.col("owner_activity_id").alias("id")).agg(F.collect_list(F.struct("step", "state", "data")).alias("memo"))
         own = results.filter("step IS NULL").select(F.col("activity_id").alias("child"), "state", "data")
-        below = acts.select(F.col("parent_activity_id").alias("id"), F.col("id").alias("child")).join(ids, "id", "left_semi").join(own, "child").groupBy("id").agg(F.collect_list(F.struct("child", "state", "data")).alias("below"))
+        kids = acts.select(F.col("parent_activity_id").alias("id"), F.col("id").alias("child")).join(ids, "id", "left_semi")
+        # activities that children's keys stand for
+        named = memo.select("id", F.explode("memo").alias("m")).filter(F.col("m.step").startswith(ALIAS) & (F.col("m.state") == "Ok")).select("id", F.get_json_object(F.concat(F.lit('{"id":'), "m.data", F.lit("}")), "$.id").alias("child"))
+        below = kids.unionByName(named).distinct().join(own, "child").groupBy("id").agg(F.collect_list(F.struct("child", "state", "data")).alias("below"))
         return mine.join(memo, "id", "left").join(below, "id", "left")
 
     def _run(self, rows: DataFrame, now: datetime) -> None:
@@ -211,10 +218,10 @@ class Engine:
                     memo = {m["step"]: (m["state"], m["data"]) for m in (row["memo"] if row["memo"] is not None else [])}
                     below = {m["child"]: (m["state"], m["data"]) for m in (row["below"] if row["below"] is not None else [])}
                     done = attempt(handlers, row, memo, below, now)
-                    done["worker_id"] = worker
+                    done["worker_id"], done["attempt"] = worker, int(row["attempt"])
                     done["memo"] = [dict(zip(("step", "state", "data"), m, strict=True)) for m in done["memo"]]
                     out.append(done)
-                yield pd.DataFrame(out, columns=["id", "worker_id", "outcome", "data", "error", "wake_at", "kind", "step", "memo", "spawns"])
+                yield pd.DataFrame(out, columns=["id", "worker_id", "attempt", "outcome", "data", "error", "wake_at", "kind", "step", "memo", "spawns"])
 
         # written once: a second read must not run handlers again
         path = f"{self.log.path}/_outcomes/{uuid.uuid4().hex}"
@@ -222,57 +229,93 @@ class Engine:
         done = self.spark.read.schema(OUTCOME).parquet(path)
         with self.log.exclusive():
             dead = self._settle(done, now)
-        for row in done.groupBy("outcome").count().collect():
-            self.counters[row["outcome"]] += row["count"]
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self._delete(path)
         for row in dead:
             if row["activity_type"] in self.handlers:
                 self.handlers[row["activity_type"]].on_dead_letter(json.loads(row["payload"] or "null"), row["last_error"])
 
     def _settle(self, done: DataFrame, now: datetime) -> list:
         """One batch of all that follows from handlers' outcomes; returns what died."""
-        every = self.log.latest("activities")
+        every, scratch = self.log.latest("activities"), []
+
+        def kept(df: DataFrame) -> DataFrame:
+            """Written once beside the log, however many rows: a second read is of the same rows."""
+            scratch.append(f"{self.log.path}/_outcomes/{uuid.uuid4().hex}")
+            df.write.parquet(scratch[-1])
+            return self.spark.read.schema(df.schema).parquet(scratch[-1])
+
         held = self._pinned(every.filter("status = 'processing'").join(done.select("id"), "id", "left_semi"))
-        # the batch's own rows, their parents, the children they wait for or start: two passes over the log, the rest is local
-        around = held.select(F.col("parent_activity_id").alias("id")).unionByName(done.filter("kind = 'await'").select(F.col("step").alias("id"))).unionByName(done.select(F.explode("spawns.id").alias("id")))
-        acts = held.unionByName(self._pinned(every.join(around.filter("id IS NOT NULL").distinct(), "id", "left_semi").join(held.select("id"), "id", "left_anti")))
-        commands = done.filter("outcome <> 'yield'").select("id", "worker_id", "outcome", "error", "data")
+        # what isn't held any more changes nothing, its memos and children included
+        counted = T.counted(held, done.select("id", "worker_id", "attempt", "outcome", "error"))
+        mine = done.join(T.fenced(held, done.select("id", "worker_id", "attempt")).select("id"), "id", "left_semi")
+        spawned = self._spawned(mine)
+        own = spawned.filter(F.col("idempotency_key").isNotNull() & ~F.col("idempotency_key").startswith("rq:step:"))
+        schema = "id string, caller string, parent_activity_id string, action string, target string"
+        if own.isEmpty():  # as a rule; an empty relation leaves nothing of what follows in the plans
+            keyed, mine = self.spark.createDataFrame([], schema), mine.withColumn("refused", F.lit(None).cast("boolean"))
+        else:
+            claims = own.withColumn("created_at", at(now) + F.make_dt_interval(secs=F.col("place") / 1_000_000))
+            found = T.resolve_keys(claims, self.log.latest("keys"), every).select("id", "action", F.col("activity_id").alias("target"))
+            keyed = kept(own.select("id", "caller", "parent_activity_id").join(found, "id"))
+            refused = keyed.filter("target IS NULL").select(F.col("caller").alias("id")).distinct().withColumn("refused", F.lit(True))
+            # a run whose key was refused is done again, at once, and told so
+            mine = kept(mine.join(refused, "id", "left").withColumns({"outcome": F.when(F.col("refused"), "yield").otherwise(F.col("outcome")), "kind": F.when(F.col("refused"), "await").otherwise(F.col("kind")), "step": F.when(F.col("refused"), F.lit(None)).otherwise(F.col("step"))}))
+            spawned = self._spawned(mine)
+        waits = mine.filter("kind = 'await'").select("id", F.col("step").alias("child"), F.coalesce("refused", F.lit(False)).alias("refused")).join(keyed.select(F.col("id").alias("child"), "target"), "child", "left").select("id", "refused", F.coalesce("target", "child").alias("child"), F.col("target").isNotNull().alias("named"))
+        # the batch's own rows, their parents, the children they wait for or start: the rest is local
+        around = held.select(F.col("parent_activity_id").alias("id")).unionByName(waits.select(F.col("child").alias("id"))).unionByName(spawned.select("id")).unionByName(keyed.select(F.col("target").alias("id")))
+        acts = held.unionByName(kept(every.join(around.filter("id IS NOT NULL").distinct(), "id", "left_semi").join(held.select("id"), "id", "left_anti")))
+        commands = mine.filter("outcome <> 'yield'").select("id", "worker_id", "attempt", "outcome", "error", "data")
         good, bad = T.ack_success(held, commands, at(now)), T.ack_failure(held, commands, at(now))
-        parked = T.park(held, done.filter("outcome = 'yield'").select("id", "worker_id", "wake_at", "kind", "step"))
+        # the end of a child that another parent started wakes that parent; whoever else waits for it looks again
+        look = waits.filter("named").select("id", S.plus_seconds(at(now), F.lit(LOOK_SECONDS)).alias("look"))
+        parked = T.park(held, mine.filter("outcome = 'yield'").join(look, "id", "left").select("id", "worker_id", "attempt", F.coalesce("wake_at", "look").alias("wake_at"), "kind", "step"))
         over = bad.filter("state IS NOT NULL")
         # a parent is woken by the end of any child, and doesn't sleep for a child that has ended
         parents = good.select("parent_activity_id").unionByName(over.select(F.col("wakes").alias("parent_activity_id")))
         ended = acts.filter(F.col("status").isin(S.TERMINAL)).select("id").unionByName(good.select("id")).unionByName(over.select("id"))
-        awaits = done.filter("kind = 'await'").select(F.col("id").alias("parent"), F.col("step").alias("id")).join(ended, "id", "left_semi")
-        ready = awaits.select(F.col("parent").alias("id")).unionByName(parents.select(F.col("parent_activity_id").alias("id"))).filter("id IS NOT NULL").distinct().withColumn("ready", F.lit(True))
+        awaits = waits.select(F.col("id").alias("parent"), F.col("child").alias("id")).join(ended, "id", "left_semi").select(F.col("parent").alias("id")).unionByName(waits.filter("refused").select("id"))
+        ready = awaits.unionByName(parents.select(F.col("parent_activity_id").alias("id"))).filter("id IS NOT NULL").distinct().withColumn("ready", F.lit(True))
         parked = parked.join(ready, "id", "left").withColumns({"status": F.when(F.col("ready"), "pending").otherwise(F.col("status")), "scheduled_at": F.when(F.col("ready"), F.lit(None)).otherwise(F.col("scheduled_at"))})
-        # what isn't held any more changes nothing, its memos included
-        mine = done.join(good.select("id").unionByName(bad.select("id")).unionByName(parked.select("id")), "id", "left_semi")
-        memo = mine.select("id", F.explode("memo").alias("m")).select(S.checkpoint_id("id", "m.step").alias("activity_id"), "m.state", "m.data", at(now).alias("created_at"), F.col("id").alias("owner_activity_id"), "m.step")
+        steps = mine.select("id", F.explode("memo").alias("m")).select("id", "m.*")
+        json_text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+        aliases = keyed.filter("target IS NULL OR target <> id").select(F.col("caller").alias("id"), F.concat(F.lit(ALIAS), "id").alias("step"), F.when(F.col("target").isNull(), "Err").otherwise("Ok").alias("state"), json_text(F.coalesce("target", "action")).alias("data"))
+        memo = steps.unionByName(aliases).select(S.checkpoint_id("id", "step").alias("activity_id"), "state", "data", at(now).alias("created_at"), F.col("id").alias("owner_activity_id"), "step")
         stored = memo.select(F.col("activity_id").alias("id"), F.lit("ResultStored").alias("event_type"), F.to_json(F.struct(F.col("owner_activity_id").alias("owner"), "step")).alias("detail"))
-        events = stored
+        made = spawned.join(keyed.filter("target IS NULL OR target <> id").select("id"), "id", "left_anti").join(acts.select("id"), "id", "left_anti").dropDuplicates(["id"])
+        known = acts.select("id", "parent_activity_id").unionByName(made.select("id", "parent_activity_id"))
+        links = T.spawn_links(keyed.filter("target <> id AND parent_activity_id IS NOT NULL").select(F.col("target").alias("child_id"), F.col("caller").alias("parent_id")), known)
+        events = stored.unionByName(links.select(F.col("child_id").alias("id"), "event_type", F.to_json(F.struct("parent_id")).alias("detail")))
         for rows in (good.select("id", "event_type"), bad.select("id", "event_type"), parked.select("id", "event_type", "detail")):
             events = events.unionByName(rows, allowMissingColumns=True)
         moved = self._moved(acts, good)
         for change in (bad, parked, T.wake_parents(acts, parents)):
             moved = moved.unionByName(self._moved(acts, change), allowMissingColumns=True)
-        new = self._rows_of_new(self._spawned(mine, acts), now)
-        self.log.append(
-            results=memo.unionByName(self._ended(good, now), allowMissingColumns=True).unionByName(self._ended(over, now), allowMissingColumns=True),
-            keys=new["keys"],
-            activities=new["activities"].unionByName(moved, allowMissingColumns=True),
-            events=self._events(events, now).unionByName(new["events"], allowMissingColumns=True),
-        )
-        return over.filter("status = 'dead_letter'").select("id", "last_error").join(held.drop("last_error"), "id").select("activity_type", "payload", "last_error").collect()
-
-    def _spawned(self, done: DataFrame, acts: DataFrame) -> DataFrame:
-        """Children that are not there yet."""
-        s = done.select(F.explode("spawns").alias("s")).select("s.*")
-        s = s.join(acts.select("id"), "id", "left_anti").dropDuplicates(["id"])
+        new = self._rows_of_new(made.drop("caller", "place", "behaviour"), now)
+        events, seen = observed(self._events(events, now).unionByName(new["events"], allowMissingColumns=True), counted)
+        try:
+            self.log.append(
+                results=memo.unionByName(self._ended(good, now), allowMissingColumns=True).unionByName(self._ended(over, now), allowMissingColumns=True),
+                keys=new["keys"],
+                activities=new["activities"].unionByName(moved, allowMissingColumns=True),
+                events=events,
+            )
+            self.metrics.add(seen.get)
+            return over.filter("status = 'dead_letter'").select("id", "last_error").join(held.drop("last_error"), "id").select("activity_type", "payload", "last_error").collect()
+        finally:
+            for path in scratch:
+                self._delete(path)
+
+    def _spawned(self, done: DataFrame) -> DataFrame:
+        """Children that handlers started, in their order."""
+        s = done.select(F.col("id").alias("caller"), F.posexplode("spawns").alias("place", "s")).select("caller", "place", "s.*")
         names = {"key": "idempotency_key", "parent": "parent_activity_id", "root": "root_activity_id"}
-        given = ["id", "activity_type", "payload", "priority", "max_retries", "timeout_seconds", "delay_seconds", "max_retry_delay_seconds"]
-        return s.select(*given, F.lit(self.queue).alias("queue_name"), *[F.col(k).alias(v) for k, v in names.items()], (F.col("depth") - 1).alias("parent_depth"))
+        given = ["id", "caller", "place", "behaviour", "activity_type", "payload", "priority", "max_retries", "timeout_seconds", "delay_seconds", "max_retry_delay_seconds", "metadata"]
+        return s.withColumn("metadata", S.merged_metadata("metadata")).select(*given, F.lit(self.queue).alias("queue_name"), *[F.col(k).alias(v) for k, v in names.items()], (F.col("depth") - 1).alias("parent_depth"))
+
+    def _delete(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def sweep(self, now: datetime, completed_ttl: int = 0, failed_ttl: int = 0, batch: int = 100) -> int:
         """Expired trees, oldest first."""
@@ -283,6 +326,7 @@ class Engine:
             if n:
                 tables = {t: self.log.latest(t) for t in ("results", "events", "keys")} | {"activities": acts}
                 self.log.erase(T.sweep(tables, roots))
+                self.metrics.add({"activity_trees_swept": n})
         return n
 
     # --- life -------------------------------------------------------------------------------
@@ -297,6 +341,7 @@ class Engine:
                 self._beat_at = time.monotonic()
                 self._pool(self.slots, now)
             self.tick(now)
+            self.log.fold(FOLD_COMMITS)
             if self.retention and time.monotonic() - self._sweep_at > SWEEP_SECONDS:
                 self._sweep_at = time.monotonic()
                 while self.sweep(utc_now(), *self.retention) >= 100 and not self._stopping.is_set():

@@ -1,4 +1,4 @@
-"""The event log as a stream: a tail by cursor, a fan-out hub and server-sent events."""
+"""Events: a tail by cursor, streams in order of commits or of plain files, a fan-out hub and server-sent events."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import commits
+
 #: Fixed values of the interface.
 TAIL_ROWS, BUFFER, MOST_SUBSCRIBERS, HEARTBEAT_SECONDS = 500, 100, 64, 15
 SCHEMA = "id long, activity_id string, queue_name string, event_type string, worker_id string, detail string, created_at timestamp_ntz"
@@ -20,14 +22,16 @@ def tail(events: DataFrame, cursor: int, limit: int = TAIL_ROWS) -> DataFrame:
 
 
 def stream(spark: SparkSession, path: str, cursor: int | None = None, per_trigger: int = 100, schema: str = SCHEMA) -> DataFrame:
-    """New files of the event log, each row once; a cursor leaves out what came before.
-
-    A batch that a crash cuts off between its events and its commit is seen here and never in the log.
-    """
-    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    """New files of a folder of events, each row once; a cursor leaves out what came before. A log's own events come by committed()."""
+    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", True).parquet(path)
     return found if cursor is None else found.filter(F.col("id") > cursor)
 
 
+def committed(spark: SparkSession, path: str, after: int | str = "latest") -> DataFrame:
+    """The events of a log as its batches are committed, after one of them: a batch that was cut off is never seen."""
+    return commits.follow(spark, path, "events", after)
+
+
 def rates(events: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Extension: events per window and type, with a watermark for late ones."""
     timed = events.withColumn("at", F.col("created_at").cast("timestamp")).withWatermark("at", late)
@@ -42,9 +46,10 @@ class Hub:
     """
 
     def __init__(self, spark: SparkSession, path: str, checkpoint: str, buffer: int = BUFFER, most: int = MOST_SUBSCRIBERS):
+        """path: the events of a log."""
         self.spark, self.path, self.checkpoint, self.buffer, self.most = spark, path, checkpoint, buffer, most
         self.subscribers: dict[int, queue.Queue] = {}
-        self.lock, self.query, self.next, self.cursor = threading.Lock(), None, 0, None
+        self.lock, self.query, self.next = threading.Lock(), None, 0
 
     def publish(self, rows: list[dict]) -> None:
         with self.lock:
@@ -56,17 +61,13 @@ class Hub:
                         pass  # a slow reader misses it
 
     def _start(self) -> None:
-        try:
-            seen = self.spark.read.schema(SCHEMA).parquet(self.path).agg(F.max("id")).first()[0]
-        except Exception:  # noqa: BLE001  no log yet
-            seen = None
-        self.cursor = seen
-
         def batch(df: DataFrame, _: int) -> None:
-            for row in df.orderBy("id").toLocalIterator():
+            for row in df.drop("seq", "number").orderBy("id").toLocalIterator():
                 self.publish([row.asDict()])
 
-        self.query = stream(self.spark, self.path, self.cursor).writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.checkpoint}/{self.next}").trigger(processingTime="1 second").start()
+        path = self.path.removesuffix("/events")
+        # from now on, not from when the query's first batch begins
+        self.query = committed(self.spark, path, commits.newest(path)).writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.checkpoint}/{self.next}").trigger(processingTime="1 second").start()
 
     def subscribe(self) -> tuple[int, queue.Queue]:
         with self.lock:
