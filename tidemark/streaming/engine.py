@@ -266,7 +266,8 @@ class Engine:
         around = held.select(F.col("parent_activity_id").alias("id")).unionByName(waits.select(F.col("child").alias("id"))).unionByName(spawned.select("id")).unionByName(keyed.select(F.col("target").alias("id")))
         acts = held.unionByName(kept(every.join(around.filter("id IS NOT NULL").distinct(), "id", "left_semi").join(held.select("id"), "id", "left_anti")))
         commands = mine.filter("outcome <> 'yield'").select("id", "worker_id", "attempt", "outcome", "error", "data")
-        good, bad = T.ack_success(held, commands, at(now)), T.ack_failure(held, commands, at(now))
+        # at most a row for each of the activities that were claimed
+        good, bad = self._pinned(T.ack_success(held, commands, at(now))), self._pinned(T.ack_failure(held, commands, at(now)))
         # the end of a child that another parent started wakes that parent; whoever else waits for it looks again
         look = waits.filter("named").select("id", S.plus_seconds(at(now), F.lit(LOOK_SECONDS)).alias("look"))
         parked = T.park(held, mine.filter("outcome = 'yield'").join(look, "id", "left").select("id", "worker_id", "attempt", F.coalesce("wake_at", "look").alias("wake_at"), "kind", "step"))
@@ -276,10 +277,11 @@ class Engine:
         ended = acts.filter(F.col("status").isin(S.TERMINAL)).select("id").unionByName(good.select("id")).unionByName(over.select("id"))
         awaits = waits.select(F.col("id").alias("parent"), F.col("child").alias("id")).join(ended, "id", "left_semi").select(F.col("parent").alias("id")).unionByName(waits.filter("refused").select("id"))
         ready = awaits.unionByName(parents.select(F.col("parent_activity_id").alias("id"))).filter("id IS NOT NULL").distinct().withColumn("ready", F.lit(True))
-        parked = parked.join(ready, "id", "left").withColumns({"status": F.when(F.col("ready"), "pending").otherwise(F.col("status")), "scheduled_at": F.when(F.col("ready"), F.lit(None)).otherwise(F.col("scheduled_at"))})
+        now_or_later = {"status": F.when(F.col("ready"), "pending").otherwise(F.col("status")), "scheduled_at": F.when(F.col("ready"), F.lit(None)).otherwise(F.col("scheduled_at"))}
+        parked = self._pinned(parked.join(ready, "id", "left").withColumns(now_or_later))
         steps = mine.select("id", F.explode("memo").alias("m")).select("id", "m.*")
         json_text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-        aliases = keyed.filter("target IS NULL OR target <> id").select(F.col("caller").alias("id"), F.concat(F.lit(ALIAS), "id").alias("step"), F.when(F.col("target").isNull(), "Err").otherwise("Ok").alias("state"), json_text(F.coalesce("target", "action")).alias("data"))
+        aliases = keyed.select(F.col("caller").alias("id"), F.concat(F.lit(ALIAS), "id").alias("step"), F.when(F.col("target").isNull(), "Err").otherwise("Ok").alias("state"), json_text(F.coalesce("target", "action")).alias("data"))
         memo = steps.unionByName(aliases).select(S.checkpoint_id("id", "step").alias("activity_id"), "state", "data", at(now).alias("created_at"), F.col("id").alias("owner_activity_id"), "step")
         stored = memo.select(F.col("activity_id").alias("id"), F.lit("ResultStored").alias("event_type"), F.to_json(F.struct(F.col("owner_activity_id").alias("owner"), "step")).alias("detail"))
         made = spawned.join(keyed.filter("target IS NULL OR target <> id").select("id"), "id", "left_anti").join(acts.select("id"), "id", "left_anti").dropDuplicates(["id"])
