@@ -1,6 +1,7 @@
 """Operator 4: suffix dedup on bytes by a radix sort of limited depth, most significant digit first.
 
-All suffixes take part, and no suffix is looked at beyond ``depth`` bytes.
+All suffixes take part, and no suffix is looked at beyond ``depth`` bytes. Only the first digit is bytes: the later ones are hashes of the
+bytes named, so that buckets are in byte order by their first digit alone (README has the reason and the figures).
 
 1. First digit, two bytes: counted over all suffixes. The counts deal suffixes, in their
    order, to buckets of about equal size, and buckets to slices that are sorted one after the
