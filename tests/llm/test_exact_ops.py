@@ -8,10 +8,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
+from tidemark.llm import op4_suffix
 from tidemark.llm.components import components
 from tidemark.llm.op1_substring import substring_dedup
 from tidemark.llm.op2_bpe import bpe_encode, default_tokenizer
@@ -88,16 +90,37 @@ def test_suffix_dedup(spark):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("depth,digit,slices", [(12, 12, 1), (12, 1, 4), (9, 8, 2), (1, 1, 2), (50, 16, 5)])
-def test_suffix_digits_and_slices(spark, monkeypatch, depth, digit, slices):
-    """Any digits and slices, and first digits that many buckets share."""
+@pytest.mark.parametrize("depth,digit,slices", [(12, 12, 1), (12, 1, 4), (9, 8, 2), (1, 1, 2), (50, 16, 5), (30, 16, 3)])
+@pytest.mark.parametrize("ranges", [3, op4_suffix.RANGES])
+def test_suffix_digits_and_slices(spark, monkeypatch, depth, digit, slices, ranges):
+    """Any digits and slices; fewer ranges than buckets."""
     monkeypatch.setattr(C, "BUCKET_KEYS", 300)
+    monkeypatch.setattr(op4_suffix, "RANGES", ranges)
     rows = corpus(3)
     got = suffix_dedup(spark.createDataFrame(rows, DOCS).repartition(3), depth, digit, slices=slices).collect()
     want = [(d, len(t), sum(m), bytes(b for b, x in zip(t, m) if not x)) for d, t, m in covered([r[:2] for r in rows], lambda t: (t or "").encode(), depth)]
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("size", [3, 8, 16, 50])
+def test_radix_order_is_byte_order(size):
+    """Suffixes stand in the order of their bytes, equal ones in order of place; buckets are ranges of that order."""
+    rng = np.random.default_rng(size)
+    buf = np.concatenate([rng.choice(np.frombuffer(b"ab\x00\xff", np.uint8), 3000), np.zeros(200, np.uint8), np.frombuffer(b"abc" * 300, np.uint8)])
+    at, data = np.arange(len(buf) - size + 1), buf.tobytes()
+    order, new = op4_suffix.radix_order(op4_suffix.words_at(buf, at, size))
+    want = sorted(at.tolist(), key=lambda k: (data[k : k + size], k))
+    assert order.tolist() == want
+    assert new.tolist() == [k == 0 or data[a : a + size] != data[want[k - 1] : want[k - 1] + size] for k, a in enumerate(want)]
+    drawn = op4_suffix.words_at(buf, at[::7], min(size, 16))
+    deal = op4_suffix.Deal.of(drawn if len(drawn) > 1 else [*drawn, np.zeros_like(drawn[0])], 20, 1, 3)
+    whole = op4_suffix.Sorted(buf, at, size, deal)
+    assert len(set(whole.bucket.tolist())) > 3 and (np.diff(whole.bucket) >= 0).all()
+    parts = [op4_suffix.Sorted(buf, at, size, deal, part) for part in range(3)]
+    assert np.concatenate([p.bucket for p in parts]).tolist() == whole.bucket.tolist()
+    assert np.concatenate([p.words[0] for p in parts]).tolist() == whole.words[0].tolist()
+
+
 def shingles(t, size):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     w = [x.translate(lower) for x in words_of(t)]

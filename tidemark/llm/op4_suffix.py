@@ -1,21 +1,20 @@
 """Operator 4: suffix dedup on bytes by a radix sort of limited depth, most significant digit first.
 
-All suffixes take part, and no suffix is looked at beyond ``depth`` bytes. Only the first digit is bytes: the later ones are hashes of the
-bytes named, so that buckets are in byte order by their first digit alone (README has the reason and the figures).
-
-1. First digit, two bytes: counted over all suffixes. The counts deal suffixes, in their
-   order, to buckets of about equal size, and buckets to slices that are sorted one after the
-   other, which bounds what lies on disk. A digit with more than a bucket of suffixes is
-   spread over several by the bytes that follow.
-2. Second digit, up to ``digit`` bytes: each bucket is sorted by it. Groups of one document are settled.
-   A suffix is settled as well where a later one of its ``depth`` bytes is, since that one's
-   digit is a part of its own later digits. What is left stands in runs of neighbours.
-3. The longest digit, whole runs: a run that also stands in a smaller document is repeated as a whole.
-4. Last digit, up to ``depth`` bytes: the suffixes of the first document of each run are sorted by it.
+All suffixes take part, no suffix is looked at beyond ``depth`` bytes, and every digit is the bytes themselves.
+
+1. Ranges. Suffixes drawn at even steps from all packs give cuts in byte order, which deal suffixes to
+   ranges of about equal size, and ranges to slices that are sorted one after the other (less lies on
+   disk at a time). Cuts move load alone. From ``RANGES`` ranges on, each is dealt further by a hash.
+2. First ``digit`` bytes: packs and ranges are sorted by them, digit by digit of as many bits as one sort of
+   64-bit numbers takes, and each digit looks only at groups that are still mixed (``radix_order``).
+   Groups of one document are settled. A suffix is settled as well where a later one of its ``depth``
+   bytes is, since that one's digits are a part of its own. What is left stands in runs of neighbours.
+3. Runs of equal bytes count once, as repeated rows would: they are told apart by 128-bit digests, and one
+   that also stands in a smaller document is repeated as a whole.
+4. Up to ``depth`` bytes: the suffixes of the first document of each other run are sorted on, in the same ranges.
    Equal ones are exactly the repeated strings.
 
-Each pack sends its distinct digits once, sorted (see common.entries). Pass 2 keeps 28 bits of a digit in its
-bucket, so it may take some for equal, which costs work only; passes 3 and 4 tell digits apart by 128 bits.
+Each pack sends its distinct digits once, sorted, so a string in a third of all documents is one entry of each pack.
 """
 
 from __future__ import annotations
@@ -31,136 +30,219 @@ from tidemark.llm import common as C
 from tidemark.llm import repeats as R
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary, rest string"
-COUNT_SCHEMA = "first int, n long"
+DRAWN_SCHEMA = "first binary, second binary"
 RUNS_SCHEMA = "pack_id long, lo binary, hi binary"
-#: Values of the first digit.
-FIRST = 1 << 16
-#: Bits of the second digit, and of a bucket's number, in a sort key; the rest is the document's place in its pack.
-DIGIT_BITS, BUCKET_BITS = 28, 64 - 28 - C.PLACE_BITS
-_DIGIT = np.uint64((1 << DIGIT_BITS) - 1)
+#: Most ranges, and suffixes drawn for each: what the driver and each task hold of them.
+RANGES, DRAWN = 1 << 16, 16
+
+
+def words_at(buf: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """The ``size`` bytes from each place on, as numbers of eight bytes in byte order; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), np.dtype(">u8"), padded, strides=(1,))
+    words = [eight[at + k].astype(np.uint64) for k in range(0, size, 8)]
+    if size % 8:
+        words[-1] &= ~np.uint64((1 << 8 * (8 - size % 8)) - 1)
+    return words
+
+
+def radix_order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of their words, and where groups of equal rows begin; equal rows keep their order.
+
+    Most significant digit first: a digit has the bits that a 64-bit key holds beside a row's group and
+    place, and rows alone in their group are not looked at again.
+    """
+    n = len(words[0])
+    order, new, live, done = np.arange(n), np.arange(n) == 0, np.arange(n), 0
+    while len(live) and done < 64 * len(words):
+        word, off = divmod(done, 64)
+        place = np.uint64(len(live).bit_length())
+        bits = min(64 - off, 64 - int(place) * (2 if done else 1))
+        digit = words[word][order[live]] << np.uint64(off) >> np.uint64(64 - bits)
+        key = (digit << place) | np.arange(len(live), dtype=np.uint64)
+        if done:
+            key |= (np.cumsum(new[live]) - 1).astype(np.uint64) << (place + np.uint64(bits))
+        key.sort()
+        order[live] = order[live[(key & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)]]
+        new[live] |= C.group_starts(key >> place)
+        live = live[~(new[live] & np.append(new[1:], True)[live])]
+        done += bits
+    return order, new
 
 
 @dataclass(frozen=True)
 class Deal:
-    """Buckets of suffixes by their first digit: the first bucket of each value, over how many it is spread, and buckets to a slice."""
+    """Ranges of suffixes by cuts in byte order, over how many buckets each is spread, and ranges to a slice."""
 
     first: np.ndarray
-    spread: np.ndarray
-    each: int
+    second: np.ndarray
+    spread: int
     slices: int
 
     @staticmethod
-    def of(counts: np.ndarray, partitions: int, slices: int) -> Deal:
-        total = int(counts.sum())
-        size = max(1, min(C.BUCKET_KEYS, total // (slices * partitions)))
-        first = (np.cumsum(counts) - counts) // size
-        spread = np.maximum(1, -(-counts // size))
-        buckets = int((first + spread).max())
-        slices = max(slices, -(-buckets >> BUCKET_BITS))
-        return Deal(first, spread, -(-buckets // slices), slices)
-
-    def bucket(self, digit: np.ndarray, following: np.ndarray) -> np.ndarray:
-        out, spread = self.first[digit], self.spread[digit]
-        hot = np.flatnonzero(spread > 1)
-        out[hot] += ((following[hot] >> np.uint64(34)) * spread[hot].astype(np.uint64) >> np.uint64(30)).astype(np.int64)
+    def of(words: list[np.ndarray], ranges: int, spread: int, slices: int) -> Deal:
+        """Cuts from drawn suffixes."""
+        order = radix_order(words)[0]
+        at = order[(np.arange(1, ranges) * len(order)) // ranges] if len(order) else order
+        first, second = words[0][at], words[1][at]
+        own = C.group_starts(first, second)
+        return Deal(first[own], second[own], spread, slices)
+
+    @property
+    def each(self) -> int:
+        return -(-(len(self.first) + 1) // self.slices)
+
+    def inside(self, first: np.ndarray, part: int) -> np.ndarray:
+        """Places that may be in a slice, by their first eight bytes."""
+        lo, hi = part * self.each - 1, (part + 1) * self.each - 1
+        out = np.ones(len(first), bool)
+        if lo >= len(self.first):
+            return ~out
+        if lo >= 0:
+            out &= first >= self.first[lo]
+        return out & (first <= self.first[hi]) if hi < len(self.first) else out
+
+    def buckets(self, words: list[np.ndarray]) -> np.ndarray:
+        """The bucket of each of some sorted distinct rows."""
+        first, second = words[0], words[1] if len(words) > 1 else np.zeros_like(words[0])
+        at, end = np.searchsorted(first, self.first), np.searchsorted(first, self.first, side="right")
+        for k in np.flatnonzero(end > at):
+            at[k] += np.searchsorted(second[at[k] : end[k]], self.second[k])
+        out = np.cumsum(np.bincount(at, minlength=len(first) + 1))[: len(first)]
+        if self.spread > 1:
+            spread = ((C.mix(first ^ C.mix(second)) >> np.uint64(32)) * np.uint64(self.spread)) >> np.uint64(32)
+            out = out * self.spread + spread.astype(np.int64)
         return out
 
-    def meets(self, part: int) -> np.ndarray:
-        """Values of the first digit that have buckets in a slice."""
-        return (self.first < (part + 1) * self.each) & (self.first + self.spread > part * self.each)
+    def slice_of(self, bucket: np.ndarray) -> np.ndarray:
+        return bucket // self.spread // self.each
 
-    def slice(self, digit: np.ndarray) -> np.ndarray:
-        return self.first[digit] // self.each
 
+class Sorted:
+    """Some suffixes of a pack in the order of their first ``size`` bytes, and their distinct digits by bucket."""
 
-class Suffixes:
-    """The suffixes of a pack's documents of at least ``depth`` bytes."""
-
-    def __init__(self, pack: C.Pack, depth: int, digit: int):
-        self.pack, self.depth, self.size = pack, depth, digit
-        self.n = len(pack.buf)
-        counts = np.diff(pack.offsets)
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        left = pack.offsets[1:][self.doc] - np.arange(self.n)
-        self.at = np.flatnonzero((counts >= depth)[self.doc] & (left >= digit))
+    def __init__(self, buf: np.ndarray, at: np.ndarray, size: int, deal: Deal, part: int | None = None):
+        if part is not None:
+            at = at[deal.inside(words_at(buf, at, 8)[0], part)]
+        words = words_at(buf, at, size)
+        self.order, new = radix_order(words)
+        lead = self.order[new]
+        self.words = [w[lead] for w in words]
+        self.bucket, self.group = deal.buckets(self.words), np.cumsum(new) - 1
+        if part is not None:
+            own = deal.slice_of(self.bucket) == part
+            here = own[self.group]
+            self.order, self.words, self.bucket = self.order[here], [w[own] for w in self.words], self.bucket[own]
+            self.group = (np.cumsum(own) - 1)[self.group[here]]
+        if deal.spread > 1:
+            turn = np.argsort(self.bucket, kind="stable")
+            place = np.empty_like(turn)
+            place[turn] = np.arange(len(turn))
+            self.words, self.bucket = [w[turn] for w in self.words], self.bucket[turn]
+            self.group = place[self.group]
+        self.at = at
+
+    def least(self, values: np.ndarray) -> np.ndarray:
+        """The least value of each group; values: one per suffix."""
+        out = np.full(len(self.bucket), np.iinfo(np.int64).max)
+        np.minimum.at(out, self.group, values[self.order])
+        return out
 
-    def first_digit(self, at: np.ndarray) -> np.ndarray:
-        digit = self.pack.buf[at].astype(np.int64) << 8
-        return digit | self.pack.buf[at + 1] if self.size > 1 else digit
-
-    def keys(self, deal: Deal, at: np.ndarray) -> np.ndarray:
-        """Bucket and second digit of some suffixes."""
-        digit = C.run_hashes(self.pack.buf, self.size)[at]
-        return (deal.bucket(self.first_digit(at), digit).astype(np.uint64) << np.uint64(DIGIT_BITS)) | (digit & _DIGIT)
-
-    def second_digits(self, deal: Deal, part: int):
-        """Sorted distinct keys of a slice, and whether several documents of the pack have them."""
-        at = self.at[deal.meets(part)[self.first_digit(self.at)]]
-        key = self.keys(deal, at)
-        low = np.uint64(part * deal.each)
-        bucket = key >> np.uint64(DIGIT_BITS)
-        inside = np.flatnonzero((bucket >= low) & (bucket < low + np.uint64(deal.each)))
-        key = ((key[inside] - (low << np.uint64(DIGIT_BITS))) << np.uint64(C.PLACE_BITS)) | self.doc[at[inside]].astype(np.uint64)
-        key.sort()
-        if not len(key):
-            return key, np.zeros(0, np.uint8)
-        cut = np.flatnonzero(C.group_starts(key >> np.uint64(C.PLACE_BITS)))
-        last = np.append(cut[1:], len(key)) - 1
-        several = (key[cut] != key[last]).astype(np.uint8)
-        return (key[cut] >> np.uint64(C.PLACE_BITS)) + (low << np.uint64(DIGIT_BITS)), several
+    def entries(self, pack_id: int, extra: np.ndarray) -> pa.RecordBatch | None:
+        import zstandard
 
-    def runs(self, deal: Deal, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last suffix of each run in which all digits of all suffixes are shared."""
-        key = self.keys(deal, self.at)
-        order = np.argsort(key)
-        shared = np.zeros(self.n, bool)
-        if len(key):
-            shared[self.at[order]] = answer[np.cumsum(C.group_starts(key[order])) - 1] > 0
-        width = self.depth - self.size + 1
-        lo, hi = R.runs(shared, self.pack.offsets)
-        long = hi - lo >= width
-        return lo[long], hi[long] - width
+        if not len(self.bucket):
+            return None
+        press = zstandard.ZstdCompressor(level=1)
+        cut = np.append(np.flatnonzero(C.group_starts(self.bucket)), len(self.bucket))
+        spans = list(zip(cut[:-1], cut[1:], strict=True))
+        keys = [press.compress(b"".join(_planes(w[a:z] if k else np.diff(w[a:z], prepend=np.uint64(0))) for k, w in enumerate(self.words))) for a, z in spans]
+        extras = [press.compress(_planes(extra[a:z])) for a, z in spans]
+        return C.batch_of(C.ENTRY_SCHEMA, [self.bucket[cut[:-1]], np.full(len(spans), pack_id), np.diff(cut), keys, extras])
 
 
-def _pressed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences: two low bytes as they are, the high ones pressed."""
-    import zstandard
+def _planes(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
-    steps = np.diff(keys, prepend=keys.dtype.type(0)).astype(np.uint32)
-    return (steps & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + zstandard.ZstdCompressor(level=1).compress((steps >> np.uint32(16)).astype(np.uint16).tobytes())
 
+def _unpressed(words: int):
+    """Reads the keys of Sorted.entries: a row of words for each."""
 
-def _unpressed(data: bytes, n: int) -> np.ndarray:
-    import zstandard
+    def unpress(data: bytes, n: int) -> np.ndarray:
+        import zstandard
 
-    high = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2 * n :], max_output_size=2 * n), np.uint16)
-    return np.cumsum(np.frombuffer(data, np.uint16, n) + (high.astype(np.uint64) << np.uint64(16)), dtype=np.uint64)
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=8 * words * n), np.uint8)
+        out = raw.reshape(words, 8, n).transpose(2, 0, 1).copy().view(np.uint64).reshape(n, words)
+        out[:, 0] = np.cumsum(out[:, 0], dtype=np.uint64)
+        return out
 
+    return unpress
 
-def _digit_entries(pack_id: int, key: np.ndarray, several: np.ndarray) -> pa.RecordBatch | None:
-    import zstandard
 
-    if not len(key):
-        return None
-    bucket = (key >> np.uint64(DIGIT_BITS)).astype(np.int64)
-    cut = np.append(np.flatnonzero(C.group_starts(bucket)), len(key))
-    digit, press = key & _DIGIT, zstandard.ZstdCompressor(level=1)
-    blobs = [_pressed(digit[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
-    flags = [press.compress(several[a:z].tobytes()) for a, z in zip(cut[:-1], cut[1:], strict=True)]
-    return C.batch_of(C.ENTRY_SCHEMA, [bucket[cut[:-1]], np.full(len(cut) - 1, pack_id), np.diff(cut), blobs, flags])
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket in byte order, and the group of each row in it."""
+    order, new = radix_order([np.ascontiguousarray(w) for w in keys.T])
+    return order, np.cumsum(new) - 1
 
 
 def _decide_digit(keys, who, extras):
     """1 for digits that several documents have."""
-    order = np.argsort(keys)
-    cut = C.group_starts(keys[order])
-    at, group = np.flatnonzero(cut), np.cumsum(cut) - 1
-    shared = (np.diff(np.append(at, len(keys))) > 1) | (np.maximum.reduceat(extras[0][order], at) > 0)
+    order, group = _grouped(keys)
+    shared = np.bincount(group, 1 + extras[0][order]) > 1
     out = np.empty(len(keys), np.uint8)
     out[order] = shared[group]
     return out
 
 
+def _decide_last(keys, who, extras):
+    """1 for strings that a smaller document has too."""
+    order, group = _grouped(keys)
+    ids = extras[0][order]
+    least = np.full(len(keys), C.NULL_ID)
+    np.minimum.at(least, group, ids)
+    out = np.empty(len(keys), np.uint8)
+    out[order] = ids > least[group]
+    return out
+
+
+class Suffixes:
+    """The suffixes of a pack's documents of at least ``depth`` bytes."""
+
+    def __init__(self, pack: C.Pack, depth: int, digit: int):
+        self.pack, self.depth, self.size = pack, depth, digit
+        counts = np.diff(pack.offsets)
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        left = pack.offsets[1:][self.doc] - np.arange(len(pack.buf))
+        self.at = np.flatnonzero((counts >= depth)[self.doc] & (left >= digit))
+
+    def drawn(self, step: int) -> list[np.ndarray]:
+        """The digits of every step-th suffix."""
+        first = int(C.mix(np.array([self.pack.pack_id], np.uint64))[0] % np.uint64(step))
+        words = words_at(self.pack.buf, self.at[first::step], self.size)
+        return words if len(words) > 1 else [*words, np.zeros_like(words[0])]
+
+    def send(self, deal: Deal, part: int) -> pa.RecordBatch | None:
+        """Entries of a slice: distinct digits, and whether several documents of the pack have them."""
+        found = Sorted(self.pack.buf, self.at, self.size, deal, part)
+        doc = self.doc[found.at][found.order]
+        n = len(found.bucket)
+        first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        last[found.group] = doc  # equal digits stand in order of place
+        first[found.group[::-1]] = doc[::-1]
+        return found.entries(self.pack.pack_id, (first != last).astype(np.uint8))
+
+    def runs(self, deal: Deal, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last suffix of each run in which all digits of all suffixes are shared."""
+        found = Sorted(self.pack.buf, self.at, self.size, deal)
+        shared = np.zeros(len(self.pack.buf), bool)
+        if len(self.at):
+            shared[self.at[found.order]] = answer[found.group] > 0
+        width = self.depth - self.size + 1
+        lo, hi = R.runs(shared, self.pack.offsets)
+        long = hi - lo >= width
+        return lo[long], hi[long] - width
+
+
 class Runs:
     """Runs of suffixes of a pack that are still in groups of several documents."""
 
@@ -179,25 +261,18 @@ class Runs:
         self.lead = order[cut] if len(key) else order
         return key[self.lead], check[self.lead], self.id[self.lead]
 
-    def last_digits(self, covered: np.ndarray, deal: Deal, part: int | None = None):
-        """Entries of the suffixes of runs that lead and aren't covered, by slice: two lanes, least id."""
+    def last_digits(self, covered: np.ndarray, deal: Deal, part: int | None = None) -> Sorted:
+        """The suffixes of runs that lead and aren't covered, by all their bytes, and the least id of equal ones."""
         self.open = np.flatnonzero(covered == 0)
         run = self.lead[self.open]
         count = self.hi[run] - self.lo[run] + 1
-        self.suffix = C.ranges(self.lo[run], count)
-        self.suffix_id = np.repeat(self.id[run], count)
-        first = self.pack.buf[self.suffix].astype(np.int64) << 8
-        parts = deal.slice(first | self.pack.buf[self.suffix + 1] if self.depth > 1 else first)
+        suffix, ids = C.ranges(self.lo[run], count), np.repeat(self.id[run], count)
         if part is not None:
-            self.suffix, self.suffix_id, parts = (x[parts == part] for x in (self.suffix, self.suffix_id, parts))
-        key, check = (C.bytes_hashes(self.pack.buf, self.suffix, self.suffix + self.depth, lane) for lane in (0, 1))
-        order = np.lexsort((self.suffix_id, check, key, parts))
-        cut = C.group_starts(parts[order], key[order], check[order])
-        self.suffix_group = np.empty(len(key), np.int64)
-        self.suffix_group[order] = np.cumsum(cut) - 1
-        self.least = self.suffix_id[order[cut]] if len(key) else self.suffix_id
-        lead = order[cut] if len(key) else order
-        return key[lead], check[lead], self.suffix_id[lead]
+            here = deal.inside(words_at(self.pack.buf, suffix, 8)[0], part)
+            suffix, ids = suffix[here], ids[here]
+        self.found, self.ids = Sorted(self.pack.buf, suffix, self.depth, deal, part), ids
+        self.least = self.found.least(ids)
+        return self.found
 
     def removed(self, covered: np.ndarray, repeated: np.ndarray) -> np.ndarray:
         """Mask of the bytes that repeated strings cover. Runs like a pack's leading one in a larger document go whole."""
@@ -206,7 +281,9 @@ class Runs:
             whole = (covered[self.group] > 0) | (self.id > self.id[self.lead][self.group])
             np.add.at(cover, self.lo[whole], 1)
             np.add.at(cover, self.hi[whole] + self.depth, -1)
-            gone = (repeated[self.suffix_group] > 0) | (self.suffix_id > self.least[self.suffix_group])
+            order, group = self.found.order, self.found.group
+            gone = np.empty(len(order), bool)
+            gone[order] = (repeated[group] > 0) | (self.ids[order] > self.least[group])
             # equal runs of the leading document share the verdict of its first
             verdict = np.full(len(self.lead), -1)
             count = (self.hi - self.lo + 1)[self.lead[self.open]]
@@ -219,12 +296,12 @@ class Runs:
         return np.cumsum(cover[:-1]) > 0
 
 
-def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str = "text", key: str = "doc_id", carry: list[str] = (), slices: int = 2) -> DataFrame:
+def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str = "text", key: str = "doc_id", carry: list[str] = (), slices: int = 4) -> DataFrame:
     """Remove each byte covered by a ``depth``-byte string that also starts in a document with a smaller id.
 
-    Suffixes are sorted by their first two bytes, by their first ``digit`` bytes and by
-    their first ``depth`` bytes, each pass within the groups that are still mixed (see above).
-    slices: parts, by first digits, in which passes go over the texts; more of them hold less on disk at a time.
+    Suffixes are sorted by their first ``digit`` bytes, 16 at most, and those still in mixed groups by
+    their first ``depth`` bytes (see above).
+    slices: parts, in byte order, in which passes go over the texts; more of them hold less on disk at a time.
 
     Returns doc_id, n_bytes, n_removed, n_spans, spans (start and end of each removed run, in
     bytes), kept (remaining bytes) and rest (JSON of the carried columns).
@@ -232,31 +309,31 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
     another's bytes; a null doc_id ranks last. Other columns play no part. An empty table
     gives no rows.
     """
-    digit = min(digit, depth)
+    digit = min(digit, depth, 16)
     packs = C.packed(docs, text, key, carry)
     light = packs.drop("rest", "rest_lens", "also")
 
-    def counted(batches):
-        counts = np.zeros(FIRST, np.int64)
+    total = light.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(slices * C.shuffle_partitions(docs.sparkSession), total // C.BUCKET_KEYS + 1)
+    ranges = min(buckets, RANGES)
+    step = max(1, total // (ranges * DRAWN))
+
+    def drawn(batches):
         for row in C.rows_of(batches):
-            suffixes = Suffixes(C.Pack(row), depth, digit)
-            counts += np.bincount(suffixes.first_digit(suffixes.at), minlength=FIRST)
-        yield C.batch_of(COUNT_SCHEMA, [np.flatnonzero(counts), counts[counts > 0]])
+            first, second = Suffixes(C.Pack(row), depth, digit).drawn(step)
+            yield C.batch_of(DRAWN_SCHEMA, [[first.tobytes()], [second.tobytes()]])
 
-    # no more rows than values of the digit
-    found = light.mapInArrow(C.tidied(counted), COUNT_SCHEMA).groupBy("first").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(FIRST, np.int64)
-    counts[found["first"]] = found["n"]
-    deal = Deal.of(counts, C.shuffle_partitions(docs.sparkSession), slices)
+    # no more than about RANGES * DRAWN suffixes of 16 bytes, whatever the size of the table
+    found = light.mapInArrow(C.tidied(drawn), DRAWN_SCHEMA).toPandas()
+    deal = Deal.of([np.frombuffer(b"".join(found[c]), np.uint64) for c in ("first", "second")], ranges, -(-buckets // ranges), slices)
 
     def second(part):
         def send(batches):
             for row in C.rows_of(batches):
-                keys, several = Suffixes(C.Pack(row), depth, digit).second_digits(deal, part)
-                if (out := _digit_entries(row["pack_id"], keys, several)) is not None:
+                if (out := Suffixes(C.Pack(row), depth, digit).send(deal, part)) is not None:
                     yield out
 
-        return C.replies(light.mapInArrow(C.tidied(send), C.ENTRY_SCHEMA), [np.uint8], _decide_digit, _unpressed)
+        return C.replies(light.mapInArrow(C.tidied(send), C.ENTRY_SCHEMA), [np.uint8], _decide_digit, _unpressed(-(-digit // 8)))
 
     def left(batches):
         for row in C.rows_of(batches):
@@ -274,12 +351,11 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
             for row in C.rows_of(batches):
                 runs = Runs(row, depth)
                 runs.whole()
-                key, *extras = runs.last_digits(C.answer_bytes(row["covered"]), deal, part)
-                if (out := C.entries(row["pack_id"], key, extras, nb)) is not None:
+                found = runs.last_digits(C.answer_bytes(row["covered"]), deal, part)
+                if (out := found.entries(row["pack_id"], runs.least)) is not None:
                     yield out
 
-        sent = open_.mapInArrow(C.tidied(send), C.ENTRY_SCHEMA).withColumn("bucket", F.col("bucket") + part * nb)
-        return C.replies(sent, [np.uint64, np.int64], R.decide_window)
+        return C.replies(open_.mapInArrow(C.tidied(send), C.ENTRY_SCHEMA), [np.int64], _decide_last, _unpressed(-(-depth // 8)))
 
     def last(batches):
         for row in C.rows_of(batches):
