@@ -91,13 +91,14 @@ def test_suffix_dedup(spark):
 
 
 @pytest.mark.parametrize("depth,digit,slices", [(12, 12, 1), (12, 1, 4), (9, 8, 2), (1, 1, 2), (50, 16, 5), (30, 16, 3)])
-@pytest.mark.parametrize("ranges", [3, op4_suffix.RANGES])
-def test_suffix_digits_and_slices(spark, monkeypatch, depth, digit, slices, ranges):
-    """Any digits and slices; fewer ranges than buckets."""
+@pytest.mark.parametrize("every", [1, 6])
+@pytest.mark.parametrize("ranges", [3])
+def test_suffix_digits_and_slices(spark, monkeypatch, depth, digit, slices, ranges, every):
+    """Any digits, slices and shares of chosen suffixes; fewer ranges than buckets."""
     monkeypatch.setattr(C, "BUCKET_KEYS", 300)
     monkeypatch.setattr(op4_suffix, "RANGES", ranges)
     rows = corpus(3)
-    got = suffix_dedup(spark.createDataFrame(rows, DOCS).repartition(3), depth, digit, slices=slices).collect()
+    got = suffix_dedup(spark.createDataFrame(rows, DOCS).repartition(3), depth, digit, slices=slices, every=every).collect()
     want = [(d, len(t), sum(m), bytes(b for b, x in zip(t, m) if not x)) for d, t, m in covered([r[:2] for r in rows], lambda t: (t or "").encode(), depth)]
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got), key=key) == sorted(want, key=key)
 

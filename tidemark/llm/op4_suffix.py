@@ -1,14 +1,16 @@
 """Operator 4: suffix dedup on bytes by a radix sort of limited depth, most significant digit first.
 
-All suffixes take part, no suffix is looked at beyond ``depth`` bytes, and every digit is the bytes themselves.
+No suffix is looked at beyond ``depth`` bytes, and every digit is the bytes themselves. A suffix is settled when any
+digit inside its ``depth`` bytes stands in one document only, so the first pass orders one suffix in ``every``, chosen by
+the bytes it starts with (equal digits are chosen alike), and the last pass orders all that it leaves.
 
-1. Ranges. Suffixes drawn at even steps from all packs give cuts in byte order, which deal suffixes to
+1. Ranges. Some suffixes drawn at even steps from all packs give cuts in byte order, which deal suffixes to
    ranges of about equal size, and ranges to slices that are sorted one after the other (less lies on
    disk at a time). Cuts move load alone. From ``RANGES`` ranges on, each is dealt further by a hash.
 2. First ``digit`` bytes: packs and ranges are sorted by them, digit by digit of as many bits as one sort of
    64-bit numbers takes, and each digit looks only at groups that are still mixed (``radix_order``).
-   Groups of one document are settled. A suffix is settled as well where a later one of its ``depth``
-   bytes is, since that one's digits are a part of its own. What is left stands in runs of neighbours.
+   Groups of one document are settled, and so is each suffix that has such a digit among its ``depth``
+   bytes. What is left, windows without a chosen digit too, stands in runs of neighbours.
 3. Runs of equal bytes count once, as repeated rows would: they are told apart by 128-bit digests, and one
    that also stands in a smaller document is repeated as a whole.
 4. Up to ``depth`` bytes: the suffixes of the first document of each other run are sorted on, in the same ranges.
@@ -34,6 +36,8 @@ DRAWN_SCHEMA = "first binary, second binary"
 RUNS_SCHEMA = "pack_id long, lo binary, hi binary"
 #: Most ranges, and suffixes drawn for each: what the driver and each task hold of them.
 RANGES, DRAWN = 1 << 16, 16
+#: Odd; its product with eight bytes decides which suffixes are chosen.
+_CHOICE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_at(buf: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
@@ -208,22 +212,26 @@ def _decide_last(keys, who, extras):
 class Suffixes:
     """The suffixes of a pack's documents of at least ``depth`` bytes."""
 
-    def __init__(self, pack: C.Pack, depth: int, digit: int):
+    def __init__(self, pack: C.Pack, depth: int, digit: int, every: int):
         self.pack, self.depth, self.size = pack, depth, digit
         counts = np.diff(pack.offsets)
         self.doc = np.repeat(np.arange(len(counts)), counts)
         left = pack.offsets[1:][self.doc] - np.arange(len(pack.buf))
         self.at = np.flatnonzero((counts >= depth)[self.doc] & (left >= digit))
+        self.chosen = self.at
+        if every > 1:
+            drawn = words_at(pack.buf, self.at, min(digit, 8))[0] * _CHOICE
+            self.chosen = self.at[drawn < np.uint64((1 << 64) // every)]
 
     def drawn(self, step: int) -> list[np.ndarray]:
-        """The digits of every step-th suffix."""
+        """The digits of every step-th chosen suffix."""
         first = int(C.mix(np.array([self.pack.pack_id], np.uint64))[0] % np.uint64(step))
-        words = words_at(self.pack.buf, self.at[first::step], self.size)
+        words = words_at(self.pack.buf, self.chosen[first::step], self.size)
         return words if len(words) > 1 else [*words, np.zeros_like(words[0])]
 
     def send(self, deal: Deal, part: int) -> pa.RecordBatch | None:
         """Entries of a slice: distinct digits, and whether several documents of the pack have them."""
-        found = Sorted(self.pack.buf, self.at, self.size, deal, part)
+        found = Sorted(self.pack.buf, self.chosen, self.size, deal, part)
         doc = self.doc[found.at][found.order]
         n = len(found.bucket)
         first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -232,11 +240,12 @@ class Suffixes:
         return found.entries(self.pack.pack_id, (first != last).astype(np.uint8))
 
     def runs(self, deal: Deal, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last suffix of each run in which all digits of all suffixes are shared."""
-        found = Sorted(self.pack.buf, self.at, self.size, deal)
+        """First and last suffix of each run in which all chosen digits of all suffixes are shared."""
+        found = Sorted(self.pack.buf, self.chosen, self.size, deal)
         shared = np.zeros(len(self.pack.buf), bool)
-        if len(self.at):
-            shared[self.at[found.order]] = answer[found.group] > 0
+        shared[self.at] = True
+        if len(self.chosen):
+            shared[self.chosen[found.order]] = answer[found.group] > 0
         width = self.depth - self.size + 1
         lo, hi = R.runs(shared, self.pack.offsets)
         long = hi - lo >= width
@@ -296,11 +305,12 @@ class Runs:
         return np.cumsum(cover[:-1]) > 0
 
 
-def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str = "text", key: str = "doc_id", carry: list[str] = (), slices: int = 4) -> DataFrame:
+def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str = "text", key: str = "doc_id", carry: list[str] = (), slices: int = 2, every: int = 6) -> DataFrame:
     """Remove each byte covered by a ``depth``-byte string that also starts in a document with a smaller id.
 
     Suffixes are sorted by their first ``digit`` bytes, 16 at most, and those still in mixed groups by
     their first ``depth`` bytes (see above).
+    every: of about how many suffixes one is sorted by ``digit`` bytes; moves work alone.
     slices: parts, in byte order, in which passes go over the texts; more of them hold less on disk at a time.
 
     Returns doc_id, n_bytes, n_removed, n_spans, spans (start and end of each removed run, in
@@ -316,11 +326,11 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
     total = light.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(slices * C.shuffle_partitions(docs.sparkSession), total // C.BUCKET_KEYS + 1)
     ranges = min(buckets, RANGES)
-    step = max(1, total // (ranges * DRAWN))
+    step = max(1, total // (every * ranges * DRAWN))
 
     def drawn(batches):
         for row in C.rows_of(batches):
-            first, second = Suffixes(C.Pack(row), depth, digit).drawn(step)
+            first, second = Suffixes(C.Pack(row), depth, digit, every).drawn(step)
             yield C.batch_of(DRAWN_SCHEMA, [[first.tobytes()], [second.tobytes()]])
 
     # no more than about RANGES * DRAWN suffixes of 16 bytes, whatever the size of the table
@@ -330,14 +340,14 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
     def second(part):
         def send(batches):
             for row in C.rows_of(batches):
-                if (out := Suffixes(C.Pack(row), depth, digit).send(deal, part)) is not None:
+                if (out := Suffixes(C.Pack(row), depth, digit, every).send(deal, part)) is not None:
                     yield out
 
         return C.replies(light.mapInArrow(C.tidied(send), C.ENTRY_SCHEMA), [np.uint8], _decide_digit, _unpressed(-(-digit // 8)))
 
     def left(batches):
         for row in C.rows_of(batches):
-            lo, hi = Suffixes(C.Pack(row), depth, digit).runs(deal, C.answer_bytes(row["digits"]))
+            lo, hi = Suffixes(C.Pack(row), depth, digit, every).runs(deal, C.answer_bytes(row["digits"]))
             yield C.batch_of(RUNS_SCHEMA, [[row["pack_id"]], [lo.tobytes()], [hi.tobytes()]])
 
     def whole(batches):
