@@ -21,7 +21,7 @@ Each pack sends its distinct digits once, sorted, so a string in a third of all
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,9 @@ from tidemark.llm import repeats as R
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary, rest string"
 DRAWN_SCHEMA = "first binary, second binary"
 RUNS_SCHEMA = "pack_id long, lo binary, hi binary"
+LEADS_SCHEMA = "pack_id long, ids binary, lens binary, data binary"
+#: Slices of the last pass for each of the first.
+LAST_SLICES = 3
 #: Most ranges, and suffixes drawn for each: what the driver and each task hold of them.
 RANGES, DRAWN = 1 << 16, 16
 #: Odd; its product with eight bytes decides which suffixes are chosen.
@@ -270,33 +273,31 @@ class Runs:
         self.lead = order[cut] if len(key) else order
         return key[self.lead], check[self.lead], self.id[self.lead]
 
-    def last_digits(self, covered: np.ndarray, deal: Deal, part: int | None = None) -> Sorted:
-        """The suffixes of runs that lead and aren't covered, by all their bytes, and the least id of equal ones."""
-        self.open = np.flatnonzero(covered == 0)
-        run = self.lead[self.open]
-        count = self.hi[run] - self.lo[run] + 1
-        suffix, ids = C.ranges(self.lo[run], count), np.repeat(self.id[run], count)
-        if part is not None:
-            here = deal.inside(words_at(self.pack.buf, suffix, 8)[0], part)
-            suffix, ids = suffix[here], ids[here]
-        self.found, self.ids = Sorted(self.pack.buf, suffix, self.depth, deal, part), ids
-        self.least = self.found.least(ids)
-        return self.found
+    def leads(self, covered: np.ndarray) -> list:
+        """The texts of the runs that lead and aren't covered: their ids, lengths and bytes."""
+        import zstandard
+
+        run = self.lead[covered == 0]
+        lens = self.hi[run] - self.lo[run] + self.depth
+        data = zstandard.ZstdCompressor(level=1).compress(self.pack.buf[C.ranges(self.lo[run], lens)].tobytes())
+        return [self.pack.pack_id, self.id[run].tobytes(), lens.tobytes(), data]
 
-    def removed(self, covered: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    def removed(self, covered: np.ndarray, repeated: np.ndarray, deal: Deal) -> np.ndarray:
         """Mask of the bytes that repeated strings cover. Runs like a pack's leading one in a larger document go whole."""
         cover = np.zeros(len(self.pack.buf) + 1, np.int64)
         if len(self.lo):
             whole = (covered[self.group] > 0) | (self.id > self.id[self.lead][self.group])
             np.add.at(cover, self.lo[whole], 1)
             np.add.at(cover, self.hi[whole] + self.depth, -1)
-            order, group = self.found.order, self.found.group
-            gone = np.empty(len(order), bool)
-            gone[order] = (repeated[group] > 0) | (self.ids[order] > self.least[group])
+            opened = np.flatnonzero(covered == 0)
+            run = self.lead[opened]
+            found, ids, least = last_digits(self.pack.buf, self.lo[run], self.hi[run], self.id[run], self.depth, deal)
+            gone = np.empty(len(ids), bool)
+            gone[found.order] = (repeated[found.group] > 0) | (ids[found.order] > least[found.group])
             # equal runs of the leading document share the verdict of its first
             verdict = np.full(len(self.lead), -1)
-            count = (self.hi - self.lo + 1)[self.lead[self.open]]
-            verdict[self.open] = np.cumsum(count) - count
+            count = (self.hi - self.lo + 1)[run]
+            verdict[opened] = np.cumsum(count) - count
             rest = np.flatnonzero(~whole)
             count = self.hi[rest] - self.lo[rest] + 1
             at = C.ranges(self.lo[rest], count)[gone[C.ranges(verdict[self.group[rest]], count)]]
@@ -305,6 +306,28 @@ class Runs:
         return np.cumsum(cover[:-1]) > 0
 
 
+def last_digits(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, run_ids: np.ndarray, depth: int, deal: Deal, part: int | None = None) -> tuple[Sorted, np.ndarray, np.ndarray]:
+    """The suffixes of some runs by all their bytes, the id of each, and the least id of equal ones."""
+    count = hi - lo + 1
+    suffix, ids = C.ranges(lo, count), np.repeat(run_ids, count)
+    if part is not None:
+        here = deal.inside(words_at(buf, suffix, 8)[0], part)
+        suffix, ids = suffix[here], ids[here]
+    found = Sorted(buf, suffix, depth, deal, part)
+    return found, ids, found.least(ids)
+
+
+def _lead_digits(row: dict, depth: int, deal: Deal, part: int) -> pa.RecordBatch | None:
+    """Entries of a slice of the suffixes of a pack's leading runs."""
+    import zstandard
+
+    ids, lens = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lens"], np.int64)
+    buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, int(lens.sum()))), np.uint8)
+    lo = np.cumsum(lens) - lens
+    found, _, least = last_digits(buf, lo, lo + lens - depth, ids, depth, deal, part)
+    return found.entries(row["pack_id"], least)
+
+
 def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str = "text", key: str = "doc_id", carry: list[str] = (), slices: int = 2, every: int = 6) -> DataFrame:
     """Remove each byte covered by a ``depth``-byte string that also starts in a document with a smaller id.
 
@@ -356,23 +379,28 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
             if (out := C.entries(row["pack_id"], key, extras, nb)) is not None:
                 yield out
 
+    def opened(batches):
+        for row in C.rows_of(batches):
+            runs = Runs(row, depth)
+            runs.whole()
+            yield C.batch_of(LEADS_SCHEMA, [[x] for x in runs.leads(C.answer_bytes(row["covered"]))])
+
+    # a last digit has several times the bytes of a first one
+    thin = replace(deal, slices=LAST_SLICES * slices)
+
     def fourth(part):
         def send(batches):
             for row in C.rows_of(batches):
-                runs = Runs(row, depth)
-                runs.whole()
-                found = runs.last_digits(C.answer_bytes(row["covered"]), deal, part)
-                if (out := found.entries(row["pack_id"], runs.least)) is not None:
+                if (out := _lead_digits(row, depth, thin, part)) is not None:
                     yield out
 
-        return C.replies(open_.mapInArrow(C.tidied(send), C.ENTRY_SCHEMA), [np.int64], _decide_last, _unpressed(-(-depth // 8)))
+        return C.replies(leads.mapInArrow(C.tidied(send), C.ENTRY_SCHEMA), [np.int64], _decide_last, _unpressed(-(-depth // 8)))
 
     def last(batches):
         for row in C.rows_of(batches):
             runs, covered = Runs(row, depth), C.answer_bytes(row["covered"])
             runs.whole()
-            runs.last_digits(covered, deal)
-            yield emit(runs.pack, runs.removed(covered, C.answer_bytes(row["repeated"])))
+            yield emit(runs.pack, runs.removed(covered, C.answer_bytes(row["repeated"]), deal))
 
     def emit(p: C.Pack, gone: np.ndarray):
         first = p.offsets
@@ -382,11 +410,14 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
         return C.batch_of(SCHEMA, [p.id_column(), np.diff(first), np.diff(before), np.diff(np.searchsorted(starts, first)), R.span_lists(starts, ends, first), kept, p.rest()])
 
     nb = C.buckets_for(packs, 1 / 8)
-    digits = _of_packs(C.written_all(second(part) for part in range(deal.slices)), "digits")
+    answers = C.written_all(second(part) for part in range(deal.slices))
+    digits = _of_packs(answers, "digits")
     runs = C.written(light.join(digits, "pack_id", "left").mapInArrow(C.tidied(left), RUNS_SCHEMA)).hint("merge")
+    C.dropped(answers)
     covered = _of_packs(C.written(C.replies(light.join(runs, "pack_id").mapInArrow(C.tidied(whole), C.ENTRY_SCHEMA), [np.uint64, np.int64], R.decide_window)), "covered")
-    open_ = light.join(runs, "pack_id").join(covered, "pack_id")
-    repeated = _of_packs(C.written_all(fourth(part) for part in range(deal.slices)), "repeated")
+    leads = C.written(light.join(runs, "pack_id").join(covered, "pack_id").mapInArrow(C.tidied(opened), LEADS_SCHEMA))
+    repeated = _of_packs(C.written_all(fourth(part) for part in range(thin.slices)), "repeated")
+    C.dropped(leads)
     return packs.join(runs, "pack_id").join(covered, "pack_id", "left").join(repeated, "pack_id", "left").mapInArrow(C.tidied(last), SCHEMA)
 
 
