@@ -30,9 +30,10 @@ def _queue(customer):
     return F.when(customer % 10 == 0, "other").otherwise("main")
 
 
-def _finished(df: DataFrame) -> DataFrame:
-    """The columns that roots and children derive alike."""
-    h, k = F.col("id") % 1000 + F.col("k"), F.col("k")
+def finished(rows: DataFrame) -> DataFrame:
+    """Activities from their rows: everything that follows from what `rows` gives."""
+    df = rows.withColumn("k", F.expr("(id - rn) div 1000"))
+    h, k, child = F.col("id") % 1000 + F.col("k"), F.col("k"), F.col("rn") > 0
     status, created = F.col("status"), F.col("created_at")
     terminal = status.isin(S.TERMINAL)
     worker = F.concat(F.lit("w"), (F.col("w") % 50).cast("string"))
@@ -40,7 +41,7 @@ def _finished(df: DataFrame) -> DataFrame:
     started = F.when((status == "processing") | terminal, created + _hours(1))
     failing = status.isin("failed", "dead_letter", "retrying")
     root_key = F.when(h % 3 == 0, F.concat(F.lit("ord-"), k.cast("string"), F.lit("-"), F.col("activity_type")))
-    step = S.step_key(F.col("parent_activity_id"), F.col("parent_activity_id"), F.concat(F.lit("s"), F.col("rn").cast("string")))
+    step = S.step_key(k * 1000, k * 1000, F.concat(F.lit("s"), F.col("rn").cast("string")))
     return df.select(
         "id", "queue_name", "activity_type", F.concat(F.lit('{"k":'), k.cast("string"), F.lit("}")).alias("payload"), "priority", "status", "created_at",
         F.when(status.isin(S.DUE), created + _hours(120)).alias("scheduled_at"), started.alias("started_at"),
@@ -51,41 +52,53 @@ def _finished(df: DataFrame) -> DataFrame:
         F.when(h % 3 == 0, 0).otherwise(20).cast("long").alias("max_retry_delay_seconds"),
         F.when(failing, F.concat(F.lit("err"), (h % 5).cast("string"))).alias("last_error"), F.when(failing, created + _hours(36)).alias("last_error_at"),
         F.when(h % 7 == 0, '{"source":"cron"}').when(h % 7 == 1, '{"source":"api"}').when(h % 7 == 2, F.lit(None)).otherwise("{}").alias("metadata"),
-        F.when(F.col("rn") > 0, step).otherwise(root_key).alias("idempotency_key"), "parent_activity_id", "root_activity_id", "depth",
+        F.when(child, step).otherwise(root_key).alias("idempotency_key"), F.when(child, k * 1000).alias("parent_activity_id"), F.when(child | (k % 101 != 0), k * 1000).alias("root_activity_id"), F.when(child, 1).otherwise(0).alias("depth"),
     )
 
 
-def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One activity per order; needs no shuffle."""
-    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
-    digit = F.substring("o_orderpriority", 1, 1)
+def rows(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """One row per order and per line, in the few columns that all others follow from: id, rn (0: order), w, queue_name, activity_type, priority, status, created_at.
+
+    One shuffle: orders and lines are dealt together into ``parts`` ranges of the order key, where a window numbers the lines and gives
+    them what they take from their order. A line is as many rows as its key has orders; without one, none.
+    """
+    none, parts = F.lit(None), parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.lit(False).alias("line"), none.alias("n"), none.alias("part"), F.col("o_custkey").alias("w"), none.alias("price"), F.col("o_orderdate").alias("created_at"), F.substring("o_orderpriority", 1, 1).alias("flag"), F.col("o_orderstatus").alias("state"),
+    )
+    lines = read(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL").select(
+        F.col("l_orderkey").alias("k"), F.lit(True).alias("line"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("w"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("created_at"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("state"),
+    )
+    k, n, line, flag, state = (F.col(c) for c in ("k", "n", "line", "flag", "state"))
+    order = Window.partitionBy("k").orderBy("line", "n", "part", "w", "price", "created_at")
+    head = F.struct(F.col("w").alias("customer"), state.alias("o_state"))
+    heads = F.collect_list(F.when(~line & k.isNotNull(), head)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = orders.unionByName(lines).repartitionByRange(parts, "k").withColumns({"turn": F.row_number().over(order), "heads": heads})
+    found = found.select("*", F.inline(F.when(line, F.col("heads")).otherwise(F.array(head))))
+    rn = F.when(line, F.col("turn") - F.size("heads")).otherwise(0)
     failed = F.when(k % 10 == 0, "failed").when(k % 10 == 1, "dead_letter").otherwise("completed")
     waiting = F.when(k % 4 == 0, "pending").when(k % 4 == 1, "scheduled").when(k % 4 == 2, "retrying").otherwise("waiting")
-    return _finished(o.select(
-        (k * 1000).alias("id"), k.alias("k"), F.lit(0).alias("rn"), F.col("o_custkey").alias("w"), _queue(F.col("o_custkey")).alias("queue_name"), F.concat(F.lit("order_"), digit).alias("activity_type"),
-        F.when(digit == "1", 4).when(digit == "2", 3).when(digit == "5", 1).otherwise(2).alias("priority"),
-        F.when(F.col("o_orderstatus") == "F", failed).when(F.col("o_orderstatus") == "O", waiting).otherwise("processing").alias("status"),
-        F.col("o_orderdate").alias("created_at"), F.lit(None).cast("long").alias("parent_activity_id"), F.when(k % 101 != 0, k * 1000).alias("root_activity_id"), F.lit(0).alias("depth"),
-    ))
+    root = F.when(F.col("o_state") == "F", failed).when(F.col("o_state") == "O", waiting).otherwise("processing")
+    over = (state == "F") | ((F.col("o_state") == "F") & (k % 2 == 0))
+    ended = F.when(flag != "R", "completed").when(n % 2 == 0, "failed").otherwise("dead_letter")
+    going = F.when(n == 1, "pending").when(n == 2, "scheduled").when(n == 3, "retrying").when(n == 4, "waiting").otherwise("processing")
+    return found.select(
+        (k * 1000 + rn).alias("id"), rn.alias("rn"), "w", _queue(F.col("customer")).alias("queue_name"), F.concat(F.when(line, "line_").otherwise("order_"), flag).alias("activity_type"),
+        F.when(line, 1 + n % 4).when(flag == "1", 4).when(flag == "2", 3).when(flag == "5", 1).otherwise(2).cast("int").alias("priority"),
+        F.when(line, F.when(over, ended).otherwise(going)).otherwise(root).alias("status"), "created_at",
+    )
+
+
+def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activities(spark, sf_dir).filter("depth = 0")
 
 
 def children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One activity per line of an order; one shuffle by order key serves numbering and join."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", F.row_number().over(w).alias("rn"))
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
-    k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    over = (F.col("l_linestatus") == "F") | ((F.col("o_orderstatus") == "F") & (k % 2 == 0))
-    ended = F.when(F.col("l_returnflag") != "R", "completed").when(n % 2 == 0, "failed").otherwise("dead_letter")
-    going = F.when(n == 1, "pending").when(n == 2, "scheduled").when(n == 3, "retrying").when(n == 4, "waiting").otherwise("processing")
-    return _finished(lines.join(orders, "l_orderkey").select(
-        (k * 1000 + F.col("rn")).alias("id"), k.alias("k"), "rn", F.col("l_suppkey").alias("w"), _queue(F.col("o_custkey")).alias("queue_name"), F.concat(F.lit("line_"), F.col("l_returnflag")).alias("activity_type"),
-        (1 + n % 4).cast("int").alias("priority"), F.when(over, ended).otherwise(going).alias("status"), F.col("l_shipdate").alias("created_at"), (k * 1000).alias("parent_activity_id"), (k * 1000).alias("root_activity_id"), F.lit(1).alias("depth"),
-    ))
+    return activities(spark, sf_dir).filter("depth = 1")
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roots(spark, sf_dir).unionByName(children(spark, sf_dir))
+    return finished(rows(spark, sf_dir))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
