@@ -80,3 +80,20 @@ def test_until_it_is_swept(spark, tmp_path):
     assert [r[2:] for r in stream.run()] == [("d", "conflict", None)]
     stream.give([row("k", "gone", "c"), row("k", "claim", "e", "no_reuse"), row("k", "swept", "e"), row("k", "claim", "f", "no_reuse")])
     assert [r[2:] for r in stream.run()] == [("e", "reclaim", "e"), ("f", "enqueue", "f")]
+
+
+def test_fresh_keys_meet_no_activity(spark):
+    """Claims are joined by key alone, in as many parts as asked for; a null activity of a stored key counts as none."""
+    keys, acts = tables(spark)
+    keys = keys.unionByName(spark.createDataFrame([("q", "empty", None)], keys.schema))
+    rows = [("q", k, "claim", f"{k}-{n}", None, NOW) for k in ("ok", "orphan", "empty", *(f"new{i}" for i in range(200))) for n in range(2)]
+    claims = spark.createDataFrame(rows, K.EVENT).drop("behaviour")
+    plain, dealt = (T.resolve_keys(claims, keys, acts, "no_reuse", parts) for parts in (None, 13))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect()))
+    assert dealt.rdd.getNumPartitions() == 13
+    assert {r["id"]: r["action"] for r in dealt.collect() if r["id"].startswith("empty")} == {"empty-0": "enqueue", "empty-1": "duplicate"}
+    for found in (plain, dealt):
+        plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        at = next(i for i, line in enumerate(plan) if "Join LeftOuter, (held_id" in line)
+        assert any("Join LeftSemi" in line for line in plan[at:])  # only claimed keys look for their activity
+        assert not any("Join LeftOuter" in line for line in plan[at + 1 :])

@@ -48,20 +48,29 @@ def enqueue(new: DataFrame) -> DataFrame:
     return new.select("id", "status", F.when(F.col("scheduled_at").isNotNull(), "Scheduled").otherwise("Enqueued").alias("event_type"), detail.alias("detail"))
 
 
-def resolve_keys(claims: DataFrame, keys: DataFrame, activities: DataFrame, behaviour: str | None = None) -> DataFrame:
+def _dealt(df: DataFrame, parts: int | None, *by: str) -> DataFrame:
+    """Rows dealt by some columns into so many partitions; without a number, as the session deals them."""
+    return df.repartition(parts, *by) if parts else df
+
+
+def resolve_keys(claims: DataFrame, keys: DataFrame, activities: DataFrame, behaviour: str | None = None, parts: int | None = None) -> DataFrame:
     """What becomes of claims (queue_name, idempotency_key, id, created_at) of idempotency keys, by one behaviour or by each claim's own in a column ``behaviour``.
 
     Claims of a key meet what is stored, in order of time and id, until one of them takes the key; the later ones meet that one, which is
     new and so has not failed, or whoever takes the key after it. A key whose activity is gone is reclaimed under any behaviour.
     Actions: enqueue, reclaim, return, reuse, conflict, duplicate. Returns queue_name, idempotency_key, id, action, activity_id.
+
+    Only claimed keys look up their activity, so claims of free keys, which have none, never meet in one task. parts: partitions of each join.
     """
     if behaviour is not None and behaviour not in BEHAVIOURS:
         raise ValueError(behaviour)
     key, b = ["queue_name", "idempotency_key"], F.lit(behaviour) if behaviour else F.col("behaviour")
     order = Window.partitionBy(*key).orderBy("created_at", "id")
-    held = keys.select(*key, F.col("activity_id").alias("held_id"))
+    claimed = _dealt(claims.select(*key), parts, *key)
+    held = _dealt(keys.select(*key, F.col("activity_id").alias("held_id")), parts, *key).join(claimed, key, "left_semi")
     state = activities.select(F.col("id").alias("held_id"), F.col("status").alias("held_status"))
-    c = claims.select(*key, "id", "created_at", b.alias("behaviour")).join(held, key, "left").join(state, "held_id", "left")
+    held = _dealt(_dealt(held, parts, "held_id").join(_dealt(state, parts, "held_id"), "held_id", "left"), parts, *key)
+    c = _dealt(claims.select(*key, "id", "created_at", b.alias("behaviour")), parts, *key).join(held, key, "left")
     # what each would become by itself, and behind another claim that has taken the key
     reuse = F.when(F.col("behaviour") == "allow_reuse", "reuse").when(F.col("behaviour") == "return_existing", "return").when(F.col("behaviour") == "no_reuse", "duplicate")
     alone = F.when(F.col("held_id").isNull(), "enqueue").when(F.col("held_status").isNull(), "reclaim").otherwise(reuse.when(F.col("held_status").isin("failed", "dead_letter"), "reuse").otherwise("conflict"))

@@ -238,7 +238,7 @@ SELECT queue_name, idempotency_key, id, action,
   CASE WHEN action IN ('enqueue', 'reclaim', 'reuse') THEN id WHEN action = 'return' THEN CASE WHEN fresh OR orphan THEN held * 10 + 1 ELSE held END END AS activity_id
 FROM (SELECT *, CASE WHEN turn = 1 THEN first WHEN first IN ('enqueue', 'reclaim', 'reuse') THEN {_late} ELSE first END AS action
       FROM (SELECT *, CASE WHEN fresh THEN 'enqueue' WHEN orphan THEN 'reclaim' ELSE {_held} END AS first FROM claims))"""
-    query(O.over(_sql, _CLAIMS), f"idempotent_resolve_{_behaviour}")(lambda spark, sf_dir, b=_behaviour: T.resolve_keys(_claims(spark, sf_dir), L.idempotency(spark, sf_dir), L.activities(spark, sf_dir), b))
+    query(O.over(_sql, _CLAIMS), f"idempotent_resolve_{_behaviour}")(lambda spark, sf_dir, b=_behaviour: T.resolve_keys(_claims(spark, sf_dir), L.idempotency(spark, sf_dir), L.activities(spark, sf_dir), b, L.partitions(spark, sf_dir)))
 
 
 @query(O.over("SELECT queue_name, idempotency_key, activity_id FROM keys WHERE activity_id < 0", O.KEYS))
