@@ -122,21 +122,22 @@ def _claimed(found: DataFrame, worker, as_of, lease_ms: int) -> DataFrame:
     )
 
 
-def fenced(activities: DataFrame, commands: DataFrame) -> DataFrame:
+def fenced(activities: DataFrame, commands: DataFrame, parts: int | None = None) -> DataFrame:
     """Commands of workers that still hold their activity in process.
 
     Where both have ``attempt``, the token that each claim of an activity raises, it must be the claim's own: a worker that has claimed the same
     activity again can't end it for its earlier attempt. Of several commands for one attempt the first counts, by ``seq`` where they have it.
+    parts: partitions of the join.
     """
     c = commands.withColumnRenamed("worker_id", "current_worker_id")
     fence = ["id", "current_worker_id"]
     if "attempt" in commands.columns and "attempt" in activities.columns:
         fence.append("attempt")
         order = F.col("seq").asc_nulls_last() if "seq" in commands.columns else F.xxhash64(*[x for x in c.columns if x != "id"])
-        c = c.withColumn("_turn", F.row_number().over(Window.partitionBy(*fence).orderBy(order))).filter("_turn = 1").drop("_turn")
+        c = _dealt(c, parts, *fence).withColumn("_turn", F.row_number().over(Window.partitionBy(*fence).orderBy(order))).filter("_turn = 1").drop("_turn")
     elif "attempt" in commands.columns:
         c = c.drop("attempt")
-    return activities.filter("status = 'processing'").join(c, fence)
+    return _dealt(activities.filter("status = 'processing'"), parts, *fence).join(_dealt(c, parts, *fence), fence)
 
 
 def stale_acks(activities: DataFrame, commands: DataFrame) -> DataFrame:
@@ -155,16 +156,16 @@ def stale_acks(activities: DataFrame, commands: DataFrame) -> DataFrame:
     return c.withColumn("reason", reason).filter("reason IS NOT NULL").select("id", "worker_id", "attempt", "seq", "reason")
 
 
-def counted(activities: DataFrame, commands: DataFrame) -> DataFrame:
+def counted(activities: DataFrame, commands: DataFrame, parts: int | None = None) -> DataFrame:
     """Commands (id, worker_id, outcome, error) with the ``counter`` each raises: what a handler asked for, and for an end or a wait also whether its worker still held the activity."""
     fence = ["id", "worker_id", *(["attempt"] if "attempt" in commands.columns and "attempt" in activities.columns else [])]
-    live = fenced(activities, commands.select(*fence).distinct()).withColumnRenamed("current_worker_id", "worker_id").select(*fence, F.lit(True).alias("live"))
+    live = fenced(activities, _dealt(commands.select(*fence), parts, *fence).distinct(), parts).withColumnRenamed("current_worker_id", "worker_id").select(*fence, F.lit(True).alias("live"))
     held, outcome = F.col("live").isNotNull(), F.col("outcome")
     counter = (
         F.when(outcome == "success", F.when(held, "activity_completed").otherwise("activity_lost_completion")).when(outcome == "yield", F.when(held, "activity_yielded"))
         .when((outcome == "retryable") & F.col("error").eqNullSafe(TIMEOUT), "activity_timeout").when(outcome == "retryable", "activity_retry").when(outcome == "non_retryable", "activity_failed_non_retry")
     )
-    return commands.join(live, fence, "left").select(*commands.columns, counter.alias("counter"))
+    return _dealt(commands, parts, *fence).join(live, fence, "left").select(*commands.columns, counter.alias("counter"))
 
 
 def counters(counted: DataFrame, swept: DataFrame) -> DataFrame:
@@ -176,9 +177,9 @@ def counters(counted: DataFrame, swept: DataFrame) -> DataFrame:
     return none.unionByName(ones).unionByName(trees).groupBy("counter").agg(F.sum("n").alias("value"))
 
 
-def ack_success(activities: DataFrame, commands: DataFrame, as_of) -> DataFrame:
+def ack_success(activities: DataFrame, commands: DataFrame, as_of, parts: int | None = None) -> DataFrame:
     """Completed, with a result whether or not there is data. Stale commands give no row."""
-    return fenced(activities, commands).filter("outcome = 'success'").select("id", F.lit("completed").alias("status"), as_of.alias("completed_at"), F.col("current_worker_id").alias("last_worker_id"), F.lit("Ok").alias("state"), F.coalesce("data", F.lit("null")).alias("data"), F.lit("Completed").alias("event_type"), "parent_activity_id")
+    return fenced(activities, commands, parts).filter("outcome = 'success'").select("id", F.lit("completed").alias("status"), as_of.alias("completed_at"), F.col("current_worker_id").alias("last_worker_id"), F.lit("Ok").alias("state"), F.coalesce("data", F.lit("null")).alias("data"), F.lit("Completed").alias("event_type"), "parent_activity_id")
 
 
 def failure(error, kind, as_of):
@@ -186,13 +187,13 @@ def failure(error, kind, as_of):
     return F.to_json(F.struct(error.alias("error"), kind.alias("type"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("failed_at")))
 
 
-def ack_failure(activities: DataFrame, commands: DataFrame, as_of) -> DataFrame:
+def ack_failure(activities: DataFrame, commands: DataFrame, as_of, parts: int | None = None) -> DataFrame:
     """Failed, retrying or dead-lettered. Only a retry counts; only the end writes a result and wakes the parent."""
     retryable = F.col("outcome") == "retryable"
     retry = retryable & S.can_retry("retry_count", "max_retries")
     status = F.when(~retryable, "failed").when(retry, "retrying").otherwise("dead_letter")
     delay = S.retry_delay_seconds("retry_delay_seconds", "retry_count", "max_retry_delay_seconds")
-    found = fenced(activities, commands).filter("outcome <> 'success'")
+    found = fenced(activities, commands, parts).filter("outcome <> 'success'")
     data = failure(F.col("error"), F.when(retryable, "dead_letter").otherwise("non_retryable"), as_of)
     return found.select(
         "id", status.alias("status"), F.when(retry, F.col("retry_count") + 1).otherwise(F.col("retry_count")).alias("retry_count"),
@@ -211,10 +212,10 @@ def reap(activities: DataFrame, as_of, batch: int | None = 100) -> DataFrame:
     return expired.select("id", F.when(again, "pending").otherwise("dead_letter").alias("status"), (F.col("retry_count") + 1).alias("retry_count"), F.when(~again, as_of).alias("completed_at"), F.col("current_worker_id").alias("last_worker_id"), F.when(again, "Requeued").otherwise("DeadLetter").alias("event_type"), F.when(~again, "Err").alias("state"), F.when(~again, F.col("parent_activity_id")).alias("wakes"))
 
 
-def park(activities: DataFrame, yields: DataFrame) -> DataFrame:
+def park(activities: DataFrame, yields: DataFrame, parts: int | None = None) -> DataFrame:
     """Yielded activities wait until wake_at; attempts stay, the worker and its lease go. yields: id, worker_id, wake_at, kind, step."""
     detail = F.to_json(F.struct("kind", "step"))
-    return fenced(activities, yields).select("id", F.lit("waiting").alias("status"), F.col("wake_at").alias("scheduled_at"), "retry_count", F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("long").alias("lease_deadline_ms"), F.col("current_worker_id").alias("last_worker_id"), F.lit("Yielded").alias("event_type"), detail.alias("detail"))
+    return fenced(activities, yields, parts).select("id", F.lit("waiting").alias("status"), F.col("wake_at").alias("scheduled_at"), "retry_count", F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("long").alias("lease_deadline_ms"), F.col("current_worker_id").alias("last_worker_id"), F.lit("Yielded").alias("event_type"), detail.alias("detail"))
 
 
 def wake(activities: DataFrame, ids: DataFrame) -> DataFrame:
@@ -272,10 +273,10 @@ def depth_violations(spawned: DataFrame, most: int = MOST_DEPTH) -> DataFrame:
 # --- retention --------------------------------------------------------------------------------
 
 
-def expired_roots(activities: DataFrame, queue: str, as_of, completed_ttl: int = 0, failed_ttl: int = 0, batch: int | None = None) -> DataFrame:
+def expired_roots(activities: DataFrame, queue: str, as_of, completed_ttl: int = 0, failed_ttl: int = 0, batch: int | None = None, parts: int | None = None) -> DataFrame:
     """Roots whose whole tree may go: ended longer ago than their kind's seconds (0: for ever), with no open activity below.
 
-    One shuffle: each row that keeps its tree, or is a root whose time is over, counts for that tree, pre-aggregated; old rows without a root are their own.
+    One shuffle: each row that keeps its tree, or is a root whose time is over, counts for that tree, pre-aggregated unless parts says into how many partitions; old rows without a root are their own.
     """
     mine = in_queue(activities, queue)
     age = lambda ttl: S.plus_seconds(F.col("completed_at"), F.lit(int(ttl))) < as_of
@@ -287,21 +288,27 @@ def expired_roots(activities: DataFrame, queue: str, as_of, completed_ttl: int =
     going = ~F.col("status").isin(S.TERMINAL)
     tree = F.when(going, F.coalesce("root_activity_id", "id")).when(F.col("parent_activity_id").isNull() & old, F.col("id"))
     trees = mine.select(tree.alias("id"), going.alias("going"), F.when(~going, F.col("completed_at")).alias("completed_at")).filter("id IS NOT NULL")
-    found = trees.groupBy("id").agg(F.max("going").alias("going"), F.max("completed_at").alias("completed_at")).filter("NOT going").select("id", "completed_at")
+    found = _dealt(trees, parts, "id").groupBy("id").agg(F.max("going").alias("going"), F.max("completed_at").alias("completed_at")).filter("NOT going").select("id", "completed_at")
     return found if batch is None else found.orderBy("completed_at", "id").limit(batch)
 
 
-def sweep(tables: dict[str, DataFrame], roots: DataFrame) -> dict[str, DataFrame]:
+def sweep(tables: dict[str, DataFrame], roots: DataFrame, parts: int | None = None) -> dict[str, DataFrame]:
     """Rows of activities, results, events and keys that go with the trees of roots (id).
 
-    The trees' ids come from one semi join by root; results, by owner or own id, keys and events then meet those ids, each shuffled once.
+    The trees' ids come from one semi join by root; results, by owner or own id, keys and events then meet those ids, each shuffled once. parts: partitions of each join.
     """
-    ids = tables["activities"].select("id", F.coalesce("root_activity_id", "id").alias("root")).join(roots.select(F.col("id").alias("root")), "root", "left_semi").select("id")
-    by = tables["results"].select("activity_id", F.explode(F.array_distinct(F.array("owner_activity_id", "activity_id"))).alias("id")).join(ids, "id", "left_semi")
-    results = by.select("activity_id").distinct()
+
+    def those(df: DataFrame, of: DataFrame, key: str) -> DataFrame:
+        return _dealt(df, parts, key).join(_dealt(of.toDF(key), parts, key), key, "left_semi")
+
+    ids = those(tables["activities"].select("id", F.coalesce("root_activity_id", "id").alias("root")), roots.select("id"), "root").select("id")
+    # a result that owns itself is one row
+    own = F.when(F.col("owner_activity_id").eqNullSafe(F.col("activity_id")), F.array("activity_id")).otherwise(F.array("owner_activity_id", "activity_id"))
+    by = those(tables["results"].select("activity_id", F.explode(own).alias("id")).filter("id IS NOT NULL"), ids, "id")
+    results = _dealt(by.select("activity_id"), parts, "activity_id").distinct()
     return {
         "activities": ids,
         "results": results,
-        "events": tables["events"].join(ids.union(results).select(F.col("id").alias("activity_id")), "activity_id", "left_semi").select("id"),
-        "keys": tables["keys"].join(ids.select(F.col("id").alias("activity_id")), "activity_id", "left_semi").select("queue_name", "idempotency_key"),
+        "events": those(tables["events"].select("activity_id", "id"), ids.union(results), "activity_id").select("id"),
+        "keys": those(tables["keys"].select("activity_id", "queue_name", "idempotency_key"), ids, "activity_id").select("queue_name", "idempotency_key"),
     }

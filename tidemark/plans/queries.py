@@ -292,7 +292,7 @@ def claim_all_queues(spark, sf_dir) -> DataFrame:
 
 @query(O.over(f"SELECT id, 'completed' AS status, {O.AS_OF} AS completed_at, current_worker_id AS last_worker_id, 'Ok' AS state, given AS data, 'Completed' AS event_type, parent_activity_id FROM fenced WHERE outcome = 'success'", O.COMMANDS))
 def ack_success(spark, sf_dir) -> DataFrame:
-    return T.ack_success(L.activities(spark, sf_dir), L.commands(spark, sf_dir), L.as_of())
+    return T.ack_success(L.activities(spark, sf_dir), L.commands(spark, sf_dir), L.as_of(), L.partitions(spark, sf_dir))
 
 
 @query(O.over(f"""
@@ -302,7 +302,7 @@ SELECT id, status, CASE WHEN retry THEN retry_count + 1 ELSE retry_count END AS
   CASE status WHEN 'failed' THEN 'Failed' WHEN 'retrying' THEN 'Retrying' ELSE 'DeadLetter' END AS event_type, CASE WHEN NOT retry THEN parent_activity_id END AS wakes
 FROM (SELECT * EXCLUDE status, outcome = 'retryable' AND {O.RETRY} AS retry, CASE WHEN outcome = 'non_retryable' THEN 'failed' WHEN {O.RETRY} THEN 'retrying' ELSE 'dead_letter' END AS status FROM fenced WHERE outcome <> 'success')""", O.COMMANDS))
 def ack_failure_route(spark, sf_dir) -> DataFrame:
-    return T.ack_failure(L.activities(spark, sf_dir), L.commands(spark, sf_dir), L.as_of())
+    return T.ack_failure(L.activities(spark, sf_dir), L.commands(spark, sf_dir), L.as_of(), L.partitions(spark, sf_dir))
 
 
 @query(O.over(f"SELECT id, {O.DELAY} AS delay_seconds, {O.RETRY} AS again FROM acts"))
@@ -333,7 +333,7 @@ SELECT id, 'waiting' AS status, {O.AS_OF} + to_seconds(h % 600) AS scheduled_at,
 def yield_park(spark, sf_dir) -> DataFrame:
     h = F.col("id") % 1000 + F.floor(F.col("id") / 1000)
     yields = L.commands(spark, sf_dir).select("id", "worker_id", S.plus_seconds(L.as_of(), h % 600).alias("wake_at"), F.lit("sleep").alias("kind"), F.concat(F.lit("s"), (h % 3).cast("string")).alias("step"))
-    return T.park(L.activities(spark, sf_dir), yields)
+    return T.park(L.activities(spark, sf_dir), yields, L.partitions(spark, sf_dir))
 
 
 @query(O.over("SELECT id, 'pending' AS status, NULL::TIMESTAMP AS scheduled_at FROM acts WHERE status = 'waiting' AND id IN (SELECT parent_activity_id FROM acts WHERE status IN ('completed', 'failed', 'dead_letter'))"))
@@ -417,7 +417,7 @@ DAY = 86400
 
 
 def _gone(spark, sf_dir, batch=None):
-    return T.expired_roots(L.activities(spark, sf_dir), MAIN, L.as_of(), 30 * DAY, 60 * DAY, batch)
+    return T.expired_roots(L.activities(spark, sf_dir), MAIN, L.as_of(), 30 * DAY, 60 * DAY, batch, L.partitions(spark, sf_dir))
 
 
 @query(O.over("SELECT id, completed_at FROM gone ORDER BY completed_at, id LIMIT 100", _SWEEP))
@@ -435,7 +435,7 @@ doomed AS (SELECT activity_id FROM results WHERE owner_activity_id IN (SELECT id
 def sweep_tree_counts(spark, sf_dir) -> DataFrame:
     tables = {"activities": L.activities(spark, sf_dir), "results": L.results(spark, sf_dir), "events": L.events(spark, sf_dir), "keys": L.idempotency(spark, sf_dir)}
     kinds = spark.createDataFrame([(kind, 0) for kind in tables], "kind string, n long")
-    for kind, gone in T.sweep(tables, _gone(spark, sf_dir)).items():
+    for kind, gone in T.sweep(tables, _gone(spark, sf_dir), L.partitions(spark, sf_dir)).items():
         kinds = kinds.unionByName(gone.select(F.lit(kind).alias("kind"), F.lit(1).alias("n")))
     return kinds.groupBy("kind").agg(F.sum("n").alias("n"))
 
@@ -534,7 +534,7 @@ def stale_acks(spark, sf_dir) -> DataFrame:
 @query(O.over(f"SELECT id, 'completed' AS status, {O.AS_OF} AS completed_at, worker_id AS last_worker_id, 'Ok' AS state, given AS data, 'Completed' AS event_type, parent_activity_id FROM judged WHERE reason IS NULL", _ATTEMPTS))
 def ack_success_by_attempt(spark, sf_dir) -> DataFrame:
     a, sent = _attempts(spark, sf_dir)
-    return T.ack_success(a, sent, L.as_of())
+    return T.ack_success(a, sent, L.as_of(), L.partitions(spark, sf_dir))
 
 
 @query("SELECT event_id % 8 + 1 AS number, (user_id * 1000)::VARCHAR AS activity_id, event_type AS kind, event_id::VARCHAR AS detail, ts AS created_at FROM events WHERE event_id % 8 IN (2, 3, 4) UNION ALL SELECT 6, (user_id * 1000)::VARCHAR, event_type, event_id::VARCHAR, ts FROM events WHERE event_id % 8 = 6")
@@ -560,7 +560,7 @@ SELECT name AS counter, count(*) FILTER (counter = name)::BIGINT AS value FROM (
     WHEN outcome = 'non_retryable' THEN 'activity_failed_non_retry' WHEN h % 6 = 2 THEN 'activity_timeout' ELSE 'activity_retry' END AS counter FROM held
   UNION ALL SELECT 'activity_trees_swept' FROM gone) GROUP BY name""", O.COMMANDS, _SWEEP))
 def metric_counters(spark, sf_dir) -> DataFrame:
-    return T.counters(T.counted(L.activities(spark, sf_dir), _outcomes(spark, sf_dir)), _gone(spark, sf_dir))
+    return T.counters(T.counted(L.activities(spark, sf_dir), _outcomes(spark, sf_dir), L.partitions(spark, sf_dir)), _gone(spark, sf_dir))
 
 
 @query(O.over("""
