@@ -57,23 +57,33 @@ def radix_order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows in order of their words, and where groups of equal rows begin; equal rows keep their order.
 
     Most significant digit first: a digit has the bits that a 64-bit key holds beside a row's group and
-    place, and rows alone in their group are not looked at again.
+    place, rows alone in their group are not looked at again, and groups that have a word in common skip it.
     """
     n = len(words[0])
-    order, new, live, done = np.arange(n), np.arange(n) == 0, np.arange(n), 0
-    while len(live) and done < 64 * len(words):
-        word, off = divmod(done, 64)
-        place = np.uint64(len(live).bit_length())
-        bits = min(64 - off, 64 - int(place) * (2 if done else 1))
-        digit = words[word][order[live]] << np.uint64(off) >> np.uint64(64 - bits)
-        key = (digit << place) | np.arange(len(live), dtype=np.uint64)
-        if done:
-            key |= (np.cumsum(new[live]) - 1).astype(np.uint64) << (place + np.uint64(bits))
-        key.sort()
-        order[live] = order[live[(key & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)]]
-        new[live] |= C.group_starts(key >> place)
-        live = live[~(new[live] & np.append(new[1:], True)[live])]
-        done += bits
+    order, new, live = np.arange(n), np.arange(n) == 0, np.arange(n)
+    for word, values in enumerate(words):
+        rows, done = live, 0
+        if word:
+            live = live[~(new[live] & np.append(new[1:], True)[live])]
+            if not len(live):
+                break
+            # groups whose rows have the whole word in common need no sort by it
+            at, own = values[order[live]], new[live]
+            starts = np.flatnonzero(own)
+            differ = np.append(False, at[1:] != at[:-1]) & ~own
+            rows = live[np.repeat(np.logical_or.reduceat(differ, starts), np.diff(np.append(starts, len(live))))]
+        while len(rows) and done < 64:
+            place, grouped = np.uint64(len(rows).bit_length()), word > 0 or done > 0
+            bits = min(64 - done, 64 - int(place) * (2 if grouped else 1))
+            digit = values[order[rows]] << np.uint64(done) >> np.uint64(64 - bits)
+            key = (digit << place) | np.arange(len(rows), dtype=np.uint64)
+            if grouped:
+                key |= (np.cumsum(new[rows]) - 1).astype(np.uint64) << (place + np.uint64(bits))
+            key.sort()
+            order[rows] = order[rows[(key & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)]]
+            new[rows] |= C.group_starts(key >> place)
+            rows = rows[~(new[rows] & np.append(new[1:], True)[rows])]
+            done += bits
     return order, new
 
 
@@ -205,8 +215,7 @@ def _decide_last(keys, who, extras):
     """1 for strings that a smaller document has too."""
     order, group = _grouped(keys)
     ids = extras[0][order]
-    least = np.full(len(keys), C.NULL_ID)
-    np.minimum.at(least, group, ids)
+    least = np.minimum.reduceat(ids, np.flatnonzero(C.group_starts(group))) if len(ids) else ids
     out = np.empty(len(keys), np.uint8)
     out[order] = ids > least[group]
     return out
