@@ -11,9 +11,11 @@ the bytes it starts with (equal digits are chosen alike), and the last pass orde
    64-bit numbers takes, and each digit looks only at groups that are still mixed (``radix_order``).
    Groups of one document are settled, and so is each suffix that has such a digit among its ``depth``
    bytes. What is left, windows without a chosen digit too, stands in runs of neighbours.
-3. Runs of equal bytes count once, as repeated rows would: they are told apart by 128-bit digests, and one
-   that also stands in a smaller document is repeated as a whole.
-4. Up to ``depth`` bytes: the suffixes of the first document of each other run are sorted on, in the same ranges.
+3. Runs are cut into blocks at places that their bytes choose. Equal blocks count once, as repeated rows would: they are
+   told apart by 128-bit digests, and one that also stands in a smaller document is repeated as a whole. In the
+   first document of any other block, suffixes with a digit that stands in as many places as the block are
+   settled: wherever such a suffix stands, the block stands around it, and in no smaller document.
+4. Up to ``depth`` bytes: what is left of these first documents' suffixes is sorted on, in the same ranges.
    Equal ones are exactly the repeated strings.
 
 Each pack sends its distinct digits once, sorted, so a string in a third of all documents is one entry of each pack.
@@ -33,10 +35,14 @@ from tidemark.llm import repeats as R
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary, rest string"
 DRAWN_SCHEMA = "first binary, second binary"
-RUNS_SCHEMA = "pack_id long, lo binary, hi binary"
-LEADS_SCHEMA = "pack_id long, ids binary, lens binary, data binary"
-#: Slices of the last pass for each of the first.
-LAST_SLICES = 3
+RUNS_SCHEMA = "pack_id long, lo binary, hi binary, counts binary"
+LEADS_SCHEMA = "pack_id long, n long, ids binary, lens binary, data binary"
+#: About how many suffixes of a run make a block.
+BLOCK = 16
+#: Counts of places end here; what stands in so many or more is not settled by them.
+MANY = 255
+#: A slice of the last pass has about so many suffixes for as many bytes of text as one: a last digit has several times the bytes of a first one.
+LAST_SHARE = 32
 #: Most ranges, and suffixes drawn for each: what the driver and each task hold of them.
 RANGES, DRAWN = 1 << 16, 16
 #: Odd; its product with eight bytes decides which suffixes are chosen.
@@ -53,6 +59,17 @@ def words_at(buf: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
     return words
 
 
+def chosen_at(buf: np.ndarray, size: int, every: int) -> np.ndarray:
+    """True for about one place in ``every``, by the ``size`` bytes there, eight at most."""
+    if every == 1:
+        return np.ones(len(buf), bool)
+    eight = np.ndarray((len(buf),), np.dtype(">u8"), np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,)).astype(np.uint64)
+    if size < 8:
+        eight &= ~np.uint64((1 << 8 * (8 - size)) - 1)
+    eight *= _CHOICE
+    return eight < np.uint64((1 << 64) // every)
+
+
 def radix_order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows in order of their words, and where groups of equal rows begin; equal rows keep their order.
 
@@ -161,11 +178,13 @@ class Sorted:
 
     def least(self, values: np.ndarray) -> np.ndarray:
         """The least value of each group; values: one per suffix."""
-        out = np.full(len(self.bucket), np.iinfo(np.int64).max)
-        np.minimum.at(out, self.group, values[self.order])
+        out = np.empty(len(self.bucket), np.int64)
+        if len(out):
+            starts = np.flatnonzero(C.group_starts(self.group))
+            out[self.group[starts]] = np.minimum.reduceat(values[self.order], starts)
         return out
 
-    def entries(self, pack_id: int, extra: np.ndarray) -> pa.RecordBatch | None:
+    def entries(self, pack_id: int, extra: list[np.ndarray]) -> pa.RecordBatch | None:
         import zstandard
 
         if not len(self.bucket):
@@ -174,7 +193,7 @@ class Sorted:
         cut = np.append(np.flatnonzero(C.group_starts(self.bucket)), len(self.bucket))
         spans = list(zip(cut[:-1], cut[1:], strict=True))
         keys = [press.compress(b"".join(_planes(w[a:z] if k else np.diff(w[a:z], prepend=np.uint64(0))) for k, w in enumerate(self.words))) for a, z in spans]
-        extras = [press.compress(_planes(extra[a:z])) for a, z in spans]
+        extras = [press.compress(b"".join(_planes(x[a:z]) for x in extra)) for a, z in spans]
         return C.batch_of(C.ENTRY_SCHEMA, [self.bucket[cut[:-1]], np.full(len(spans), pack_id), np.diff(cut), keys, extras])
 
 
@@ -203,11 +222,25 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _decide_digit(keys, who, extras):
-    """1 for digits that several documents have."""
+    """1 for digits of one document; else in how many places a digit stands, MANY at most."""
     order, group = _grouped(keys)
-    shared = np.bincount(group, 1 + extras[0][order]) > 1
+    several, counts = extras
+    shared = np.bincount(group, 1 + several[order]) > 1
+    count = np.minimum(np.bincount(group, counts[order]), MANY)
+    out = np.empty(len(keys), np.uint8)
+    out[order] = np.where(shared, count, 1).astype(np.uint8)[group]
+    return out
+
+
+def _decide_block(keys, who, extras):
+    """0 for blocks that a smaller document has too; else in how many places they stand, MANY at most."""
+    check, ids, counts = extras
+    order = np.lexsort((ids, check, keys))
+    cut = C.group_starts(keys[order], check[order])
+    group, i = np.cumsum(cut) - 1, ids[order]
+    count = np.minimum(np.bincount(group, counts[order]), MANY).astype(np.uint8)
     out = np.empty(len(keys), np.uint8)
-    out[order] = shared[group]
+    out[order] = np.where(i[cut][group] < i, 0, count[group])
     return out
 
 
@@ -227,13 +260,10 @@ class Suffixes:
     def __init__(self, pack: C.Pack, depth: int, digit: int, every: int):
         self.pack, self.depth, self.size = pack, depth, digit
         counts = np.diff(pack.offsets)
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        left = pack.offsets[1:][self.doc] - np.arange(len(pack.buf))
-        self.at = np.flatnonzero((counts >= depth)[self.doc] & (left >= digit))
-        self.chosen = self.at
-        if every > 1:
-            drawn = words_at(pack.buf, self.at, min(digit, 8))[0] * _CHOICE
-            self.chosen = self.at[drawn < np.uint64((1 << 64) // every)]
+        self.here = np.repeat(counts >= depth, counts)
+        end = np.minimum(counts, digit - 1)
+        self.here[C.ranges(pack.offsets[1:] - end, end)] = False
+        self.chosen = np.flatnonzero(self.here & chosen_at(pack.buf, digit, every))
 
     def drawn(self, step: int) -> list[np.ndarray]:
         """The digits of every step-th chosen suffix."""
@@ -242,76 +272,104 @@ class Suffixes:
         return words if len(words) > 1 else [*words, np.zeros_like(words[0])]
 
     def send(self, deal: Deal, part: int) -> pa.RecordBatch | None:
-        """Entries of a slice: distinct digits, and whether several documents of the pack have them."""
+        """Entries of a slice: distinct digits, whether several documents of the pack have them, and in how many places they stand."""
         found = Sorted(self.pack.buf, self.chosen, self.size, deal, part)
-        doc = self.doc[found.at][found.order]
+        doc = (np.searchsorted(self.pack.offsets, found.at, side="right") - 1)[found.order]
         n = len(found.bucket)
         first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
         last[found.group] = doc  # equal digits stand in order of place
         first[found.group[::-1]] = doc[::-1]
-        return found.entries(self.pack.pack_id, (first != last).astype(np.uint8))
+        count = np.minimum(np.bincount(found.group, minlength=n), MANY)
+        return found.entries(self.pack.pack_id, [(first != last).astype(np.uint8), count.astype(np.uint8)])
+
+    def runs(self, deal: Deal, answer: np.ndarray) -> list:
+        """First and last suffix of each run in which all chosen digits of all suffixes are shared, and the count of each digit."""
+        import zstandard
 
-    def runs(self, deal: Deal, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last suffix of each run in which all chosen digits of all suffixes are shared."""
         found = Sorted(self.pack.buf, self.chosen, self.size, deal)
-        shared = np.zeros(len(self.pack.buf), bool)
-        shared[self.at] = True
-        if len(self.chosen):
-            shared[self.chosen[found.order]] = answer[found.group] > 0
+        counts = np.zeros(len(self.pack.buf), np.uint8)
+        counts[self.chosen[found.order]] = answer[found.group]
         width = self.depth - self.size + 1
-        lo, hi = R.runs(shared, self.pack.offsets)
+        lo, hi = R.runs(self.here & (counts != 1), self.pack.offsets)
         long = hi - lo >= width
-        return lo[long], hi[long] - width
+        lo, hi = lo[long], hi[long]
+        data = zstandard.ZstdCompressor(level=1).compress(counts[C.ranges(lo, hi - lo)].tobytes())
+        return [self.pack.pack_id, lo.tobytes(), (hi - width).tobytes(), data]
 
 
 class Runs:
-    """Runs of suffixes of a pack that are still in groups of several documents."""
+    """Runs of suffixes of a pack that are still in groups of several documents, in blocks."""
 
-    def __init__(self, row: dict, depth: int):
-        self.pack, self.depth = C.Pack(row), depth
-        self.lo, self.hi = (np.frombuffer(row[c] or b"", np.int64) for c in ("lo", "hi"))
-        self.id = self.pack.ids[np.searchsorted(self.pack.offsets, self.lo, side="right") - 1]
+    def __init__(self, row: dict, depth: int, digit: int):
+        import zstandard
+
+        self.pack, self.depth, self.width = C.Pack(row), depth, depth - digit + 1
+        lo, hi = (np.frombuffer(row[c] or b"", np.int64) for c in ("lo", "hi"))
+        digits = C.ranges(lo, hi - lo + self.width)
+        self.counts = np.zeros(len(self.pack.buf), np.uint8)
+        if len(lo):
+            self.counts[digits] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"], max_output_size=len(digits)), np.uint8)
+        at, count = C.ranges(lo, hi - lo + 1), hi - lo + 1
+        cut = chosen_at(self.pack.buf, digit, BLOCK)[at]
+        cut[np.cumsum(count) - count] = True
+        self.lo, self.hi = at[cut], at[np.append(cut[1:], True)[: len(at)]]
+        self.id = self.ids_at(self.lo)
 
     def whole(self):
-        """Entries of whole runs: two lanes of their hash, least id."""
+        """Entries of whole blocks: two lanes of their hash, least id, in how many places of the pack they stand."""
         key, check = (C.bytes_hashes(self.pack.buf, self.lo, self.hi + self.depth, lane) for lane in (0, 1))
         order = np.lexsort((self.id, check, key))
         cut = C.group_starts(key[order], check[order])
         self.group = np.empty(len(key), np.int64)
         self.group[order] = np.cumsum(cut) - 1
         self.lead = order[cut] if len(key) else order
-        return key[self.lead], check[self.lead], self.id[self.lead]
+        count = np.bincount(self.group, minlength=len(self.lead))
+        return key[self.lead], check[self.lead], self.id[self.lead], np.minimum(count, MANY).astype(np.uint8)
+
+    def open(self, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last suffix of each run of suffixes of blocks that lead and aren't covered, without a digit of just the block's places."""
+        at = np.flatnonzero(covered)
+        lo, n, count = self.lo[self.lead[at]], (self.hi - self.lo + 1)[self.lead[at]], covered[at]
+        digits = n + self.width - 1
+        count = np.repeat(count, digits)
+        same = np.append(0, np.cumsum((self.counts[C.ranges(lo, digits)] == count) & (count < MANY)))
+        first = C.ranges(np.cumsum(digits) - digits, n)
+        left = np.zeros(len(self.pack.buf), bool)
+        left[C.ranges(lo, n)] = same[first + self.width] == same[first]
+        lo, hi = R.runs(left, self.pack.offsets)
+        return lo, hi - 1
+
+    def ids_at(self, lo: np.ndarray) -> np.ndarray:
+        return self.pack.ids[np.searchsorted(self.pack.offsets, lo, side="right") - 1]
 
     def leads(self, covered: np.ndarray) -> list:
-        """The texts of the runs that lead and aren't covered: their ids, lengths and bytes."""
+        """How many suffixes are open, and the texts of their runs: ids, lengths and bytes."""
         import zstandard
 
-        run = self.lead[covered == 0]
-        lens = self.hi[run] - self.lo[run] + self.depth
-        data = zstandard.ZstdCompressor(level=1).compress(self.pack.buf[C.ranges(self.lo[run], lens)].tobytes())
-        return [self.pack.pack_id, self.id[run].tobytes(), lens.tobytes(), data]
+        lo, hi = self.open(covered)
+        lens = hi - lo + self.depth
+        data = zstandard.ZstdCompressor(level=1).compress(self.pack.buf[C.ranges(lo, lens)].tobytes())
+        return [self.pack.pack_id, int((hi - lo + 1).sum()), self.ids_at(lo).tobytes(), lens.tobytes(), data]
 
     def removed(self, covered: np.ndarray, repeated: np.ndarray, deal: Deal) -> np.ndarray:
-        """Mask of the bytes that repeated strings cover. Runs like a pack's leading one in a larger document go whole."""
-        cover = np.zeros(len(self.pack.buf) + 1, np.int64)
+        """Mask of the bytes that repeated strings cover. Blocks like a pack's leading one in a larger document go whole."""
+        cover = np.zeros(len(self.pack.buf) + 1, np.int32)
         if len(self.lo):
-            whole = (covered[self.group] > 0) | (self.id > self.id[self.lead][self.group])
-            np.add.at(cover, self.lo[whole], 1)
-            np.add.at(cover, self.hi[whole] + self.depth, -1)
-            opened = np.flatnonzero(covered == 0)
-            run = self.lead[opened]
-            found, ids, least = last_digits(self.pack.buf, self.lo[run], self.hi[run], self.id[run], self.depth, deal)
+            whole = (covered[self.group] == 0) | (self.id > self.id[self.lead][self.group])
+            cover[self.lo[whole]] += 1
+            cover[self.hi[whole] + self.depth] -= 1
+            lo, hi = self.open(covered)
+            found, ids, least = last_digits(self.pack.buf, lo, hi, self.ids_at(lo), self.depth, deal)
             gone = np.empty(len(ids), bool)
             gone[found.order] = (repeated[found.group] > 0) | (ids[found.order] > least[found.group])
-            # equal runs of the leading document share the verdict of its first
-            verdict = np.full(len(self.lead), -1)
-            count = (self.hi - self.lo + 1)[run]
-            verdict[opened] = np.cumsum(count) - count
+            repeats = np.zeros(len(self.pack.buf), bool)
+            repeats[C.ranges(lo, hi - lo + 1)] = gone
+            # equal blocks of the leading document share the verdict of its first
             rest = np.flatnonzero(~whole)
             count = self.hi[rest] - self.lo[rest] + 1
-            at = C.ranges(self.lo[rest], count)[gone[C.ranges(verdict[self.group[rest]], count)]]
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + self.depth, -1)
+            at = C.ranges(self.lo[rest], count)[repeats[C.ranges(self.lo[self.lead[self.group[rest]]], count)]]
+            cover[at] += 1
+            cover[at + self.depth] -= 1
         return np.cumsum(cover[:-1]) > 0
 
 
@@ -334,7 +392,7 @@ def _lead_digits(row: dict, depth: int, deal: Deal, part: int) -> pa.RecordBatch
     buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, int(lens.sum()))), np.uint8)
     lo = np.cumsum(lens) - lens
     found, _, least = last_digits(buf, lo, lo + lens - depth, ids, depth, deal, part)
-    return found.entries(row["pack_id"], least)
+    return found.entries(row["pack_id"], [least])
 
 
 def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str = "text", key: str = "doc_id", carry: list[str] = (), slices: int = 2, every: int = 6) -> DataFrame:
@@ -375,28 +433,24 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
                 if (out := Suffixes(C.Pack(row), depth, digit, every).send(deal, part)) is not None:
                     yield out
 
-        return C.replies(light.mapInArrow(C.tidied(send), C.ENTRY_SCHEMA), [np.uint8], _decide_digit, _unpressed(-(-digit // 8)))
+        return C.replies(light.mapInArrow(C.tidied(send), C.ENTRY_SCHEMA), [np.uint8, np.uint8], _decide_digit, _unpressed(-(-digit // 8)))
 
     def left(batches):
         for row in C.rows_of(batches):
-            lo, hi = Suffixes(C.Pack(row), depth, digit, every).runs(deal, C.answer_bytes(row["digits"]))
-            yield C.batch_of(RUNS_SCHEMA, [[row["pack_id"]], [lo.tobytes()], [hi.tobytes()]])
+            yield C.batch_of(RUNS_SCHEMA, [[x] for x in Suffixes(C.Pack(row), depth, digit, every).runs(deal, C.answer_bytes(row["digits"]))])
 
     def whole(batches):
         for row in C.rows_of(batches):
-            key, *extras = Runs(row, depth).whole()
+            key, *extras = Runs(row, depth, digit).whole()
             if (out := C.entries(row["pack_id"], key, extras, nb)) is not None:
                 yield out
 
     def opened(batches):
         for row in C.rows_of(batches):
-            runs = Runs(row, depth)
+            runs = Runs(row, depth, digit)
             runs.whole()
             yield C.batch_of(LEADS_SCHEMA, [[x] for x in runs.leads(C.answer_bytes(row["covered"]))])
 
-    # a last digit has several times the bytes of a first one
-    thin = replace(deal, slices=LAST_SLICES * slices)
-
     def fourth(part):
         def send(batches):
             for row in C.rows_of(batches):
@@ -407,7 +461,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
 
     def last(batches):
         for row in C.rows_of(batches):
-            runs, covered = Runs(row, depth), C.answer_bytes(row["covered"])
+            runs, covered = Runs(row, depth, digit), C.answer_bytes(row["covered"])
             runs.whole()
             yield emit(runs.pack, runs.removed(covered, C.answer_bytes(row["repeated"]), deal))
 
@@ -423,8 +477,10 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
     digits = _of_packs(answers, "digits")
     runs = C.written(light.join(digits, "pack_id", "left").mapInArrow(C.tidied(left), RUNS_SCHEMA)).hint("merge")
     C.dropped(answers)
-    covered = _of_packs(C.written(C.replies(light.join(runs, "pack_id").mapInArrow(C.tidied(whole), C.ENTRY_SCHEMA), [np.uint64, np.int64], R.decide_window)), "covered")
+    covered = _of_packs(C.written(C.replies(light.join(runs, "pack_id").mapInArrow(C.tidied(whole), C.ENTRY_SCHEMA), [np.uint64, np.int64, np.uint8], _decide_block)), "covered")
     leads = C.written(light.join(runs, "pack_id").join(covered, "pack_id").mapInArrow(C.tidied(opened), LEADS_SCHEMA))
+    n = leads.agg(F.sum("n")).first()[0] or 0
+    thin = replace(deal, slices=max(slices, min(LAST_SHARE * n // max(1, total), n // C.BUCKET_KEYS) + 1))
     repeated = _of_packs(C.written_all(fourth(part) for part in range(thin.slices)), "repeated")
     C.dropped(leads)
     return packs.join(runs, "pack_id").join(covered, "pack_id", "left").join(repeated, "pack_id", "left").mapInArrow(C.tidied(last), SCHEMA)
