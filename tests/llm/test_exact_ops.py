@@ -134,6 +134,33 @@ def test_groups_that_have_a_word_in_common_skip_it(monkeypatch):
     assert sum(sorted_rows) <= 5 * 4000
 
 
+def test_near_copies_are_settled_before_the_last_pass(spark, monkeypatch):
+    """Near copies leave only suffixes beside their edits; one that also stands in other words is still found."""
+    rng, sorted_on, dropped = random.Random(11), [], C.dropped
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    base = [word() for _ in range(1500)]
+    rows = []
+    for k in range(12):
+        w = list(base)
+        w[rng.randrange(len(w))] = "odd"
+        rows.append((k, " ".join(w), None))
+    # a piece of the text, in other words, inside a copy that has the piece in its own words too
+    for k in (12, 13):
+        rows.append((k, f"{' '.join(base)} {word()} {' '.join(base[400 + k : 413 + k])} {word()}", None))
+
+    def seen(*dfs):
+        for df in dfs:
+            if "lens" in df.columns:
+                sorted_on.extend(int((np.frombuffer(r["lens"], np.int64) - 49).sum()) for r in df.collect())
+        dropped(*dfs)
+
+    monkeypatch.setattr(op4_suffix.C, "dropped", seen)
+    got = suffix_dedup(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    want = [(d, len(t), sum(m), bytes(b for b, x in zip(t, m) if not x)) for d, t, m in covered([r[:2] for r in rows], lambda t: (t or "").encode(), 50)]
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got) == sorted(want)
+    assert 0 < sum(sorted_on) < sum(r["n_bytes"] for r in got) / 10
+
+
 def shingles(t, size):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     w = [x.translate(lower) for x in words_of(t)]

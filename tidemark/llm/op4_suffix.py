@@ -35,14 +35,18 @@ from tidemark.llm import repeats as R
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary, rest string"
 DRAWN_SCHEMA = "first binary, second binary"
-RUNS_SCHEMA = "pack_id long, lo binary, hi binary, counts binary"
+#: Where runs begin and end, counts of their digits, blocks that lead and groups of the others, and the blocks' entries.
+RUNS_SCHEMA = "pack_id long, lo binary, hi binary, counts binary, blocks binary, sent array<struct<bucket:int,pack_id:long,n:int,keys:binary,extra:binary>>"
 LEADS_SCHEMA = "pack_id long, n long, ids binary, lens binary, data binary"
+SENT = pa.struct([("bucket", pa.int32()), ("pack_id", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 #: About how many suffixes of a run make a block.
 BLOCK = 16
 #: Counts of places end here; what stands in so many or more is not settled by them.
 MANY = 255
 #: A slice of the last pass has about so many suffixes for as many bytes of text as one: a last digit has several times the bytes of a first one.
 LAST_SHARE = 32
+#: Fewer suffixes are not worth a slice of the last pass more.
+SLICE_LEAST = 2_000_000
 #: Most ranges, and suffixes drawn for each: what the driver and each task hold of them.
 RANGES, DRAWN = 1 << 16, 16
 #: Odd; its product with eight bytes decides which suffixes are chosen.
@@ -282,8 +286,8 @@ class Suffixes:
         count = np.minimum(np.bincount(found.group, minlength=n), MANY)
         return found.entries(self.pack.pack_id, [(first != last).astype(np.uint8), count.astype(np.uint8)])
 
-    def runs(self, deal: Deal, answer: np.ndarray) -> list:
-        """First and last suffix of each run in which all chosen digits of all suffixes are shared, and the count of each digit."""
+    def runs(self, deal: Deal, answer: np.ndarray, nb: int) -> pa.RecordBatch:
+        """Runs in which all chosen digits of all suffixes are shared, their blocks, and the blocks' entries."""
         import zstandard
 
         found = Sorted(self.pack.buf, self.chosen, self.size, deal)
@@ -292,39 +296,64 @@ class Suffixes:
         width = self.depth - self.size + 1
         lo, hi = R.runs(self.here & (counts != 1), self.pack.offsets)
         long = hi - lo >= width
-        lo, hi = lo[long], hi[long]
-        data = zstandard.ZstdCompressor(level=1).compress(counts[C.ranges(lo, hi - lo)].tobytes())
-        return [self.pack.pack_id, lo.tobytes(), (hi - width).tobytes(), data]
+        lo, hi = lo[long], hi[long] - width
+        runs = Runs(self.pack, self.depth, self.size, lo, hi, counts)
+        sent = C.entries(self.pack.pack_id, *runs.whole(), nb)
+        blocks = sent.to_struct_array() if sent is not None else pa.array([], SENT)
+        press = zstandard.ZstdCompressor(level=1)
+        data = press.compress(counts[C.ranges(lo, hi - lo + width)].tobytes())
+        row = [self.pack.pack_id, lo.tobytes(), hi.tobytes(), data, press.compress(_planes(runs.places()))]
+        return pa.RecordBatch.from_arrays([*[pa.array([x]) for x in row], pa.ListArray.from_arrays(pa.array([0, len(blocks)], pa.int32()), blocks)], names=["pack_id", "lo", "hi", "counts", "blocks", "sent"])
 
 
 class Runs:
     """Runs of suffixes of a pack that are still in groups of several documents, in blocks."""
 
-    def __init__(self, row: dict, depth: int, digit: int):
-        import zstandard
-
-        self.pack, self.depth, self.width = C.Pack(row), depth, depth - digit + 1
-        lo, hi = (np.frombuffer(row[c] or b"", np.int64) for c in ("lo", "hi"))
-        digits = C.ranges(lo, hi - lo + self.width)
-        self.counts = np.zeros(len(self.pack.buf), np.uint8)
-        if len(lo):
-            self.counts[digits] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"], max_output_size=len(digits)), np.uint8)
+    def __init__(self, pack: C.Pack, depth: int, digit: int, lo: np.ndarray, hi: np.ndarray, counts: np.ndarray):
+        self.pack, self.depth, self.width, self.counts = pack, depth, depth - digit + 1, counts
         at, count = C.ranges(lo, hi - lo + 1), hi - lo + 1
-        cut = chosen_at(self.pack.buf, digit, BLOCK)[at]
+        cut = chosen_at(pack.buf, digit, BLOCK)[at]
         cut[np.cumsum(count) - count] = True
         self.lo, self.hi = at[cut], at[np.append(cut[1:], True)[: len(at)]]
         self.id = self.ids_at(self.lo)
 
-    def whole(self):
+    @staticmethod
+    def read(row: dict, depth: int, digit: int) -> Runs:
+        """A pack's runs as they were written, with the groups of their blocks."""
+        import zstandard
+
+        press, pack = zstandard.ZstdDecompressor(), C.Pack(row)
+        lo, hi = (np.frombuffer(row[c], np.int64) for c in ("lo", "hi"))
+        counts, digits = np.zeros(len(pack.buf), np.uint8), C.ranges(lo, hi - lo + depth - digit + 1)
+        if len(lo):
+            counts[digits] = np.frombuffer(press.decompress(row["counts"], max_output_size=len(digits)), np.uint8)
+        runs = Runs(pack, depth, digit, lo, hi, counts)
+        n = len(runs.lo)
+        places = C.unplanes(row["blocks"], len(press.decompress(row["blocks"], max_output_size=max(1, 8 * n))) // 4, np.int32).astype(np.int64) if n else runs.lo
+        runs.lead = places[: 2 * n - len(places)]
+        others, groups = np.split(places[len(runs.lead) :], 2)
+        runs.group = np.empty(n, np.int64)
+        runs.group[runs.lead] = np.arange(len(runs.lead))
+        runs.group[others] = groups
+        return runs
+
+    def places(self) -> np.ndarray:
+        """Blocks that lead, in order of their groups, then the others and their groups."""
+        others = np.ones(len(self.lo), bool)
+        others[self.lead] = False
+        others = np.flatnonzero(others)
+        return np.concatenate([self.lead, others, self.group[others]]).astype(np.int32)
+
+    def whole(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """Entries of whole blocks: two lanes of their hash, least id, in how many places of the pack they stand."""
         key, check = (C.bytes_hashes(self.pack.buf, self.lo, self.hi + self.depth, lane) for lane in (0, 1))
         order = np.lexsort((self.id, check, key))
         cut = C.group_starts(key[order], check[order])
         self.group = np.empty(len(key), np.int64)
-        self.group[order] = np.cumsum(cut) - 1
+        self.group[order] = np.cumsum(cut) - 1 if len(key) else order
         self.lead = order[cut] if len(key) else order
         count = np.bincount(self.group, minlength=len(self.lead))
-        return key[self.lead], check[self.lead], self.id[self.lead], np.minimum(count, MANY).astype(np.uint8)
+        return key[self.lead], [check[self.lead], self.id[self.lead], np.minimum(count, MANY).astype(np.uint8)]
 
     def open(self, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last suffix of each run of suffixes of blocks that lead and aren't covered, without a digit of just the block's places."""
@@ -336,8 +365,17 @@ class Runs:
         first = C.ranges(np.cumsum(digits) - digits, n)
         left = np.zeros(len(self.pack.buf), bool)
         left[C.ranges(lo, n)] = same[first + self.width] == same[first]
-        lo, hi = R.runs(left, self.pack.offsets)
-        return lo, hi - 1
+        return self.neighbours(np.flatnonzero(left), 1)
+
+    def neighbours(self, at: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last of each run of places of one document that are ``gap`` apart at most."""
+        new = np.ones(len(at), bool)
+        new[1:] = np.diff(at) > gap
+        if self.depth == 1:  # else those of two documents are never so near
+            edge = np.zeros(len(self.pack.buf) + 1, bool)
+            edge[self.pack.offsets] = True
+            new |= edge[at]
+        return at[new], at[np.append(new[1:], True)[: len(at)]]
 
     def ids_at(self, lo: np.ndarray) -> np.ndarray:
         return self.pack.ids[np.searchsorted(self.pack.offsets, lo, side="right") - 1]
@@ -353,24 +391,25 @@ class Runs:
 
     def removed(self, covered: np.ndarray, repeated: np.ndarray, deal: Deal) -> np.ndarray:
         """Mask of the bytes that repeated strings cover. Blocks like a pack's leading one in a larger document go whole."""
-        cover = np.zeros(len(self.pack.buf) + 1, np.int32)
+        gone = np.zeros(len(self.pack.buf), bool)
         if len(self.lo):
             whole = (covered[self.group] == 0) | (self.id > self.id[self.lead][self.group])
-            cover[self.lo[whole]] += 1
-            cover[self.hi[whole] + self.depth] -= 1
             lo, hi = self.open(covered)
             found, ids, least = last_digits(self.pack.buf, lo, hi, self.ids_at(lo), self.depth, deal)
-            gone = np.empty(len(ids), bool)
-            gone[found.order] = (repeated[found.group] > 0) | (ids[found.order] > least[found.group])
+            verdict = np.empty(len(ids), bool)
+            verdict[found.order] = (repeated[found.group] > 0) | (ids[found.order] > least[found.group])
             repeats = np.zeros(len(self.pack.buf), bool)
-            repeats[C.ranges(lo, hi - lo + 1)] = gone
+            repeats[C.ranges(lo, hi - lo + 1)[verdict]] = True
             # equal blocks of the leading document share the verdict of its first
             rest = np.flatnonzero(~whole)
             count = self.hi[rest] - self.lo[rest] + 1
             at = C.ranges(self.lo[rest], count)[repeats[C.ranges(self.lo[self.lead[self.group[rest]]], count)]]
-            cover[at] += 1
-            cover[at + self.depth] -= 1
-        return np.cumsum(cover[:-1]) > 0
+            starts = np.zeros(len(self.pack.buf), bool)
+            starts[at] = True
+            starts[C.ranges(self.lo[whole], (self.hi - self.lo + 1)[whole])] = True
+            first, last = self.neighbours(np.flatnonzero(starts), 1)
+            gone[C.ranges(first, last - first + self.depth)] = True
+        return gone
 
 
 def last_digits(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, run_ids: np.ndarray, depth: int, deal: Deal, part: int | None = None) -> tuple[Sorted, np.ndarray, np.ndarray]:
@@ -437,18 +476,11 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
 
     def left(batches):
         for row in C.rows_of(batches):
-            yield C.batch_of(RUNS_SCHEMA, [[x] for x in Suffixes(C.Pack(row), depth, digit, every).runs(deal, C.answer_bytes(row["digits"]))])
-
-    def whole(batches):
-        for row in C.rows_of(batches):
-            key, *extras = Runs(row, depth, digit).whole()
-            if (out := C.entries(row["pack_id"], key, extras, nb)) is not None:
-                yield out
+            yield Suffixes(C.Pack(row), depth, digit, every).runs(deal, C.answer_bytes(row["digits"]), nb)
 
     def opened(batches):
         for row in C.rows_of(batches):
-            runs = Runs(row, depth, digit)
-            runs.whole()
+            runs = Runs.read(row, depth, digit)
             yield C.batch_of(LEADS_SCHEMA, [[x] for x in runs.leads(C.answer_bytes(row["covered"]))])
 
     def fourth(part):
@@ -461,8 +493,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
 
     def last(batches):
         for row in C.rows_of(batches):
-            runs, covered = Runs(row, depth, digit), C.answer_bytes(row["covered"])
-            runs.whole()
+            runs, covered = Runs.read(row, depth, digit), C.answer_bytes(row["covered"])
             yield emit(runs.pack, runs.removed(covered, C.answer_bytes(row["repeated"]), deal))
 
     def emit(p: C.Pack, gone: np.ndarray):
@@ -475,12 +506,13 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 16, text: str =
     nb = C.buckets_for(packs, 1 / 8)
     answers = C.written_all(second(part) for part in range(deal.slices))
     digits = _of_packs(answers, "digits")
-    runs = C.written(light.join(digits, "pack_id", "left").mapInArrow(C.tidied(left), RUNS_SCHEMA)).hint("merge")
+    runs = C.written(light.join(digits, "pack_id", "left").mapInArrow(C.tidied(left), RUNS_SCHEMA))
     C.dropped(answers)
-    covered = _of_packs(C.written(C.replies(light.join(runs, "pack_id").mapInArrow(C.tidied(whole), C.ENTRY_SCHEMA), [np.uint64, np.int64, np.uint8], _decide_block)), "covered")
+    covered = _of_packs(C.written(C.replies(runs.select(F.inline("sent")), [np.uint64, np.int64, np.uint8], _decide_block)), "covered")
+    runs = runs.drop("sent").hint("merge")
     leads = C.written(light.join(runs, "pack_id").join(covered, "pack_id").mapInArrow(C.tidied(opened), LEADS_SCHEMA))
     n = leads.agg(F.sum("n")).first()[0] or 0
-    thin = replace(deal, slices=max(slices, min(LAST_SHARE * n // max(1, total), n // C.BUCKET_KEYS) + 1))
+    thin = replace(deal, slices=max(slices, min(LAST_SHARE * n // max(1, total), n // SLICE_LEAST) + 1))
     repeated = _of_packs(C.written_all(fourth(part) for part in range(thin.slices)), "repeated")
     C.dropped(leads)
     return packs.join(runs, "pack_id").join(covered, "pack_id", "left").join(repeated, "pack_id", "left").mapInArrow(C.tidied(last), SCHEMA)
